@@ -1,0 +1,54 @@
+"""Connected components of a graph whose edges are rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from terrane.llm.common import cut
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """Each node that any edge (a, b) touches, and the least node that can be reached from it: columns node, root.
+
+    Alternates the large-star and small-star steps until no edge changes; the number of rounds grows with the
+    logarithm of the longest chain. Every round is a grouped minimum, which combines before the shuffle, and a join on
+    the node, whose heavy keys Spark splits. Self loops and repeated edges are allowed; no edges give no rows.
+    """
+    edges = cut(
+        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    )
+    mark = _mark(edges)
+    for _ in range(most_rounds):
+        if mark[0] == 0:
+            break
+        edges = cut(_small_star(_large_star(edges)))
+        before, mark = mark, _mark(edges)
+        if mark == before:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Tells two sets of edges apart: count and the sum of a hash of each row."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    joined = edges.join(least, "a")
+    return (
+        joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        .union(least.select("a", F.col("m").alias("b")))
+        .distinct()
+    )

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import suffix_dedup
+from terrane.llm import decontaminate, license_scan, mixing, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": license_scan.op1_license_scan,
+        "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_source_mixing": mixing.op4_source_mixing,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     }
 
