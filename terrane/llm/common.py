@@ -23,6 +23,13 @@ WORD_BYTES = bytes(
 )
 
 
+#: Keeps every byte but white space, which becomes a space.
+SPACED_BYTES = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared checkpoint folder; only a local session may get a temporary one."""
     sc = spark.sparkContext
@@ -106,3 +113,41 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def text_volume(docs: DataFrame) -> int:
     """Bytes of text in all rows: one narrow scan, one number to the driver."""
     return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def word_codes(data: np.ndarray, offsets: np.ndarray, table: bytes = WORD_BYTES, spans: bool = False) -> tuple[np.ndarray, ...]:
+    """A 64-bit code for each word, with a 0 after each text, and the text each of these belongs to.
+
+    ``table`` maps every byte to itself, to its lower case, or to a space where it separates words.
+    """
+    n_texts = len(offsets) - 1
+    lower = np.frombuffer(table, np.uint8)[data]
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = lower != 32
+    begins = inside[:-1].copy()
+    begins[1:] &= ~inside[:-2]
+    cut = offsets[1:-1][offsets[1:-1] < len(data)]  # a word ends where its text does
+    begins[cut] = inside[cut]
+    starts = np.flatnonzero(begins)
+    # the first byte after each word: the next gap or the next text
+    stops = ~inside
+    stops[offsets[offsets <= len(data)]] = True
+    stops = np.flatnonzero(stops)
+    lengths = stops[np.searchsorted(stops, starts, "right")] - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = lower
+    eight = np.ndarray(len(data), "<u8", padded, strides=(1,)) if len(data) else np.zeros(0, np.uint64)
+    h = mix64((eight[starts] & _MASKS[np.minimum(lengths, 8)]) ^ (lengths.astype(np.uint64) * _GOLDEN))
+    long = np.flatnonzero(lengths > 8)
+    done = 8
+    while len(long):
+        at, left = starts[long] + done, np.minimum(lengths[long] - done, 8)
+        h[long] = mix64(h[long] * _GOLDEN + (eight[at] & _MASKS[left]))
+        done += 8
+        long = long[lengths[long] > done]
+    h[h == 0] = 1
+    text = np.searchsorted(offsets, starts, "right") - 1
+    codes = np.zeros(len(h) + n_texts, np.uint64)
+    codes[np.arange(len(h)) + text] = h
+    owner = np.repeat(np.arange(n_texts), np.bincount(text, minlength=n_texts) + 1)
+    return (codes, owner, starts, lengths) if spans else (codes, owner)

@@ -23,50 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import WORD_BYTES, documents, flat_text, mix64, slices
+from terrane.llm.common import WORD_BYTES, documents, flat_text, mix64, slices, word_codes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
-_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=U)
-_IS = np.frombuffer(WORD_BYTES, np.uint8)
-
-
-def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit code for each word, with a 0 after each text, and the text each of these belongs to."""
-    n_texts = len(offsets) - 1
-    lower = _IS[data]
-    inside = np.zeros(len(data) + 1, bool)
-    inside[:-1] = lower != 32
-    begins = inside[:-1].copy()
-    begins[1:] &= ~inside[:-2]
-    cut = offsets[1:-1][offsets[1:-1] < len(data)]  # a word ends where its text does
-    begins[cut] = inside[cut]
-    starts = np.flatnonzero(begins)
-    # the first byte after each word: the next gap or the next text
-    stops = ~inside
-    stops[offsets[offsets <= len(data)]] = True
-    stops = np.flatnonzero(stops)
-    lengths = stops[np.searchsorted(stops, starts, "right")] - starts
-    padded = np.zeros(len(data) + 8, np.uint8)
-    padded[: len(data)] = lower
-    eight = np.ndarray(len(data), "<u8", padded, strides=(1,)) if len(data) else np.zeros(0, U)
-    h = mix64((eight[starts] & _MASKS[np.minimum(lengths, 8)]) ^ (lengths.astype(U) * _BASE))
-    long = np.flatnonzero(lengths > 8)
-    done = 8
-    while len(long):
-        at, left = starts[long] + done, np.minimum(lengths[long] - done, 8)
-        h[long] = mix64(h[long] * _BASE + (eight[at] & _MASKS[left]))
-        done += 8
-        long = long[lengths[long] > done]
-    h[h == 0] = 1
-    text = np.searchsorted(offsets, starts, "right") - 1
-    codes = np.zeros(len(h) + n_texts, U)
-    codes[np.arange(len(h)) + text] = h
-    owner = np.repeat(np.arange(n_texts), np.bincount(text, minlength=n_texts) + 1)
-    return codes, owner
 
 
 @dataclass

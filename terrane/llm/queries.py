@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import decontaminate, license_scan, mixing, simhash, suffix_dedup
+from terrane.llm import audio_media, decontaminate, language_id, license_scan, mixing, quality, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_source_mixing": mixing.op4_source_mixing,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
+        "op8_language_id": language_id.op8_language_id,
+        "op9_media_columns": audio_media.op9_media_columns,
+        "op10_quality_classifier": quality.op10_quality_classifier,
     }
 
 
