@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import audio_media, decontaminate, language_id, license_scan, mixing, quality, simhash, suffix_dedup, toxicity
+from terrane.llm import audio_media, chat_tree, decontaminate, language_id, license_scan, mixing, quality, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_source_mixing": mixing.op4_source_mixing,
+        "op5_chat_prefix_tree": chat_tree.op5_chat_prefix_tree,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
         "op8_language_id": language_id.op8_language_id,
