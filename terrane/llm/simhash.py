@@ -64,20 +64,30 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
+def _whole(data: bytes) -> int:
+    """Hash of the text's words one after the other."""
+    digest = xxhash.xxh64(seed=SEED + 1)
+    for words in word_pieces(data):
+        digest.update(b"".join(w + b" " for w in words))
+    return digest.intdigest()
+
+
 def _fingerprints(shingle: int):
     def of(batches):
         for batch in batches:
-            values = [fingerprint(x, shingle) for x in text_bytes(batch.column(1))]
+            texts = list(text_bytes(batch.column(1)))
+            values, whole = [fingerprint(x, shingle) for x in texts], [_whole(x) for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"]
+                [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (values, whole))],
+                names=["doc_id", "fp", "whole"],
             )
 
     return of
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp: the fingerprint's bits as a signed long. Null and empty texts have 0."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    """doc_id, fp (the fingerprint's bits as a signed long; 0 for null and empty texts), whole (a hash of all words)."""
+    return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprints(shingle), "doc_id long, fp long, whole long")
 
 
 def _signatures(fp: Column) -> Column:
@@ -110,7 +120,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id that links of two or fewer bits reach) for every row.
+    """doc_id, fp, whole, component_id (the least doc_id that links of two or fewer bits reach) for every row.
 
     Rows with a null id take part and have a null id in the result; they name no group. Repeated ids are kept.
     """
@@ -120,7 +130,62 @@ def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_
     joined = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = joined.join(named, "root").select("fp", "component_id")
-    return marked.join(groups, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(groups, "fp").select("doc_id", "fp", "whole", "component_id")
+
+
+def jaccard(a: bytes, b: bytes, shingle: int) -> float:
+    """Likeness of two texts: shared distinct word shingles of all; texts of fewer words are one shingle each."""
+
+    def shingles(data: bytes) -> set[bytes]:
+        words = data.lower().split()
+        if len(words) < shingle:
+            return {b" ".join(words)}
+        return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+
+    x, y = shingles(a), shingles(b)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
+
+
+def _alike(shingle: int, least: float):
+    def of(batches):
+        for batch in batches:
+            texts = zip(text_bytes(batch.column(1)), text_bytes(batch.column(2)), strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([jaccard(a, b, shingle) >= least for a, b in texts], pa.bool_())], names=["first", "alike"]
+            )
+
+    return of
+
+
+def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, one document of each group of near copies: the one with the least id.
+
+    Groups come from :func:`near_groups`. Copies in all words go at once; other texts of a group go only if their
+    shingles are at least ``least`` alike (Jaccard) to those of the text that stays; those that are not form a group of
+    their own, until none is left. So no document goes for an accident of fingerprints. Each text is compared with
+    one other in a round. Rows that share an id stay or go together; rows without an id stay.
+    """
+    groups = cut(near_groups(docs, shingle, id_col, text_col).where("doc_id is not null"))
+    classes = groups.groupBy("component_id", "whole").agg(F.min("doc_id").alias("first"))
+    gone = groups.join(classes, ["component_id", "whole"]).where("doc_id <> first").select("doc_id")
+    open_ = cut(classes.where("first <> component_id").select("component_id", "first", F.col("component_id").alias("keeps")))
+    texts = id_and_text(docs, id_col, text_col)
+    also = []
+    while not open_.isEmpty():
+        needed = open_.select(F.col("first").alias("doc_id")).union(open_.select("keeps")).distinct()
+        used = cut(texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+        pairs = open_.join(used.select(F.col("doc_id").alias("first"), F.col("text").alias("one")), "first")
+        pairs = pairs.join(used.select(F.col("doc_id").alias("keeps"), F.col("text").alias("other")), "keeps")
+        judged = cut(pairs.select("first", "one", "other").mapInArrow(_alike(shingle, least), "first long, alike boolean"))
+        also.append(judged.where("alike").select(F.col("first").alias("doc_id")))
+        left = open_.drop("keeps").join(judged.where("not alike").select("first"), "first")
+        heads = left.groupBy("component_id").agg(F.min("first").alias("keeps"))
+        open_ = cut(left.join(heads, "component_id").where("first <> keeps").select("component_id", "first", "keeps"))
+    for more in also:
+        # the first of a class goes, and so do its copies: they are in ``gone`` already
+        gone = gone.union(more)
+    return docs.join(gone.distinct().withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrane.llm.common import NULL_ID, documents, flat_text, id_and_text, mix64, text_volume
 
@@ -239,7 +240,7 @@ class _Block:
 
     def __init__(self, table: pa.Table, width: int, gram: int):
         ids = pc.fill_null(table.column("doc_id"), NULL_ID)
-        table = table.select(["doc_id", "text"]).set_column(0, "doc_id", ids)
+        table = table.set_column(table.schema.get_field_index("doc_id"), "doc_id", ids)
         self.table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
         self.ids = self.table.column("doc_id").to_numpy()
         self.data, self.offsets = flat_text(self.table.column("text"))
@@ -481,7 +482,7 @@ def _match_phrases(width: int, gram: int):
     return of
 
 
-def _remove(width: int, gram: int, buckets: int):
+def _remove(width: int, gram: int, buckets: int, whole: bool):
     def of(key, table, answers):
         b = _Block(table, width, gram)
         pure, mixed, windows, places = _shared(b, answers, buckets)
@@ -516,6 +517,11 @@ def _remove(width: int, gram: int, buckets: int):
             starts.append(np.flatnonzero(turn == 1))
             ends.append(np.flatnonzero(turn == -1))
             kept.append((b.data[lo:hi][~cut] if len(starts[-1]) else b.data[lo:hi]).tobytes())
+        if whole:
+            rest = b.table.column("rest").combine_chunks().flatten()
+            text = pa.array([k.decode(errors="ignore") for k in kept], pa.string())
+            text = pc.if_else(pc.is_valid(b.table.column("text").combine_chunks()), text, None)
+            return pa.table([text, *rest], names=[f"c{i}" for i in range(len(rest) + 1)])
         ids = b.table.column("doc_id").combine_chunks()
         return pa.table(
             {
@@ -530,18 +536,11 @@ def _remove(width: int, gram: int, buckets: int):
     return of
 
 
-def dedup_spans(
-    docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text",
-    block_bytes: int = BLOCK_BYTES, gram: int = GRAM, hot: int = HOT_PHRASES,
-) -> DataFrame:
-    """Each document's removed runs [starts, ends) in bytes, and the bytes that stay.
-
-    Returns doc_id, n_bytes, starts, ends, kept (binary; it may end within a character that was cut).
-    """
+def _removed(docs: DataFrame, width: int, block_bytes: int, gram: int, hot: int, schema) -> DataFrame:
+    """``docs``: doc_id, text, and rest (a struct) if whole rows are to come back."""
     if not 8 <= gram <= width or width - gram > 255 or 2 * width - gram > len(_POW1):
         raise ValueError("need 8 <= gram <= width and width - gram < 256")
     spark = docs.sparkSession
-    docs = id_and_text(docs, id_col, text_col)
     deals, volume = int(spark.conf.get("spark.sql.shuffle.partitions")), text_volume(docs)
     blocks, buckets = max(deals, -(-volume // block_bytes)), max(deals, -(-volume // (8 * block_bytes)))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
@@ -550,8 +549,41 @@ def dedup_spans(
     sent = dealt.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(_send_phrases(width, gram, buckets), _SENT)
     two = sent.groupBy("kind", "bucket").applyInArrow(_match_phrases(width, gram), _ANSWER)
     return dealt.groupBy("block").cogroup(one.union(two).groupBy("block")).applyInArrow(
-        _remove(width, gram, buckets), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
+        _remove(width, gram, buckets, "rest" in docs.columns), schema
+    )
+
+
+def dedup_spans(
+    docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES, gram: int = GRAM, hot: int = HOT_PHRASES,
+) -> DataFrame:
+    """Each document's removed runs [starts, ends) in bytes, and the bytes that stay.
+
+    Returns doc_id, n_bytes, starts, ends, kept (binary; it may end within a character that was cut).
+    """
+    return _removed(
+        id_and_text(docs, id_col, text_col), width, block_bytes, gram, hot,
+        "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary",
+    )
+
+
+def without_repeats(
+    docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES, gram: int = GRAM, hot: int = HOT_PHRASES,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, their texts without the repeated bytes.
+
+    Bytes of characters that were cut in part go too. Null texts stay null; a text may become empty.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i + 1}") for i, c in enumerate(others)])
+    got = _removed(
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest")),
+        width, block_bytes, gram, hot,
+        T.StructType([T.StructField("c0", T.StringType()), *(T.StructField(f"c{i + 1}", docs.schema[c].dataType) for i, c in enumerate(others))]),
     )
+    names = {text_col: "c0", **{c: f"c{i + 1}" for i, c in enumerate(others)}}
+    return got.select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
