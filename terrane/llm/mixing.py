@@ -27,7 +27,7 @@ MOST_REPEATS = 3
 BLOCK_WORDS = 1024
 SHARD_SLOTS = 4096
 CHUNK_SLOTS = 4096
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -101,7 +101,8 @@ def slots(per_source: DataFrame, block: int = BLOCK_WORDS, seed: int = 0, shard_
         F.sum("slots").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"),
     )
     chunks = s.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK_SLOTS).cast("long"))).alias("chunk"))
-    chunks = chunks.repartition("nth", "chunk")
+    # a number of partitions of its own, or the few small rows would be put together again
+    chunks = chunks.repartition(int(per_source.sparkSession.conf.get("spark.sql.shuffle.partitions")), "nth", "chunk")
     first = F.col("chunk") * CHUNK_SLOTS
     each = chunks.select("*", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("slots")) - 1)).alias("i"))
     pass_, at = F.floor(F.col("i") / n).cast("long"), F.col("i") % n
@@ -133,7 +134,7 @@ def packed(sizes: DataFrame, per_source: DataFrame, seed: int = 0, bucket_rows:
     sums = dealt.groupBy("nth", "bucket").agg(F.sum("size").alias("words"))
     outer = Window.partitionBy("nth").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.select("nth", "bucket", (F.sum("words").over(outer) - F.col("words")).alias("ahead"))
-    return dealt.join(sums, ["nth", "bucket"]).withColumn("first", F.col("ahead") + F.col("inside")).drop("bucket", "inside", "ahead")
+    return dealt.join(sums.hint("merge"), ["nth", "bucket"]).withColumn("first", F.col("ahead") + F.col("inside")).drop("bucket", "inside", "ahead")
 
 
 def mix(
@@ -153,7 +154,7 @@ def mix(
     pieces = placed.select(*row, F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(last / block))).alias("index"))
     start = F.greatest(F.col("first") - F.col("index") * block, F.lit(0))
     end = F.least(F.col("first") + F.col("size") - F.col("index") * block, F.lit(block))
-    joined = pieces.withColumns({"start": start, "end": end}).join(drawn, ["nth", "index"], "left")
+    joined = pieces.withColumns({"start": start, "end": end}).join(drawn.hint("merge"), ["nth", "index"], "left")
     words = F.col("times") * (F.col("end") - F.col("start")) + F.greatest(F.least("end", "part") - F.col("start"), F.lit(0))
     some = joined.where("size > 0").groupBy(*row).agg(
         F.sum(F.coalesce(words, F.lit(0))).alias("words")
