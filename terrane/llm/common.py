@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,12 +10,11 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.session import cut, ensure_checkpoint_dir  # noqa: F401
+
 #: Stands in for a null document id wherever ids are ordered: null comes last.
 NULL_ID = 2**63 - 1
 
-UPPER = "".join(map(chr, range(65, 91)))
-LOWER = UPPER.lower()
-
 #: Lower-cases A-Z and turns every byte that is in no alphanumeric word into a space.
 WORD_BYTES = bytes(
     b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
@@ -30,24 +28,6 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a local session may get a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if where is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            where = tempfile.mkdtemp(prefix="terrane-checkpoint-")
-        sc.setCheckpointDir(where)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -26,6 +26,8 @@ PER_CLASS = 1500
 BITS = 16
 DIM = 10
 EPOCHS = 6
+#: Passes over a small sample are repeated until there were so many steps.
+LEAST_STEPS = 4000
 RATE = 0.4
 _SPACED = np.frombuffer(SPACED_BYTES, np.uint8)
 
@@ -92,6 +94,7 @@ def fit(sample: DataFrame, bits: int = BITS, dim: int = DIM, epochs: int = EPOCH
     rng = np.random.RandomState(seed)
     table = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     out, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
+    epochs = max(epochs, -(-LEAST_STEPS // max(len(order), 1)))
     steps, done = epochs * max(len(order), 1), 0
     for _ in range(epochs):
         for i in np.array(order)[rng.permutation(len(order))] if order else []:

@@ -29,6 +29,8 @@ BITS = 18
 #: Bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (5, 6, 7, 8)
 GRADES = 3
+#: Passes over a small sample are repeated until there were so many steps.
+LEAST_STEPS = 8000
 #: A text is toxic if a grade above 0 is at least this likely.
 TOXIC = 0.4
 #: Standard deviations beyond which a feature is taken to go with the label.
@@ -122,7 +124,7 @@ def fit(sample: DataFrame, bits: int = BITS, epochs: int = 4, rate: float = 0.3,
     size_w, size_t = np.full(1 << bits, 1e-3), np.full(GRADES, 1e-3)
     ends = np.cumsum(sizes)
     rng = np.random.RandomState(seed)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS // len(labels)))):
         for i in rng.permutation(len(labels)):
             at = slice(ends[i] - sizes[i], ends[i])
             mine, values, g = rows[at], x[at], grades[i]
