@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.session import cut
+from terrane.session import cut, in_few
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if mark[0] == 0:
             break
-        edges = cut(_small_star(_large_star(edges, keys), keys))
+        rows = 2 * mark[0]
+        edges = cut(in_few(_small_star(in_few(_large_star(in_few(edges, rows), keys, rows), rows), keys, rows), rows))
         before, mark = mark, _mark(edges, keys)
         if mark == before:
             break
@@ -37,18 +38,16 @@ def _mark(edges: DataFrame, keys: list[str]) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame, keys: list[str]) -> DataFrame:
+def _large_star(edges: DataFrame, keys: list[str], rows: int) -> DataFrame:
     both = edges.select(*keys, F.col("a").alias("u"), F.col("b").alias("v"))
     both = both.union(edges.select(*keys, F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy(*keys, "u").agg(F.min("v").alias("v")).select(*keys, "u", F.least("v", "u").alias("m"))
-    return both.where("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    joined = both.where("v > u").join(least, [*keys, "u"]).select(*keys, F.col("v").alias("a"), F.col("m").alias("b"))
+    return in_few(joined, rows)  # an edge for each edge: repeated ones go in the other step
 
 
-def _small_star(edges: DataFrame, keys: list[str]) -> DataFrame:
+def _small_star(edges: DataFrame, keys: list[str], rows: int) -> DataFrame:
     least = edges.groupBy(*keys, "a").agg(F.min("b").alias("m"))
     joined = edges.join(least, [*keys, "a"]).where("b <> m")
-    return (
-        joined.select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
-        .union(least.select(*keys, "a", F.col("m").alias("b")))
-        .distinct()
-    )
+    both = joined.select(*keys, F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(*keys, "a", F.col("m").alias("b")))
+    return in_few(both, rows).distinct()

@@ -37,3 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def in_few(df: DataFrame, rows: int, a_task: int = 50_000) -> DataFrame:
+    """``df`` in as few tasks as ``rows`` rows need, where that is fewer than a shuffle makes."""
+    tasks = max(1, -(-rows // a_task))
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
