@@ -10,7 +10,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.session import cut, ensure_checkpoint_dir  # noqa: F401
+from terrane.session import cut, ensure_checkpoint_dir, in_few  # noqa: F401
 
 #: Stands in for a null document id wherever ids are ordered: null comes last.
 NULL_ID = 2**63 - 1

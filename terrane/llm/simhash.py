@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import cut, documents, id_and_text, text_bytes
+from terrane.llm.common import SPACED_BYTES, cut, documents, flat_text, id_and_text, in_few, mix64, slices, text_bytes, word_codes
 from terrane.operators.graph import connected_components
 
 SEED = 42
@@ -64,30 +64,26 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
-def _whole(data: bytes) -> int:
-    """Hash of the text's words one after the other."""
-    digest = xxhash.xxh64(seed=SEED + 1)
+def _whole(data: bytes) -> bytes:
+    """Hash of the text's words one after the other, 128 bits."""
+    digest = xxhash.xxh3_128(seed=SEED)
     for words in word_pieces(data):
         digest.update(b"".join(w + b" " for w in words))
-    return digest.intdigest()
+    return digest.digest()
 
 
 def _fingerprints(shingle: int):
     def of(batches):
         for batch in batches:
-            texts = list(text_bytes(batch.column(1)))
-            values, whole = [fingerprint(x, shingle) for x in texts], [_whole(x) for x in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (values, whole))],
-                names=["doc_id", "fp", "whole"],
-            )
+            values = [fingerprint(x, shingle) for x in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     return of
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long; 0 for null and empty texts), whole (a hash of all words)."""
-    return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprints(shingle), "doc_id long, fp long, whole long")
+    """doc_id, fp (the fingerprint's bits as a signed long; 0 for null and empty texts)."""
+    return id_and_text(docs, id_col, text_col).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 def _signatures(fp: Column) -> Column:
@@ -120,7 +116,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, whole, component_id (the least doc_id that links of two or fewer bits reach) for every row.
+    """doc_id, fp, component_id (the least doc_id that links of two or fewer bits reach) for every row.
 
     Rows with a null id take part and have a null id in the result; they name no group. Repeated ids are kept.
     """
@@ -130,7 +126,67 @@ def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_
     joined = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = joined.join(named, "root").select("fp", "component_id")
-    return marked.join(groups, "fp").select("doc_id", "fp", "whole", "component_id")
+    return marked.join(groups, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Words' bytes: A-Z lower-cased, white space as blanks.
+_WORDS = bytes(b + 32 if 65 <= b <= 90 else b for b in SPACED_BYTES)
+#: A text's sample: the least of its shingles' hashes under each of SEGMENTS * SAMPLES hash functions.
+SEGMENTS, SAMPLES = 5, 5
+#: SimHashes of texts that are 0.8 alike differ in about 10 bits; beyond this many a pair is not looked at.
+FAR = 24
+#: So many texts under one signature are compared with each other.
+CROWD = 64
+
+
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word shingles of each text, and where each text's begin; every text has one at least."""
+    codes, owner = word_codes(data, offsets, _WORDS)
+    n = len(offsets) - 1
+    size = np.bincount(owner, minlength=n) - 1  # words
+    count = np.maximum(size - shingle + 1, 1)
+    first = np.cumsum(size + 1) - size - 1
+    begin = np.cumsum(count) - count
+    at = np.repeat(first - begin, count) + np.arange(count.sum())
+    out, alive = np.zeros(len(at), np.uint64), np.ones(len(at), bool)
+    for i in range(shingle):  # a short text's only shingle ends where the text does
+        word = np.where(alive, codes[np.minimum(at + i, len(codes) - 1)], np.uint64(0))
+        alive &= word != 0
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + word)
+    return out, begin
+
+
+def variant_keys(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+    """The signatures of each text: each segment of its sample with each of its values left out in turn."""
+    hashes, begin = shingle_hashes(data, offsets, shingle)
+    keys = []
+    for s in range(SEGMENTS):
+        sample = [np.minimum.reduceat(mix64(hashes + np.uint64((s * SAMPLES + i + 1) * 0xD6E8FEB86659FD93 % 2**64)), begin) for i in range(SAMPLES)]
+        for out in range(SAMPLES):
+            key = np.full(len(begin), s * SAMPLES + out + 1, np.uint64)
+            for i in range(SAMPLES):
+                if i != out:
+                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sample[i])
+            keys.append(key)
+    return np.stack(keys, axis=1)
+
+
+def _marks(shingle: int):
+    def of(batches):
+        for batch in slices(batches, "text", 2 << 20):
+            texts = list(text_bytes(batch.column(1)))
+            keys = variant_keys(*flat_text(batch.column(1)), shingle).view(np.int64)
+            fps = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
+            offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array(fps), pa.array([_whole(x) for x in texts], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
+                ],
+                names=["doc_id", "fp", "whole", "keys"],
+            )
+
+    return of
 
 
 def jaccard(a: bytes, b: bytes, shingle: int) -> float:
@@ -150,42 +206,85 @@ def jaccard(a: bytes, b: bytes, shingle: int) -> float:
 def _alike(shingle: int, least: float):
     def of(batches):
         for batch in batches:
-            texts = zip(text_bytes(batch.column(1)), text_bytes(batch.column(2)), strict=True)
+            texts = zip(text_bytes(batch.column(2)), text_bytes(batch.column(3)), strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([jaccard(a, b, shingle) >= least for a, b in texts], pa.bool_())], names=["first", "alike"]
+                [batch.column(0), batch.column(1), pa.array([jaccard(a, b, shingle) >= least for a, b in texts], pa.bool_())],
+                names=["a", "b", "alike"],
             )
 
     return of
 
 
+def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Edges (a, b) between alike texts. ``classes``: node, fp, keys, once for each text; ``texts``: doc_id, text.
+
+    Texts that share a signature are compared if they are ``CROWD`` or fewer. Of more, all are compared with one, the
+    head: the one whose signatures are shared most, which is the original of a group of copies as a rule. Those that are
+    not alike to it meet again under pairs of signatures, then triples, and so on; under what has no more signatures to
+    add, one head follows another until none is left over. So a large group costs about one comparison for each text.
+    """
+    segment = f"shiftleft(1, cast(at div {SAMPLES} as int))"
+    keyed = classes.select("node", "fp", F.posexplode("keys").alias("at", "key"))
+    keyed = keyed.select("key", "node", "fp", F.expr(segment).alias("used"))
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    state = cut(keyed.join(shared, "key"))
+    rows = state.count()
+    score = cut(in_few(in_few(state, rows).groupBy("node").agg(F.sum("n").alias("score")), rows))
+    used = cut(texts.join(score.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    state, judged, level = in_few(state.drop("n").join(score, "node"), rows), None, 1
+    while True:
+        per = state.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("score", -F.col("node"), "node", "fp")).alias("h")).where("n > 1")
+        met = state.join(per.select("key", "n", F.col("h.node").alias("head"), F.col("h.fp").alias("head_fp")), "key")
+        met = cut(in_few(met, rows))
+        rows = met.count()
+        if not rows:
+            break
+        met = in_few(met, rows)
+        few, crowd = met.where(F.col("n") <= CROWD), met.where((F.col("n") > CROWD) & (F.col("node") != F.col("head")))
+        other = few.select("key", F.col("node").alias("head"), F.col("fp").alias("head_fp"))
+        pairs = few.drop("head", "head_fp").join(other, "key").where("node < head").select("node", "fp", "head", "head_fp")
+        pairs = in_few(pairs, rows).union(crowd.select("node", "fp", "head", "head_fp")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= FAR)
+        pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+        if judged is not None:
+            pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        pairs = cut(in_few(pairs, rows))
+        n_pairs = pairs.count()
+        texted = pairs.join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
+        texted = in_few(texted, n_pairs, 1000).join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+        texted = in_few(texted.select("a", "b", "one", "other"), n_pairs, 1000)
+        new = cut(texted.mapInArrow(_alike(shingle, least), "a long, b long, alike boolean"))
+        judged = new if judged is None else judged.union(new)
+        left = crowd.withColumns({"a": F.least("node", "head"), "b": F.greatest("node", "head")}).join(judged.where("alike"), ["a", "b"], "left_anti")
+        left = in_few(left.select("key", "node", "fp", "used", "score"), rows)
+        if level < SEGMENTS:
+            bit = F.expr(segment)
+            more = left.join(classes.select("node", F.posexplode("keys").alias("at", "other")), "node").where(F.col("used").bitwiseAND(bit) == 0)
+            more = more.select(F.col("key").bitwiseXOR(F.col("other")).alias("key"), "node", "fp", F.col("used").bitwiseOR(bit).alias("used"), "score")
+            left, rows = in_few(in_few(more, 20 * rows).distinct(), 20 * rows), 20 * rows
+        state, level = left, level + 1
+    none = classes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
+    return none if judged is None else judged.where("alike").select("a", "b")
+
+
 def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, one document of each group of near copies: the one with the least id.
 
-    Groups come from :func:`near_groups`. Copies in all words go at once; other texts of a group go only if their
-    shingles are at least ``least`` alike (Jaccard) to those of the text that stays; those that are not form a group of
-    their own, until none is left. So no document goes for an accident of fingerprints. Each text is compared with
-    one other in a round. Rows that share an id stay or go together; rows without an id stay.
+    Groups are connected by likeness of ``least`` or more (Jaccard of word shingles, checked on the whole texts); texts of
+    the same words are copies at once. SimHashes of such texts differ in 4 to 14 bits, too many for signatures of
+    two halves, so candidates come from deletion variants of another fingerprint, the sample of least hashes: a segment
+    of it differs in at most one value, with a chance of 0.74 for each segment of two texts that are 0.8 alike, 0.9987 for
+    any of them. Candidates whose SimHashes are ``FAR`` apart are dropped, the others compared word for word.
+
+    Rows that share an id stay or go together; rows without an id stay. Null texts are empty and copies of each other.
     """
-    groups = cut(near_groups(docs, shingle, id_col, text_col).where("doc_id is not null"))
-    classes = groups.groupBy("component_id", "whole").agg(F.min("doc_id").alias("first"))
-    gone = groups.join(classes, ["component_id", "whole"]).where("doc_id <> first").select("doc_id")
-    open_ = cut(classes.where("first <> component_id").select("component_id", "first", F.col("component_id").alias("keeps")))
     texts = id_and_text(docs, id_col, text_col)
-    also = []
-    while not open_.isEmpty():
-        needed = open_.select(F.col("first").alias("doc_id")).union(open_.select("keeps")).distinct()
-        used = cut(texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-        pairs = open_.join(used.select(F.col("doc_id").alias("first"), F.col("text").alias("one")), "first")
-        pairs = pairs.join(used.select(F.col("doc_id").alias("keeps"), F.col("text").alias("other")), "keeps")
-        judged = cut(pairs.select("first", "one", "other").mapInArrow(_alike(shingle, least), "first long, alike boolean"))
-        also.append(judged.where("alike").select(F.col("first").alias("doc_id")))
-        left = open_.drop("keeps").join(judged.where("not alike").select("first"), "first")
-        heads = left.groupBy("component_id").agg(F.min("first").alias("keeps"))
-        open_ = cut(left.join(heads, "component_id").where("first <> keeps").select("component_id", "first", "keeps"))
-    for more in also:
-        # the first of a class goes, and so do its copies: they are in ``gone`` already
-        gone = gone.union(more)
-    return docs.join(gone.distinct().withColumnRenamed("doc_id", id_col), id_col, "left_anti").select(*docs.columns)
+    marks = cut(texts.where("doc_id is not null").mapInArrow(_marks(shingle), "doc_id long, fp long, whole binary, keys array<long>"))
+    per = marks.groupBy("whole").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("fp", "keys"), "doc_id").alias("m"))
+    classes = cut(per.select("whole", "node", "m.fp", "m.keys"))
+    roots = connected_components(alike_links(classes.select("node", "fp", "keys"), texts, shingle, least))
+    stays = classes.select("whole", "node").join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("stays"))
+    gone = marks.select("doc_id", "whole").join(stays, "whole").where("doc_id <> stays").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def op2_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
