@@ -266,28 +266,30 @@ def op1_license_scan(spark, sf_dir: str) -> DataFrame:
         "array_min(transform(base, x -> x.start)) as first_word", "array_max(transform(base, x -> x.start)) as last_word",
         "array_join(array_sort(array_distinct(transform(base, x -> x.label))), ',') as base_labels",
         "array_join(array_sort(array_distinct(transform(concat(base, matches), x -> x.label))), ',') as labels",
-        "coalesce(try_divide(cast(covered as double), n_words), 0D) as score",
+        # a whole template is sure, a phrase alone is a hint
+        "case when size(matches) > 0 then 1D when size(base) > 0 then 0.5D else 0D end as score",
     )
 
 
-def brute_force(rows: list[tuple]) -> list[tuple]:
-    """The same with regular expressions over the joined words, for tests."""
+def pattern(template: str) -> str:
+    """A template as a regular expression over words that are each followed by a blank."""
+    out = ""
+    for part in re.split(r"(<<[^>]*>>)", template):
+        if part == "<<beginOptional>>":
+            out += "(?:"
+        elif part == "<<endOptional>>":
+            out += ")?"
+        elif part.startswith("<<var"):
+            least, most = re.search(r'words="(\d+)\.\.(\d+)"', part).groups()
+            out += f"(?:[^ ]+ ){{{least},{most}}}"
+        else:
+            out += "".join(f"{re.escape(w.decode())} " for w in words_of(part))
+    return out
 
-    def pattern(template: str) -> re.Pattern:
-        out = ""
-        for part in re.split(r"(<<[^>]*>>)", template):
-            if part == "<<beginOptional>>":
-                out += "(?:"
-            elif part == "<<endOptional>>":
-                out += ")?"
-            elif part.startswith("<<var"):
-                least, most = re.search(r'words="(\d+)\.\.(\d+)"', part).groups()
-                out += f"(?:[^ ]+ ){{{least},{most}}}"
-            else:
-                out += "".join(f"{re.escape(w.decode())} " for w in words_of(part))
-        return re.compile(f"(?<= )(?={out})")
 
-    patterns = {label: pattern(t) for label, t in TEMPLATES.items()}
+def brute_force(rows: list[tuple]) -> list[tuple]:
+    """The same with regular expressions over the joined words, for tests."""
+    patterns = {label: re.compile(f"(?<= )(?={pattern(t)})") for label, t in TEMPLATES.items()}
     out = []
     for doc_id, text in rows:
         words = [w.decode() for w in words_of(text or "")]

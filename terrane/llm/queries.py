@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from terrane.llm import audio_media, chat_tree, decontaminate, language_id, license_scan, mixing, quality, simhash, suffix_dedup, toxicity
+from terrane.llm import audio_media, chat_tree, decontaminate, language_id, license_scan, mixing, oracle, quality, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
