@@ -28,7 +28,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: SimHash over five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies: texts whose five-word shingles are alike to 0.8 or more."""
     make_importable(spark)
     return simhash.without_near_copies(docs)
 

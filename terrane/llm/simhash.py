@@ -133,8 +133,6 @@ def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b for b in SPACED_BYTES)
 #: A text's sample: the least of its shingles' hashes under each of SEGMENTS * SAMPLES hash functions.
 SEGMENTS, SAMPLES = 5, 5
-#: SimHashes of texts that are 0.8 alike differ in about 10 bits; beyond this many a pair is not looked at.
-FAR = 24
 #: So many texts under one signature are compared with each other.
 CROWD = 64
 
@@ -156,9 +154,8 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple
     return out, begin
 
 
-def variant_keys(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
+def variant_keys(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """The signatures of each text: each segment of its sample with each of its values left out in turn."""
-    hashes, begin = shingle_hashes(data, offsets, shingle)
     keys = []
     for s in range(SEGMENTS):
         sample = [np.minimum.reduceat(mix64(hashes + np.uint64((s * SAMPLES + i + 1) * 0xD6E8FEB86659FD93 % 2**64)), begin) for i in range(SAMPLES)]
@@ -175,15 +172,16 @@ def _marks(shingle: int):
     def of(batches):
         for batch in slices(batches, "text", 2 << 20):
             texts = list(text_bytes(batch.column(1)))
-            keys = variant_keys(*flat_text(batch.column(1)), shingle).view(np.int64)
-            fps = np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)
+            hashes, begin = shingle_hashes(*flat_text(batch.column(1)), shingle)
+            keys = variant_keys(hashes, begin).view(np.int64)
+            sizes = [len(np.unique(x)) for x in np.split(hashes, begin[1:])]
             offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(fps), pa.array([_whole(x) for x in texts], pa.binary()),
+                    batch.column(0), pa.array(sizes, pa.int64()), pa.array([_whole(x) for x in texts], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
                 ],
-                names=["doc_id", "fp", "whole", "keys"],
+                names=["doc_id", "size", "whole", "keys"],
             )
 
     return of
@@ -215,8 +213,14 @@ def _alike(shingle: int, least: float):
     return of
 
 
+def _sizes_allow(x: Column, y: Column, least: float) -> Column:
+    """Whether sets of these sizes can be as alike as ``least``: at most the smaller is shared, at least the larger is the union."""
+    return F.least(x, y) >= least * F.greatest(x, y) - 1e-6
+
+
 def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Edges (a, b) between alike texts. ``classes``: node, fp, keys, once for each text; ``texts``: doc_id, text.
+    """Edges (a, b) between alike texts. ``classes``: node, size (number of distinct shingles), keys, once for each text;
+    ``texts``: doc_id, text.
 
     Texts that share a signature are compared if they are ``CROWD`` or fewer. Of more, all are compared with one, the
     head: the one whose signatures are shared most, which is the original of a group of copies as a rule. Those that are
@@ -224,8 +228,8 @@ def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float
     add, one head follows another until none is left over. So a large group costs about one comparison for each text.
     """
     segment = f"shiftleft(1, cast(at div {SAMPLES} as int))"
-    keyed = classes.select("node", "fp", F.posexplode("keys").alias("at", "key"))
-    keyed = keyed.select("key", "node", "fp", F.expr(segment).alias("used"))
+    keyed = classes.select("node", "size", F.posexplode("keys").alias("at", "key"))
+    keyed = keyed.select("key", "node", "size", F.expr(segment).alias("used"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     state = cut(keyed.join(shared, "key"))
     rows = state.count()
@@ -233,17 +237,17 @@ def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float
     used = cut(texts.join(score.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
     state, judged, level = in_few(state.drop("n").join(score, "node"), rows), None, 1
     while True:
-        per = state.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("score", -F.col("node"), "node", "fp")).alias("h")).where("n > 1")
-        met = state.join(per.select("key", "n", F.col("h.node").alias("head"), F.col("h.fp").alias("head_fp")), "key")
+        per = state.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("score", -F.col("node"), "node", "size")).alias("h")).where("n > 1")
+        met = state.join(per.select("key", "n", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")), "key")
         met = cut(in_few(met, rows))
         rows = met.count()
         if not rows:
             break
         met = in_few(met, rows)
         few, crowd = met.where(F.col("n") <= CROWD), met.where((F.col("n") > CROWD) & (F.col("node") != F.col("head")))
-        other = few.select("key", F.col("node").alias("head"), F.col("fp").alias("head_fp"))
-        pairs = few.drop("head", "head_fp").join(other, "key").where("node < head").select("node", "fp", "head", "head_fp")
-        pairs = in_few(pairs, rows).union(crowd.select("node", "fp", "head", "head_fp")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("head_fp"))) <= FAR)
+        other = few.select("key", F.col("node").alias("head"), F.col("size").alias("head_size"))
+        pairs = few.drop("head", "head_size").join(other, "key").where("node < head").select("node", "size", "head", "head_size")
+        pairs = in_few(pairs, rows).union(crowd.select("node", "size", "head", "head_size")).where(_sizes_allow(F.col("size"), F.col("head_size"), least))
         pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         if judged is not None:
             pairs = pairs.join(judged, ["a", "b"], "left_anti")
@@ -255,11 +259,11 @@ def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float
         new = cut(texted.mapInArrow(_alike(shingle, least), "a long, b long, alike boolean"))
         judged = new if judged is None else judged.union(new)
         left = crowd.withColumns({"a": F.least("node", "head"), "b": F.greatest("node", "head")}).join(judged.where("alike"), ["a", "b"], "left_anti")
-        left = in_few(left.select("key", "node", "fp", "used", "score"), rows)
+        left = in_few(left.select("key", "node", "size", "used", "score"), rows)
         if level < SEGMENTS:
             bit = F.expr(segment)
             more = left.join(classes.select("node", F.posexplode("keys").alias("at", "other")), "node").where(F.col("used").bitwiseAND(bit) == 0)
-            more = more.select(F.col("key").bitwiseXOR(F.col("other")).alias("key"), "node", "fp", F.col("used").bitwiseOR(bit).alias("used"), "score")
+            more = more.select(F.col("key").bitwiseXOR(F.col("other")).alias("key"), "node", "size", F.col("used").bitwiseOR(bit).alias("used"), "score")
             left, rows = in_few(in_few(more, 20 * rows).distinct(), 20 * rows), 20 * rows
         state, level = left, level + 1
     none = classes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
@@ -270,18 +274,18 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, i
     """The rows of ``docs``, all columns, one document of each group of near copies: the one with the least id.
 
     Groups are connected by likeness of ``least`` or more (Jaccard of word shingles, checked on the whole texts); texts of
-    the same words are copies at once. SimHashes of such texts differ in 4 to 14 bits, too many for signatures of
-    two halves, so candidates come from deletion variants of another fingerprint, the sample of least hashes: a segment
+    the same words are copies at once. SimHashes of such texts differ in too many bits for signatures of two halves, so candidates come from deletion variants of another fingerprint, the sample of least hashes: a segment
     of it differs in at most one value, with a chance of 0.74 for each segment of two texts that are 0.8 alike, 0.9987 for
-    any of them. Candidates whose SimHashes are ``FAR`` apart are dropped, the others compared word for word.
+    any of them. Candidates are compared word for word, unless their numbers of distinct shingles alone rule likeness out. SimHashes
+    rule none out: they count repeated shingles, so copies in which a line stands more or less often can differ in any number of bits.
 
     Rows that share an id stay or go together; rows without an id stay. Null texts are empty and copies of each other.
     """
     texts = id_and_text(docs, id_col, text_col)
-    marks = cut(texts.where("doc_id is not null").mapInArrow(_marks(shingle), "doc_id long, fp long, whole binary, keys array<long>"))
-    per = marks.groupBy("whole").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("fp", "keys"), "doc_id").alias("m"))
-    classes = cut(per.select("whole", "node", "m.fp", "m.keys"))
-    roots = connected_components(alike_links(classes.select("node", "fp", "keys"), texts, shingle, least))
+    marks = cut(texts.where("doc_id is not null").mapInArrow(_marks(shingle), "doc_id long, size long, whole binary, keys array<long>"))
+    per = marks.groupBy("whole").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("size", "keys"), "doc_id").alias("m"))
+    classes = cut(per.select("whole", "node", "m.size", "m.keys"))
+    roots = connected_components(alike_links(classes.select("node", "size", "keys"), texts, shingle, least))
     stays = classes.select("whole", "node").join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("stays"))
     gone = marks.select("doc_id", "whole").join(stays, "whole").where("doc_id <> stays").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)

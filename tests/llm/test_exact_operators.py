@@ -160,6 +160,19 @@ def test_near_copies_against_all_pairs(spark, small_rows, crowd):
     assert got == _first_of_groups(rows)
 
 
+def test_near_copies_that_repeat_a_line(spark):
+    """Likeness is over distinct shingles: how often a line is repeated decides the bits of SimHashes, not the likeness."""
+    rng = random.Random(1)
+    rows, apart = [], []
+    for k, n in enumerate([10, 20, 40, 100] * 5):
+        words, line = [[f"w{rng.randrange(10**6)}" for _ in range(m)] for m in (300, 7)]
+        pair = [" ".join(words + line), " ".join(words + line * n)]
+        apart.append(int.bit_count(simhash.fingerprint(pair[0].encode(), 5) ^ simhash.fingerprint(pair[1].encode(), 5)))
+        rows += [(10 * k, pair[0]), (10 * k + 1, pair[1])]
+    assert max(apart) > 24
+    assert {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).collect()} == _first_of_groups(rows) == set(range(0, 200, 10))
+
+
 def test_decontamination(spark, small_rows, odd_rows):
     items = [tuple(r.values()) for r in pq.read_table(f"{DATA}/benchmark.parquet", columns=["item_id", "text"]).to_pylist()]
     items += [(900, "one two"), (901, None), (902, "..."), (903, "One TWO"), (None, "a b c d e f g h i j"), (904, "word " * 30), (9, "a b c d e f g h i j k")]
