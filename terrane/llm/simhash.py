@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.common import SPACED_BYTES, cut, documents, flat_text, id_and_text, in_few, mix64, slices, text_bytes, word_codes
@@ -133,7 +133,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b for b in SPACED_BYTES)
 #: A text's sample: the least of its shingles' hashes under each of SEGMENTS * SAMPLES hash functions.
 SEGMENTS, SAMPLES = 5, 5
-#: So many texts under one signature are compared with each other.
+#: So many texts under one signature are compared with each other at once; more are compared with one first.
 CROWD = 64
 
 
@@ -218,56 +218,83 @@ def _sizes_allow(x: Column, y: Column, least: float) -> Column:
     return F.least(x, y) >= least * F.greatest(x, y) - 1e-6
 
 
+def _compared(pairs: DataFrame, used: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose whole texts are alike; ``used``: doc_id, text."""
+    pairs = cut(pairs)
+    n = pairs.count()
+    texted = in_few(pairs, n).join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
+    texted = in_few(texted, n, 1000).join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+    texted = in_few(texted.select("a", "b", "one", "other"), n, 1000)
+    return cut(texted.mapInArrow(_alike(shingle, least), "a long, b long, alike boolean").where("alike").select("a", "b"))
+
+
+def _distinct_shingles(shingle: int):
+    def of(batches):
+        for batch in slices(batches, "text", 2 << 20):
+            hashes, begin = shingle_hashes(*flat_text(batch.column(1)), shingle)
+            sets = [np.unique(x) for x in np.split(hashes, begin[1:])]
+            offsets = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), tokens], names=["node", "size", "tokens"])
+
+    return of
+
+
+def pairs_across(texts: DataFrame, roots: DataFrame, shingle: int, least: float) -> DataFrame:
+    """All pairs (a, b) of ``texts`` (doc_id, text) that can be alike and that ``roots`` (node, root) does not connect yet.
+
+    Prefix and position bounds, neither of which loses a pair: with each set's shingles put from the rarest to the
+    commonest, two alike sets share one among the first ``size - least * size + 1`` of each, and what follows the first
+    that they share must suffice for the likeness. A shingle that one text alone has counts as a place and is not joined.
+    """
+    sets = cut(texts.mapInArrow(_distinct_shingles(shingle), "node long, size long, tokens array<long>"))
+    tokens = sets.select("node", "size", F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    order = Window.partitionBy("node").orderBy("n", "token")
+    placed = tokens.join(shared, "token").withColumn("place", F.col("size") - F.count("*").over(Window.partitionBy("node")) + F.row_number().over(order) - 1)
+    prefix = placed.where(F.col("place") <= F.col("size") - least * F.col("size") + 1e-6).select("token", "node", "size", "place")
+    prefix = cut(prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # the members of a token's commonest component are met by the others only, not by each other
+    per = prefix.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    mixed = prefix.join(per.where("roots > 1"), "token")
+    x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
+    rest = 1 + F.least(F.expr("x.size - x.place - 1"), F.expr("y.size - y.place - 1"))
+    enough = rest >= least / (1 + least) * F.expr("x.size + y.size") - 1e-6
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr("x.root <> y.root") & _sizes_allow(F.col("x.size"), F.col("y.size"), least) & enough)
+    return met.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
+
+
 def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """Edges (a, b) between alike texts. ``classes``: node, size (number of distinct shingles), keys, once for each text;
     ``texts``: doc_id, text.
 
     Texts that share a signature are compared if they are ``CROWD`` or fewer. Of more, all are compared with one, the
-    head: the one whose signatures are shared most, which is the original of a group of copies as a rule. Those that are
-    not alike to it meet again under pairs of signatures, then triples, and so on; under what has no more signatures to
-    add, one head follows another until none is left over. So a large group costs about one comparison for each text.
+    head: the one whose signatures are shared most, which is the original of a group of copies as a rule. That connects
+    most of a crowd at about one comparison for each text. Then all texts of crowds are joined with each other by bounds
+    that lose no pair, and compared where they are not connected yet.
     """
-    segment = f"shiftleft(1, cast(at div {SAMPLES} as int))"
-    keyed = classes.select("node", "size", F.posexplode("keys").alias("at", "key"))
-    keyed = keyed.select("key", "node", "size", F.expr(segment).alias("used"))
+    keyed = classes.select("node", "size", F.explode("keys").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     state = cut(keyed.join(shared, "key"))
     rows = state.count()
+    if not rows:
+        return classes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
     score = cut(in_few(in_few(state, rows).groupBy("node").agg(F.sum("n").alias("score")), rows))
     used = cut(texts.join(score.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    state, judged, level = in_few(state.drop("n").join(score, "node"), rows), None, 1
-    while True:
-        per = state.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("score", -F.col("node"), "node", "size")).alias("h")).where("n > 1")
-        met = state.join(per.select("key", "n", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")), "key")
-        met = cut(in_few(met, rows))
-        rows = met.count()
-        if not rows:
-            break
-        met = in_few(met, rows)
-        few, crowd = met.where(F.col("n") <= CROWD), met.where((F.col("n") > CROWD) & (F.col("node") != F.col("head")))
-        other = few.select("key", F.col("node").alias("head"), F.col("size").alias("head_size"))
-        pairs = few.drop("head", "head_size").join(other, "key").where("node < head").select("node", "size", "head", "head_size")
-        pairs = in_few(pairs, rows).union(crowd.select("node", "size", "head", "head_size")).where(_sizes_allow(F.col("size"), F.col("head_size"), least))
-        pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        if judged is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        pairs = cut(in_few(pairs, rows))
-        n_pairs = pairs.count()
-        texted = pairs.join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
-        texted = in_few(texted, n_pairs, 1000).join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-        texted = in_few(texted.select("a", "b", "one", "other"), n_pairs, 1000)
-        new = cut(texted.mapInArrow(_alike(shingle, least), "a long, b long, alike boolean"))
-        judged = new if judged is None else judged.union(new)
-        left = crowd.withColumns({"a": F.least("node", "head"), "b": F.greatest("node", "head")}).join(judged.where("alike"), ["a", "b"], "left_anti")
-        left = in_few(left.select("key", "node", "size", "used", "score"), rows)
-        if level < SEGMENTS:
-            bit = F.expr(segment)
-            more = left.join(classes.select("node", F.posexplode("keys").alias("at", "other")), "node").where(F.col("used").bitwiseAND(bit) == 0)
-            more = more.select(F.col("key").bitwiseXOR(F.col("other")).alias("key"), "node", "size", F.col("used").bitwiseOR(bit).alias("used"), "score")
-            left, rows = in_few(in_few(more, 20 * rows).distinct(), 20 * rows), 20 * rows
-        state, level = left, level + 1
-    none = classes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
-    return none if judged is None else judged.where("alike").select("a", "b")
+    state = cut(in_few(in_few(state, rows).join(score, "node"), rows))
+    few, crowd = state.where(F.col("n") <= CROWD), state.where(F.col("n") > CROWD)
+    pairs = few.join(few.select("key", F.col("node").alias("head"), F.col("size").alias("head_size")), "key").where("node < head")
+    heads = crowd.groupBy("key").agg(F.max(F.struct("score", -F.col("node"), "node", "size")).alias("h"))
+    headed = crowd.join(heads.select("key", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")), "key").where("node <> head")
+    pairs = pairs.select("node", "size", "head", "head_size").union(headed.select("node", "size", "head", "head_size"))
+    pairs = pairs.where(_sizes_allow(F.col("size"), F.col("head_size"), least))
+    pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    links = _compared(in_few(pairs, rows), used, shingle, least)
+    crowded = cut(crowd.select(F.col("node").alias("doc_id")).distinct())
+    if not crowded.count():
+        return links
+    across = pairs_across(used.join(crowded, "doc_id", "left_semi"), connected_components(links), shingle, least)
+    return links.union(_compared(across, used, shingle, least))
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -173,6 +173,33 @@ def test_near_copies_that_repeat_a_line(spark):
     assert {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).collect()} == _first_of_groups(rows) == set(range(0, 200, 10))
 
 
+def test_near_copies_in_crowds(spark):
+    """Links between two texts that are both unlike the head of a crowd: a drifting chain, and pairs under one boilerplate."""
+    rng = random.Random(3)
+
+    def new(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    rows, words = [], new(200)
+    for k in range(120):
+        rows.append((1000 + rng.randrange(10**6) * 1000 + k, " ".join(words)))
+        at = 5 * k % 200
+        words = words[:at] + new(5) + words[at + 5 :]
+    boilerplate = new(160)
+    for k in range(100):
+        own = new(40)
+        rows += [(10**10 + 10 * k, " ".join(boilerplate + own)), (10**10 + 10 * k + 1, " ".join(boilerplate + own[:-8] + new(8)))]
+    want = _first_of_groups(rows)
+    assert len(want) == 101
+    old, simhash.CROWD = simhash.CROWD, 1  # every signature that is shared has a head
+    try:
+        one = {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).select("doc_id").collect()}
+    finally:
+        simhash.CROWD = old
+    assert one == want
+    assert {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).select("doc_id").collect()} == want
+
+
 def test_decontamination(spark, small_rows, odd_rows):
     items = [tuple(r.values()) for r in pq.read_table(f"{DATA}/benchmark.parquet", columns=["item_id", "text"]).to_pylist()]
     items += [(900, "one two"), (901, None), (902, "..."), (903, "One TWO"), (None, "a b c d e f g h i j"), (904, "word " * 30), (9, "a b c d e f g h i j k")]
