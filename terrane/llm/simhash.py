@@ -131,10 +131,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_
 
 #: Words' bytes: A-Z lower-cased, white space as blanks.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b for b in SPACED_BYTES)
-#: A text's sample: the least of its shingles' hashes under each of SEGMENTS * SAMPLES hash functions.
-SEGMENTS, SAMPLES = 5, 5
-#: So many texts under one signature are compared with each other at once; more are compared with one first.
-CROWD = 64
+#: A shingle is hot if it is among the least ones of more texts than this. It says which of two exact ways finds a pair.
+HOT = 16
+#: So many ids at most (16 bytes each) are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
 
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,39 +154,57 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple
     return out, begin
 
 
-def variant_keys(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The signatures of each text: each segment of its sample with each of its values left out in turn."""
-    keys = []
-    for s in range(SEGMENTS):
-        sample = [np.minimum.reduceat(mix64(hashes + np.uint64((s * SAMPLES + i + 1) * 0xD6E8FEB86659FD93 % 2**64)), begin) for i in range(SAMPLES)]
-        for out in range(SAMPLES):
-            key = np.full(len(begin), s * SAMPLES + out + 1, np.uint64)
-            for i in range(SAMPLES):
-                if i != out:
-                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sample[i])
-            keys.append(key)
-    return np.stack(keys, axis=1)
+def _prefix(size, least: float):
+    """So many of a set's tokens, in any order of all tokens: two sets as alike as ``least`` share one of these."""
+    return np.floor(size * (1 - least) + 1e-6).astype(np.int64) + 1
 
 
-def _marks(shingle: int):
+def _sent(size, least: float):
+    """Tokens that a set sends: its prefix, and a quarter more to stand in for hot ones."""
+    prefix = _prefix(size, least)
+    return np.minimum(size, prefix + prefix // 4 + 2)
+
+
+def _spare(size, least: float):
+    """Hot tokens that may be among the sent ones of a text: with as many or fewer, none of its pairs needs a hot token.
+
+    Of the sent tokens of a text of this size and of an alike text (of at least ``least`` of its size), more than its
+    prefix are cold then, so all of them cannot be missing in the other.
+    """
+    smallest = np.ceil(size * least - 1e-6).astype(np.int64)
+    return _sent(smallest, least) - _prefix(smallest, least)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, from the highest to the lowest."""
+    return np.unpackbits(hashes.astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _marks(shingle: int, least: float):
     def of(batches):
         for batch in slices(batches, "text", 2 << 20):
-            texts = list(text_bytes(batch.column(1)))
-            hashes, begin = shingle_hashes(*flat_text(batch.column(1)), shingle)
-            keys = variant_keys(hashes, begin).view(np.int64)
-            sizes = [len(np.unique(x)) for x in np.split(hashes, begin[1:])]
-            offsets = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
+            hashes, begin = shingle_hashes(*flat_text(batch.column(2)), shingle)
+            sets = [np.unique(x) for x in np.split(hashes.view(np.int64), begin[1:])]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            fps = np.packbits([_ones(x) * 2 > len(x) for x in sets], axis=1).view(">i8").ravel().astype(np.int64)
+            sent = _sent(sizes, least)
+            offsets = np.append(0, np.cumsum(sent)).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x[:n] for x, n in zip(sets, sent, strict=True)])))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array([_whole(x) for x in texts], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
+                    batch.column(0), batch.column(1), pa.array([_whole(x) for x in text_bytes(batch.column(2))], pa.binary()),
+                    pa.array(fps), pa.array(sizes), pa.array(sent),
+                    pa.array(_spare(sizes, least)), tokens,
                 ],
-                names=["doc_id", "size", "whole", "keys"],
+                names=["doc_id", "h", "whole", "fp", "size", "sent", "spare", "tokens"],
             )
 
     return of
 
 
+_MARKS = "doc_id long, h long, whole binary, fp long, size long, sent long, spare long, tokens array<long>"
+
+
 def jaccard(a: bytes, b: bytes, shingle: int) -> float:
     """Likeness of two texts: shared distinct word shingles of all; texts of fewer words are one shingle each."""
 
@@ -218,16 +236,62 @@ def _sizes_allow(x: Column, y: Column, least: float) -> Column:
     return F.least(x, y) >= least * F.greatest(x, y) - 1e-6
 
 
-def _compared(pairs: DataFrame, used: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose whole texts are alike; ``used``: doc_id, text."""
+def _checked(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if they are few enough."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose whole texts are alike; ``texts``: doc_id, text, one for each node."""
     pairs = cut(pairs)
     n = pairs.count()
-    texted = in_few(pairs, n).join(used.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
-    texted = in_few(texted, n, 1000).join(used.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
+    texted = in_few(pairs, n).join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
+    texted = in_few(texted, n, 1000).join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
     texted = in_few(texted.select("a", "b", "one", "other"), n, 1000)
     return cut(texted.mapInArrow(_alike(shingle, least), "a long, b long, alike boolean").where("alike").select("a", "b"))
 
 
+def signature_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are at most two bits apart, or that a third one links: see :func:`links`."""
+    first = cut(classes.groupBy("fp").agg(F.min("node").alias("least")))
+    same = classes.join(first, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    of = lambda name: first.select(F.col("fp").alias(name), F.col("least").alias(f"{name}_node"))
+    near = links(first.select("fp")).join(of("a"), "a").join(of("b"), "b")
+    return same.union(near.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+
+
+def cold_pairs(state: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that share a cold token and can be alike. ``state``: token, node, size, sent, top, n, hot.
+
+    Up to the smaller of the greatest tokens sent, all tokens of both are sent; they share the cold ones counted and at
+    most as many hot ones as either has there. Beyond, the one of the smaller greatest token has ``size - sent`` left.
+    """
+    cold = state.where(F.col("n") <= HOT)
+    row = ["node", "size", "sent", "top", "hot"]
+    other = cold.select("token", *[F.col(c).alias(f"{c}_2") for c in row])
+    met = cold.select("token", *row).join(other, "token").where("node < node_2").where(_sizes_allow(F.col("size"), F.col("size_2"), least))
+    counted = met.groupBy(*row, *[f"{c}_2" for c in row]).agg(F.count("*").alias("c"))
+    rest = F.when(F.col("top") <= F.col("top_2"), F.col("size") - F.col("sent")).otherwise(F.col("size_2") - F.col("sent_2"))
+    shared = F.col("c") + F.least("hot", "hot_2") + rest
+    able = shared >= least / (1 + least) * (F.col("size") + F.col("size_2")) - 1e-6
+    return counted.where(able).select(F.col("node").alias("a"), F.col("node_2").alias("b"))
+
+
+def head_pairs(state: DataFrame, least: float) -> DataFrame:
+    """A pair for each node with too many hot tokens: itself and the head of most of these.
+
+    A token's head is the node whose tokens are shared most: the original of a group of copies, as a rule.
+    """
+    score = state.groupBy("node").agg(F.sum("n").alias("score"))
+    hot = state.where((F.col("n") > HOT) & (F.col("hot") > F.col("spare"))).join(score, "node")
+    heads = hot.groupBy("token").agg(F.max(F.struct("score", -F.col("node"), "node", "size")).alias("h"))
+    votes = hot.join(heads.select("token", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")), "token")
+    votes = votes.where("node <> head").where(_sizes_allow(F.col("size"), F.col("head_size"), least))
+    best = votes.groupBy("node", "head").agg(F.count("*").alias("c")).groupBy("node").agg(F.max(F.struct("c", -F.col("head"), "head")).alias("h"))
+    return best.select(F.col("node").alias("a"), F.col("h.head").alias("b"))
+
+
 def _distinct_shingles(shingle: int):
     def of(batches):
         for batch in slices(batches, "text", 2 << 20):
@@ -265,56 +329,55 @@ def pairs_across(texts: DataFrame, roots: DataFrame, shingle: int, least: float)
 
 
 def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Edges (a, b) between alike texts. ``classes``: node, size (number of distinct shingles), keys, once for each text;
-    ``texts``: doc_id, text.
+    """Edges (a, b) between alike texts; with their components, no alike pair is missed.
+
+    ``classes``: node, h, fp, size, sent, spare, tokens, once for each text. ``texts``: doc_id, h, text.
 
-    Texts that share a signature are compared if they are ``CROWD`` or fewer. Of more, all are compared with one, the
-    head: the one whose signatures are shared most, which is the original of a group of copies as a rule. That connects
-    most of a crowd at about one comparison for each text. Then all texts of crowds are joined with each other by bounds
-    that lose no pair, and compared where they are not connected yet.
+    1. Fingerprints within two bits, by their deletion variants.
+    2. Pairs that share a cold token among those sent. A text all but a few of whose sent tokens are cold has its pairs here.
+    3. For the others, which have a hot token in common: each is compared with one head, which connects most of a large
+       group of copies at a comparison each; what is not connected is joined by :func:`pairs_across`.
     """
-    keyed = classes.select("node", "size", F.explode("keys").alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    state = cut(keyed.join(shared, "key"))
-    rows = state.count()
-    if not rows:
-        return classes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
-    score = cut(in_few(in_few(state, rows).groupBy("node").agg(F.sum("n").alias("score")), rows))
-    used = cut(texts.join(score.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
-    state = cut(in_few(in_few(state, rows).join(score, "node"), rows))
-    few, crowd = state.where(F.col("n") <= CROWD), state.where(F.col("n") > CROWD)
-    pairs = few.join(few.select("key", F.col("node").alias("head"), F.col("size").alias("head_size")), "key").where("node < head")
-    heads = crowd.groupBy("key").agg(F.max(F.struct("score", -F.col("node"), "node", "size")).alias("h"))
-    headed = crowd.join(heads.select("key", F.col("h.node").alias("head"), F.col("h.size").alias("head_size")), "key").where("node <> head")
-    pairs = pairs.select("node", "size", "head", "head_size").union(headed.select("node", "size", "head", "head_size"))
-    pairs = pairs.where(_sizes_allow(F.col("size"), F.col("head_size"), least))
-    pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    links = _compared(in_few(pairs, rows), used, shingle, least)
-    crowded = cut(crowd.select(F.col("node").alias("doc_id")).distinct())
-    if not crowded.count():
-        return links
-    across = pairs_across(used.join(crowded, "doc_id", "left_semi"), connected_components(links), shingle, least)
-    return links.union(_compared(across, used, shingle, least))
+    sent = classes.select("node", F.explode("tokens").alias("token"))
+    shared = sent.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    state = cut(sent.join(shared, "token"))
+    hot = state.groupBy("node").agg(F.count_if(F.col("n") > HOT).alias("hot"))
+    about = classes.select("node", "size", "sent", "spare", F.element_at("tokens", -1).alias("top"))
+    state = cut(state.join(hot.join(about, "node"), "node"))
+    pairs = signature_pairs(classes).union(cold_pairs(state, least)).union(head_pairs(state, least))
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    dense = cut(state.where("hot > spare").select("node").distinct())
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(dense).distinct()
+    used = _checked(classes.select(F.col("node").alias("doc_id"), "h").join(used.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"))
+    texts = cut(texts.join(used, ["doc_id", "h"]).groupBy("doc_id").agg(F.first("text").alias("text")))
+    found = _compared(pairs, texts, shingle, least)
+    if not dense.count():
+        return found
+    across = pairs_across(texts.join(dense.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), connected_components(found), shingle, least)
+    return found.union(_compared(across, texts, shingle, least))
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, one document of each group of near copies: the one with the least id.
 
     Groups are connected by likeness of ``least`` or more (Jaccard of word shingles, checked on the whole texts); texts of
-    the same words are copies at once. SimHashes of such texts differ in too many bits for signatures of two halves, so candidates come from deletion variants of another fingerprint, the sample of least hashes: a segment
-    of it differs in at most one value, with a chance of 0.74 for each segment of two texts that are 0.8 alike, 0.9987 for
-    any of them. Candidates are compared word for word, unless their numbers of distinct shingles alone rule likeness out. SimHashes
-    rule none out: they count repeated shingles, so copies in which a line stands more or less often can differ in any number of bits.
+    the same words are copies at once. First candidates are those whose SimHashes (of distinct shingles) are within two
+    bits, by deletion variants. Most texts that are 0.8 alike are further apart, and SimHashes rule none out, so an exact
+    join on the least hashed shingles of each text gives the rest; no pair is left to chance and none is dropped.
 
-    Rows that share an id stay or go together; rows without an id stay. Null texts are empty and copies of each other.
+    Rows that share an id are one document and stay or go together; of several texts, the one with the least
+    ``xxhash64`` is its text. Rows without an id stay and take no part. Null texts are empty and copies of each other.
     """
-    texts = id_and_text(docs, id_col, text_col)
-    marks = cut(texts.where("doc_id is not null").mapInArrow(_marks(shingle), "doc_id long, size long, whole binary, keys array<long>"))
-    per = marks.groupBy("whole").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("size", "keys"), "doc_id").alias("m"))
-    classes = cut(per.select("whole", "node", "m.size", "m.keys"))
-    roots = connected_components(alike_links(classes.select("node", "size", "keys"), texts, shingle, least))
-    stays = classes.select("whole", "node").join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("stays"))
-    gone = marks.select("doc_id", "whole").join(stays, "whole").where("doc_id <> stays").select(F.col("doc_id").alias(id_col)).distinct()
+    texts = id_and_text(docs, id_col, text_col).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    marks = cut(texts.mapInArrow(_marks(shingle, least), _MARKS).withColumn("row", F.monotonically_increasing_id()))
+    of_id = marks.groupBy("doc_id").agg(F.min(F.struct("h", "row", "whole")).alias("m")).select("doc_id", "m.h", "m.row", "m.whole")
+    of_id = cut(of_id)
+    per = cut(of_id.groupBy("whole").agg(F.min(F.struct("doc_id", "row")).alias("m")).select("whole", F.col("m.doc_id").alias("node"), "m.row"))
+    others = _checked(marks.select("row").join(per, "row", "left_anti"))
+    classes = marks.join(others, "row", "left_anti").withColumnRenamed("doc_id", "node").drop("whole", "row")
+    roots = connected_components(alike_links(classes, texts, shingle, least))
+    stays = per.select("whole", "node").join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("stays"))
+    gone = _checked(of_id.join(stays, "whole").where("doc_id <> stays").select(F.col("doc_id").alias(id_col)))
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 

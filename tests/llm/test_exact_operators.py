@@ -117,6 +117,17 @@ def test_near_copies_keep_the_unlike(spark):
     assert simhash.without_near_copies(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_near_copies_of_repeated_ids(spark):
+    """Rows of one id are one document: they stay or go together, whatever else they hold."""
+    base, other = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(2, base), (2, base), (3, base), (3, base), (1, other), (5, other + " end"), (5, other + " end"), (None, other)]
+    kept = sorted((r.doc_id or 0) for r in simhash.without_near_copies(documents(spark, rows)).collect())
+    assert kept == [0, 1, 2, 2]
+    two = [(4, base), (4, other), (7, base), (8, other)]  # the id's text is one of the two
+    kept = sorted(r.doc_id for r in simhash.without_near_copies(documents(spark, two)).collect())
+    assert kept in ([4, 4, 7], [4, 4, 8])
+
+
 def _first_of_groups(rows, least=0.8):
     """Least ids of the groups that likeness of all pairs connects."""
     parent = {d: d for d, _ in rows}
@@ -134,8 +145,8 @@ def _first_of_groups(rows, least=0.8):
     return {d for d in parent if find(d) == d}
 
 
-@pytest.mark.parametrize("crowd", [2, 64])
-def test_near_copies_against_all_pairs(spark, small_rows, crowd):
+@pytest.mark.parametrize("hot", [1, 16])
+def test_near_copies_against_all_pairs(spark, small_rows, hot):
     """Pairs barely alike, and a large group of copies of one text: each like the original, or hardly, or not."""
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(3000)]
@@ -152,11 +163,11 @@ def test_near_copies_against_all_pairs(spark, small_rows, crowd):
         rows += [(10_000 + 10 * k + rng.choice([0, 5]), " ".join(base)), (10_000 + 10 * k + 2, " ".join(changed(base, max(1, len(base) // 80))))]
     base = [rng.choice(vocabulary) for _ in range(150)]
     rows += [(20_000 + i, " ".join(changed(base, i % 5))) for i in range(150)] + [(21_000, " ".join(base))]
-    old, simhash.CROWD = simhash.CROWD, crowd
+    old, simhash.HOT = simhash.HOT, hot
     try:
         got = {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).select("doc_id").collect()}
     finally:
-        simhash.CROWD = old
+        simhash.HOT = old
     assert got == _first_of_groups(rows)
 
 
@@ -174,7 +185,7 @@ def test_near_copies_that_repeat_a_line(spark):
 
 
 def test_near_copies_in_crowds(spark):
-    """Links between two texts that are both unlike the head of a crowd: a drifting chain, and pairs under one boilerplate."""
+    """Links between two texts that are both unlike the head of a large group: a drifting chain, and pairs under one boilerplate."""
     rng = random.Random(3)
 
     def new(n):
@@ -191,11 +202,11 @@ def test_near_copies_in_crowds(spark):
         rows += [(10**10 + 10 * k, " ".join(boilerplate + own)), (10**10 + 10 * k + 1, " ".join(boilerplate + own[:-8] + new(8)))]
     want = _first_of_groups(rows)
     assert len(want) == 101
-    old, simhash.CROWD = simhash.CROWD, 1  # every signature that is shared has a head
+    old, simhash.HOT = simhash.HOT, 1  # every shingle that is shared is hot
     try:
         one = {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).select("doc_id").collect()}
     finally:
-        simhash.CROWD = old
+        simhash.HOT = old
     assert one == want
     assert {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).select("doc_id").collect()} == want
 
