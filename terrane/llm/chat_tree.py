@@ -5,23 +5,30 @@ hash, and each node's tokens are produced once. The nodes of a tree are laid out
 tokens. A node has its start in that sequence, the position id of its first token (the tokens of its ancestors;
 positions then count up), and the intervals of the sequence that its tokens may attend to besides their own: its ancestors.
 
-Depth-first order without gathering a tree: conversations are sorted by their paths of node hashes, by a range shuffle. A node belongs to
+Depth-first order without gathering a tree or a conversation: a node is known by how many conversations pass through
+it. Along a conversation that number never rises, and where it falls a branch begins; the nodes where branches begin are
+the conversation's short path. Conversations are sorted by these, by a range shuffle. A node belongs to
 the first conversation that passes through it, and stands in the order of (rank of that conversation, depth).
 Starts are running sums in three levels: within a conversation, within a range partition, over the partitions of a
 tree. So a first turn that a third of all conversations share is one node and one row of each sum.
 
+Turns are rows throughout. Where those of a conversation must meet in order (chained hashes, positions, reading back),
+they stream through a task one after the other, with a hash and a few sums kept between them: a conversation of any
+length takes time, not memory.
+
 Template: ``<|turn|>`` role newline text ``<|end|>`` newline. In roles and texts a backslash is doubled and every control
 string gets one after its first character; in roles a newline becomes ``\\N``. :func:`unescape` is the exact inverse.
 Texts of assistant turns are under the loss mask.
 
 Turns stand in the order of (turn, role, text), repeated rows included; null roles and texts are empty, null turns come
-first, and rows with a null conversation id are one conversation. A conversation is worked on as a whole in one task.
+first. A row without a conversation id is a conversation of its own, of one turn.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 
 import pyarrow as pa
@@ -36,6 +43,8 @@ CONTROL = [TURN, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "[INST]", "
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROL, key=len, reverse=True))))
 _TURNS = re.compile(rf"{re.escape(TURN)}([^\n]*)\n(.*?){re.escape(END)}\n", re.S)
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Longer texts go to the tokenizer in pieces of so many characters at most: its pattern recurses on long runs.
+PIECE = 4096
 #: Splits text before byte pairs are merged; the published pattern that goes with the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -79,7 +88,16 @@ class Tokenizer:
         self.turn, self.end = base, base + 1
 
     def encode(self, text: str) -> list[int]:
-        return self.encoding.encode_ordinary(text) if self.encoding else list(text.encode())
+        """Tokens of the text; one of over ``PIECE`` characters is cut behind a blank where it has one, else anywhere."""
+        if not self.encoding:
+            return list(text.encode())
+        out, at = [], 0
+        while len(text) - at > PIECE:
+            end = text.rfind(" ", at + 1, at + PIECE)
+            end = end if end > at else at + PIECE
+            out += self.encoding.encode_ordinary(text[at:end])
+            at = end
+        return out + self.encoding.encode_ordinary(text[at:])
 
     def decode(self, tokens: list[int]) -> str:
         out, plain = b"", []
@@ -100,46 +118,65 @@ class Tokenizer:
 
 
 def read_vocabulary(path: str | None) -> dict[bytes, int] | None:
-    if path is None:
+    """Byte pairs and their ranks; without a path, or where there is no such file, None: tokens are single bytes then."""
+    if path is None or not os.path.exists(path):
         return None
     with open(path, "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-_CHAINED = "conv_id long, path array<binary>, turns array<struct<role:string,text:string>>"
+_CHAINED = "key long, lone long, depth long, node binary, parent binary, tree binary, role string, text string"
 
 
 def _chain(batches):
+    """Node, parent and tree of each turn; the turns of a conversation come one after the other, in order."""
+    now, depth, last, tree = None, 0, None, None
     for batch in batches:
-        paths, turns = [], []
-        for conversation in batch.column(1).to_pylist():
-            last, path = b"", []
-            for turn in conversation:
-                role = turn["role"].encode()
-                last = hashlib.blake2b(last + len(role).to_bytes(8, "big") + role + turn["text"].encode(), digest_size=16).digest()
-                path.append(last)
-            paths.append(path)
-            turns.append([{"role": t["role"], "text": t["text"]} for t in conversation])
+        out = {x: [] for x in ("depth", "node", "parent", "tree")}
+        ids = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+        for key, lone, role, text in ids:
+            if (key, lone) != now:
+                now, depth, last, tree = (key, lone), 0, None, None
+            role = role.encode()
+            digest = hashlib.blake2b(last or b"", digest_size=16)
+            digest.update(len(role).to_bytes(8, "big") + role)
+            digest.update(text.encode())
+            node = digest.digest()
+            tree = tree or node
+            for name, value in (("depth", depth), ("node", node), ("parent", last), ("tree", tree)):
+                out[name].append(value)
+            depth, last = depth + 1, node
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.array(paths, pa.list_(pa.binary())),
-                pa.array(turns, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))),
+                batch.column(0), batch.column(1), pa.array(out["depth"], pa.int64()),
+                *(pa.array(out[x], pa.binary()) for x in ("node", "parent", "tree")), batch.column(2), batch.column(3),
             ],
-            names=["conv_id", "path", "turns"],
+            names=["key", "lone", "depth", "node", "parent", "tree", "role", "text"],
         )
 
 
-def ranked_paths(conversations: DataFrame) -> DataFrame:
-    """Each conversation with its path of node hashes and its rank in the order of paths."""
-    turn = F.struct(
-        F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+def chained_turns(conversations: DataFrame) -> DataFrame:
+    """A row for each turn: conv_id, depth, node, parent, tree, role, text, and the rank of its conversation.
+
+    Ranks are in the order of short paths, so the conversations of a tree, and of each of its branches, follow each other.
+    """
+    whole = ["key", "lone"]  # of a conversation; lone tells the rows without an id apart
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    conv_id = F.col("conv_id").cast("long")
+    turns = conversations.select(
+        F.coalesce(conv_id, F.lit(0)).alias("key"), F.when(conv_id.isNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0)).alias("lone"),
+        F.col("turn").cast("long").alias("turn"), text("role"), text("text"),
     )
-    whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    chained = whole.mapInArrow(_chain, _CHAINED)
     deals = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = chained.repartitionByRange(deals, "path", "conv_id").sortWithinPartitions("path", "conv_id")
-    return cut(ordered.withColumn("rank", F.monotonically_increasing_id()))
+    dealt = turns.repartition(deals, *whole).sortWithinPartitions(*whole, "turn", "role", "text")
+    turns = cut(dealt.select(*whole, "role", "text").mapInArrow(_chain, _CHAINED))
+    passing = turns.groupBy("node").agg(F.count("*").alias("n"))
+    branches = turns.select(*whole, "depth", "node").join(passing, "node").groupBy(*whole, "n").agg(F.min(F.struct("depth", "node")).alias("branch"))
+    paths = branches.groupBy(*whole).agg(F.sort_array(F.collect_list("branch"))["node"].alias("path"))
+    ordered = paths.repartitionByRange(deals, "path", *whole).sortWithinPartitions("path", *whole)
+    ranks = cut(ordered.select(*whole, F.monotonically_increasing_id().alias("rank")))
+    named = F.when(F.col("lone") == 0, F.col("key")).alias("conv_id")
+    return cut(turns.join(ranks, whole).select(named, "rank", "depth", "node", "parent", "tree", "role", "text"))
 
 
 def _tokens(shared):
@@ -159,39 +196,43 @@ def _tokens(shared):
 
 
 def _attention(batches):
-    """Position of each own node's first token, and the intervals of its ancestors, neighbours joined."""
-    names = ["node", "position", "attention"]
+    """Position of each own node's first token, and the intervals of its ancestors, neighbours joined.
+
+    The turns of a conversation come one after the other, in order.
+    """
+    now, position, intervals = None, 0, []
     for batch in batches:
-        out = {x: [] for x in names}
-        for path in batch.column(0).to_pylist():
-            position, intervals = 0, []
-            for step in path:
-                if step["own"]:
-                    for name, value in zip(names, (step["node"], position, [dict(x) for x in intervals]), strict=True):
-                        out[name].append(value)
-                position += step["n_tokens"]
-                end = step["start"] + step["n_tokens"]
-                if intervals and intervals[-1]["end"] == step["start"]:
-                    intervals[-1]["end"] = end
-                else:
-                    intervals.append({"start": step["start"], "end": end})
+        out = {x: [] for x in ("node", "position", "attention")}
+        for rank, node, own, start, n_tokens in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if rank != now:
+                now, position, intervals = rank, 0, []
+            if own:
+                out["node"].append(node)
+                out["position"].append(position)
+                out["attention"].append([dict(x) for x in intervals])
+            position += n_tokens
+            if intervals and intervals[-1]["end"] == start:
+                intervals[-1]["end"] = start + n_tokens
+            else:
+                intervals.append({"start": start, "end": start + n_tokens})
         kinds = [pa.binary(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-        yield pa.RecordBatch.from_arrays([pa.array(out[x], kind) for x, kind in zip(names, kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(out[x], kind) for x, kind in zip(out, kinds, strict=True)], names=list(out))
+
 
+def _in_order(turns: DataFrame, *first: str) -> DataFrame:
+    """All turns of a conversation in one task, one after the other."""
+    deals = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return turns.repartition(deals, "rank").sortWithinPartitions("rank", "depth").select("rank", *first)
 
-def prefix_trees(ranked: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
+
+def prefix_trees(turns: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """A row for each node: tree, node, parent, depth, role, tokens, loss_start, loss_end (the part of its tokens under
     the loss mask; null if none), start (in the tree's sequence), position, attention (start, end), conversations.
 
-    ``ranked`` is the result of :func:`ranked_paths`.
+    ``turns`` is the result of :func:`chained_turns`.
     """
-    shared = ranked.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    steps = ranked.select("rank", "path", "turns", F.posexplode("path").alias("depth", "node"))
-    turn = F.get("turns", F.col("depth"))
-    nodes = steps.select(
-        "rank", "depth", "node", F.get("path", F.col("depth") - 1).alias("parent"), F.get("path", F.lit(0)).alias("tree"),
-        turn["role"].alias("role"), turn["text"].alias("text"),
-    ).groupBy("node").agg(
+    shared = turns.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    nodes = turns.groupBy("node").agg(
         F.min("rank").alias("first"), F.count("*").alias("conversations"),
         *[F.first(c).alias(c) for c in ("depth", "parent", "tree", "role", "text")],
     )
@@ -206,13 +247,12 @@ def prefix_trees(ranked: DataFrame, vocabulary: str | None = VOCABULARY) -> Data
     runs = runs.join(parts, ["tree", "part"]).select("first", (F.col("ahead") + F.col("inner")).alias("run"))
     placed = sized.withColumn("inside", before(Window.partitionBy("first").orderBy("depth"))).join(runs, "first")
     placed = cut(placed.withColumn("start", F.col("run") + F.col("inside")).drop("run", "inside"))
-    step = F.struct("depth", "node", "start", "n_tokens", (F.col("first") == F.col("rank")).alias("own"))
-    paths = (
-        steps.select("rank", "depth", "node").join(placed.select("node", "first", "start", "n_tokens"), "node")
-        .groupBy("rank").agg(F.sort_array(F.collect_list(step)).alias("path"), F.bool_or(F.col("first") == F.col("rank")).alias("any"))
-        .where("any").select("path")
+    steps = turns.select("rank", "depth", "node").join(placed.select("node", "first", "start", "n_tokens"), "node")
+    owners = placed.select(F.col("first").alias("rank")).distinct()  # the other conversations own no node
+    steps = steps.withColumn("own", F.col("first") == F.col("rank")).join(owners, "rank", "left_semi")
+    seen = _in_order(steps, "node", "own", "start", "n_tokens").mapInArrow(
+        _attention, "node binary, position long, attention array<struct<start:long,end:long>>"
     )
-    seen = paths.mapInArrow(_attention, "node binary, position long, attention array<struct<start:long,end:long>>")
     loss = F.col("role") == "assistant"
     return placed.join(tokens, "node").join(seen, "node").select(
         F.hex("tree").alias("tree"), "node", "parent", "depth", "role", "tokens",
@@ -221,37 +261,62 @@ def prefix_trees(ranked: DataFrame, vocabulary: str | None = VOCABULARY) -> Data
     )
 
 
+class _Reader:
+    """What is read of one conversation so far."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id, self.n_turns, self.loss_chars, self.formatted_chars = conv_id, 0, 0, 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, tokenizer: Tokenizer, tokens: list[int], loss_start: int | None, loss_end: int | None) -> None:
+        formatted = tokenizer.decode(tokens)
+        for role, text in parse(formatted):
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+        self.formatted_chars += len(formatted)
+        if loss_start is not None:
+            text = unescape(tokenizer.decode(tokens[loss_start:loss_end]))
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
+
+    def row(self) -> dict:
+        return {
+            "conv_id": self.conv_id, "n_turns": self.n_turns, "turns_sha256": self.turns.hexdigest(), "loss_chars": self.loss_chars,
+            "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.formatted_chars,
+        }
+
+
+_READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_READ_TYPES = pa.schema(
+    [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+)
+
+
 def _read(shared):
     def of(batches):
-        tokenizer = Tokenizer(shared.value)
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        tokenizer, now, reader = Tokenizer(shared.value), None, None
         for batch in batches:
-            out = {x: [] for x in names}
-            for conv_id, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                formatted = "".join(tokenizer.decode(x["tokens"]) for x in path)
-                turns = parse(formatted)
-                loss = "".join(unescape(tokenizer.decode(x["tokens"][x["loss_start"] : x["loss_end"]])) for x in path if x["loss_start"] is not None)
-                digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                values = conv_id, len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)
-                for name, value in zip(names, values, strict=True):
-                    out[name].append(value)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(out[x], kind) for x, kind in zip(names, kinds, strict=True)], names=names)
+            done = []
+            for at in range(0, batch.num_rows, 256):  # lists of tokens become Python objects a few at a time
+                part = batch.slice(at, 256)
+                for rank, conv_id, tokens, start, end in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                    if rank != now:
+                        if reader:
+                            done.append(reader.row())
+                        now, reader = rank, _Reader(conv_id)
+                    reader.add(tokenizer, tokens, start, end)
+            yield pa.RecordBatch.from_pylist(done, schema=_READ_TYPES)
+        if reader:
+            yield pa.RecordBatch.from_pylist([reader.row()], schema=_READ_TYPES)
 
     return of
 
 
-def read_back(ranked: DataFrame, trees: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
+def read_back(turns: DataFrame, trees: DataFrame, vocabulary: str | None = VOCABULARY) -> DataFrame:
     """Every conversation as it is read from the trees' tokens along its path."""
-    shared = ranked.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    steps = ranked.select("conv_id", "rank", F.posexplode("path").alias("at", "node"))
-    step = F.struct("at", "tokens", "loss_start", "loss_end")
-    whole = steps.join(trees.select("node", "tokens", "loss_start", "loss_end"), "node").groupBy("rank", "conv_id").agg(
-        F.sort_array(F.collect_list(step)).alias("path")
-    )
-    return whole.select("conv_id", "path").mapInArrow(
-        _read(shared), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    )
+    shared = turns.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    steps = turns.select("conv_id", "rank", "depth", "node").join(trees.select("node", "tokens", "loss_start", "loss_end"), "node")
+    return _in_order(steps, "conv_id", "tokens", "loss_start", "loss_end").mapInArrow(_read(shared), _READ)
 
 
 #: A conversation whose texts look like the template's own marks.
@@ -261,16 +326,16 @@ PLANTED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[
 def op5_chat_prefix_tree(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
-    ranked = ranked_paths(rows.unionByName(planted))
-    return read_back(ranked, prefix_trees(ranked))
+    turns = chained_turns(rows.unionByName(planted))
+    return read_back(turns, prefix_trees(turns))
 
 
 def brute_force(rows: list[tuple]) -> list[tuple]:
     """All columns but the last, for tests."""
     out, by = [], {}
-    for conv_id, turn, role, text in rows:
-        by.setdefault(conv_id, []).append((turn, role or "", text or ""))
-    for conv_id, turns in by.items():
+    for i, (conv_id, turn, role, text) in enumerate(rows):
+        by.setdefault((conv_id, i if conv_id is None else None), []).append((turn, role or "", text or ""))
+    for (conv_id, _), turns in by.items():
         turns.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2]))
         loss = "".join(t for _, r, t in turns if r == "assistant")
         digest = hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest()
