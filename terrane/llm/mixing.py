@@ -1,14 +1,18 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Words of each source are packed into blocks of ``block`` words: documents stand one behind the other in an order that a
-hash of their ids sets. The mix is a sequence of slots, and a slot takes one block. All output shards draw their source
-counts at once: the draw is multinomial given the totals, so each source's total is met to the word and only its
-spread over the shards is random. A pseudorandom permutation of all slots (a keyed Feistel network over a square,
-walked along until it is back in range) says where in which shard each slot goes. Within a source, each pass over the
-blocks has its own pseudorandom permutation of block indices; slots and blocks are joined by that index.
-
-Hot sources: offsets of documents come from sums in two levels, over buckets of about ``bucket_rows`` documents and
-over the buckets of a source; slots are unfolded from chunks that are dealt out first. No window or task ever holds
+hash of their ids sets. The mix is a sequence of output shards of ``shard_slots`` slots, and a slot takes one block.
+
+1. Every slot of every source draws its shard: a pseudorandom permutation of all slots (a keyed Feistel network over a
+   square, walked along until it is back in range) deals them out. Counted, this gives each shard's number of slots of
+   each source: a multinomial draw, given that each source's total is met.
+2. A source's slots are numbered through its shards by the running sums of these counts, and each slot's number goes
+   through the source's own pseudorandom permutation of block indices, another one for each pass over its blocks.
+3. Slots and blocks are joined by that index, and what a document gives is the sum over the slots that hold its words.
+
+Hot sources: offsets of documents come from sums in two levels, over buckets of documents (as many as there are
+documents in one, at 1,000,000 and more) and over the buckets of a source; slots are unfolded from chunks and from shards
+that are dealt out first. No window or task ever holds
 the rows of one source. Only the table of sources (one row each) is ordered as a whole.
 
 Sizes are numbers of ``[^\\x20\\x09-\\x0D]+`` in the text. Null and empty texts have size 0 and are never taken. A null
@@ -17,6 +21,8 @@ source is a source of its own, the last in order. Repeated rows are documents of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +63,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> Data
     per = per.select("*", ((full - before) / ahead).alias("level"))
     fits = F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))
     per = per.select("*", F.coalesce(F.first(fits, ignorenulls=True).over(whole), F.lit(0.0)).alias("common"))
-    return per.select("source", "nth", "source_size", F.least("cap", F.col("common") * F.col("weight")).alias("target"))
+    return per.select("source", "nth", "source_size", F.least("cap", F.col("common") * F.col("weight")).alias("target"), F.floor("cap").cast("long").alias("most"))
 
 
 def _walk(x: Column, n: Column, *key: Column) -> Column:
@@ -74,15 +80,16 @@ def _walk(x: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(x), lambda v, _: F.when(v >= n, once(v)).otherwise(v))
 
 
-def slots(per_source: DataFrame, block: int = BLOCK_WORDS, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """The mix: shard, place in it, source number, block index in the source, and words taken from the block's start.
+def goals(per_source: DataFrame, block: int, seed: int) -> DataFrame:
+    """Each source's blocks, its goal in words, and the slots that takes: passes over all blocks, then part of a pass.
 
-    ``per_source`` is the result of :func:`targets`. All slots take whole blocks but for the last one of a source.
+    All slots take whole blocks but those of the short block at the end of a source and the last slot of all. Columns
+    ``base`` and ``all``: slots of the sources before this one, and of all.
     """
     n, size, goal = F.col("blocks"), F.col("source_size"), F.col("goal")
     s = per_source.where("source_size > 0").select(
         "nth", "source_size", F.ceil(size / block).cast("long").alias("blocks"), (size % block).alias("tail"),
-        F.least(F.round("target").cast("long"), size * MOST_REPEATS).alias("goal"),
+        F.least(F.round("target").cast("long"), "most").alias("goal"),
     )
     s = s.select("*", F.floor(goal / size).cast("long").alias("passes"), (goal % size).alias("rest"))
     # where in the last pass the short block at the end of the source has its turn
@@ -96,17 +103,42 @@ def slots(per_source: DataFrame, block: int = BLOCK_WORDS, seed: int = 0, shard_
     )
     s = s.select("*", (F.col("passes") * n + part.cast("long")).alias("slots")).where("slots > 0")
     by = Window.orderBy("nth")
-    s = s.select(
+    return s.select(
         "*", (F.sum("slots").over(by) - F.col("slots")).alias("base"),
         F.sum("slots").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"),
     )
-    chunks = s.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK_SLOTS).cast("long"))).alias("chunk"))
+
+
+def shard_counts(goal: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The draw: shard, nth, count (slots of this source in this shard). ``goal`` is the result of :func:`goals`."""
+    deals = int(goal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = goal.select("nth", "slots", "base", "all", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / CHUNK_SLOTS).cast("long"))).alias("chunk"))
     # a number of partitions of its own, or the few small rows would be put together again
-    chunks = chunks.repartition(int(per_source.sparkSession.conf.get("spark.sql.shuffle.partitions")), "nth", "chunk")
+    chunks = chunks.repartition(deals, "nth", "chunk")
     first = F.col("chunk") * CHUNK_SLOTS
-    each = chunks.select("*", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("slots")) - 1)).alias("i"))
-    pass_, at = F.floor(F.col("i") / n).cast("long"), F.col("i") % n
-    each = each.select("*", pass_.alias("pass"), at.alias("at"))
+    each = chunks.select("nth", "base", "all", F.explode(F.sequence(first, F.least(first + CHUNK_SLOTS, F.col("slots")) - 1)).alias("i"))
+    place = _walk(F.col("base") + F.col("i"), F.col("all"), F.lit(seed), F.lit("slots"))
+    return each.groupBy(F.floor(place / shard_slots).cast("long").alias("shard"), "nth").agg(F.count("*").alias("count"))
+
+
+def slots(per_source: DataFrame, block: int = BLOCK_WORDS, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The mix: shard, place in it, source number, block index in the source, words taken from the block's start, length.
+
+    ``per_source`` is the result of :func:`targets`. Places of a shard are 0, 1, ... and its sources are interspersed.
+    """
+    goal = cut(goals(per_source, block, seed))
+    counts = cut(shard_counts(goal, seed, shard_slots))
+    before = lambda w: F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("count")
+    within = Window.partitionBy("shard")
+    counts = counts.select(
+        "*", before(Window.partitionBy("nth").orderBy("shard")).alias("from"), before(within.orderBy("nth")).alias("ahead"),
+        F.sum("count").over(within).alias("filled"),
+    )
+    deals = int(per_source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = counts.join(goal, "nth").repartition(deals, "shard", "nth")
+    each = counts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("k")).withColumn("i", F.col("from") + F.col("k"))
+    n, tail = F.col("blocks"), F.col("tail")
+    each = each.withColumns({"pass": F.floor(F.col("i") / n).cast("long"), "at": F.col("i") % n})
     # in a whole pass the short block comes last; in the part of a pass, in its turn
     turn = F.when(F.col("pass") < F.col("passes"), F.when(tail > 0, n - 1).otherwise(n)).otherwise(F.col("turn"))
     each = each.withColumn("turn", turn)
@@ -116,17 +148,18 @@ def slots(per_source: DataFrame, block: int = BLOCK_WORDS, seed: int = 0, shard_
     is_tail = F.col("at") == F.col("turn")
     done = F.col("at") * block - F.when(behind, F.lit(block) - tail).otherwise(0)
     length = F.when(is_tail, tail).otherwise(F.lit(block))
-    take = F.when(F.col("pass") < F.col("passes"), length).otherwise(F.least(length, rest - done))
-    place = _walk(F.col("base") + F.col("i"), F.col("all"), F.lit(seed), F.lit("slots"))
+    take = F.when(F.col("pass") < F.col("passes"), length).otherwise(F.least(length, F.col("rest") - done))
+    place = _walk(F.col("ahead") + F.col("k"), F.col("filled"), F.col("shard"), F.lit(seed), F.lit("places"))
     return each.select(
-        F.floor(place / shard_slots).cast("long").alias("shard"), (place % shard_slots).alias("place"), "nth",
-        F.when(is_tail, n - 1).otherwise(index).alias("index"), take.cast("long").alias("words"), length.cast("long").alias("length"),
+        "shard", place.alias("place"), "nth", F.when(is_tail, n - 1).otherwise(index).alias("index"),
+        take.cast("long").alias("words"), length.cast("long").alias("length"),
     )
 
 
 def packed(sizes: DataFrame, per_source: DataFrame, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Each document's first word in its source's sequence of words: columns of ``sizes``, nth and first."""
-    buckets = max(1, -(-sizes.count() // bucket_rows))
+    rows = sizes.count()
+    buckets = max(1, -(-rows // max(bucket_rows, math.isqrt(rows))))
     dealt = sizes.join(per_source.select(F.col("source").alias("of"), "nth", "source_size", "target"), F.col("source").eqNullSafe(F.col("of")))
     dealt = dealt.drop("of").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(buckets)))
     inner = Window.partitionBy("nth", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -138,16 +171,21 @@ def packed(sizes: DataFrame, per_source: DataFrame, seed: int = 0, bucket_rows:
 
 
 def mix(
-    docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, seed: int = 0,
+    docs: DataFrame, weights=WEIGHTS, block: int = BLOCK_WORDS, seed: int = 0, shard_slots: int = SHARD_SLOTS, most: int = MOST_REPEATS,
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
-    """What the mix takes of each row: doc_id, size, source_size, target (its source's), taken."""
+    """What the mix takes of each row: doc_id, size, source_size, target (its source's), taken, slots, first_shard.
+
+    ``slots`` counts the slots that hold any word of the row's, ``first_shard`` is the first shard with one (null: none).
+    """
     sizes = cut(sized(docs, id_col, source_col, text_col))
-    per_source = cut(targets(sizes, weights))
+    per_source = cut(targets(sizes, weights, most))
     placed = packed(sizes, per_source, seed)
-    drawn = slots(per_source, block, seed).groupBy("nth", "index").agg(
-        F.count_if(F.col("words") == F.col("length")).alias("times"),
+    # a block is taken from its start: whole, or in the last slot of its source in part
+    drawn = slots(per_source, block, seed, shard_slots).groupBy("nth", "index").agg(
+        F.count_if(F.col("words") == F.col("length")).alias("times"), F.min(F.when(F.col("words") == F.col("length"), F.col("shard"))).alias("shard"),
         F.max(F.when(F.col("words") < F.col("length"), F.col("words")).otherwise(0)).alias("part"),
+        F.min(F.when(F.col("words") < F.col("length"), F.col("shard"))).alias("part_shard"),
     )
     row = ["nth", "first", "doc_id", "size", "source_size", "target"]
     last = F.greatest(F.col("first"), F.col("first") + F.col("size") - 1)
@@ -155,14 +193,15 @@ def mix(
     start = F.greatest(F.col("first") - F.col("index") * block, F.lit(0))
     end = F.least(F.col("first") + F.col("size") - F.col("index") * block, F.lit(block))
     joined = pieces.withColumns({"start": start, "end": end}).join(drawn.hint("merge"), ["nth", "index"], "left")
-    words = F.col("times") * (F.col("end") - F.col("start")) + F.greatest(F.least("end", "part") - F.col("start"), F.lit(0))
+    partly = F.greatest(F.least("end", "part") - F.col("start"), F.lit(0))
     some = joined.where("size > 0").groupBy(*row).agg(
-        F.sum(F.coalesce(words, F.lit(0))).alias("words")
-    )
-    none = placed.where("size = 0")
-    return some.select("doc_id", "size", "source_size", "target", F.col("words").alias("taken")).union(
-        none.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        F.sum(F.coalesce(F.col("times") * (F.col("end") - F.col("start")) + partly, F.lit(0))).alias("taken"),
+        F.sum(F.coalesce(F.col("times") + F.when(partly > 0, 1).otherwise(0), F.lit(0))).alias("slots"),
+        F.min(F.least("shard", F.when(partly > 0, F.col("part_shard")))).alias("first_shard"),
     )
+    zero = F.lit(0).cast("long")
+    none = placed.where("size = 0").select("doc_id", "size", "source_size", "target", zero.alias("taken"), zero.alias("slots"), F.lit(None).cast("long").alias("first_shard"))
+    return some.select("doc_id", "size", "source_size", "target", "taken", "slots", "first_shard").union(none)
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -65,6 +65,11 @@ def test_slots_are_a_permutation(spark):
     places = [(r.shard, r.place) for r in got]
     assert len(set(places)) == len(places)
     assert sorted(s * 64 + p for s, p in places) == list(range(len(places)))
+    counts = {}
+    for r in got:
+        counts[r.shard, r.nth] = counts.get((r.shard, r.nth), 0) + 1
+    drawn = mixing.shard_counts(mixing.goals(per, 5, 0), 0, 64).collect()
+    assert counts == {(r.shard, r.nth): r["count"] for r in drawn}
     for nth in range(3):  # no block is taken more often than there are passes
         size = next(r.source_size for r in per.collect() if r.nth == nth)
         mine = [r for r in got if r.nth == nth]
@@ -77,6 +82,32 @@ def test_slots_are_a_permutation(spark):
     assert len(shards) > 1 and all(len({r.nth for r in got if r.shard == s}) == 3 for s in shards if s < max(shards))
 
 
+@pytest.mark.parametrize("most", [2, 3])
+def test_what_is_taken_is_what_the_slots_hold(spark, most):
+    """Word by word: documents packed in Python, each slot's words counted for the document that each stands in."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "a", "b", None]), " ".join(["w"] * rng.choice([0, 1, 4, 9, 60]))) for i in range(150)]
+    docs = _docs(spark, rows)
+    sizes = mixing.sized(docs).cache()
+    per = mixing.targets(sizes, most=most)
+    owner = {}
+    for r in mixing.packed(sizes, per).collect():
+        for word in range(r["first"], r["first"] + r.size):
+            assert owner.setdefault((r.nth, word), r.doc_id) == r.doc_id
+    want, shards, seen = {}, {}, {}
+    for r in mixing.slots(per, block=7, shard_slots=16).collect():
+        for word in range(r["index"] * 7, r["index"] * 7 + r.words):
+            d = owner[r.nth, word]
+            want[d] = want.get(d, 0) + 1
+            shards[d] = min(r.shard, shards.get(d, r.shard))
+            seen.setdefault(d, set()).add((r.shard, r.place))
+    got = mixing.mix(docs, block=7, shard_slots=16, most=most).collect()
+    assert {r.doc_id: r.taken for r in got if r.taken} == want and len({r.first_shard for r in got}) > 2
+    assert {r.doc_id: r.first_shard for r in got if r.taken} == shards
+    assert {r.doc_id: r.slots for r in got if r.taken} == {d: len(x) for d, x in seen.items()}
+    assert all(r.taken <= most * r.size for r in got)
+
+
 def test_walk_is_a_permutation(spark):
     for n in (1, 2, 3, 10, 97, 1000):
         got = spark.range(n).select(mixing._walk(F.col("id"), F.lit(n).cast("long"), F.lit(7)).alias("x")).collect()
