@@ -10,7 +10,7 @@ How it is spread out. Shipping every suffix with its context would multiply the
 * documents are dealt to blocks of bounded size by a hash of their id. In each block the suffixes that start phrases
   are put in order by deep-shallow sorting (:func:`deep_shallow`): multikey quicksort by 8-byte characters down to
   a shallow depth, then a blind trie for each group that still shares its prefix. Equal phrases are neighbours then
-  and count once in their block.
+  and count once in their block: the first in place leads.
 * blocks meet in two rounds, dealt by gram. Round one sends each distinct anchor gram of a block once and answers
   with a code for each: other blocks have it or not, and if so, with the same phrase around it (PURE) or others.
   Round two sends, with the smallest document id in the block: PURE grams; the distinct phrases of a MIXED gram, as
@@ -22,8 +22,12 @@ A gram or window that a third of all documents hold is thus one entry for each b
 ``hot`` phrases of one gram. Answers are in the order of what was sent, so they take a byte or a bit each. Blocks find
 their phrases anew in each round, from one shuffle of the texts: this costs less than storing them.
 
-Null ids come last in the order of ids; rows that share an id are one document, in order of their texts. Null texts
-are empty. Texts under ``width`` bytes keep every byte.
+Bytes decide within a block and for MIXED phrases that are equal; elsewhere digests do. Phrases of a PURE gram are taken as
+equal if 63 bits of digest are, besides the gram's 64; windows if 96 bits are. A wrong match has a chance of 2**-63 for
+each pair of phrases that share a gram, and of n * n / 2**97 among n windows that meet (for 1e9 windows: 6e-12).
+
+Rows without an id are documents of their own, the last in order, by a hash of their texts. Rows that share an id are
+one document, in order of their texts. Null texts are empty. Texts under ``width`` bytes keep every byte.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import NULL_ID, documents, flat_text, id_and_text, mix64, text_volume
+from terrane.llm.common import documents, flat_text, id_and_text, mix64, text_volume
 
 GRAM = 32
 SHALLOW = 48
@@ -49,6 +53,8 @@ U = np.uint64
 _B1, _B2 = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 _rng = np.random.RandomState(7)
 _TABLE = (_rng.randint(0, 2**32, 256).astype(U) << U(32)) | _rng.randint(0, 2**32, 256).astype(U)
+#: Where the order of rows without an id begins; ids are taken to be less.
+LATE = 1 << 62
 #: Codes of round one; 0: no other block has the gram.
 PURE, MIXED, HOT = 1, 2, 3
 
@@ -185,35 +191,65 @@ class BlindTrie:
                 yield self.same[node]
 
 
+def _characters(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The 8-byte character at each start, padded with zeros, as a number."""
+    out = np.empty(len(starts), U)
+    for c in range(0, len(starts), 1 << 17):
+        at = slice(c, c + (1 << 17))
+        out[at] = _rows(data, starts[at], lengths[at], 8).view(">u8").ravel()
+    return out
+
+
+def _multikey_quicksort(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by the first ``shallow`` bytes, and by place in order where the group of strings begins that share these.
+
+    Every group picks a pivot, the middle of three of its characters, and parts into less, equal and greater. Less and greater
+    go on with the same character, equal with the next, until it has one string or is ``shallow`` deep. All groups
+    are parted at once, one round after the other.
+    """
+    n = len(starts)
+    order, group = np.arange(n), np.zeros(n, np.int64)
+    at = np.arange(n) if n > 1 else np.zeros(0, np.int64)  # places that are not settled; those of a group stand together
+    depth = np.zeros(len(at), np.int64)
+    char = _characters(data, starts, lengths) if len(at) else np.zeros(0, U)
+    while len(at):
+        new = np.append(True, group[at][1:] != group[at][:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(at)))
+        a, b, c = char[first], char[first + size // 2], char[first + size - 1]
+        pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+        part = np.where(char < pivot, 0, np.where(char == pivot, 1, 2))
+        key = np.repeat(np.arange(len(first)) * 3, size) + part
+        by = np.argsort(key, kind="stable")
+        order[at], char, depth, key = order[at[by]], char[by], depth[by], key[by]
+        head = np.append(True, key[1:] != key[:-1])
+        heads = np.flatnonzero(head)
+        sizes = np.diff(np.append(heads, len(at)))
+        group[at] = np.repeat(at[heads], sizes)
+        equal = key % 3 == 1
+        depth[equal] += 8
+        on = (np.repeat(sizes, sizes) > 1) & (depth < shallow)
+        deeper = np.flatnonzero(on & equal)
+        who = order[at[deeper]]
+        char[deeper] = _characters(data, starts[who] + depth[deeper], lengths[who] - depth[deeper])
+        at, depth, char = at[on], depth[on], char[on]
+    return order, group
+
+
 def deep_shallow(
     data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tails: np.ndarray, shallow: int = SHALLOW
 ) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings that start at ``starts``, and a number for each that equal strings share.
 
-    ``tails`` (two bytes for each string) decides between strings of equal bytes. Shallow: multikey quicksort over
-    8-byte characters, all groups of a depth being split at once. Deep: a blind trie for each group that is left.
+    ``tails`` (two bytes for each string) decides between strings of equal bytes. Shallow: multikey quicksort. Deep: a
+    blind trie for each group that is left.
     """
     n = len(starts)
-    order = np.arange(n)
-    group = np.zeros(n, np.int64)  # by place in order: where its group begins
-    open_ = np.arange(n) if n > 1 else np.zeros(0, np.int64)
-    for depth in range(0, shallow, 8):
-        if not len(open_):
-            break
-        who = order[open_]
-        word = np.empty(len(who), U)
-        for c in range(0, len(who), 1 << 17):
-            part = who[c : c + (1 << 17)]
-            word[c : c + len(part)] = _rows(data, starts[part] + depth, lengths[part] - depth, 8).view(">u8").ravel()
-        by = np.argsort(word, kind="stable") if depth == 0 else np.lexsort((word, group[open_]))
-        order[open_], word, g = who[by], word[by], group[open_][by]
-        new = np.empty(len(open_), bool)
-        new[0] = True
-        new[1:] = (word[1:] != word[:-1]) | (g[1:] != g[:-1])
-        at = np.flatnonzero(new)
-        group[open_] = open_[at[np.cumsum(new) - 1]]
-        sizes = np.diff(np.append(at, len(open_)))
-        open_ = open_[np.repeat(sizes, sizes) > 1]
+    order, group = _multikey_quicksort(data, starts, lengths, shallow)
+    again = np.zeros(n, bool)
+    again[1:] = group[1:] == group[:-1]
+    again[:-1] |= again[1:]
+    open_ = np.flatnonzero(again)
     if len(open_):
         heads = np.flatnonzero(np.append(True, group[open_][1:] != group[open_][:-1]))
         most = int(lengths[order[open_]].max())
@@ -239,10 +275,8 @@ class _Block:
     """The phrases of one block, and where equal ones stand."""
 
     def __init__(self, table: pa.Table, width: int, gram: int):
-        ids = pc.fill_null(table.column("doc_id"), NULL_ID)
-        table = table.set_column(table.schema.get_field_index("doc_id"), "doc_id", ids)
-        self.table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
-        self.ids = self.table.column("doc_id").to_numpy()
+        self.table = table.take(pc.sort_indices(table, sort_keys=[("nth", "ascending"), ("text", "ascending")]))
+        self.ids = self.table.column("nth").to_numpy()
         self.data, self.offsets = flat_text(self.table.column("text"))
         self.width, self.gram = width, gram
         self.first, self.last, anchor = phrases(self.data, self.offsets, width, gram)
@@ -278,7 +312,7 @@ class _Block:
         return at[np.argsort(self.of[at], kind="stable")]
 
     def phrase_digest(self, which: np.ndarray) -> np.ndarray:
-        """48 bits of each phrase's bytes and of where its anchor is; odd."""
+        """63 bits of each phrase's bytes and of where its anchor is, made odd."""
         out = np.empty(len(which), U)
         most = 8 * -(-(2 * self.width - self.gram) // 8)
         for c in range(0, len(which), 1 << 13):
@@ -288,7 +322,7 @@ class _Block:
             for w in words.T:
                 h = mix64(h * _B1 + w)
             out[c : c + len(at)] = h
-        return (out >> U(16)) | U(1)
+        return out | U(1)
 
     def texts(self, which: np.ndarray) -> np.ndarray:
         """The phrases' bytes, end to end."""
@@ -375,8 +409,7 @@ def _send_grams(width: int, gram: int, buckets: int):
         digest = b.classes.astype(U) << U(1)
         one = b.leads(b.classes == 1)
         digest[b.of[one]] = b.phrase_digest(one)
-        short = np.frombuffer(digest.astype("<u8").tobytes(), np.uint8).reshape(-1, 8)[:, :6].copy()
-        return _sent(0, key[0].as_py(), buckets, b.keys, more=short)
+        return _sent(0, key[0].as_py(), buckets, b.keys, more=digest)
 
     return of
 
@@ -384,9 +417,7 @@ def _send_grams(width: int, gram: int, buckets: int):
 def _match_grams(hot: int):
     def of(table):
         keys = _column(table, "key", U)
-        wide = np.zeros((len(keys), 8), np.uint8)
-        wide[:, :6] = _column(table, "more", np.uint8).reshape(-1, 6)
-        digest = wide.view("<u8").ravel()
+        digest = _column(table, "more", U)
         by = np.argsort(keys, kind="stable")
         k, d = keys[by], digest[by]
         new = np.append(True, k[1:] != k[:-1])[: len(k)]
@@ -510,6 +541,9 @@ def _remove(width: int, gram: int, buckets: int, whole: bool):
         late = at[order[np.flatnonzero(digests[order][1:] == digests[order][:-1]) + 1]]
         remove(late, late)
         removed = np.cumsum(edge[:-1]) > 0
+        if whole:  # no character stays in part
+            character = np.cumsum(b.data & 0xC0 != 0x80)
+            removed = (np.bincount(character, removed) > 0)[character]
         kept, starts, ends = [], [], []
         for lo, hi in zip(b.offsets[:-1], b.offsets[1:], strict=True):
             cut = removed[lo:hi]
@@ -519,13 +553,12 @@ def _remove(width: int, gram: int, buckets: int, whole: bool):
             kept.append((b.data[lo:hi][~cut] if len(starts[-1]) else b.data[lo:hi]).tobytes())
         if whole:
             rest = b.table.column("rest").combine_chunks().flatten()
-            text = pa.array([k.decode(errors="ignore") for k in kept], pa.string())
+            text = pa.array([k.decode() for k in kept], pa.string())
             text = pc.if_else(pc.is_valid(b.table.column("text").combine_chunks()), text, None)
             return pa.table([text, *rest], names=[f"c{i}" for i in range(len(rest) + 1)])
-        ids = b.table.column("doc_id").combine_chunks()
         return pa.table(
             {
-                "doc_id": pc.if_else(pc.equal(ids, NULL_ID), None, ids),
+                "doc_id": b.table.column("doc_id").combine_chunks(),
                 "n_bytes": pa.array(np.diff(b.offsets)),
                 "starts": pa.array(starts, pa.list_(pa.int64())),
                 "ends": pa.array(ends, pa.list_(pa.int64())),
@@ -543,7 +576,8 @@ def _removed(docs: DataFrame, width: int, block_bytes: int, gram: int, hot: int,
     spark = docs.sparkSession
     deals, volume = int(spark.conf.get("spark.sql.shuffle.partitions")), text_volume(docs)
     blocks, buckets = max(deals, -(-volume // block_bytes)), max(deals, -(-volume // (8 * block_bytes)))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    late = F.lit(LATE) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(LATE))
+    dealt = docs.withColumn("nth", F.coalesce("doc_id", late)).withColumn("block", F.pmod(F.xxhash64("nth"), F.lit(blocks)).cast("int"))
     grams = dealt.groupBy("block").applyInArrow(_send_grams(width, gram, buckets), _SENT)
     one = grams.groupBy("bucket").applyInArrow(_match_grams(hot), _ANSWER)
     sent = dealt.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(_send_phrases(width, gram, buckets), _SENT)
@@ -573,7 +607,7 @@ def without_repeats(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, their texts without the repeated bytes.
 
-    Bytes of characters that were cut in part go too. Null texts stay null; a text may become empty.
+    A character of which any byte goes, goes as a whole. Null texts stay null; a text may become empty.
     """
     others = [c for c in docs.columns if c != text_col]
     rest = F.struct(*[F.col(f"`{c}`").alias(f"c{i + 1}") for i, c in enumerate(others)])
@@ -600,7 +634,7 @@ def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 def brute_force(rows: list[tuple[int, str | None]], width: int = 100) -> list[tuple[int, int, int, int, str]]:
     """The same by a dictionary of all strings, for tests: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     seen, out = set(), []
-    for doc_id, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    for doc_id, text in sorted(rows, key=lambda r: (r[0], (r[1] or "").encode())):
         data = (text or "").encode()
         cut = bytearray(len(data))
         for p in range(len(data) - width + 1):
