@@ -1,13 +1,17 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Texts are sequences of words: A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Each task cuts its training
-documents into shards of bounded size and builds a suffix array for each: the places where a test suffix can begin,
-sorted by the words that follow. All test suffixes are then looked up at once by binary search, which gives every
-place where a window of ``width`` words of an item (the whole item, if shorter) stands verbatim, and from there the
-longest match.
+Texts are sequences of words: A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``, each known by a 64-bit code. Each
+task cuts its training documents into shards of bounded size and builds the suffix array of each: all its places, in the order of
+the words that follow (the first ``width`` words at least; by prefix doubling, places that are still tied only). All test suffixes are
+then looked up at once by binary search, which gives every place where a window of ``width`` words of an item (the
+whole item, if shorter) stands verbatim. Windows that follow each other on one diagonal make the longest match.
 
 The test side is read in blocks of bounded size (``block_bytes``), each broadcast to the tasks for one pass
-over the training text. No training text is shuffled, and every training word is looked up.
+over the training text. Between two passes what was found so far is written to the checkpoint folder, so there is one
+block in memory at a time. No training text is shuffled, and every training word is looked up.
+
+Codes decide, not letters: two words of one code would be taken as equal, which for a given window of ten words needs ten
+such chances of 2**-64 at once, for an item of a single word one.
 
 Null texts have no words; a null item id counts as the string ``null``; repeated items count once by id; items
 without words have no window.
@@ -23,64 +27,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import WORD_BYTES, documents, flat_text, mix64, slices, word_codes
+from terrane.llm.common import WORD_BYTES, cut, documents, flat_text, slices, word_codes
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
 U = np.uint64
-_BASE = U(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class TestSuffixes:
-    """The windows of a block of test items, and the items' words for measuring longer matches."""
+    """The windows of a block of test items, each distinct one once, and where they stand in the items."""
 
-    windows: np.ndarray  # distinct; width columns, 0 after the end of a short one
+    windows: np.ndarray  # width columns, 0 after the end of a short one
     lengths: np.ndarray
     items: list[list[str]]  # of each window
-    begins: np.ndarray  # distinct pairs of first words, scrambled, or first words if some window is one word
-    pair: bool
-    words: np.ndarray  # all items, each followed by 0
-    order: np.ndarray  # suffix array of words
+    spots: np.ndarray  # places among the words of all items, by window
+    cuts: np.ndarray  # where each window's spots begin, and the end
 
 
 def test_suffixes(ids: list[str], texts: pa.Array, width: int) -> TestSuffixes:
     codes, owner = word_codes(*flat_text(texts))
     n = np.bincount(owner, minlength=len(ids)) - 1
     firsts = np.cumsum(n + 1) - n - 1
-    rows: dict[bytes, set[str]] = {}
-    for item, (at, size) in enumerate(zip(firsts, n, strict=True)):
-        for p in range(at, at + max(size - width + 1, min(size, 1))):
-            row = np.zeros(width, U)
-            row[: min(size, width)] = codes[p : p + min(size, width)]
-            rows.setdefault(row.tobytes(), set()).add(ids[item])
-    windows = np.frombuffer(b"".join(rows), U).reshape(-1, width)
-    lengths = (windows != 0).sum(axis=1)
-    pair = bool(len(lengths)) and lengths.min() > 1
-    begins = np.unique(_begin(windows[:, 0], windows[:, 1] if pair else None)) if len(windows) else np.zeros(0, U)
-    return TestSuffixes(windows, lengths, [sorted(x) for x in rows.values()], begins, pair, codes, suffix_order(codes))
-
-
-def _begin(first: np.ndarray, second: np.ndarray | None) -> np.ndarray:
-    return first if second is None else mix64(first * _BASE + second)
-
-
-def suffix_order(codes: np.ndarray) -> np.ndarray:
-    """All suffixes in order, by prefix doubling."""
+    count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
+    spots = np.repeat(firsts - np.cumsum(count) + count, count) + np.arange(count.sum())
+    rows = np.stack(_columns(codes, spots, width), axis=1)
+    windows, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, spots)
+    by = np.argsort(which.ravel(), kind="stable")
+    cuts = np.append(0, np.cumsum(np.bincount(which.ravel(), minlength=len(windows))))
+    of = owner[spots[by]]
+    items = [sorted({ids[i] for i in of[a:b]}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return TestSuffixes(windows, (windows != 0).sum(axis=1), items, spots[by], cuts)
+
+
+def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
+    """All places in the order of the ``width`` words (or more) that follow them, up to the end of the text (0)."""
     n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(codes, kind="stable")
+    new = np.append(True, codes[order][1:] != codes[order][:-1])[:n]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     step = 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] + 1 if step < n else 0
-        order = np.lexsort((after, rank))
-        new = np.ones(n, np.int64)
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
-        rank[order] = np.cumsum(new) - 1
+    while step < width:
+        # places whose group has others; the ends of texts are all alike and need no order
+        again = ~new
+        again[:-1] |= ~new[1:]
+        open_ = np.flatnonzero(again & (codes[order] != 0))
+        if not len(open_):
+            break
+        who = order[open_]
+        after = np.where(who + step < n, rank[np.minimum(who + step, n - 1)], 0)
+        by = np.lexsort((after, rank[who]))
+        who, after, group = who[by], after[by], rank[who[by]]
+        order[open_] = who
+        split = np.append(True, (group[1:] != group[:-1]) | (after[1:] != after[:-1]))
+        new[open_] = split
+        rank[who] = np.maximum.accumulate(np.where(split, open_, 0))
         step *= 2
-        if n == 0 or step >= n or rank[order[-1]] == n - 1:
-            return order
+    return order
 
 
 def _columns(codes: np.ndarray, places: np.ndarray, width: int) -> list[np.ndarray]:
@@ -93,97 +98,68 @@ def _columns(codes: np.ndarray, places: np.ndarray, width: int) -> list[np.ndarr
     return out
 
 
-def _bound(suffixes: np.ndarray, queries: np.ndarray, lengths: np.ndarray, after: bool) -> np.ndarray:
-    """Binary search of all queries at once among sorted suffixes; only a query's own words count."""
-    lo, hi = np.zeros(len(queries), np.int64), np.full(len(queries), len(suffixes), np.int64)
+def _bound(codes: np.ndarray, order: np.ndarray, queries: np.ndarray, lengths: np.ndarray, after: bool) -> np.ndarray:
+    """Binary search of all queries at once in a suffix array; only a query's own words count."""
+    lo, hi = np.zeros(len(queries), np.int64), np.full(len(queries), len(order), np.int64)
     while (busy := np.flatnonzero(lo < hi)).size:
         mid = (lo[busy] + hi[busy]) // 2
+        at = order[mid]
         less, equal = np.zeros(len(busy), bool), np.ones(len(busy), bool)
         for i in range(queries.shape[1]):
-            a, b, counts = suffixes[mid, i], queries[busy, i], equal & (i < lengths[busy])
-            less |= counts & (a < b)
-            equal &= ~counts | (a == b)
+            counts = np.flatnonzero(equal & (i < lengths[busy]))
+            if not len(counts):
+                break
+            a, b = codes[np.minimum(at[counts] + i, len(codes) - 1)], queries[busy[counts], i]
+            less[counts] = a < b
+            equal[counts] = a == b
         right = less | (equal & after)
         lo[busy] = np.where(right, mid + 1, lo[busy])
         hi[busy] = np.where(right, hi[busy], mid)
     return lo
 
 
-class _Lookup:
-    """The test side in a task."""
-
-    def __init__(self, test: TestSuffixes):
-        self.test = test
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(test.begins >> U(44)).astype(np.int64)] = True
-
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the shard and the windows that stand there."""
-        t, width = self.test, self.test.windows.shape[1]
-        none = np.zeros(0, np.int64)
-        if not len(t.windows) or not len(codes):
-            return none, none
-        begin = _begin(codes[:-1], codes[1:]) if t.pair else codes
-        places = np.flatnonzero(self.bits[(begin >> U(44)).astype(np.int64)])
-        begin = begin[places]
-        at = np.minimum(np.searchsorted(t.begins, begin), len(t.begins) - 1)
-        places = places[t.begins[at] == begin]
-        if not len(places):
-            return none, none
-        columns = _columns(codes, places, width)
-        order = np.lexsort(columns[::-1])  # the shard's suffix array, of the suffixes that a test suffix can match
-        places, suffixes = places[order], np.stack(columns, axis=1)[order]
-        lo = _bound(suffixes, t.windows, t.lengths, False)
-        count = _bound(suffixes, t.windows, t.lengths, True) - lo
-        which = np.repeat(np.arange(len(count)), count)
-        return places[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())], which
-
-    def longest(self, codes: np.ndarray, place: int) -> int:
-        """Words of the longest verbatim match with any item that begins at ``place``."""
-        words, order = self.test.words, self.test.order
-        lo, hi, best = 0, len(order), 0
-        while lo < hi:
-            mid = (lo + hi) // 2
-            same = _common(codes, place, words, order[mid])
-            best = max(best, same)
-            a, b = codes[place + same], words[order[mid] + same]
-            if b < a:
-                lo = mid + 1
-            else:
-                hi = mid
-        return best
-
-
-def _common(a: np.ndarray, i: int, b: np.ndarray, j: int) -> int:
-    n = 0
-    while True:
-        x, y = a[i + n : i + n + 64], b[j + n : j + n + 64]
-        size = min(len(x), len(y))
-        stop = np.flatnonzero((x[:size] != y[:size]) | (x[:size] == 0))
-        if len(stop):
-            return n + int(stop[0])
-        if size < 64:
-            return n + size - 1
-        n += 64
+def hits(test: TestSuffixes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the shard, in order, and the windows that stand there. ``codes`` ends each text with 0."""
+    if not len(test.windows) or not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = suffix_array(codes, test.windows.shape[1])
+    lo = _bound(codes, order, test.windows, test.lengths, False)
+    count = _bound(codes, order, test.windows, test.lengths, True) - lo
+    which = np.repeat(np.arange(len(count)), count)
+    places = order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    by = np.argsort(places, kind="stable")
+    return places[by], which[by]
+
+
+def longest_match(test: TestSuffixes, places: np.ndarray, which: np.ndarray) -> int:
+    """Words of the longest verbatim match with any item among these hits."""
+    count = np.diff(test.cuts)[which]
+    spots = test.spots[np.repeat(test.cuts[which] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    at = np.repeat(places, count)
+    size = np.repeat(test.lengths[which], count)
+    by = np.lexsort((at, at - spots))
+    at, spots, size = at[by], spots[by], size[by]
+    # a run: hits one word after the other on a diagonal
+    new = np.append(True, (at[1:] != at[:-1] + 1) | (spots[1:] != spots[:-1] + 1))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    return int((at - at[first] + size).max())
 
 
 _STATE = "doc_id long, text string, n_words long, starts array<long>, ends array<long>, items array<string>, longest long"
 
 
-def _pass(test, carried: bool):
+def _pass(shared, carried: bool):
     def of(batches):
-        look = _Lookup(test.value)
+        test = shared.value
         for batch in slices(batches, "text", SHARD_BYTES):
             codes, owner = word_codes(*flat_text(batch.column(1)))
-            places, which = look.hits(codes)
+            places, which = hits(test, codes)
             n = np.bincount(owner, minlength=batch.num_rows) - 1
             first = np.cumsum(n + 1) - n - 1
             edge = np.zeros(len(codes) + 1, np.int64)
             np.add.at(edge, places, 1)
-            np.add.at(edge, places + look.test.lengths[which], -1)
+            np.add.at(edge, places + test.lengths[which], -1)
             hit = np.cumsum(edge[:-1]) > 0
-            by = np.argsort(places, kind="stable")
-            places, which = places[by], which[by]
             cuts = np.searchsorted(places, np.append(first, len(codes)))
             old = {c: batch.column(c).to_pylist() for c in ("starts", "ends", "items", "longest")} if carried else None
             starts, ends, items, longest = [], [], [], []
@@ -191,11 +167,9 @@ def _pass(test, carried: bool):
                 lo, hi = cuts[d], cuts[d + 1]
                 found, best, marks, spans = set(), 0, None, (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 if lo < hi:
-                    found = {x for w in np.unique(which[lo:hi]) for x in look.test.items[w]}
+                    found = {x for w in np.unique(which[lo:hi]) for x in test.items[w]}
                     marks = hit[first[d] : first[d] + n[d]]
-                    here = np.unique(places[lo:hi])
-                    runs = here[np.append(True, here[1:] != here[:-1] + 1)]
-                    best = max(look.longest(codes, int(p)) for p in runs)
+                    best = longest_match(test, places[lo:hi], which[lo:hi])
                 if old:
                     found |= set(old["items"][d])
                     best = max(best, old["longest"][d])
@@ -239,22 +213,31 @@ def find_matches(
     """Where test windows stand in each document, for every row.
 
     Columns: doc_id, n_words, starts and ends (runs of hit words, [start, end) in words), items (ids of the items with
-    windows here, in string order), longest (words of the longest verbatim match that begins at a run).
+    windows here, in string order), longest (words of the longest verbatim match of a window or more).
     """
-    spark = docs.sparkSession
-    out, carried = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), False
+    out, before = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), None
     for test in test_blocks(benchmark, width, block_bytes):
-        out, carried = out.mapInArrow(_pass(spark.sparkContext.broadcast(test), carried), _STATE), True
+        out, before = _after(out, before)
+        carried, before = before is not None, docs.sparkSession.sparkContext.broadcast(test)
+        out = out.mapInArrow(_pass(before, carried), _STATE)
     return out.drop("text")
 
 
-def _clean(test, text_col: str):
+def _after(out: DataFrame, before):
+    """The pass that needs the broadcast ``before``, carried out, so that its block leaves the memory."""
+    if before is None:
+        return out, None
+    out = cut(out)
+    before.unpersist()
+    return out, before
+
+
+def _clean(shared, text_col: str):
     def of(batches):
-        look = _Lookup(test.value)
         for batch in slices(batches, text_col, SHARD_BYTES):
             codes, owner = word_codes(*flat_text(batch.column(batch.schema.get_field_index(text_col))))
             keep = np.ones(batch.num_rows, bool)
-            keep[owner[look.hits(codes)[0]]] = False
+            keep[owner[hits(shared.value, codes)[0]]] = False
             yield batch.filter(pa.array(keep))
 
     return of
@@ -264,8 +247,11 @@ def remove_contaminated(
     docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """The rows of ``docs``, all columns, in whose text no test window stands."""
+    before = None
     for test in test_blocks(benchmark, width, block_bytes):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(test), text_col), docs.schema)
+        docs, before = _after(docs, before)
+        before = docs.sparkSession.sparkContext.broadcast(test)
+        docs = docs.mapInArrow(_clean(before, text_col), docs.schema)
     return docs
 
 

@@ -29,7 +29,7 @@ def license_sql() -> str:
 
 
 def decontamination_sql(width: int = WINDOW) -> str:
-    """The longest match is the longest row of windows on one diagonal; so items of under ``width`` words end a match."""
+    """The longest match is the longest row of windows on one diagonal."""
     return f"""WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
  spot AS (SELECT item, w, least(len(w), {width}) AS size, unnest(range(1, greatest(len(w) - {width - 1}, 1) + 1)) AS q FROM item WHERE len(w) > 0),
  win AS (SELECT DISTINCT item, q, size, array_to_string(w[q : q + size - 1], ' ') AS win FROM spot),
@@ -40,8 +40,7 @@ def decontamination_sql(width: int = WINDOW) -> str:
  items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
  line AS (SELECT doc_id, p, max(p) OVER (PARTITION BY doc_id, item, q - p, run) - p + size AS size FROM
   (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item, q - p ORDER BY p) AS run FROM hit)),
- start AS (SELECT doc_id, p FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM (SELECT DISTINCT doc_id, p FROM hit)) WHERE before IS NULL OR before < p - 1),
- longest AS (SELECT doc_id, max(size) AS longest_match FROM line JOIN start USING (doc_id, p) GROUP BY doc_id)
+ longest AS (SELECT doc_id, max(size) AS longest_match FROM line GROUP BY doc_id)
  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match
  FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)"""
@@ -56,11 +55,11 @@ def chat_sql() -> str:
 
     planted = ", ".join("(" + ", ".join(repr(v) for v in row) + ")" for row in chat_tree.PLANTED)
     around = len(chat_tree.TURN) + len(chat_tree.END) + 2
-    return f"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM
-  (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {planted}) AS v(conv_id, turn, role, text))),
+    return f"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES {planted}) AS v(conv_id, turn, role, text))),
  whole AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
-  sum({around} + length(replace({escaped('role')}, chr(10), '\\N')) + length({escaped('text')})) AS formatted FROM rows GROUP BY conv_id)
+  sum({around} + length(replace({escaped('role')}, chr(10), '\\N')) + length({escaped('text')})) AS formatted FROM rows GROUP BY conv_id, lone)
  SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
  CAST(formatted AS BIGINT) AS formatted_chars FROM whole"""
 
