@@ -1,8 +1,8 @@
 """Media columns: texts stored as WAV, and spectral-peak pair fingerprints of what is read back.
 
 A payload of bytes becomes the samples of an 8-bit mono WAV file, written and read by the ``wave`` module. From the
-samples read back: short-time Fourier transforms over frames of ``frame`` samples at steps of ``hop``, the strongest
-local peaks of each frame, and pairs of an anchor peak with the peaks of the frames after it. A pair's fingerprint is
+samples read back: short-time Fourier transforms over frames of ``frame`` samples at steps of ``hop`` (half a frame, so
+that every sample counts), the strongest local peaks of each frame, and pairs of each peak with the peaks of the frames after it. A pair's fingerprint is
 an integer of the two frequencies and the frames between; the column holds, in order of time, the frame of the anchor
 in the upper 32 bits and the fingerprint in the lower 32.
 
@@ -27,7 +27,7 @@ from terrane.llm.common import documents, id_and_text, slices
 UNIT = 192
 RATE = 8000
 FRAME = 96
-HOP = 96
+HOP = 48
 PEAKS = 2
 AHEAD = 2
 STRETCH = 4096  # frames
@@ -84,11 +84,11 @@ def fingerprints(payload: bytes, frame: int = FRAME, hop: int = HOP, peaks: int
         last = min(c + STRETCH + ahead, n)
         found = _peaks(samples[c * hop : (last - 1) * hop + frame], frame, hop, peaks)
         mine = min(STRETCH, n - c)
-        codes = np.full((mine, ahead, peaks), -1, np.int64)
+        codes = np.full((mine, ahead, peaks, peaks), -1, np.int64)
         for d in range(1, ahead + 1):
             both = max(0, min(mine, len(found) - d))
-            time = np.arange(c, c + both)[:, None]
-            anchor, target = found[:both, :1], found[d : d + both]
+            time = np.arange(c, c + both)[:, None, None]
+            anchor, target = found[:both, :, None], found[d : d + both, None, :]
             pair = (time << 32) | (anchor << 20) | (target << 8) | d
             codes[:both, d - 1] = np.where((anchor > 0) & (target > 0), pair, -1)
         flat = codes.reshape(-1)
