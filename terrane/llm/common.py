@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from terrane.session import cut, ensure_checkpoint_dir, in_few  # noqa: F401
 
-#: Stands in for a null document id wherever ids are ordered: null comes last.
-NULL_ID = 2**63 - 1
-
 #: Lower-cases A-Z and turns every byte that is in no alphanumeric word into a space.
 WORD_BYTES = bytes(
     b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
@@ -42,6 +39,11 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
+def in_fold(column: str, n: int, fold: int) -> Column:
+    """Whether an id is in that fold; a null id is in none."""
+    return F.coalesce(crc_mod(column, n) == fold, F.lit(False))
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text; null gives no bytes."""
     for value in column.cast(pa.large_binary()):

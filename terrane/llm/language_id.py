@@ -6,8 +6,11 @@ values with them, whitened by the inverse root of the kernel among the landmarks
 regression of one class against the rest gives a score for each language; the largest decides. Whole batches are
 scored by products of matrices: presence (sparse) by landmarks, then by classes.
 
-Learned from a bounded sample (``per_language`` texts of each language). A-Z is lower-cased; digits and ASCII
-punctuation are blanks. Null texts and texts without a letter are ``und`` with score 0.
+Learned from a bounded sample: ``per_language`` texts of each language, every value of the language column being one. A
+sample is gathered as its sets of n-grams, 64 kB a text at most. There are ``landmarks`` landmarks, or one for each
+language if that is more. A-Z is lower-cased; digits and ASCII
+punctuation are blanks. Null texts and texts without a letter are ``und`` with score 0. Rows without an id are scored
+like any other, are no examples and are not held out.
 """
 
 from __future__ import annotations
@@ -21,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from terrane.llm.common import crc_mod, documents, flat_text, id_and_text, slices
+from terrane.llm.common import crc_mod, documents, flat_text, id_and_text, in_fold, slices
 
 FOLDS = 3
 PER_LANGUAGE = 300
-MOST_LANGUAGES = 200
 LANDMARKS = 192
 BITS = 14
 RIDGE = 1e-3
@@ -91,22 +93,25 @@ def _presence(bits: int):
 
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """doc_id, text, lang: of each of the ``MOST_LANGUAGES`` commonest languages, the rows with the least hashes."""
-    ids = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    """doc_id, text, lang: of each language, the rows with the least hashes of id and text, repeated rows once.
+
+    Rows whose language or id is null are no examples. An id that stands for several texts or languages gives an example
+    for each of these rows.
+    """
+    rows = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    ids = rows.groupBy("doc_id", "lang", "h").count().drop("count")
     counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
-    common = counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     # thin by the hash before ranking, so that no window holds a whole language
-    thin = ids.join(F.broadcast(common), "lang").where(
-        (F.col("h").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))) * F.col("n") <= F.lit(4.0 * per_language + 40)
-    )
+    share = F.col("h").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
+    thin = ids.join(counts, "lang").where(share * F.col("n") <= F.lit(4.0 * per_language + 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = thin.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", "lang")
+    chosen = thin.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang", "h")
+    return rows.join(F.broadcast(chosen), ["doc_id", "lang", "h"]).groupBy("doc_id", "lang", "h").agg(F.first("text").alias("text")).select("doc_id", "text", "lang")
 
 
 def fit(rows: DataFrame, landmarks: int = LANDMARKS, bits: int = BITS, ridge: float = RIDGE) -> LanguageModel:
     """Learn from doc_id, text, lang. The sample must be bounded: its n-gram sets are gathered here."""
-    got = rows.mapInArrow(_presence(bits), "doc_id long, lang string, rows array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    got = rows.mapInArrow(_presence(bits), "doc_id long, lang string, rows array<int>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     langs = got.column("lang").to_pylist()
     names = sorted(set(langs))
     if not names:
@@ -118,7 +123,7 @@ def fit(rows: DataFrame, landmarks: int = LANDMARKS, bits: int = BITS, ridge: fl
     for i, lang in enumerate(langs):
         turn.append((count[lang], lang, i))
         count[lang] += 1
-    chosen = np.array([i for _, _, i in sorted(turn)[:landmarks]])
+    chosen = np.array([i for _, _, i in sorted(turn)[: max(landmarks, len(names))]])
     owner = np.repeat(np.arange(len(chosen)), [len(sets[i]) for i in chosen])
     basis = np.ascontiguousarray(_dense(np.concatenate([sets[i] for i in chosen]).astype(np.int64), owner, len(chosen), bits).T)
     kernel = np.empty((n, len(chosen)), np.float32)
@@ -163,4 +168,4 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fit(sample(docs.where(crc_mod("doc_id", FOLDS) != 1)))
-    return predict(docs, model).select("doc_id", (crc_mod("doc_id", FOLDS) == 1).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", in_fold("doc_id", FOLDS, 1).alias("held_out"), "lang_pred", "score")

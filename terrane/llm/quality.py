@@ -5,7 +5,8 @@ mean of its vectors; a softmax over two classes sits on top. Vectors and output
 stochastic gradient descent in numpy, on a bounded sample of labelled documents (``per_class`` of each class).
 
 To score, the table is folded with the output layer into one number for each row, so a document is a mean of
-numbers. Texts without features (null, empty, blank) get the score that the bias alone gives.
+numbers. Texts without features (null, empty, blank) get the score that the bias alone gives. Rows without an id are
+scored like any other, are no examples and are not held out.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import SPACED_BYTES, crc_mod, documents, flat_text, id_and_text, mix64, slices, word_codes
+from terrane.llm.common import SPACED_BYTES, crc_mod, documents, flat_text, id_and_text, in_fold, mix64, slices, word_codes
 from terrane.llm.labelled import labelled_sample
 
 FOLDS = 5
@@ -32,11 +33,11 @@ RATE = 0.4
 _SPACED = np.frombuffer(SPACED_BYTES, np.uint8)
 
 
-def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the table for trigrams (with the text of each), words and pairs (with the text of each).
 
-    Returns rows and owners; trigrams have the first half of the table, words and pairs the second. A word said twice
-    is one feature, whatever the word.
+    Returns rows and owners; trigrams have the first half of the table, words and pairs the second. A word that repeats the
+    one before it is one feature, whatever the word: immediate repeats tell of junk, also in words that no example has.
     """
     half = bits - 1
     n = len(data)
@@ -161,6 +162,6 @@ def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, model).select(
-        "doc_id", (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), "score",
+        "doc_id", in_fold("doc_id", FOLDS, 0).alias("held_out"), "score",
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
     )

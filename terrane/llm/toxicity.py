@@ -5,10 +5,13 @@ which are hashed words and beginnings of words. The
 cumulative-link (proportional odds) model gives P(grade > k) = logistic(w.x - t_k) with one weight vector for all
 thresholds t_0 < t_1 < t_2, and the severity of a text is the expected grade, the sum of these.
 
-Labels say only toxic or not. Grades to learn from are made of them: words that toxic examples use far more often than others
-are found by their log odds, and toxic examples are graded 1 to 3 by the thirds of their share of such words. Features that do not go with the label
+Labels may be grades already (``graded``). Where they say only toxic or not, grades to learn from are made of them by a
+fixed rule, :func:`grades_of`: words that toxic examples use far more often than others
+are found by their log odds, and toxic examples are graded 1 to 3 by the thirds of their share of such words. So the first
+threshold is what labels teach; the others, and with them how severe a toxic text is, are as good as that rule. Features that do not go with the label
 beyond chance have weight 0. The model is fitted by stochastic gradient steps in numpy on a bounded sample (``per_class`` of toxic and of other documents), then
-scores whole texts where they are read. Null texts and texts without words have severity 0 exactly.
+scores whole texts where they are read. Null texts and texts without words have severity 0 exactly. Rows without an id are
+scored like any other, are no examples and are not held out.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import WORD_BYTES, crc_mod, documents, flat_text, id_and_text, mix64, slices, word_codes
+from terrane.llm.common import WORD_BYTES, crc_mod, documents, flat_text, id_and_text, in_fold, mix64, slices, word_codes
 from terrane.llm.labelled import labelled_sample
 
 FOLDS = 5
@@ -93,7 +96,7 @@ def _telling(labels: np.ndarray, doc: np.ndarray, rows: np.ndarray, size: int) -
     return beyond, beyond & (odds > np.log(8))
 
 
-def _grades(labels: np.ndarray, doc: np.ndarray, rows: np.ndarray, share: np.ndarray, typical: np.ndarray) -> np.ndarray:
+def grades_of(labels: np.ndarray, doc: np.ndarray, rows: np.ndarray, share: np.ndarray, typical: np.ndarray) -> np.ndarray:
     """Grades made of labels: toxic examples by thirds of their share of typical features."""
     amount = np.bincount(doc, share * typical[rows], minlength=len(labels))
     some = amount[(labels == 1) & (amount > 0)]
@@ -101,8 +104,11 @@ def _grades(labels: np.ndarray, doc: np.ndarray, rows: np.ndarray, share: np.nda
     return np.where(labels == 1, 1 + (amount > cuts[0]) + (amount > cuts[1]), 0)
 
 
-def fit(sample: DataFrame, bits: int = BITS, epochs: int = 4, rate: float = 0.3, ridge: float = 1e-3, seed: int = 1) -> ToxicityModel:
-    """Learn from doc_id, text, label. The sample must be bounded: its sparse features are gathered here."""
+def fit(
+    sample: DataFrame, bits: int = BITS, epochs: int = 4, rate: float = 0.3, ridge: float = 1e-3, seed: int = 1, graded: bool = False
+) -> ToxicityModel:
+    """Learn from doc_id, text, label (0 or 1, or a grade of 0 to 3 if ``graded``). The sample must be bounded: its sparse
+    features are gathered here."""
     got = sample.mapInArrow(_counted(bits), "doc_id long, label int, rows array<int>, counts array<int>").toArrow().sort_by("doc_id")
     labels = np.array(got.column("label").to_pylist(), np.int64)
     lists = got.column("rows").combine_chunks() if got.num_rows else None
@@ -114,8 +120,8 @@ def fit(sample: DataFrame, bits: int = BITS, epochs: int = 4, rate: float = 0.3,
     doc = np.repeat(np.arange(len(labels)), sizes)
     counts = got.column("counts").combine_chunks().flatten().to_numpy().astype(np.float64)
     share = counts / np.maximum(np.bincount(doc, counts, minlength=len(labels)), 1)[doc]
-    telling, typical = _telling(labels, doc, rows, 1 << bits)
-    grades = _grades(labels, doc, rows, share, typical)
+    telling, typical = _telling(np.minimum(labels, 1), doc, rows, 1 << bits)
+    grades = labels if graded else grades_of(labels, doc, rows, share, typical)
     kept = telling[rows]
     doc, rows, x = doc[kept], rows[kept], SCALE * np.sqrt(share[kept])
     sizes = np.bincount(doc, minlength=len(labels))
@@ -191,6 +197,6 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(crc_mod("doc_id", FOLDS) != 0)
     model = fit(labelled_sample(docs, labels, "toxic", PER_CLASS))
     return grade(docs, model).select(
-        "doc_id", (crc_mod("doc_id", FOLDS) == 0).alias("held_out"), "severity", F.col("chance").alias("score"), "grade",
+        "doc_id", in_fold("doc_id", FOLDS, 0).alias("held_out"), "severity", F.col("chance").alias("score"), "grade",
         (F.col("chance") >= TOXIC).alias("toxic"),
     )
