@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from terrane.llm import audio_media, chat_tree, decontaminate, language_id, license_scan, mixing, oracle, quality, simhash, suffix_dedup, toxicity
 
 
@@ -22,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.op8_language_id,
         "op9_media_columns": audio_media.op9_media_columns,
         "op10_quality_classifier": quality.op10_quality_classifier,
-        "pipeline": corpus_pipeline.run,
     }
 
 

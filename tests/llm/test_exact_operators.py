@@ -38,6 +38,61 @@ def test_template_markup():
             license_scan.Scanner({"t": bad}, {})
 
 
+#: What each template must accept and refuse, written out by hand.
+WORDINGS = {
+    "apache-2.0-notice": (
+        ["Licensed under the Apache License, Version 2.0 (the License)", "licensed under Apache License 2.0", "licensed under the apache license 2.0 today"],
+        ["licensed under the apache license version 1.1", "under the apache license version 2.0", "licensed under the apache version 2.0"],
+    ),
+    "cc-by-notice": (
+        ["This work is licensed under a CC BY 4.0 International License", "licensed under cc by license", "this fine work is licensed under CC-BY 3.0 license"],
+        ["licensed under cc by one two three four five license", "licensed under cc nd license", "licensed by cc by license"],
+    ),
+    "cc-by-nc-4.0-notice": (["licensed under CC BY-NC 4.0", "Licensed under a cc-by-nc-sa 4.0 deed"], ["licensed under cc by 4.0", "licensed under a cc by nc nd 4.0", "licensed under cc by nc 3.0"]),
+    "gpl-3.0-notice": (
+        [
+            "licensed under the GNU General Public License, version 3", "This program is licensed under the gnu general public license version 3 or any later version",
+            "licensed under the gnu general public license version 3 or at your option any later version",
+        ],
+        ["licensed under the gnu general public license version 2", "under the gnu general public license version 3", "licensed under the gnu public license version 3"],
+    ),
+    "mit-notice": (["released under the MIT License", "under the terms of the MIT license.", "Released under the terms of the mit license"], ["the mit license", "under the terms of mit license", "under the terms the mit license"]),
+    "mit-text": (
+        [
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the "
+            "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+            "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+            "included in all copies or substantial portions of the Software."
+        ],
+        ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "permission is hereby granted"],
+    ),
+    "isc-text": (
+        [
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this "
+            "permission notice appear in all copies."
+        ],
+        ["Permission to use, copy, modify, and distribute this software for any purpose with fee is hereby granted"],
+    ),
+    "bsd-clause": (
+        [
+            f"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:{one} Redistributions of source "
+            "code must retain the above copyright notice, this list of conditions and the following disclaimer."
+            for one in ("", " 1.")
+        ],
+        ["Redistribution and use in source forms, with or without modification, are permitted provided that the following conditions are met"],
+    ),
+}
+
+
+def test_wordings_of_every_template(spark):
+    assert set(WORDINGS) == set(license_scan.TEMPLATES)
+    rows = [(label, good, text) for label, (yes, no) in WORDINGS.items() for good, texts in ((True, yes), (False, no)) for text in texts]
+    docs = documents(spark, [(i, f"before it: {text} and after") for i, (_, _, text) in enumerate(rows)])
+    found = {r.doc_id: {m.label for m in r.matches} for r in license_scan.scan_licenses(docs).collect()}
+    for i, (label, good, text) in enumerate(rows):
+        assert (label in found[i]) == good, (label, text)
+
+
 def _groups(rows, fps):
     parent = list(range(len(rows)))
 
@@ -225,18 +280,44 @@ def test_decontamination(spark, small_rows, odd_rows):
             got.append((r.doc_id, r.n_words, hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), hit > 0))
             assert (r.longest > 0) == (hit > 0)
         assert sorted(got, key=str) == want
+        clean = decontaminate.remove_contaminated(documents(spark, rows), bench, block_bytes=size)
+        assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(w[0]) for w in want if not w[5])
     clean = decontaminate.remove_contaminated(documents(spark, rows), bench)
+    assert decontaminate.remove_contaminated(documents(spark, rows).limit(0), bench).count() == 0
     assert clean.columns == documents(spark, rows).columns
-    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(w[0]) for w in want if not w[5])
     assert decontaminate.find_matches(documents(spark, rows), bench.limit(0)).where("size(items) > 0").count() == 0
     assert decontaminate.find_matches(documents(spark, rows).limit(0), bench).count() == 0
 
 
 def test_longest_match(spark):
+    """Also where windows of several items overlap, and the longer match does not begin the run."""
     item = " ".join(f"w{i}" for i in range(40))
     text = "before " + " ".join(f"w{i}" for i in range(5, 30)) + " after"
-    found = decontaminate.find_matches(documents(spark, [(1, text)]), spark.createDataFrame([(1, item)], "item_id long, text string")).first()
-    assert (found.longest, found.starts, found.ends) == (25, [1], [26])
+    other = "a0 a1 w5 w6 w7 w8 w9 w10 w11 w12"
+    rows = [(1, text), (2, "x a0 a1 " + " ".join(f"w{i}" for i in range(5, 30)) + " a0"), (3, "w1 w2")]
+    bench = spark.createDataFrame([(1, item), (2, other), (3, "w1")], "item_id long, text string")
+    for size in (decontaminate.BLOCK_BYTES, 100):
+        found = {r.doc_id: r for r in decontaminate.find_matches(documents(spark, rows), bench, block_bytes=size).collect()}
+        assert [(found[d].longest, found[d].starts, found[d].ends) for d in (1, 2, 3)] == [(25, [1], [26]), (25, [1], [28]), (1, [0], [1])]
+
+
+def test_training_suffixes_are_in_order():
+    import numpy as np
+
+    rng = random.Random(8)
+    codes = np.array([rng.choice([0, 5, 7, 9, 2**63 + 1]) for _ in range(400)] + [0], np.uint64)
+    order = decontaminate.suffix_array(codes, 10)
+    assert sorted(order) == list(range(len(codes)))
+
+    def words(p):  # to the end of the text, ten at most
+        out = []
+        while codes[p] and len(out) < 10:
+            out.append(int(codes[p]))
+            p += 1
+        return out
+
+    rows = [words(p) for p in order]
+    assert rows == sorted(rows)
 
 
 def test_suffix_dedup(spark, small_rows, odd_rows):
@@ -270,6 +351,42 @@ def test_suffix_dedup_of_rows(spark):
     assert texts == {1: "first " + passage, 2: " second", None: "third", 4: None}
 
 
+def test_suffix_dedup_keeps_whole_characters(spark):
+    """A cut within characters takes these as a whole and never makes new ones of what is left."""
+    rng = random.Random(4)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(150))
+    # the bytes of the characters around the passage agree in part
+    rows = [(1, "\u00e9" + passage + "\u00e9"), (2, "z\u0129" + passage + "\u00e8q"), (3, "\u0169" + passage + "\u4e2d"), (4, "\u6f22" + passage + "\u6f22!")]
+    removed = {d: None for d, _ in rows}
+    for r in suffix_dedup.dedup_spans(documents(spark, rows)).collect():
+        removed[r.doc_id] = {i for a, b in zip(r.starts, r.ends, strict=True) for i in range(a, b)}
+    want = {}
+    for d, text in rows:
+        at, kept = 0, ""
+        for c in text:
+            n = len(c.encode())
+            kept += "" if removed[d] & set(range(at, at + n)) else c
+            at += n
+        want[d] = kept
+    assert {r.doc_id: r.text for r in suffix_dedup.without_repeats(documents(spark, rows)).collect()} == want
+    assert want[2] == "zq"
+
+
+def test_suffix_dedup_without_ids(spark):
+    """Rows without an id are documents of their own, the last, in order of a hash; they are dealt to many blocks."""
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(150))
+    rows = [(None, f"{i} " * 30 + passage) for i in range(40)] + [(None, "same " * 30)] * 3 + [(None, None)] * 2 + [(5, "five " + passage)]
+    got = suffix_dedup.dedup_spans(documents(spark, rows), block_bytes=500).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == len(rows) - 1
+    kept = [bytes(r.kept).decode() for r in got]
+    assert sum(passage in k for k in kept) == 1 and "five " + passage in kept
+    order = spark.createDataFrame([(t or "",) for d, t in rows if d is None], "t string").selectExpr("t", "pmod(xxhash64(t), 4611686018427387904) as h").collect()
+    numbered = [(0, "five " + passage)] + [(1 + r.h, r.t) for r in order]
+    want = sorted(x[4] for x in suffix_dedup.brute_force(numbered))
+    assert sorted(hashlib.sha256(r.kept).hexdigest() for r in got) == want
+
+
 def test_deep_shallow_orders_suffixes():
     import numpy as np
 
@@ -289,10 +406,10 @@ def test_deep_shallow_orders_suffixes():
 def test_chat_trees(spark):
     rows = [(i, k, "user" if k % 2 == 0 else "assistant", f"t{k}-{(i >> max(0, 3 - k)) if k else 0}") for i in range(8) for k in range(1 + i % 4)]
     odd = "a\\b<|end|>\\N <<SYS>>[/INST]\n\\"
-    rows += [(100, None, None, None), (101, 0, "assistant", odd), (101, 0, "assistant", odd), (102, 0, "us\ner<|turn|>", "x"), (None, 1, "user", "")]
+    rows += [(100, None, None, None), (101, 0, "assistant", odd), (101, 0, "assistant", odd), (102, 0, "us\ner<|turn|>", "x"), (None, 1, "user", ""), (None, 1, "assistant", "y"), (0, 1, "user", "")]
     rows += [(103, k, "assistant", f"turn {k}") for k in range(150)] + chat_tree.PLANTED
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as rank", "2 as node", "3 as path")
-    ranked = chat_tree.ranked_paths(df)
+    ranked = chat_tree.chained_turns(df)
     for vocabulary in (chat_tree.VOCABULARY, None):
         trees = chat_tree.prefix_trees(ranked, vocabulary)
         got = sorted((tuple(r)[:5] for r in chat_tree.read_back(ranked, trees, vocabulary).collect()), key=str)
@@ -314,7 +431,30 @@ def test_chat_trees(spark):
             seen = {p for i in r.attention for p in range(i.start, i.end)}
             assert seen == {p for s in stack for p in range(nodes[s].start, nodes[s].start + len(nodes[s].tokens))}
             stack.append(bytes(r.node))
-    assert chat_tree.ranked_paths(df.limit(0)).count() == 0
+    empty = chat_tree.chained_turns(df.limit(0))
+    assert chat_tree.read_back(empty, chat_tree.prefix_trees(empty)).count() == 0
+
+
+def test_long_texts_become_tokens():
+    """Runs that the tokenizer's pattern could not take whole; each is decoded as it was."""
+    ranks = chat_tree.read_vocabulary(chat_tree.VOCABULARY)
+    assert chat_tree.read_vocabulary("/nowhere/at/all") is None and chat_tree.read_vocabulary(None) is None
+    for tokenizer in (chat_tree.Tokenizer(ranks), chat_tree.Tokenizer(None)):
+        for text in (" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "\u00e9" * 300_000, "a b  \n" * 300_000, "x" * 4096 + " y", ""):
+            assert tokenizer.decode(tokenizer.encode(text)) == text
+    whole = chat_tree.Tokenizer(ranks)
+    assert whole.encode("some words " * 50) == whole.encoding.encode_ordinary("some words " * 50)
+
+
+def test_chat_with_odd_tables(spark):
+    """A conversation of very many turns, very long texts, and rows without ids: conversations of one turn each."""
+    rows = [(1, k, "user", f"t{k % 7}") for k in range(3000)] + [(2, k, "user", f"t{k % 7}") for k in range(2000)]
+    rows += [(None, 0, "user", "same")] * 50 + [(3, 0, None, " " * 1_500_000), (4, 0, "assistant", "\n" * 1_500_000)]
+    turns = chat_tree.chained_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    trees = chat_tree.prefix_trees(turns)
+    assert trees.count() == 3000 + 3
+    got = sorted((tuple(r)[:5] for r in chat_tree.read_back(turns, trees).collect()), key=str)
+    assert got == sorted(chat_tree.brute_force(rows), key=str)
 
 
 @pytest.mark.parametrize("text", ["", "\\", "\\\\N", "<|turn|>user\nx<|end|>\n", "</s>[INST] ok [/INST]", "<\\s>", "a\nb", "<<SYS>>" * 3])

@@ -1,11 +1,13 @@
 """Classifiers: held-out accuracy on the tables, and defined results for odd rows."""
 
+import math
 import zlib
 
+import numpy as np
 import pytest
 
 from terrane.llm import language_id, quality, toxicity
-from terrane.llm.common import crc_mod
+from terrane.llm.common import SPACED_BYTES, WORD_BYTES, crc_mod
 from terrane.llm.labelled import labelled_sample
 from tests.llm.conftest import documents
 
@@ -79,8 +81,126 @@ def test_language(spark, docs, odd_rows):
     assert {r.lang_pred for r in language_id.predict(docs.limit(3), nothing).collect()} == {language_id.UNKNOWN}
 
 
+M = 2**64 - 1
+
+
+def _mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M
+    return x ^ x >> 31
+
+
+def _code(word):
+    """A word's code, eight bytes after the other."""
+    h = _mix(int.from_bytes(word[:8], "little") ^ len(word) * 0x9E3779B97F4A7C15 & M)
+    for i in range(8, len(word), 8):
+        h = _mix(h * 0x9E3779B97F4A7C15 + int.from_bytes(word[i : i + 8], "little") & M)
+    return h or 1
+
+
+def _sample_of_texts(docs, odd_rows):
+    return [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(200).collect()] + [(10**9 + d, t) for d, t in odd_rows if len(t or "") < 10**5]
+
+
+def test_quality_scores_by_definition(spark, docs, labels, odd_rows):
+    """The score as a mean over a dictionary of features, text by text."""
+    model = quality.fitted(docs, labels, 100)
+    rows, half = _sample_of_texts(docs, odd_rows), quality.BITS - 1
+    got = {r.doc_id: r.score for r in quality.score(documents(spark, rows), model).collect()}
+    for d, text in rows:
+        data = (text or "").encode().translate(SPACED_BYTES)
+        found = [(int.from_bytes(data[i : i + 3], "little") * 2654435761 & 0xFFFFFFFF) >> 32 - half for i in range(len(data) - 2)]
+        codes = [_code(w) for w in data.split(b" ") if w]
+        found += [(c >> 64 - half) + (1 << half) for c in codes + [0 if a == b else _mix(a * 3 + b & M) for a, b in zip(codes, codes[1:], strict=False)]]
+        z = model.bias + (sum(float(model.weight[f]) for f in found) / len(found) if found else 0)
+        assert abs(got[d] - 1 / (1 + math.exp(-z))) < 1e-6
+
+
+def test_toxicity_by_definition(spark, docs, labels, odd_rows):
+    """P(grade > k) and the expected grade from a dictionary of features, text by text."""
+    model = toxicity.fit(labelled_sample(docs, labels, "toxic", 300))
+    rows = _sample_of_texts(docs, odd_rows) + [(r.doc_id, r.text) for r in docs.join(labels.where("toxic = 1"), "doc_id").limit(50).collect()]
+    got = {r.doc_id: r for r in toxicity.grade(documents(spark, rows), model).collect()}
+    assert len({r.grade for r in got.values()}) > 1
+    for d, text in rows:
+        words, counts = (text or "").encode().translate(WORD_BYTES).split(), {}
+        for w in words:
+            keys = [_code(w)] + [_mix(int.from_bytes(w[:n], "little") * 31 + n & M) for n in toxicity.BEGINNINGS if len(w) > n]
+            for k in keys:
+                counts[k >> 64 - toxicity.BITS] = counts.get(k >> 64 - toxicity.BITS, 0) + 1
+        total = sum(counts.values())
+        z = toxicity.SCALE * sum(model.weight[k] * math.sqrt(n / total) for k, n in counts.items())
+        p = [1 / (1 + math.exp(t - z)) for t in model.thresholds] if words else [0, 0, 0]
+        assert abs(got[d].severity - sum(p)) < 1e-6 and abs(got[d].chance - p[0]) < 1e-6 and got[d].grade == sum(x > 0.5 for x in p)
+
+
+def test_grades_made_of_labels():
+    """Toxic examples by thirds of their share of words that toxic examples have; others are 0."""
+    labels = np.array([1, 1, 1, 1, 1, 1, 0, 0])
+    doc, rows = np.arange(8), np.array([0, 0, 0, 0, 0, 0, 0, 1])
+    share, typical = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.9, 1.0]), np.array([True, False])
+    assert list(toxicity.grades_of(labels, doc, rows, share, typical)) == [1, 1, 2, 2, 3, 3, 0, 0]
+
+
+def test_toxicity_learns_given_grades(spark):
+    """Where labels are grades, one weight vector and ordered thresholds give them back."""
+    rows = [(i, " ".join(["bad"] * (3 * (i % 4)) + ["fine"] * (9 - 3 * (i % 4)) + ["filler"] * 3), i % 4) for i in range(400)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, label int"), graded=True)
+    assert list(model.thresholds) == sorted(model.thresholds)
+    got = {r.doc_id: r for r in toxicity.grade(spark.createDataFrame(rows, "doc_id long, text string, label int"), model).collect()}
+    means = [sum(got[i].severity for i, _, g in rows if g == k) / 100 for k in range(4)]
+    assert means == sorted(means) and means[3] - means[0] > 2
+
+
+def test_language_by_definition(spark, docs, odd_rows):
+    """Kernel values with each landmark as shares of common n-grams, text by text."""
+    model = language_id.fit(language_id.sample(docs, 40))
+    assert model.landmarks.shape[1] >= len(model.names)
+    rows = _sample_of_texts(docs, odd_rows)
+    got = {r.doc_id: r for r in language_id.predict(documents(spark, rows), model).collect()}
+    for d, text in rows:
+        data = bytes(language_id._LETTERS[np.frombuffer((text or "").encode(), np.uint8)])
+        grams = {(n, int.from_bytes(data[i : i + n], "big")) for n in (1, 2, 3) for i in range(len(data) - n + 1)}
+        found = sorted({((v * 2654435761 + n * 0x9E3779B9) & 0xFFFFFFFF) >> 32 - model.bits for n, v in grams})
+        kernel = model.landmarks[found].sum(axis=0) / math.sqrt(max(len(found), 1))
+        margins = kernel @ model.classes + model.bias
+        if got[d].lang_pred != language_id.UNKNOWN:
+            assert abs(got[d].score - min(max(margins.max(), 0), 1)) < 1e-3
+            assert margins.max() - margins[model.names.index(got[d].lang_pred)] < 1e-3
+
+
+def test_every_language_is_learned(spark):
+    """More languages than landmarks; repeated rows, ids with two languages, null ids."""
+    rows = [(i, chr(0x4E00 + i // 2) * 20, f"l{i // 2:03d}") for i in range(500)] + [(1, "other text", None), (None, "no id", "zz")] + [(7, chr(0x4E00 + 3) * 20, "l003")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.sample(docs)
+    assert sample.count() == 500
+    assert len(language_id.fit(sample).names) == 250
+
+
+def test_samples_of_repeated_ids(spark):
+    """An id is one example, with the label that is its own, however many rows and texts it has."""
+    docs = spark.createDataFrame([(1, "a")] * 1000 + [(1, "b"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0), (None, 1), (9, 1), (2, None)], "doc_id long, good int")
+    got = labelled_sample(docs, labels, "good", 10).collect()
+    assert sorted((r.doc_id, r.label) for r in got) == [(1, 1), (2, 0), (3, 0)]
+    assert labelled_sample(docs, labels, "good", 10, class_bytes=0).count() == 2  # the first of each class
+    assert labelled_sample(docs, labels, "good", 1).count() == 2
+
+
+def test_empty_tables_and_null_ids(spark, docs, labels):
+    none, one = docs.limit(0), docs.sparkSession.createDataFrame([(None, "some words")], "doc_id long, text string")
+    for model, apply in (
+        (quality.fitted(docs, labels, 50), quality.score), (toxicity.fit(labelled_sample(docs, labels, "toxic", 50)), toxicity.grade),
+        (language_id.fit(language_id.sample(docs, 20)), language_id.predict),
+    ):
+        assert apply(none, model).count() == 0 and apply(one, model).count() == 1
+    from terrane.llm.common import in_fold
+
+    assert [r[0] for r in one.select(in_fold("doc_id", 3, 1)).collect()] == [False]
+
+
 def test_kernel_is_the_share_of_common_ngrams():
-    import numpy as np
     import pyarrow as pa
 
     from terrane.llm.common import flat_text
