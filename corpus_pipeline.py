@@ -2,7 +2,9 @@
 
 ``STAGES`` are (name, function) pairs. Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``docs``. Between stages the rows are written as Parquet to the folder that the cluster shares
-(``spark.checkpoint.dir``) and read again, so a lost executor costs no earlier stage.
+(``spark.checkpoint.dir``) and read again, so a lost executor costs no earlier stage; what a stage wrote goes when the next one
+has written. The last stage's input stays, as its result is read from there. Checkpoints go with the DataFrames they belong
+to where the session sets ``spark.cleaner.referenceTracking.cleanCheckpoints``.
 """
 
 from __future__ import annotations
@@ -28,13 +30,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: texts whose five-word shingles are alike to 0.8 or more."""
+    """One document of each group of near copies, the one with the least id; rows without an id stay.
+
+    Groups are linked by a likeness of 0.8 or more (Jaccard) of five-word shingles.
+    """
     make_importable(spark)
     return simhash.without_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 100 bytes that start earlier too."""
+    """Texts without strings of 100 bytes that start earlier too. A column ``n_chars`` gets the new number of characters."""
     make_importable(spark)
     out = suffix_dedup.without_repeats(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
@@ -70,4 +75,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if 0 < k < len(STAGES) - 1:
+            _remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
