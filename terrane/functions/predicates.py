@@ -123,9 +123,10 @@ def is_in_range(v: Column, low: Column, high: Column) -> Column:
 
 
 def is_valid_epsg(v: Column) -> Column:
-    """Whole numbers only, as text or number; numbers with a fraction are cut off."""
+    """Codes from 1024 to 32767. Texts must be whole numbers; of numbers, a fraction is cut off."""
     text = F.trim(v.cast("string"))
-    code = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
+    whole = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
+    code = F.when(F.typeof(v).rlike("^(float|double|decimal)"), v.try_cast("double").try_cast("long")).otherwise(whole)
     return F.coalesce(code.between(1024, 32767), F.lit(False))
 
 

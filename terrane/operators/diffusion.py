@@ -44,18 +44,32 @@ def _steps(n: int, strength: float, k: float):
 def diffuse(cells: DataFrame, nodata: float | None, steps: int = 5, strength: float = 0.2, k: float = 1.0, tile: int = TILE) -> DataFrame:
     """Every cell with its value z and its value after ``steps`` steps, smoothed (z where there is no valid value)."""
     keys = [c for c in ("grid_id", "r", "c") if c in cells.columns]
-    now, left = cells.select(*keys, "z", is_valid(F.col("z"), nodata).alias("__ok")), steps
+    now, left = cells.select(*keys, "z", F.col("z").alias("z0"), is_valid(F.col("z"), nodata).alias("__ok")), steps
     while left:
         n = min(left, STEPS_AT_ONCE)
-        out = halo_map(now, _steps(n, strength, k), n, tile, "if(__ok, 2, 1)", "smoothed")
+        out = halo_map(now, _steps(n, strength, k), n, tile, "if(__ok, 2, 1)", "smoothed", ("z0",))
         left -= n
         if left:
-            now = cut(out.select(*keys, F.col("smoothed").alias("z"), (~F.isnan("smoothed")).alias("__ok")))
-    return cells.select(*keys, "z").join(out, keys).select(*keys, "z", F.coalesce(F.nanvl("smoothed", F.lit(None)), "z").alias("smoothed"))
+            now = cut(out.select(*keys, F.col("smoothed").alias("z"), "z0", (~F.isnan("smoothed")).alias("__ok")))
+    return out.select(*keys, F.col("z0").alias("z"), F.coalesce(F.nanvl("smoothed", F.lit(None)), "z0").alias("smoothed"))
 
 
-def neighbours(cells: DataFrame, column: str = "x") -> DataFrame:
-    """A dense grid with the values to the north, south, west and east of each cell: columns n, s, w, e."""
+def _sides(values: np.ndarray, flags: np.ndarray, halo: int) -> list[np.ndarray]:
+    return [values[:-2, 1:-1], values[2:, 1:-1], values[1:-1, :-2], values[1:-1, 2:]]
+
+
+def neighbours(cells: DataFrame, column: str = "x", tile: int = TILE) -> DataFrame:
+    """A grid with the values to the north, south, west and east of each cell: columns n, s, w, e; null where there is none."""
+    keys = [c for c in ("grid_id", "r", "c") if c in cells.columns]
+    others = tuple(c for c in cells.columns if c not in keys)
+    sent = cells if column == "z" else cells.withColumn("z", F.col(column)) if "z" not in cells.columns else cells.withColumnRenamed("z", "z__").withColumn("z", F.col(column))
+    names = {c: "z__" if c == "z" and column != "z" else c for c in others}
+    out = halo_map(sent, _sides, 1, tile, "1", ["n", "s", "w", "e"], tuple(names.values()))
+    return out.select(*keys, *[F.col(names[c]).alias(c) for c in others], *[F.nanvl(x, F.lit(None)).alias(x) for x in ("n", "s", "w", "e")])
+
+
+def neighbours_by_windows(cells: DataFrame, column: str = "x") -> DataFrame:
+    """The same as :func:`neighbours` on a dense grid in SQL windows over whole rows and columns, for tests."""
     keys = [c for c in ("grid_id",) if c in cells.columns]
     down, across = Window.partitionBy(*keys, "c").orderBy("r"), Window.partitionBy(*keys, "r").orderBy("c")
     return cells.select(
@@ -65,11 +79,11 @@ def neighbours(cells: DataFrame, column: str = "x") -> DataFrame:
 
 
 def diffuse_by_windows(cells: DataFrame, nodata: float | None, steps: int = 1, strength: float = 0.2, k: float = 1.0) -> DataFrame:
-    """The same as :func:`diffuse` in SQL windows, for a few steps on a dense grid."""
+    """The same as :func:`diffuse` on a dense grid in SQL windows, for tests."""
     keys = [c for c in ("grid_id", "r", "c") if c in cells.columns]
     now = cells.select(*keys, "z", F.when(is_valid(F.col("z"), nodata), F.col("z")).alias("x"))
     for _ in range(steps):
-        near = neighbours(now)
+        near = neighbours_by_windows(now)
         flows = []
         for side in ("n", "s", "w", "e"):
             g = F.col(side) - F.col("x")

@@ -26,26 +26,42 @@ def _middle(stack: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.where(n % 2 == 1, high, (low + high) * 0.5), np.nan)
 
 
-def _flags(window: int, threshold: float):
+def _windows(values: np.ndarray, flags: np.ndarray, window: int):
+    """First row, centre values, number of values, median and MAD of the windows of a few rows at a time."""
     half = window // 2
+    z = np.where(flags == 2, values, np.nan)
+    views = np.lib.stride_tricks.sliding_window_view(z, (window, window))
+    rows = max(1, (1 << 20) // max(1, views.shape[1] * window * window))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for at in range(0, views.shape[0], rows):
+            part = views[at : at + rows]
+            stack = part.reshape(*part.shape[:2], -1).transpose(2, 0, 1)
+            n = (~np.isnan(stack)).sum(axis=0)
+            median = _middle(stack, n)
+            spread = np.abs(stack - median)
+            # infinite values can make a deviation that is no number: then there is no MAD
+            mad = np.where((~np.isnan(spread)).sum(axis=0) == n, _middle(spread, n), np.nan)
+            yield at, part[:, :, half, half], n, median, mad
+
 
+def _flags(window: int, threshold: float):
     def kernel(values: np.ndarray, flags: np.ndarray, halo: int) -> np.ndarray:
-        z = np.where(flags == 2, values, np.nan)
-        views = np.lib.stride_tricks.sliding_window_view(z, (window, window))
-        out = np.zeros(views.shape[:2])
-        rows = max(1, (1 << 20) // max(1, views.shape[1] * window * window))
-        with np.errstate(invalid="ignore", divide="ignore"):
-            for at in range(0, views.shape[0], rows):
-                part = views[at : at + rows]
-                stack = part.reshape(*part.shape[:2], -1).transpose(2, 0, 1)
-                n = (~np.isnan(stack)).sum(axis=0)
-                centre = part[:, :, half, half]
-                median = _middle(stack, n)
-                spread = np.abs(stack - median)
-                # infinite values can make a deviation that is no number: then there is no MAD
-                mad = np.where((~np.isnan(spread)).sum(axis=0) == n, _middle(spread, n), np.nan)
+        out = np.zeros((values.shape[0] - 2 * halo, values.shape[1] - 2 * halo))
+        for at, centre, n, median, mad in _windows(values, flags, window):
+            with np.errstate(invalid="ignore", divide="ignore"):
                 score = np.abs(centre - median) / mad
-                out[at : at + rows] = (n >= LEAST_CELLS) & (mad >= LEAST_MAD) & (score > threshold)
+                out[at : at + len(n)] = (n >= LEAST_CELLS) & (mad >= LEAST_MAD) & (score > threshold)
+        return out
+
+    return kernel
+
+
+def _statistics(window: int):
+    def kernel(values: np.ndarray, flags: np.ndarray, halo: int) -> list[np.ndarray]:
+        out = [np.zeros((values.shape[0] - 2 * halo, values.shape[1] - 2 * halo)) for _ in range(3)]
+        for at, _, *found in _windows(values, flags, window):
+            for whole, part in zip(out, found, strict=True):
+                whole[at : at + len(part)] = part
         return out
 
     return kernel
@@ -62,7 +78,7 @@ def flag_outliers(cells: DataFrame, nodata: float | None, window: int = 3, thres
 def window_values(cells: DataFrame, nodata: float | None, window: int = 3) -> DataFrame:
     """For each cell, the sorted values of the valid cells around it, for statistics in SQL: r, c, vals.
 
-    Every valid cell is sent to all cells whose window holds it; use :func:`flag_outliers` for large windows.
+    Every valid cell is sent to all cells whose window holds it; use :func:`local_statistics` for large grids and windows.
     """
     half = window // 2
     keys = [c for c in ("grid_id",) if c in cells.columns]
@@ -72,13 +88,21 @@ def window_values(cells: DataFrame, nodata: float | None, window: int = 3) -> Da
     return sent.groupBy(*keys, "r", "c").agg(F.array_sort(F.collect_list("z")).alias("vals"))
 
 
+def local_statistics(cells: DataFrame, nodata: float | None, window: int = 3, tile: int = TILE) -> DataFrame:
+    """Median and MAD around each cell with data: r, c, z, n, med, mad. ``window`` is odd."""
+    keys = [c for c in ("grid_id", "r", "c") if c in cells.columns]
+    marked = cells.withColumn("__flag", F.when(is_void(F.col("z"), nodata), 1).otherwise(2)).withColumn("__void", F.col("__flag") == 1)
+    out = halo_map(marked, _statistics(window), window // 2, tile, "__flag", ["n", "med", "mad"], ("z", "__void"))
+    return out.where("not __void and n > 0").select(*keys, "z", F.col("n").cast("long").alias("n"), "med", F.nanvl("mad", F.lit(None)).alias("mad"))
+
+
 def _median(values):
     n = F.size(values)
     return (F.get(values, ((n - 1) / 2).cast("int")) + F.get(values, (n / 2).cast("int"))) / 2
 
 
-def local_statistics(cells: DataFrame, nodata: float | None, window: int = 3) -> DataFrame:
-    """Median and MAD around each cell with data: r, c, z, n, med, mad."""
+def local_statistics_by_rows(cells: DataFrame, nodata: float | None, window: int = 3) -> DataFrame:
+    """The same as :func:`local_statistics` in SQL, every cell being sent to all cells around it: for tests and small grids."""
     keys = [c for c in ("grid_id", "r", "c") if c in cells.columns]
     data = cells.where(~is_void(F.col("z"), nodata)).join(window_values(cells, nodata, window), keys)
     data = data.withColumn("med", _median(F.col("vals")))

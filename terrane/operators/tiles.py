@@ -17,8 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TILE = 256
-#: What a kernel gets: values (NaN where there is no cell), flags (0: no cell), and the halo; it returns the inner area.
-Kernel = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+#: What a kernel gets: values (NaN where there is no cell), flags (0: no cell), and the halo; it returns the inner area,
+#: or several such arrays.
+Kernel = Callable[[np.ndarray, np.ndarray, int], np.ndarray | list[np.ndarray]]
 
 
 def _spread(place: Column, halo: int, tile: int) -> Column:
@@ -26,13 +27,16 @@ def _spread(place: Column, halo: int, tile: int) -> Column:
     return F.sequence(F.floor(first / tile), F.floor((place + halo) / tile))
 
 
-def halo_map(cells: DataFrame, kernel: Kernel, halo: int, tile: int = TILE, flag: str = "1", name: str = "out") -> DataFrame:
-    """Run ``kernel`` over ``cells`` (r, c, z and perhaps grid_id); result: the same keys and the kernel's value.
+def halo_map(
+    cells: DataFrame, kernel: Kernel, halo: int, tile: int = TILE, flag: str = "1", name: str | list[str] = "out", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Run ``kernel`` over ``cells`` (r, c, z and perhaps grid_id); result: the same keys, ``carry`` and the kernel's values.
 
-    ``flag`` is an SQL expression of a small integer that goes along with each cell, 1 or more.
+    ``flag`` is an SQL expression of a small integer that goes along with each cell, 1 or more. With a list of names, the
+    kernel returns an array for each. Columns named in ``carry`` come back with their cells, so no join is needed for them.
     """
-    keys = [c for c in ("grid_id",) if c in cells.columns]
-    sent = cells.select(*keys, "r", "c", "z", F.expr(flag).cast("byte").alias("flag"))
+    keys, names = [c for c in ("grid_id",) if c in cells.columns], [name] if isinstance(name, str) else name
+    sent = cells.select(*keys, "r", "c", "z", F.expr(flag).cast("byte").alias("flag"), *[F.col(c).alias(f"carried_{c}") for c in carry])
     sent = sent.withColumn("tr", F.explode(_spread(F.col("r"), halo, tile)))
     sent = sent.withColumn("tc", F.explode(_spread(F.col("c"), halo, tile)))
 
@@ -48,9 +52,12 @@ def halo_map(cells: DataFrame, kernel: Kernel, halo: int, tile: int = TILE, flag
         flags[r - r0, c - c0] = table.column("flag").to_numpy()
         out = kernel(values, flags, halo)
         mine = (r >= tr * tile) & (r < (tr + 1) * tile) & (c >= tc * tile) & (c < (tc + 1) * tile)
-        got = out[r[mine] - tr * tile, c[mine] - tc * tile]
+        at = r[mine] - tr * tile, c[mine] - tc * tile
         columns = {k: pa.array([key[i]] * int(mine.sum()), key[i].type) for i, k in enumerate(keys)}
-        return pa.table({**columns, "r": r[mine], "c": c[mine], name: pa.array(got.astype(np.float64), from_pandas=False)})
+        columns |= {"r": r[mine], "c": c[mine]} | {x: table.column(f"carried_{x}").filter(pa.array(mine)) for x in carry}
+        got = [out] if isinstance(name, str) else out
+        return pa.table(columns | {n: pa.array(x[at].astype(np.float64), from_pandas=False) for n, x in zip(names, got, strict=True)})
 
     kinds = "".join(f"{k} {dict(cells.dtypes)[k]}, " for k in keys)
-    return sent.groupBy(*keys, "tr", "tc").applyInArrow(run, f"{kinds}r long, c long, {name} double")
+    more = "".join(f", {x} {dict(cells.dtypes)[x]}" for x in carry) + "".join(f", {n} double" for n in names)
+    return sent.groupBy(*keys, "tr", "tc").applyInArrow(run, f"{kinds}r long, c long{more}")

@@ -1,12 +1,15 @@
 """Void cells: connected regions, their classes, and the filling of small ones.
 
 Grids are cells (r, c, z and perhaps grid_id). Regions are joined along rows and columns (four neighbours). Void cells of
-a row that touch are first taken together as runs, so the graph has runs for nodes, and an edge where runs of neighbouring
-rows overlap; its components are found by repeated grouped minima.
+a row that touch are first taken together as runs. The grid is cut into bands of rows of bounded size; each band joins its
+own runs in one task. What is left is a small graph: an edge where runs overlap at the border of two bands; its components
+are found by repeated grouped minima.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,16 +31,64 @@ def void_runs(cells: DataFrame, nodata: float | None) -> DataFrame:
     ).drop("run")
 
 
-def void_regions(cells: DataFrame, nodata: float | None, width: int) -> DataFrame:
+#: Cells of a band.
+BAND_CELLS = 1 << 20
+#: Columns of a stretch in which the runs of two bands meet.
+STRETCH = 256
+
+
+def _joined(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
+    """The least run (by place) that each run is connected with. Runs are in order of r and c0."""
+    wide = int(c1.max()) + 2
+    # runs of the next row that overlap: from the first that ends at c0 or later to the last that begins at c1 or before
+    low = np.searchsorted(r * wide + c1, (r + 1) * wide + c0)
+    high = np.searchsorted(r * wide + c0, (r + 1) * wide + c1, "right")
+    count = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(r)), count)
+    b = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+    label = np.arange(len(r))
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label != label[label]).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
+def _band_runs(key, table):
+    r, c = table.column("r").to_numpy(), table.column("c").to_numpy()
+    by = np.lexsort((c, r))
+    r, c = r[by], c[by]
+    new = np.append(True, (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1))
+    first = np.flatnonzero(new)
+    r, c0, c1 = r[first], c[first], c[np.append(first[1:], len(c)) - 1]
+    label = _joined(r, c0, c1)
+    n = len(first)
+    return pa.table(
+        {"grid_id": pa.array([key[0].as_py()] * n, pa.string()), "band": pa.array([key[1].as_py()] * n, pa.int64()), "r": r, "c0": c0, "c1": c1, "lr": r[label], "lc": c0[label]}
+    )
+
+
+def void_regions(cells: DataFrame, nodata: float | None, width: int, band_cells: int = BAND_CELLS) -> DataFrame:
     """The run table with each run's region: grid_id, r, c0, c1, root. ``width``: columns of the widest grid.
 
     ``root`` is the least run of the region, as r * width + c0, so regions are in the order of their first cells.
     """
-    runs = cut(void_runs(cells, nodata).withColumn("node", F.col("r") * width + F.col("c0")))
-    a, b = runs.alias("a"), runs.alias("b")
-    edges = a.join(
-        b,
-        (F.col("a.grid_id") == F.col("b.grid_id")) & (F.col("a.r") + 1 == F.col("b.r"))
+    rows = max(1, band_cells // max(1, width))
+    voids = _grid(cells).where(is_void(F.col("z"), nodata)).select(F.col("grid_id").cast("string").alias("grid_id"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
+    banded = voids.groupBy("grid_id", F.floor(F.col("r") / rows).alias("band")).applyInArrow(
+        _band_runs, "grid_id string, band long, r long, c0 long, c1 long, lr long, lc long"
+    )
+    runs = cut(banded.select("grid_id", "band", "r", "c0", "c1", (F.col("lr") * width + F.col("lc")).alias("node")))
+    # meeting by stretches of columns too, so that a wide row is not compared with all of the next
+    met = runs.withColumn("at", F.explode(F.sequence(F.floor(F.col("c0") / STRETCH), F.floor(F.col("c1") / STRETCH))))
+    last, first = met.where(F.col("r") % rows == rows - 1).alias("a"), met.where(F.col("r") % rows == 0).alias("b")
+    edges = last.join(
+        first,
+        (F.col("a.grid_id") == F.col("b.grid_id")) & (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.at") == F.col("b.at"))
         & (F.col("a.c0") <= F.col("b.c1")) & (F.col("b.c0") <= F.col("a.c1")),
     ).select(F.col("a.grid_id").alias("grid_id"), F.col("b.node").alias("a"), F.col("a.node").alias("b"))
     roots = connected_components(edges)
@@ -90,7 +141,7 @@ def screened(cells: DataFrame, void_cells: DataFrame, fills: DataFrame) -> DataF
     Cells of small regions that could not be filled keep their value and have the medium class.
     """
     keys = ["grid_id", "r", "c"]
-    joined = _grid(cells).join(void_cells.select(*keys, "void_class"), keys, "left").join(fills, keys, "left")
+    joined = _grid(cells).join(void_cells.select(*keys, "void_class").join(fills, keys, "left"), keys, "left")
     kind = (
         F.when(F.col("void_class").isNull(), VALID)
         .when((F.col("void_class") == SMALL) & F.col("fill").isNull(), MEDIUM)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrane.functions import layers
 from terrane.functions import predicates as P
 from terrane.operators import diffusion, outliers, voids
-from terrane.plans import screening, smoothing
+from terrane.plans import outputs, screening, smoothing
 from terrane.sources.grids import NODATA, embedding_grid, event_grid, order_grid
 
 GRIDS = {"g1": embedding_grid, "g2": event_grid, "g3": order_grid}
@@ -204,9 +205,9 @@ def local_median_3(spark, d):
 
 
 @_each(["g1", "g2"], _windowed(3, """, rate AS (SELECT count(*) FILTER (n >= 3 AND mad >= 1e-10 AND abs(z - med) / mad > 3.0) AS cells_flagged, (SELECT count(*) FROM {g}) AS total FROM local)
- SELECT cells_flagged, round(100.0::DOUBLE * cells_flagged / total, 4) AS cells_flagged_pct,
- CASE WHEN cells_flagged = 0 THEN 'none' WHEN round(100.0::DOUBLE * cells_flagged / total, 4) < 0.1 THEN 'very_low' WHEN round(100.0::DOUBLE * cells_flagged / total, 4) < 1 THEN 'low'
- WHEN round(100.0::DOUBLE * cells_flagged / total, 4) < 5 THEN 'moderate' ELSE 'high' END AS band FROM rate"""))
+ SELECT cells_flagged, round_even(100.0::DOUBLE * cells_flagged / total, 4) AS cells_flagged_pct,
+ CASE WHEN cells_flagged = 0 THEN 'none' WHEN round_even(100.0::DOUBLE * cells_flagged / total, 4) < 0.1 THEN 'very_low' WHEN round_even(100.0::DOUBLE * cells_flagged / total, 4) < 1 THEN 'low'
+ WHEN round_even(100.0::DOUBLE * cells_flagged / total, 4) < 5 THEN 'moderate' ELSE 'high' END AS band FROM rate"""))
 def artifact_rate_GRID(g, spark, d):
     return screening.artifact_rate(outliers.flag_outliers(GRIDS[g](spark, d), NODATA)).select("cells_flagged", "cells_flagged_pct", "band")
 
@@ -249,8 +250,7 @@ for _s in (1, 2, 5):
 
     @_each(["g1", "g2"], _diffused(_s) + " SELECT r, c, round(smoothed, 6) AS smoothed FROM smooth")
     def diffusion_GRID(g, spark, d, n=_s):
-        how = diffusion.diffuse if n == 5 else diffusion.diffuse_by_windows
-        return how(GRIDS[g](spark, d), NODATA, n, STRENGTH, EDGE[g]).select("r", "c", F.round("smoothed", 6).alias("smoothed"))
+        return diffusion.diffuse(GRIDS[g](spark, d), NODATA, n, STRENGTH, EDGE[g]).select("r", "c", F.round("smoothed", 6).alias("smoothed"))
 
     for _g in ("g1", "g2"):
         _QUERIES[f"diffusion_{_s}_{_g}"], _SQL[f"diffusion_{_s}_{_g}"] = _QUERIES.pop(f"diffusion_{_g}"), _SQL.pop(f"diffusion_{_g}")
@@ -310,19 +310,22 @@ def resolution_scale(spark, d):
     return rows.select("res_x", "res_y", F.round(P.resolution_factor(F.col("res_x"), F.col("res_y")), 6).alias("factor"))
 
 
+#: The kinds of sources once more, for the SQL.
+_SOURCES = """(0, 'Auto-detect', NULL), (1, 'LiDAR bare-earth (DTM)', 0.15), (2, 'LiDAR surface model (DSM, uncorrected)', 0.4), (3, 'SRTM (30m / 90m)', 4.0),
+ (4, 'Copernicus GLO-30', 4.0), (5, 'FABDEM / FathomDEM / GEDTM30', 1.5), (6, 'Aerial photogrammetry', 0.75), (7, 'Unknown / Other', 5.0)"""
 _ASKS = [(code, user) for code in range(9) for user in (-1.0, 0.0, 2.5)]
 
 
 @_query("source_rmse", f"""SELECT q.code, CAST(q.user_rmse AS DOUBLE) AS user_rmse,
  CAST(coalesce(CASE WHEN q.user_rmse > 0 THEN q.user_rmse END, t.rmse, 5.0) AS DOUBLE) AS rmse,
  CASE WHEN q.user_rmse > 0 THEN 'user' WHEN q.code = 0 THEN 'auto_default' ELSE 'source_type' END AS rmse_source
- FROM (VALUES {_values(_ASKS)}) AS q(code, user_rmse) LEFT JOIN (VALUES {_values([(c, r) for c, _, r in P.SOURCE_TYPES])}) AS t(code, rmse) ON t.code = q.code""")
+ FROM (VALUES {_values(_ASKS)}) AS q(code, user_rmse) LEFT JOIN (VALUES {_SOURCES}) AS t(code, label, rmse) ON t.code = q.code""")
 def source_rmse(spark, d):
     return P.with_rmse(spark.createDataFrame(_ASKS, "code int, user_rmse double"), P.source_types(spark))
 
 
 @_query("source_notes", f"""SELECT code, label, CASE WHEN code IN (1, 5) THEN 'bias_correction' WHEN code = 2 THEN 'lidar_ground_filter' ELSE 'none' END AS note
- FROM (VALUES {_values([(c, x) for c, x, _ in P.SOURCE_TYPES])}) AS t(code, label)""")
+ FROM (VALUES {_SOURCES}) AS t(code, label, rmse)""")
 def source_notes(spark, d):
     return P.source_types(spark).select("code", "label", P.source_notes(F.col("code")).alias("note"))
 
@@ -356,6 +359,97 @@ def validation_truth_table(spark, d):
     )
 
 
+_NUMBERS = [4326.0, 4326.9, 1023.9, 1024.0, 32767.5, 32768.0, -4326.0, 0.0, 5.5, 10.0, 10.5]
+
+
+@_query("validation_of_numbers", f"""SELECT CAST(v AS DOUBLE) AS v, v > 0 AS positive, v BETWEEN 0 AND 10 AS in_range, trunc(v) BETWEEN 1024 AND 32767 AS epsg
+ FROM (VALUES {_values([(x,) for x in _NUMBERS])}) AS t(v)""")
+def validation_of_numbers(spark, d):
+    v = F.col("v")
+    return spark.createDataFrame([(x,) for x in _NUMBERS], "v double").select(
+        "v", P.is_positive_number(v).alias("positive"), P.is_in_range(v, F.lit(0), F.lit(10)).alias("in_range"), P.is_valid_epsg(v).alias("epsg")
+    )
+
+
+_CHECKED = ("nation", "documents", "embeddings", "conversations")
+
+
+@_query("field_names", f"""SELECT table_name, column_name, column_name IN ('doc_id', 'n_name') AS wanted FROM information_schema.columns
+ WHERE table_name IN {_CHECKED!r} AND table_schema = 'main'""")
+def field_names(spark, d):
+    rows = [(t, c, c in ("doc_id", "n_name")) for t in _CHECKED for c in layers.field_names(spark.read.parquet(f"{d}/{t}.parquet"))]
+    return spark.createDataFrame(rows, "table_name string, column_name string, wanted boolean")
+
+
+#: Well-known binary of points, lines and polygons, of either byte order, with and without Z, and what is none.
+_SHAPES = ["0101000000", "0000000002", "0103000000", "01E9030000", "00000003EB", "0104000000", "0105000000", "0106000000", "0101000080", "0107000000", "01", ""]
+
+
+@_query("shape_kinds", f"""SELECT h, k IN (1, 4) AS point, k IN (2, 5) AS line, k IN (3, 6) AS polygon FROM (SELECT h, coalesce(CASE
+ WHEN length(h) < 10 THEN 0 WHEN h[1:2] = '01' THEN (CAST('0x' || h[9:10] || h[7:8] || h[5:6] || h[3:4] AS BIGINT) & 268435455) % 1000
+ ELSE (CAST('0x' || h[3:10] AS BIGINT) & 268435455) % 1000 END, 0) AS k FROM (VALUES {_values([(x,) for x in _SHAPES])}) AS t(h))""")
+def shape_kinds(spark, d):
+    wkb = F.unhex("h")
+    return spark.createDataFrame([(x,) for x in _SHAPES], "h string").select("h", layers.is_point(wkb).alias("point"), layers.is_line(wkb).alias("line"), layers.is_polygon(wkb).alias("polygon"))
+
+
+# --- outputs as they are stored
+
+
+def _screened(spark, d):
+    return screening.screen(embedding_grid(spark, d), screening.Header(64, 0, NODATA, name="g1"), screening.Parameters())
+
+
+def _smoothed(spark, d):
+    return smoothing.smooth(embedding_grid(spark, d), smoothing.Parameters(edge_threshold=5.0, resolution_scale=False), NODATA, 1.0, 1.0, "g1")
+
+
+_G1_REGIONS = "WITH RECURSIVE {grid}, ".format(grid=_G1) + (_REGIONS + _FILLS).format(g="g1", width=64)
+_G1_LOCAL = "WITH {grid}, ".format(grid=_G1) + _GATHER.format(g="g1", h=1)
+_G1_CHANGE = (_diffused(5) + _CHANGE).format(g="g1", grid=_G1, k=5.0, tol="5e-9")
+
+
+@_query("sink_screened", _G1_REGIONS + " SELECT r, c, round(CAST(z AS DOUBLE), 6) AS value FROM screened")
+def sink_screened(spark, d):
+    return outputs.recoded(_screened(spark, d), "screened", "screening").withColumn("value", F.round("value", 6))
+
+
+@_query("sink_void_mask", _G1_REGIONS + " SELECT r, c, void_class AS value FROM screened")
+def sink_void_mask(spark, d):
+    return outputs.recoded(_screened(spark, d), "void_mask", "screening")
+
+
+@_query("sink_artifact_mask", _G1_LOCAL + """ SELECT g1.r, g1.c, CAST(coalesce(n >= 3 AND mad >= 1e-10 AND abs(local.z - med) / mad > 3.0, false) AS SMALLINT) AS value
+ FROM g1 LEFT JOIN local ON local.r = g1.r AND local.c = g1.c""")
+def sink_artifact_mask(spark, d):
+    return outputs.recoded(_screened(spark, d), "artifacts", "screening")
+
+
+@_query("sink_smoothed", _G1_CHANGE + " SELECT r, c, round(CAST(CAST(smoothed AS FLOAT) AS DOUBLE), 3) AS value FROM change")
+def sink_smoothed(spark, d):
+    return outputs.recoded(_smoothed(spark, d), "smoothed", "smoothing").withColumn("value", F.round(F.col("value").cast("double"), 3))
+
+
+@_query("sink_difference", _G1_CHANGE + " SELECT r, c, round(CAST(CAST(CASE WHEN changed = 255 THEN -9999.0 ELSE diff END AS FLOAT) AS DOUBLE), 3) AS value FROM change")
+def sink_difference(spark, d):
+    return outputs.recoded(_smoothed(spark, d), "difference", "smoothing").withColumn("value", F.round(F.col("value").cast("double"), 3))
+
+
+@_query("sink_smoothing_mask", _G1_CHANGE + " SELECT r, c, CAST(changed AS SMALLINT) AS value FROM change")
+def sink_smoothing_mask(spark, d):
+    return outputs.recoded(_smoothed(spark, d), "mask", "smoothing")
+
+
+@_query("void_split", f"""WITH {_G1} SELECT side, count(*) AS cells, round(sum(c), 6) AS columns FROM (SELECT c, CASE WHEN z = -9999.0 THEN 'void' ELSE 'data' END AS side FROM g1)
+ GROUP BY side""")
+def void_split(spark, d):
+    """Cells that lie in a run of voids and those that do not, by a semi and an anti join."""
+    cells = embedding_grid(spark, d)
+    inside = voids.void_runs(cells, NODATA).select("r", F.explode(F.sequence("c0", "c1")).alias("c"))
+    parts = [cells.join(inside, ["r", "c"], how).withColumn("side", F.lit(side)) for how, side in (("left_semi", "void"), ("left_anti", "data"))]
+    return parts[0].union(parts[1]).groupBy("side").agg(F.count("*").alias("cells"), F.sum("c").cast("double").alias("columns"))
+
+
 # --- whole tools
 
 
@@ -373,14 +467,36 @@ def provenance_json(spark, d):
     return done["provenance"].select(doc.alias("p")).select("p.stage_0.void_summary.*", "p.stage_1.mad_filter.cells_flagged")
 
 
-@_query("screening_report")
+_SCREENING_LINES = """, s AS (SELECT (SELECT count(*) FROM g1) AS cells, (SELECT count(*) FROM g1 WHERE z = -9999.0) AS void_cells, (SELECT count(*) FROM region) AS regions,
+ (SELECT coalesce(sum(size_cells), 0) FROM region WHERE void_class = 1) AS small, (SELECT coalesce(sum(size_cells), 0) FROM region WHERE void_class = 2) AS medium,
+ (SELECT coalesce(sum(size_cells), 0) FROM region WHERE void_class = 3) AS large, (SELECT count(*) FROM region WHERE void_class = 3) AS larges,
+ (SELECT count(*) FROM local WHERE n >= 3 AND mad >= 1e-10 AND abs(z - med) / mad > 3.0) AS flagged),
+ line AS (SELECT 10 AS at, 0 AS k, printf('  void cells: %d (%.4f %%) in %d regions', void_cells, 100.0::DOUBLE * void_cells / cells, regions) AS line FROM s
+ UNION ALL SELECT 11, 0, printf('  in small regions, filled where possible: %d', CAST(small AS BIGINT)) FROM s UNION ALL SELECT 12, 0, printf('  in medium regions, flagged: %d', CAST(medium AS BIGINT)) FROM s
+ UNION ALL SELECT 13, 0, printf('  in large regions, reported: %d', CAST(large AS BIGINT)) FROM s UNION ALL SELECT 14, 0, printf('LARGE REGIONS: %d', larges) FROM s WHERE larges > 0
+ UNION ALL SELECT 15, region_id, printf('  region %d: %d cells, rows %d to %d, columns %d to %d', region_id, size_cells, row_min, row_max, col_min, col_max) FROM region WHERE void_class = 3
+ UNION ALL SELECT 17, 0, printf('  flagged: %d (%.4f %% of all cells), rate: %s', flagged, round_even(100.0::DOUBLE * flagged / cells, 4),
+  CASE WHEN flagged = 0 THEN 'none' WHEN 100.0 * flagged / cells < 0.1 THEN 'very_low' WHEN 100.0 * flagged / cells < 1 THEN 'low' WHEN 100.0 * flagged / cells < 5 THEN 'moderate' ELSE 'high' END) FROM s)
+ SELECT row_number() OVER (ORDER BY at, k) AS nth, line FROM line"""
+
+
+@_query("screening_report", "WITH RECURSIVE {grid}, ".format(grid=_G1) + (_REGIONS + ", " + _GATHER).format(g="g1", width=64, h=1) + _SCREENING_LINES)
 def screening_report(spark, d):
-    return screening.screen(embedding_grid(spark, d), screening.Header(64, 0, NODATA), screening.Parameters())["report"]
+    """The lines of the report that hold numbers."""
+    lines = _screened(spark, d)["report"].where(r"line rlike '^(  (void cells|in (small|medium|large) regions|region \\d+|flagged):?)|^LARGE'").where("line not like '  in the%'")
+    return lines.select(F.row_number().over(Window.orderBy("line_no")).cast("long").alias("nth"), "line")
 
 
-@_query("smoothing_report")
+@_query("smoothing_report", _G1_CHANGE + """, s AS (SELECT count(*) AS valid, count(*) FILTER (changed = 1) AS moved, avg(z) AS mean, median(z) AS median, max(abs(diff)) AS largest,
+ avg(abs(diff)) AS mean_change, min(diff) AS low, max(diff) AS high FROM change WHERE changed <> 255),
+ line AS (SELECT 1 AS nth, printf('  valid cells: %d, mean %.4f, median %.4f', valid, mean, median) AS line FROM s
+ UNION ALL SELECT 2, '  effective strength: 0.200000, scale factor 1.000000' UNION ALL SELECT 3, printf('  changed: %d (%.4f %% of valid cells)', moved, 100.0::DOUBLE * moved / valid) FROM s
+ UNION ALL SELECT 4, printf('  largest change: %.6f, mean %.6f', largest, mean_change) FROM s UNION ALL SELECT 5, printf('  range of change: %.6f to %.6f', low, high) FROM s)
+ SELECT CAST(nth AS BIGINT) AS nth, line FROM line""")
 def smoothing_report(spark, d):
-    return smoothing.smooth(embedding_grid(spark, d), smoothing.Parameters(edge_threshold=5.0), NODATA, 1.0, 1.0)["report"]
+    """The lines of the report that hold numbers."""
+    lines = _smoothed(spark, d)["report"].where("line rlike '^  (valid cells|effective|changed|largest change|range)'")
+    return lines.select(F.row_number().over(Window.orderBy("line_no")).cast("long").alias("nth"), "line")
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -67,7 +68,8 @@ class Registry:
         self._groups.clear()
 
     def run(self, which: str, *args, **kwargs) -> dict[str, DataFrame]:
-        """Run ``group:name``; its jobs carry that tag, so :func:`cancel` can stop them from another thread."""
+        """Run ``group:name``. The jobs that this starts at once carry that tag; results are lazy, so put what
+        reads or writes them under :func:`tagged`, and :func:`cancel` can stop it from another thread."""
         group, _, name = which.partition(":")
         found = [op for op in (self._groups[group].operators if group in self._groups else []) if op.name == name]
         if not found:
@@ -75,26 +77,29 @@ class Registry:
         return found[0].run(*args, **kwargs)
 
 
+@contextlib.contextmanager
+def tagged(spark, which: str):
+    """All jobs that this thread starts inside carry the operator's tag."""
+    spark.sparkContext.addJobTag(which)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(which)
+
+
 def cancel(spark, which: str) -> None:
+    """Stop the running jobs of that tag; what waits for them gets an error."""
     spark.sparkContext.cancelJobsWithTag(which)
 
 
 def _screen(cells: DataFrame, header: screening.Header, parameters: screening.Parameters | None = None):
-    spark = cells.sparkSession
-    spark.sparkContext.addJobTag("hydrology:screening")
-    try:
+    with tagged(cells.sparkSession, "hydrology:screening"):
         return screening.screen(cells, header, parameters or screening.Parameters())
-    finally:
-        spark.sparkContext.removeJobTag("hydrology:screening")
 
 
 def _smooth(cells: DataFrame, header: screening.Header, parameters: smoothing.Parameters | None = None):
-    spark = cells.sparkSession
-    spark.sparkContext.addJobTag("hydrology:smoothing")
-    try:
+    with tagged(cells.sparkSession, "hydrology:smoothing"):
         return smoothing.smooth(cells, parameters or smoothing.Parameters(), header.nodata, header.res_x, header.res_y, header.name, header.crs)
-    finally:
-        spark.sparkContext.removeJobTag("hydrology:smoothing")
 
 
 def default_registry() -> Registry:

@@ -1,7 +1,7 @@
 """Screening of a grid: stage 0 finds, classes and fills voids; stage 1 flags local outliers.
 
-Everything is a lazy DataFrame; the reports are rows of text made of one row of statistics, and nothing but the table of
-large regions (which the report lists) is gathered into a row.
+Everything is a lazy DataFrame; the reports are rows of text made of one row of statistics. The table of regions is a
+result of its own; report and provenance list the first ``MOST_LISTED`` large regions of a grid and say how many there are.
 """
 
 from __future__ import annotations
@@ -9,12 +9,18 @@ from __future__ import annotations
 import dataclasses
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import predicates as P
 from terrane.operators import outliers, voids
+from terrane.plans.text import formatted, joined, wrapped
 from terrane.session import cut
+from terrane.sources.files import SCREENING_OUTPUTS, output_names
+
+#: Large regions of a grid that report and provenance list; the table of regions has all.
+MOST_LISTED = 100
+VERSION = "2"
 
 
 @dataclass
@@ -30,6 +36,8 @@ class Header:
     crs: str | None = None
     crs_is_geographic: bool = True
     name: str = ""
+    left: float = 0.0
+    top: float = 0.0
 
 
 @dataclass
@@ -62,7 +70,7 @@ def artifact_rate(artifacts: DataFrame) -> DataFrame:
     keys = [c for c in ("grid_id",) if c in artifacts.columns]
     got = artifacts.groupBy(*keys).agg(F.count("*").alias("cells"), F.count_if(F.col("artifact") == 1).alias("cells_flagged"))
     got = got.withColumn("pct", F.col("cells_flagged") / F.col("cells") * 100)
-    got = got.withColumn("cells_flagged_pct", F.round("pct", 4))
+    got = got.withColumn("cells_flagged_pct", F.bround("pct", 4))
     return got.withColumn("band", P.artifact_band(F.col("cells_flagged_pct")))
 
 
@@ -75,7 +83,9 @@ def screen(cells: DataFrame, header: Header, p: Parameters) -> dict[str, DataFra
     artifacts = outliers.flag_outliers(cells, header.nodata, window, p.mad_threshold)
     rmse = P.with_rmse(spark.createDataFrame([(p.source_type, float(p.user_rmse))], "code int, user_rmse double"), P.source_types(spark)).drop("code")
     regions = cut(found.regions)
-    large = regions.where(F.col("void_class") == P.LARGE).groupBy("grid_id").agg(
+    nth = F.row_number().over(Window.partitionBy("grid_id").orderBy("region_id"))
+    first = regions.where(F.col("void_class") == P.LARGE).withColumn("nth", nth).where(F.col("nth") <= MOST_LISTED)
+    large = first.groupBy("grid_id").agg(
         F.sort_array(F.collect_list(F.struct("region_id", "size_cells", "row_min", "row_max", "col_min", "col_max"))).alias("large_void_regions")
     )
     stats = (
@@ -103,10 +113,17 @@ def _warnings(header: Header):
     )
 
 
+def names_of(header: Header) -> dict[str, str]:
+    """Names of the outputs by kind."""
+    return output_names(header.name or "grid", SCREENING_OUTPUTS)
+
+
 def _provenance(header: Header, p: Parameters):
     return F.to_json(
         F.struct(
-            F.lit("terrane screening").alias("tool"), F.col("grid_id").alias("input"), F.current_timestamp().cast("string").alias("timestamp"),
+            F.lit("terrane screening").alias("tool"), F.lit("screening").alias("algorithm_id"), F.lit(VERSION).alias("version"),
+            F.lit("0 and 1").alias("stages"), F.col("grid_id").alias("input"),
+            F.struct(*[F.lit(v).alias(k) for k, v in names_of(header).items()]).alias("outputs"), F.current_timestamp().cast("string").alias("timestamp"),
             F.struct(*[F.lit(v).alias(k) for k, v in dataclasses.asdict(p).items()]).alias("parameters"),
             F.struct(
                 F.lit(header.crs).alias("crs"), F.lit(header.crs_is_geographic).alias("crs_is_geographic"),
@@ -114,8 +131,8 @@ def _provenance(header: Header, p: Parameters):
                 F.lit(header.height).alias("height"), F.lit(str(header.nodata)).alias("nodata"), F.lit(header.dtype).alias("dtype"),
                 F.col("rmse").alias("vertical_accuracy_rmse"), F.col("rmse_source").alias("vertical_accuracy_source"),
                 F.struct(
-                    "total_void_cells", F.round("void_pct", 4).alias("void_pct"), F.col("small_cells").alias("small_interpolated"),
-                    F.col("medium_cells").alias("medium_flagged"), F.col("large_cells").alias("large_reported"), "large_void_regions",
+                    "total_void_cells", F.bround("void_pct", 4).alias("void_pct"), F.col("small_cells").alias("small_interpolated"),
+                    F.col("medium_cells").alias("medium_flagged"), F.col("large_cells").alias("large_reported"), "large_regions", "large_void_regions",
                 ).alias("void_summary"),
             ).alias("stage_0"),
             F.struct(
@@ -125,34 +142,49 @@ def _provenance(header: Header, p: Parameters):
                 ).alias("mad_filter"),
             ).alias("stage_1"),
             "warnings", F.array().cast("array<string>").alias("errors"),
-        )
+        ),
+        {"pretty": "true"},
     )
 
 
+_MEANING = {
+    "none": "No cell stands out from its surroundings.", "very_low": "Very few cells stand out; most are noise.",
+    "low": "Few cells stand out; look at them where they lie together.", "moderate": "A fair number of cells stand out; review them before going on.",
+    "high": "Many cells stand out; the source may be of a kind that the settings do not fit.",
+}
+
+
 def report(stats: DataFrame, header: Header, p: Parameters) -> DataFrame:
     """The report's lines: grid_id, line_no, line."""
-    number = lambda c: F.format_number(c, 0)
     region = lambda x: F.format_string(
         "  region %d: %d cells, rows %d to %d, columns %d to %d", x["region_id"], x["size_cells"], x["row_min"], x["row_max"], x["col_min"], x["col_max"]
     )
-    text = lambda *parts: F.array(F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts]))
+    nothing = F.array().cast("array<string>")
+    meaning = F.coalesce(*[F.when(F.col("band") == k, F.lit(v)) for k, v in _MEANING.items()])
+    more = F.col("large_regions") - MOST_LISTED
     lines = F.concat(
-        text("SCREENING REPORT  ", F.col("grid_id")),
-        text("Parameters: ", str(dataclasses.asdict(p))),
-        text("STAGE 0: DATA AND VOIDS"),
-        text("Cells: ", number("total_cells"), ", size ", str(header.width), " x ", str(header.height), ", nodata ", str(header.nodata)),
-        text("Vertical accuracy (RMSE): ", F.col("rmse"), " m, from ", F.col("rmse_source")),
-        text("Voids: ", number("total_void_cells"), " (", F.format_number("void_pct", 4), " % of all cells) in ", number("regions"), " regions"),
-        text("  in small regions, filled where possible: ", number("small_cells")),
-        text("  in medium regions, flagged: ", number("medium_cells")),
-        text("  in large regions, reported: ", number("large_cells")),
-        F.coalesce(F.transform("large_void_regions", region), F.array().cast("array<string>")),
-        text("STAGE 1: ARTIFACTS"),
-        text("Source: ", F.col("source_label"), ", note: ", F.col("note")),
-        text("Flagged: ", number("cells_flagged"), " (", F.format_number("cells_flagged_pct", 4), " % of all cells), rate: ", F.col("band")),
-        F.transform("warnings", lambda w: F.concat(F.lit("Warning: "), w)),
-        text("Void mask: 0 data, 1 small, 2 medium, 3 large. Artifact mask: 0 no, 1 flagged."),
-        F.transform("steps", lambda s: F.concat(F.lit("Next: "), s)),
-        text("Method: median absolute deviation, after Hampel (1974)."),
+        joined("SCREENING REPORT  ", F.col("grid_id")),
+        F.array(F.lit("PARAMETERS"), *[F.lit(f"  {k}: {v}") for k, v in dataclasses.asdict(p).items()]),
+        joined("STAGE 0: DATA AND VOIDS"),
+        joined("  cells: ", formatted("%d", "total_cells"), f", size {header.width} x {header.height}, nodata {header.nodata}"),
+        joined("  vertical accuracy (RMSE): ", formatted("%.2f", "rmse"), " m, from ", F.col("rmse_source")),
+        joined("VOID SUMMARY"),
+        joined("  void cells: ", formatted("%d", "total_void_cells"), " (", formatted("%.4f", "void_pct"), " %) in ", formatted("%d", "regions"), " regions"),
+        joined("  in small regions, filled where possible: ", formatted("%d", "small_cells")),
+        joined("  in medium regions, flagged: ", formatted("%d", "medium_cells")),
+        joined("  in large regions, reported: ", formatted("%d", "large_cells")),
+        F.when(F.col("large_regions") > 0, joined("LARGE REGIONS: ", formatted("%d", "large_regions"))).otherwise(nothing),
+        F.coalesce(F.transform("large_void_regions", region), nothing),
+        F.when(more > 0, joined("  and ", more, " more in the table of regions")).otherwise(nothing),
+        joined("STAGE 1: ARTIFACTS"),
+        joined("  source: ", F.col("source_label"), ", note: ", F.col("note")),
+        joined("  flagged: ", formatted("%d", "cells_flagged"), " (", formatted("%.4f", "cells_flagged_pct"), " % of all cells), rate: ", F.col("band")),
+        F.transform(wrapped(meaning), lambda x: F.concat(F.lit("  "), x)),
+        F.when(F.size("warnings") > 0, F.concat(joined("WARNINGS"), F.flatten(F.transform("warnings", wrapped)))).otherwise(nothing),
+        joined("ERRORS: none"),
+        F.array(F.lit("OUTPUTS"), *[F.lit(f"  {k}: {v}") for k, v in names_of(header).items()]),
+        F.array(F.lit("VOID MASK: 0 data, 1 small, 2 medium, 3 large"), F.lit("ARTIFACT MASK: 0 no, 1 flagged")),
+        F.concat(joined("NEXT STEPS"), F.transform("steps", lambda x: F.concat(F.lit("  "), x))),
+        F.array(F.lit("REFERENCES"), F.lit("  Hampel (1974): the influence curve and its role in robust estimation")),
     )
     return stats.select("grid_id", F.posexplode(lines).alias("line_no", "line"))

@@ -25,18 +25,25 @@ def get_bool(spark: SparkSession, key: str, default: bool = False) -> bool:
     return default if value is None else str(value).lower() in TRUE
 
 
-def get_int(spark: SparkSession, key: str, default: int = 0) -> int:
+def get_as(kind, spark: SparkSession, key: str, default):
+    """The setting as ``kind`` makes it of its text; the default if it is not there or makes no sense."""
+    value = get(spark, key)
     try:
-        return int(get(spark, key, default))
-    except (TypeError, ValueError):
+        return default if value is None else kind(value)
+    except ValueError:
         return default
 
 
+def get_int(spark: SparkSession, key: str, default: int = 0) -> int:
+    return get_as(int, spark, key, default)
+
+
 def get_float(spark: SparkSession, key: str, default: float = 0.0) -> float:
-    try:
-        return float(get(spark, key, default))
-    except (TypeError, ValueError):
-        return default
+    return get_as(float, spark, key, default)
+
+
+def get_string(spark: SparkSession, key: str, default: str | None = "") -> str | None:
+    return get_as(str, spark, key, default)
 
 
 def remove(spark: SparkSession, key: str) -> None:
@@ -47,6 +54,10 @@ def export(spark: SparkSession) -> dict[str, str]:
     return {k.removeprefix(PREFIX): v for k, v in spark.conf.getAll.items() if k.startswith(PREFIX)}
 
 
+def keys(spark: SparkSession) -> list[str]:
+    return sorted(export(spark))
+
+
 def clear(spark: SparkSession) -> None:
     for key in export(spark):
         remove(spark, key)

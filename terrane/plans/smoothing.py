@@ -5,14 +5,17 @@ from __future__ import annotations
 import dataclasses
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import predicates as P
 from terrane.operators import diffusion
+from terrane.plans.text import formatted, joined, wrapped
 from terrane.session import cut
+from terrane.sources.files import SMOOTHING_OUTPUTS, output_names
 
 DIFFERENCE_NODATA = -9999.0
+VERSION = "2"
 
 
 @dataclass
@@ -23,12 +26,33 @@ class Parameters:
     resolution_scale: bool = True
 
 
+#: Up to so many values, the median is looked for among all of them.
+FEW_VALUES = 10_000
+
+
 def elevation_statistics(cells: DataFrame, nodata: float | None) -> DataFrame:
-    """Valid cells, their mean and exact median, a row for each grid."""
+    """Valid cells, their mean and exact median, a row for each grid.
+
+    The median by ranks: two approximate percentiles, a thousandth of all ranks to each side of the middle with an error
+    of a tenth of that at most, enclose the middle ranks. Values below are counted; those between are counted value by
+    value and put in order. So no task holds the values of a grid, only every 500th or so.
+    """
     keys = [c for c in ("grid_id",) if c in cells.columns]
-    return cells.where(P.is_valid(F.col("z"), nodata)).groupBy(*keys).agg(
-        F.count("*").alias("valid_cells"), F.avg("z").alias("mean_elevation"), F.median("z").alias("median_elevation")
-    )
+    one = [] if keys else [F.lit(0).alias("grid_id")]
+    valid = cells.where(P.is_valid(F.col("z"), nodata)).select(*keys, *one, "z")
+    around = F.percentile_approx("z", [0.499, 0.501], 10_000)
+    per = valid.groupBy("grid_id").agg(F.count("*").alias("valid_cells"), F.avg("z").alias("mean_elevation"), F.min("z").alias("least"), F.max("z").alias("most"), around.alias("around"))
+    few = F.col("valid_cells") <= FEW_VALUES
+    per = cut(per.select("grid_id", "valid_cells", "mean_elevation", F.when(few, F.col("least")).otherwise(F.col("around")[0]).alias("low"), F.when(few, F.col("most")).otherwise(F.col("around")[1]).alias("high")))
+    near = valid.join(per.select("grid_id", "low", "high"), "grid_id").where("z <= high")
+    # all values below count as one that is less than low
+    counted = near.groupBy("grid_id", F.when(F.col("z") >= F.col("low"), F.col("z")).alias("value")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("grid_id").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("last", F.sum("n").over(order)).join(per.drop("low", "high"), "grid_id")
+    holds = lambda k: (F.col("last") >= k) & (F.col("last") - F.col("n") < k)
+    middle = [F.floor((F.col("valid_cells") + 1) / 2), F.floor(F.col("valid_cells") / 2) + 1]
+    out = ranked.groupBy("grid_id", "valid_cells", "mean_elevation").agg(*[F.max(F.when(holds(k), F.col("value"))).alias(f"m{i}") for i, k in enumerate(middle)])
+    return out.select(*keys, "valid_cells", "mean_elevation", ((F.col("m0") + F.col("m1")) / 2).alias("median_elevation"))
 
 
 def scale_factor(res_x: float, res_y: float) -> float:
@@ -57,36 +81,55 @@ def smooth(cells: DataFrame, p: Parameters, nodata: float | None, res_x: float,
         "difference": changes.select("grid_id", "r", "c", F.when(F.col("changed") == 255, DIFFERENCE_NODATA).otherwise(F.col("diff")).cast("float").alias("diff")),
         "mask": changes.select("grid_id", "r", "c", "changed"),
         "statistics": stats,
-        "provenance": stats.select("grid_id", _provenance(p, stats.columns, crs).alias("provenance")),
-        "report": report(stats, p),
+        "provenance": stats.select("grid_id", _provenance(p, stats.columns, name, crs).alias("provenance")),
+        "report": report(stats, p, name, crs),
     }
 
 
-def _provenance(p: Parameters, columns: list[str], crs: str | None):
-    warnings = F.array(F.lit("no coordinate system")) if crs is None else F.array().cast("array<string>")
-    exact = {"changed_percentage": 6}
+NO_CRS = "The grid has no coordinate system: cell sizes are taken as they are, in unknown units."
+
+
+def names_of(name: str) -> dict[str, str]:
+    """Names of the outputs by kind."""
+    return output_names(name or "grid", SMOOTHING_OUTPUTS)
+
+
+def _provenance(p: Parameters, columns: list[str], name: str, crs: str | None):
+    warnings = F.array(F.lit(NO_CRS)) if crs is None else F.array().cast("array<string>")
+    exact = {"changed_percentage": 6, "maximum_absolute_change": 6, "mean_absolute_change": 6, "minimum_change": 6, "maximum_change": 6}
     return F.to_json(
         F.struct(
-            F.lit("terrane smoothing").alias("tool"), F.lit(2).alias("stage"), F.col("grid_id").alias("input"),
-            F.current_timestamp().cast("string").alias("timestamp"),
+            F.lit("terrane smoothing").alias("tool"), F.lit("smoothing").alias("algorithm_id"), F.lit(VERSION).alias("version"),
+            F.lit(2).alias("stage"), F.current_timestamp().cast("string").alias("timestamp"), F.col("grid_id").alias("input"),
             F.struct(*[F.lit(v).alias(k) for k, v in dataclasses.asdict(p).items()]).alias("parameters"),
-            F.struct(*[(F.round(c, exact[c]).alias(c) if c in exact else F.col(c)) for c in columns if c != "grid_id"]).alias("statistics"),
+            F.struct(*[F.lit(v).alias(k) for k, v in names_of(name).items()]).alias("outputs"),
+            F.struct(*[(F.bround(c, exact[c]).alias(c) if c in exact else F.col(c)) for c in columns if c != "grid_id"]).alias("statistics"),
             warnings.alias("warnings"),
-        )
+        ),
+        {"pretty": "true"},
     )
 
 
-def report(stats: DataFrame, p: Parameters) -> DataFrame:
+def report(stats: DataFrame, p: Parameters, name: str = "", crs: str | None = None) -> DataFrame:
     """The report's lines: grid_id, line_no, line."""
-    text = lambda *parts: F.array(F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts]))
+    nothing = F.array().cast("array<string>")
+    meaning = (
+        F.when(F.col("changed_cells") == 0, "No cell changed: the grid is even, or the edge threshold holds every step back.")
+        .when(F.col("changed_percentage") < 50, "Fewer than half of the cells changed; flat areas were even already.")
+        .otherwise("Most cells changed; compare the difference with the accuracy of the source.")
+    )
     lines = F.concat(
-        text("SMOOTHING REPORT  ", F.col("grid_id")),
-        text("Parameters: ", str(dataclasses.asdict(p))),
-        text("Valid cells: ", F.format_number("valid_cells", 0), ", mean ", F.format_number("mean_elevation", 4), ", median ", F.format_number("median_elevation", 4)),
-        text("Effective strength: ", F.format_number("effective_diffusion", 6), ", scale factor ", F.format_number("resolution_scale_factor", 6)),
-        text("Changed: ", F.format_number("changed_cells", 0), " (", F.format_number("changed_percentage", 4), " % of valid cells)"),
-        text("Largest change: ", F.format_number("maximum_absolute_change", 6), ", mean ", F.format_number("mean_absolute_change", 6)),
-        text("Range of change: ", F.format_number("minimum_change", 6), " to ", F.format_number("maximum_change", 6)),
-        text("Method: anisotropic diffusion, after Perona and Malik (1990)."),
+        joined("SMOOTHING REPORT  ", F.col("grid_id")),
+        F.array(F.lit("PARAMETERS"), *[F.lit(f"  {k}: {v}") for k, v in dataclasses.asdict(p).items()]),
+        joined("RESULTS"),
+        joined("  valid cells: ", formatted("%d", "valid_cells"), ", mean ", formatted("%.4f", "mean_elevation"), ", median ", formatted("%.4f", "median_elevation")),
+        joined("  effective strength: ", formatted("%.6f", "effective_diffusion"), ", scale factor ", formatted("%.6f", "resolution_scale_factor")),
+        joined("  changed: ", formatted("%d", "changed_cells"), " (", formatted("%.4f", "changed_percentage"), " % of valid cells)"),
+        joined("  largest change: ", formatted("%.6f", "maximum_absolute_change"), ", mean ", formatted("%.6f", "mean_absolute_change")),
+        joined("  range of change: ", formatted("%.6f", "minimum_change"), " to ", formatted("%.6f", "maximum_change")),
+        F.array(F.lit("OUTPUTS"), *[F.lit(f"  {k}: {v}") for k, v in names_of(name).items()]),
+        F.concat(joined("INTERPRETATION"), F.transform(wrapped(meaning), lambda x: F.concat(F.lit("  "), x))),
+        F.concat(joined("WARNINGS"), wrapped(F.lit(NO_CRS))) if crs is None else nothing,
+        F.array(F.lit("REFERENCES"), F.lit("  Perona and Malik (1990): scale-space and edge detection using anisotropic diffusion")),
     )
     return stats.select("grid_id", F.posexplode(lines).alias("line_no", "line"))

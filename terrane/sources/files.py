@@ -65,15 +65,24 @@ def geojson_lines(df: DataFrame, rings: str = "ring") -> DataFrame:
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*others).alias("properties"))).alias("value"))
 
 
-def write_vector(df: DataFrame, path: str, rings: str = "ring") -> None:
-    """By the name's end: GeoJSON (a feature a line) or CSV. Other kinds need a library that is no part of this."""
+def write_vector(df: DataFrame, path: str, rings: str = "ring") -> bool:
+    """By the name's end: GeoJSON (a feature a line) or CSV; any other end gives GeoJSON under that name.
+
+    False, and a line in the log, if it cannot be written. Kinds that need a library which is no part of this (GeoPackage,
+    shapefile) are refused, not written as something else.
+    """
     kind = PurePosixPath(path).suffix.lstrip(".").lower()
-    if kind == "geojson":
-        geojson_lines(df, rings).write.mode("overwrite").text(path)
-    elif kind == "csv":
-        df.withColumn(rings, F.to_json(rings)).write.mode("overwrite").csv(path, header=True)
-    else:
+    if kind in ("gpkg", "shp"):
         raise ValueError(f"vectors can be written as {VECTOR_FORMATS}, not as {kind!r}")
+    try:
+        if kind == "csv":
+            df.withColumn(rings, F.to_json(rings)).write.mode("overwrite").csv(path, header=True)
+        else:
+            geojson_lines(df, rings).write.mode("overwrite").text(path)
+        return True
+    except Exception as e:
+        log.warning("cannot write %s: %s", path, type(e).__name__)
+        return False
 
 
 def load_views(results: dict[str, DataFrame], stem: str) -> list[str]:
@@ -86,11 +95,5 @@ def load_views(results: dict[str, DataFrame], stem: str) -> list[str]:
     return names
 
 
-def views(spark: SparkSession, columns: tuple[str, ...] = ()) -> list[str]:
-    """Names of all views that have these columns: ("r", "c", "z") finds grids, ("ring",) vectors."""
-    names = [t.name for t in spark.catalog.listTables() if t.isTemporary]
-    return [n for n in names if set(columns) <= set(spark.table(n).columns)]
-
-
 def read_provenance(text: str) -> dict:
     return json.loads(text)

@@ -1,8 +1,9 @@
 """GeoTIFF files as tables of cells, and grids written as GeoTIFF tiles.
 
-Files are read by Spark's ``binaryFile`` source, so they may lie in any store that Spark reaches; a file is decoded in the task that
-reads it, block by block. Grids are written as a mosaic: one georeferenced file for each tile, made from the tile's cells
-alone, so a grid of any size is written without gathering it. Classic TIFF, one band (the first of several is read), strips or
+Files are read by the source ``grid_files``: large ones are split into ranges of their blocks (tiles or strips), and a
+task reads its own blocks' bytes only. Where files lie in a store that only Spark's readers open, ``whole_files`` takes
+them through ``binaryFile`` instead, a file in a task. Grids are written as a mosaic: one georeferenced file for each tile, made from the tile's cells
+alone, so a grid of any size is written without gathering it. Classic TIFF and BigTIFF, one band (the first of several is read), strips or
 tiles, uncompressed, LZW or deflate.
 """
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from terrane.operators.tiles import TILE
 
@@ -25,7 +26,9 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
 PIXEL_SCALE, TIEPOINT, TRANSFORM, GEO_KEYS, NODATA_TEXT = 33550, 33922, 34264, 34735, 42113
 MODEL_TYPE, GEOGRAPHIC_CRS, PROJECTED_CRS = 1024, 2048, 3072
-TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
+TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
+#: Files of more bytes are read by several tasks.
+SPLIT_BYTES = 64 << 20
 NONE, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
 KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 
@@ -97,12 +100,18 @@ def lzw_encode(data: bytes) -> bytes:
 class Tiff:
     """The first image of a file."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data):
+        """``data``: the bytes of a file, or a file opened for reading, of which only what is needed is read."""
         self.data = data
-        if data[:4] not in (b"II*\0", b"MM\0*"):
-            raise ValueError("not a classic TIFF file")
-        self.order = "<" if data[:2] == b"II" else ">"
-        self.tags = self._tags(struct.unpack(self.order + "I", data[4:8])[0])
+        head = self._bytes(0, 16)
+        if head[:2] not in (b"II", b"MM"):
+            raise ValueError("not a TIFF file")
+        self.order = "<" if head[:2] == b"II" else ">"
+        kind = struct.unpack(self.order + "H", head[2:4])[0]
+        if kind not in (42, 43):
+            raise ValueError("not a TIFF file")
+        self.big = kind == 43  # BigTIFF: places and counts of 8 bytes
+        self.tags = self._tags(struct.unpack(self.order + ("Q" if self.big else "I"), head[8:16] if self.big else head[4:8])[0])
         one = lambda tag, default: self.tags.get(tag, (default,))[0]
         self.width, self.height = one(WIDTH, 0), one(HEIGHT, 0)
         self.samples, self.compression, self.predictor = one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
@@ -113,17 +122,28 @@ class Tiff:
         text = self.tags.get(NODATA_TEXT)
         self.nodata = float(text[0].split(b"\0")[0].strip() or b"nan") if text else None
 
+    def _bytes(self, at: int, n: int) -> bytes:
+        if isinstance(self.data, bytes):
+            return self.data[at : at + n]
+        self.data.seek(at)
+        return self.data.read(n)
+
     def _tags(self, at: int) -> dict:
-        out = {}
-        for i in range(struct.unpack(self.order + "H", self.data[at : at + 2])[0]):
-            tag, kind, n = struct.unpack(self.order + "HHI", self.data[at + 2 + 12 * i : at + 10 + 12 * i])
+        place = "Q" if self.big else "I"  # of a place or a count
+        lead, size = ("Q", 20) if self.big else ("H", 12)
+        lead_size, place_size = struct.calcsize("=" + lead), struct.calcsize("=" + place)
+        entries = struct.unpack(self.order + lead, self._bytes(at, lead_size))[0]
+        table, out = self._bytes(at + lead_size, entries * size), {}
+        for i in range(entries):
+            entry = table[i * size : (i + 1) * size]
+            tag, kind, n = struct.unpack(self.order + "HH" + place, entry[: 4 + place_size])
             if kind not in TYPES:
                 continue
             form = f"{n}s" if kind == 2 else f"{n}{TYPES[kind]}"
-            size, place = struct.calcsize(self.order + form), at + 10 + 12 * i
-            if size > 4:
-                place = struct.unpack(self.order + "I", self.data[place : place + 4])[0]
-            out[tag] = struct.unpack(self.order + form, self.data[place : place + size])
+            length, value = struct.calcsize(self.order + form), entry[4 + place_size :]
+            if length > place_size:
+                value = self._bytes(struct.unpack(self.order + place, value)[0], length)
+            out[tag] = struct.unpack(self.order + form, value[:length])
         return out
 
     def header(self) -> dict:
@@ -144,27 +164,31 @@ class Tiff:
         tie, matrix = self.tags.get(TIEPOINT), self.tags.get(TRANSFORM)
         return (tie[3], tie[4]) if tie else (matrix[3], matrix[7]) if matrix else (0.0, 0.0)
 
-    def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """First row, first column and values (float64) of each block."""
-        apart = self.tags.get(PLANAR, (1,))[0] == 2
+    def _layout(self) -> tuple[int, int, int]:
+        """Columns and rows of a block, and the number of blocks."""
         if TILE_OFFSETS in self.tags:
             wide, high = self.tags[TILE_WIDTH][0], self.tags[TILE_HEIGHT][0]
-            places, counts = self.tags[TILE_OFFSETS], self.tags[TILE_COUNTS]
         else:
             wide, high = self.width, min(self.tags.get(ROWS_PER_STRIP, (self.height,))[0], self.height)
-            places, counts = self.tags[STRIP_OFFSETS], self.tags[STRIP_COUNTS]
+        return wide, high, -(-self.width // wide) * -(-self.height // high)
+
+    def blocks(self, first: int = 0, last: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+        """First row, first column and values (float64) of each block, or of those from first to before last."""
+        apart, tiled = self.tags.get(PLANAR, (1,))[0] == 2, TILE_OFFSETS in self.tags
+        wide, high, n = self._layout()
+        places, counts = (self.tags[TILE_OFFSETS], self.tags[TILE_COUNTS]) if tiled else (self.tags[STRIP_OFFSETS], self.tags[STRIP_COUNTS])
         across = -(-self.width // wide)
         many = 1 if apart else self.samples
-        for k in range(across * -(-self.height // high)):
+        for k in range(first, n if last is None else min(last, n)):
             r, c = k // across * high, k % across * wide
-            raw = self.data[places[k] : places[k] + counts[k]]
+            raw = self._bytes(places[k], counts[k])
             if self.compression == LZW:
                 raw = lzw_decode(raw)
             elif self.compression in (DEFLATE, OLD_DEFLATE):
                 raw = zlib.decompress(raw)
             elif self.compression != NONE:
                 raise ValueError(f"compression {self.compression} is not supported")
-            rows = high if TILE_OFFSETS in self.tags else min(high, self.height - r)
+            rows = high if tiled else min(high, self.height - r)
             block = np.frombuffer(raw, self.dtype, rows * wide * many).reshape(rows, wide, many)
             if self.predictor == 2:
                 block = np.cumsum(block, axis=1, dtype=self.dtype.newbyteorder("="))
@@ -175,15 +199,18 @@ def encode(
     values: np.ndarray, nodata: float | None = None, res: tuple[float, float] = (1.0, 1.0), origin: tuple[float, float] = (0.0, 0.0),
     epsg: int | None = None, geographic: bool = True, compression: int = LZW,
 ) -> bytes:
-    """A file of one strip per 64 rows."""
+    """A file of tiles of 256 by 256 cells, those at the edges filled up with nodata (or 0)."""
     kinds = {"f": 3, "u": 1, "i": 2}
     values = np.ascontiguousarray(values, values.dtype.newbyteorder("<"))
     pack = {NONE: bytes, LZW: lzw_encode, DEFLATE: zlib.compress}[compression]
-    strips = [pack(values[r : r + 64].tobytes()) for r in range(0, len(values), 64)]
+    high, wide = values.shape
+    whole = np.full((-(-high // TILE) * TILE, -(-wide // TILE) * TILE), 0 if nodata is None else nodata).astype(values.dtype)
+    whole[:high, :wide] = values
+    strips = [pack(whole[r : r + TILE, c : c + TILE].tobytes()) for r in range(0, high, TILE) for c in range(0, wide, TILE)]
     tags = {
-        WIDTH: ("I", [values.shape[1]]), HEIGHT: ("I", [values.shape[0]]), BITS: ("H", [values.dtype.itemsize * 8]),
-        COMPRESSION: ("H", [compression]), PHOTOMETRIC: ("H", [1]), STRIP_OFFSETS: ("I", [0] * len(strips)), SAMPLES: ("H", [1]),
-        ROWS_PER_STRIP: ("I", [64]), STRIP_COUNTS: ("I", [len(s) for s in strips]), SAMPLE_FORMAT: ("H", [kinds[values.dtype.kind]]),
+        WIDTH: ("I", [wide]), HEIGHT: ("I", [high]), BITS: ("H", [values.dtype.itemsize * 8]),
+        COMPRESSION: ("H", [compression]), PHOTOMETRIC: ("H", [1]), TILE_OFFSETS: ("I", [0] * len(strips)), SAMPLES: ("H", [1]),
+        TILE_WIDTH: ("I", [TILE]), TILE_HEIGHT: ("I", [TILE]), TILE_COUNTS: ("I", [len(s) for s in strips]), SAMPLE_FORMAT: ("H", [kinds[values.dtype.kind]]),
         PIXEL_SCALE: ("d", [res[0], res[1], 0.0]), TIEPOINT: ("d", [0.0, 0.0, 0.0, origin[0], origin[1], 0.0]),
     }
     if epsg is not None:
@@ -193,7 +220,7 @@ def encode(
     first = 8 + 2 + 12 * len(tags) + 4
     extra = sum(-(-len(_field(v)) // 2) * 2 for v in tags.values() if len(_field(v)) > 4)
     places = np.cumsum([first + extra, *map(len, strips)])[:-1]
-    tags[STRIP_OFFSETS] = ("I", places.tolist())
+    tags[TILE_OFFSETS] = ("I", places.tolist())
     head, tail = struct.pack("<4sIH", b"II*\0", 8, len(tags)), b""
     for tag in sorted(tags):
         form, values_ = tags[tag]
@@ -237,23 +264,84 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(of, _HEADER)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
+_CELLS = "grid_id string, r long, c long, z double"
+
+
+def _cells_of(name: str, blocks) -> Iterator[pa.RecordBatch]:
+    for r, c, block in blocks:
+        rows, columns = np.indices(block.shape)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([name] * block.size, pa.string()), pa.array(rows.ravel() + r, pa.int64()),
+                pa.array(columns.ravel() + c, pa.int64()), pa.array(block.ravel()),
+            ],
+            names=["grid_id", "r", "c", "z"],
+        )
+
+
+def _store(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+class GridFiles(DataSource):
+    """Cells of the files of a folder, or of one file."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "grid_files"
+
+    def schema(self) -> str:
+        return _CELLS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _GridReader(self.options["path"], int(self.options.get("split_bytes", SPLIT_BYTES)))
+
+
+class _Blocks(InputPartition):
+    def __init__(self, path: str, first: int, last: int | None):
+        self.path, self.first, self.last = path, first, last
+
+
+class _GridReader(DataSourceReader):
+    def __init__(self, path: str, split_bytes: int):
+        self.path, self.split_bytes = path, split_bytes
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, root = _store(self.path)
+        info = store.get_file_info(root)
+        found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
+        out = []
+        for f in sorted((x for x in found if x.is_file and x.extension.lower() in ("tif", "tiff")), key=lambda x: x.path):
+            step = None
+            if f.size > self.split_bytes:  # only such files are opened here, and only their heads are read
+                with store.open_input_file(f.path) as file:
+                    n = Tiff(file)._layout()[2]
+                step = max(1, n * self.split_bytes // f.size)
+            out += [_Blocks(f.path, at, at + step) for at in range(0, n, step)] if step else [_Blocks(f.path, 0, None)]
+        return out or [_Blocks("", 0, 0)]
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        if partition.path:
+            with _store(self.path)[0].open_input_file(partition.path) as file:
+                yield from _cells_of(partition.path, Tiff(file).blocks(partition.first, partition.last))
+
+
+def read_cells(spark: SparkSession, path: str, whole_files: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Cells of all files: grid_id (the path), r, c, z."""
+    if not whole_files:
+        spark.dataSource.register(GridFiles)
+        return spark.read.format("grid_files").option("split_bytes", split_bytes).load(path)
 
     def of(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for r, c, block in Tiff(data.as_py()).blocks():
-                    rows, columns = np.indices(block.shape)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([name] * block.size, pa.string()), pa.array(rows.ravel() + r, pa.int64()),
-                            pa.array(columns.ravel() + c, pa.int64()), pa.array(block.ravel()),
-                        ],
-                        names=["grid_id", "r", "c", "z"],
-                    )
+                yield from _cells_of(name, Tiff(data.as_py()).blocks())
 
-    return _files(spark, path).mapInArrow(of, "grid_id string, r long, c long, z double")
+    return _files(spark, path).mapInArrow(of, _CELLS)
 
 
 class TileFiles(DataSource):
@@ -272,9 +360,7 @@ class _TileFiles(DataSourceWriter):
         self.path = path
 
     def write(self, rows) -> WriterCommitMessage:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        store, root = _store(self.path)
         store.create_dir(root, recursive=True)
         for row in rows:
             with store.open_output_stream(f"{root}/.{row.name}.part") as out:
@@ -288,13 +374,18 @@ def write_tiles(
     res: tuple[float, float] = (1.0, 1.0), origin: tuple[float, float] = (0.0, 0.0), epsg: int | None = None, geographic: bool = True,
     compression: int = LZW,
 ) -> None:
-    """Write ``column`` of one grid's cells as files ``<stem>_<tile row>_<tile column>.tif`` in the shared folder ``path``."""
+    """Write ``column`` of one grid's cells as files ``<stem>_<tile row>_<tile column>.tif`` in the shared folder ``path``.
+
+    Cells without a value get nodata.
+    """
 
     def of(key, table):
         tr, tc = key[0].as_py(), key[1].as_py()
         r, c = table.column("r").to_numpy() - tr * tile, table.column("c").to_numpy() - tc * tile
         block = np.full((int(r.max()) + 1, int(c.max()) + 1), 0 if nodata is None else nodata, np.dtype(dtype))
-        block[r, c] = table.column("v").to_numpy(zero_copy_only=False).astype(dtype)
+        values = table.column("v").to_numpy(zero_copy_only=False).astype(np.float64)
+        values[np.array(table.column("v").is_null())] = 0 if nodata is None else nodata
+        block[r, c] = values.astype(dtype)
         corner = origin[0] + tc * tile * res[0], origin[1] - tr * tile * res[1]
         data = encode(block, nodata, res, corner, epsg, geographic, compression)
         return pa.table({"name": [f"{stem}_{tr}_{tc}.tif"], "content": pa.array([data], pa.binary())})

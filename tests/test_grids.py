@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.functions import geometry
+from terrane.functions import geometry, layers
 from terrane.functions import predicates as P
-from terrane.operators import diffusion, graph, outliers
-from terrane.plans import registry, screening, settings, smoothing
+from terrane.operators import diffusion, graph, outliers, voids
+from terrane.plans import outputs, registry, screening, settings, smoothing
+from terrane.plans.text import wrapped
 from terrane.sources import files, geotiff
 from terrane.streaming import landing
 
@@ -174,11 +175,190 @@ def test_small_files(spark, tmp_path):
     assert files.read_json(spark, str(tmp_path / "none.json")) is None and files.read_csv(spark, str(tmp_path / "none.csv")) is None
     assert tuple(files.read_csv(spark, str(tmp_path / "a.csv")).first()) == ("1", "02")
     ring = spark.range(1).selectExpr("id", "array(struct(0D as x, 0D as y)) as ring")
-    files.write_vector(ring, str(tmp_path / "v.geojson"))
+    assert files.write_vector(ring, str(tmp_path / "v.geojson")) and files.write_vector(ring, str(tmp_path / "v.other"))
+    assert not files.write_vector(ring, "nostore://x/v.csv")
     with pytest.raises(ValueError):
         files.write_vector(ring, str(tmp_path / "v.gpkg"))
     assert files.output_names("/x/dem.tif", files.SCREENING_OUTPUTS)["screened"] == "dem_screened"
-    assert files.load_views({"mask": ring}, "dem") == ["dem_mask"] and "dem_mask" in files.views(spark, ("ring",))
+    assert files.load_views({"mask": ring}, "dem") == ["dem_mask"] and "dem_mask" in layers.views(spark, ("ring",))
+
+
+def test_layers(spark, tmp_path):
+    cells, shapes = grid(spark, [[1.0]]), spark.range(1).selectExpr("id", "array(struct(0D as x, 0D as y)) as ring")
+    assert layers.is_grid(cells) and not layers.is_grid(shapes) and not layers.is_grid(None) and not layers.is_grid("cells")
+    assert layers.is_shapes(shapes) and not layers.is_shapes(cells) and layers.is_layer(cells) and not layers.is_layer(spark.range(1))
+    assert layers.has_rows(shapes) and not layers.has_rows(shapes.limit(0)) and not layers.has_rows(cells) and not layers.has_rows(None)
+    assert layers.has_field(shapes, "ring") and not layers.has_field(shapes, "Ring") and not layers.has_field(None, "ring")
+    assert layers.field_names(cells) == ["r", "c", "z"]
+    missing = str(tmp_path / "none")
+    assert layers.is_valid_path(spark, str(tmp_path)) and not layers.is_valid_path(spark, missing) and layers.is_valid_path(spark, missing, False)
+    assert not any(layers.is_valid_path(spark, p, must) for p in ("", "  ", None) for must in (True, False))
+    cells.createOrReplaceTempView("some_cells")
+    assert layers.view(spark, "some_cells", ("z",)).columns == ["r", "c", "z"] and layers.view(spark, "some_cells", ("ring",)) is None
+    assert layers.view(spark, "no_such_view") is None
+    assert layers.crs_of_code(4326) == "EPSG:4326" and layers.session_crs(spark) is None
+    with pytest.raises(ValueError):
+        layers.crs_of_code(7)
+    settings.put(spark, "crs", "EPSG:4326")
+    assert layers.session_crs(spark) == "EPSG:4326" and settings.get_string(spark, "crs") == "EPSG:4326" and settings.keys(spark) == ["crs"]
+    settings.put(spark, "n", "many")
+    assert settings.get_int(spark, "n", 4) == 4 and settings.get_string(spark, "none", "x") == "x"
+    settings.clear(spark)
+
+
+def test_wrapped_lines(spark):
+    import textwrap
+
+    texts = ["", "one", "a b " * 40, "x" * 100 + " y", "word " * 13 + "end", "  many   blanks \n here  "]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", wrapped(F.col("t")).alias("w")).collect()
+    for r in got:
+        assert r.w == (textwrap.wrap(" ".join(r.t.split()), 68, break_long_words=False) or [""])
+
+
+def test_jobs_of_a_tool_can_be_cancelled(spark):
+    import threading
+    import time
+
+    def slow(rows):
+        for x in rows:
+            time.sleep(60)
+            yield x
+
+    failed = []
+
+    def work():
+        try:
+            with registry.tagged(spark, "hydrology:screening"):
+                spark.sparkContext.parallelize(range(2), 2).mapPartitions(slow).count()
+        except Exception as e:
+            failed.append(e)
+
+    from pyspark import InheritableThread
+
+    thread = InheritableThread(target=work)
+    thread.start()
+    for _ in range(40):
+        time.sleep(0.5)
+        registry.cancel(spark, "hydrology:screening")
+        if not thread.is_alive():
+            break
+    thread.join(70)
+    assert failed and threading.active_count() >= 1
+
+
+def test_components_of_bands(spark):
+    """Any height of the bands gives the same regions, also where a region goes up and down through several."""
+    rng = np.random.RandomState(5)
+    z = rng.rand(60, 40)
+    z[z < 0.55] = NODATA
+    z[::2, 0] = z[:, 5] = NODATA
+    cells = grid(spark, z).cache()
+    seen = []
+    for band in (1, 40, 200, 1 << 20):
+        got = voids.void_regions(cells, NODATA, 40, band).select("r", "c0", "c1", "root").collect()
+        seen.append(sorted(map(tuple, got)))
+    assert seen[0] == seen[1] == seen[2] == seen[3]
+    label = {}  # flood fill
+    for r in range(60):
+        for c in range(40):
+            if z[r, c] == NODATA and (r, c) not in label:
+                stack, label[r, c] = [(r, c)], r * 40 + c
+                while stack:
+                    y, x = stack.pop()
+                    for a, b in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                        if 0 <= a < 60 and 0 <= b < 40 and z[a, b] == NODATA and (a, b) not in label:
+                            label[a, b] = r * 40 + c
+                            stack.append((a, b))
+    assert {(r, c): root for r, c0, c1, root in seen[0] for c in range(c0, c1 + 1)} == label
+
+
+def test_tile_kernels_are_the_windows(spark):
+    rng = np.random.RandomState(7)
+    z = rng.normal(0, 5, (25, 19))
+    z[rng.rand(25, 19) < 0.2] = NODATA
+    z[3, 3] = np.inf
+    cells = grid(spark, z).cache()
+    for window in (3, 5):
+        rows = outliers.local_statistics_by_rows(cells, NODATA, window).select("r", "c", "z", "n", "med", "mad").collect()
+        tiles = outliers.local_statistics(cells, NODATA, window, 8).collect()
+        want, got = ({(x.r, x.c): (x.n, round(x.med, 9)) for x in part} for part in (rows, tiles))
+        assert got == want
+    x = cells.select("r", "c", F.when(P.is_valid(F.col("z"), NODATA), F.col("z")).alias("x"))
+    assert sorted(map(str, diffusion.neighbours(x, tile=8).collect())) == sorted(map(str, diffusion.neighbours_by_windows(x).collect()))
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_median_by_ranks(spark, few):
+    rng = np.random.RandomState(1)
+    parts = {"a": rng.normal(0, 1, 3001), "b": np.repeat(7.0, 500), "c": np.append(np.zeros(900), rng.rand(300)), "d": np.array([1.0, 4.0])}
+    rows = [(g, i, 0, float(v)) for g, part in parts.items() for i, v in enumerate(part)]
+    old, smoothing.FEW_VALUES = smoothing.FEW_VALUES, few
+    try:
+        got = smoothing.elevation_statistics(spark.createDataFrame(rows, "grid_id string, r long, c long, z double"), NODATA).collect()
+    finally:
+        smoothing.FEW_VALUES = old
+    assert {r.grid_id: (r.valid_cells, r.median_elevation) for r in got} == {g: (len(v), float(np.median(v))) for g, v in parts.items()}
+
+
+def test_outputs_of_both_tools(spark, tmp_path):
+    """Every output is read back from its files with its type, nodata and cells."""
+    rng = np.random.RandomState(3)
+    z = rng.normal(100, 5, (30, 20)).round(2)
+    z[4:6, 4:6], z[10, 10], z[20, 5] = NODATA, NODATA, 500.0
+    header = screening.Header(20, 30, NODATA, 2.0, 2.0, crs="EPSG:32734", crs_is_geographic=False, name="/x/dem one.tif", left=5.0, top=50.0)
+    done = {
+        "screening": screening.screen(grid(spark, z), header, screening.Parameters(small_void=2, large_void=3)),
+        "smoothing": smoothing.smooth(grid(spark, z), smoothing.Parameters(), NODATA, 2.0, 2.0, header.name, header.crs),
+    }
+    kinds = {"screened": "float64", "void_mask": "uint8", "artifacts": "uint8", "smoothed": "float32", "difference": "float32", "mask": "uint8"}
+    for tool, results in done.items():
+        paths = outputs.write_outputs(results, tool, str(tmp_path), header)
+        for kind in outputs.TOOLS[tool][0]:
+            head = geotiff.read_headers(spark, paths[kind]).first()
+            nodata = {"screened": NODATA, "smoothed": NODATA, "difference": -9999.0}.get(kind, 255.0)
+            assert (head.dtype, head.nodata, head.crs, head.left, head.top, head.width, head.height) == (kinds[kind], nodata, "EPSG:32734", 5.0, 50.0, 20, 30)
+            back = {(x.r, x.c): x.z for x in geotiff.read_cells(spark, paths[kind]).collect()}
+            want = {(x.r, x.c): x.value for x in outputs.recoded(results, kind, tool).collect()}
+            assert back == {k: float(np.array(v).astype(kinds[kind])) for k, v in want.items()}
+            assert paths[kind].endswith("dem one" + files.SCREENING_OUTPUTS.get(kind, files.SMOOTHING_OUTPUTS.get(kind, "")))
+        text = spark.read.text(paths["report"]).collect()
+        assert any("OUTPUTS" in r.value for r in text) and any("REFERENCES" in r.value for r in text)
+        told = spark.read.json(paths["provenance"], multiLine=True).first()
+        assert told.outputs["provenance" if tool == "screening" else "mask"].startswith("dem one_") and told.version and told.algorithm_id == tool
+        assert spark.table(f"dem_one_{'void_mask' if tool == 'screening' else 'mask'}").count() == 600
+    mask = {(x.r, x.c): x.z for x in geotiff.read_cells(spark, str(tmp_path / "dem one_smoothing_mask")).collect()}
+    assert mask[4, 4] == 255 and mask[0, 0] in (0, 1)
+    void = {(x.r, x.c): x.z for x in geotiff.read_cells(spark, str(tmp_path / "dem one_void_mask")).collect()}
+    assert void[4, 4] == P.LARGE and void[10, 10] == P.SMALL and void[0, 0] == 0
+    assert P.LARGE == 3 and not [r for r in done["screening"]["regions"].collect() if r.size_cells > 4]
+
+
+def test_large_files_are_split(spark, tmp_path):
+    z = np.arange(600.0 * 300).reshape(600, 300)
+    (tmp_path / "big.tif").write_bytes(geotiff.encode(z, compression=geotiff.DEFLATE))
+    cells = geotiff.read_cells(spark, str(tmp_path / "big.tif"), split_bytes=30_000)
+    assert cells.rdd.getNumPartitions() > 3
+    for df in (cells, geotiff.read_cells(spark, str(tmp_path)), geotiff.read_cells(spark, str(tmp_path), whole_files=True)):
+        assert df.agg(F.count("*"), F.sum("z"), F.max("r"), F.max("c")).first() == (z.size, z.sum(), 599, 299)
+    with pytest.raises(ValueError):
+        geotiff.Tiff(b"II" + b"\0" * 30)
+
+
+def test_big_tiff():
+    """The same image with places and counts of eight bytes."""
+    import struct
+
+    z = (np.random.RandomState(3).rand(20, 30) * 200).astype("float32")
+    old = geotiff.Tiff(geotiff.encode(z, 7.0, compression=geotiff.NONE))
+    body = np.full((256, 256), 7.0, "float32")
+    body[:20, :30] = z
+    entries = {t: v for t, v in old.tags.items() if t not in (geotiff.TILE_OFFSETS, geotiff.NODATA_TEXT, geotiff.PIXEL_SCALE, geotiff.TIEPOINT)}
+    entries[geotiff.TILE_OFFSETS] = (16 + 8 + 20 * (len(entries) + 1) + 8,)
+    head = struct.pack("<2sHHHQQ", b"II", 43, 8, 0, 16, len(entries))
+    for tag in sorted(entries):
+        head += struct.pack("<HHQQ", tag, 16, 1, entries[tag][0])
+    tiff = geotiff.Tiff(head + struct.pack("<Q", 0) + body.tobytes())
+    assert tiff.big and (next(tiff.blocks())[2] == z).all()
 
 
 def test_grids_that_land(spark, tmp_path):
