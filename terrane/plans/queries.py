@@ -205,9 +205,9 @@ def local_median_3(spark, d):
 
 
 @_each(["g1", "g2"], _windowed(3, """, rate AS (SELECT count(*) FILTER (n >= 3 AND mad >= 1e-10 AND abs(z - med) / mad > 3.0) AS cells_flagged, (SELECT count(*) FROM {g}) AS total FROM local)
- SELECT cells_flagged, round_even(100.0::DOUBLE * cells_flagged / total, 4) AS cells_flagged_pct,
- CASE WHEN cells_flagged = 0 THEN 'none' WHEN round_even(100.0::DOUBLE * cells_flagged / total, 4) < 0.1 THEN 'very_low' WHEN round_even(100.0::DOUBLE * cells_flagged / total, 4) < 1 THEN 'low'
- WHEN round_even(100.0::DOUBLE * cells_flagged / total, 4) < 5 THEN 'moderate' ELSE 'high' END AS band FROM rate"""))
+ SELECT cells_flagged, round_even(cells_flagged / total * 100, 4) AS cells_flagged_pct,
+ CASE WHEN cells_flagged = 0 THEN 'none' WHEN round_even(cells_flagged / total * 100, 4) < 0.1 THEN 'very_low' WHEN round_even(cells_flagged / total * 100, 4) < 1 THEN 'low'
+ WHEN round_even(cells_flagged / total * 100, 4) < 5 THEN 'moderate' ELSE 'high' END AS band FROM rate"""))
 def artifact_rate_GRID(g, spark, d):
     return screening.artifact_rate(outliers.flag_outliers(GRIDS[g](spark, d), NODATA)).select("cells_flagged", "cells_flagged_pct", "band")
 
@@ -471,19 +471,19 @@ _SCREENING_LINES = """, s AS (SELECT (SELECT count(*) FROM g1) AS cells, (SELECT
  (SELECT coalesce(sum(size_cells), 0) FROM region WHERE void_class = 1) AS small, (SELECT coalesce(sum(size_cells), 0) FROM region WHERE void_class = 2) AS medium,
  (SELECT coalesce(sum(size_cells), 0) FROM region WHERE void_class = 3) AS large, (SELECT count(*) FROM region WHERE void_class = 3) AS larges,
  (SELECT count(*) FROM local WHERE n >= 3 AND mad >= 1e-10 AND abs(z - med) / mad > 3.0) AS flagged),
- line AS (SELECT 10 AS at, 0 AS k, printf('  void cells: %d (%.4f %%) in %d regions', void_cells, 100.0::DOUBLE * void_cells / cells, regions) AS line FROM s
+ line AS (SELECT 10 AS part, 0 AS k, printf('  void cells: %d (%.4f %%) in %d regions', void_cells, 100.0::DOUBLE * void_cells / cells, regions) AS line FROM s
  UNION ALL SELECT 11, 0, printf('  in small regions, filled where possible: %d', CAST(small AS BIGINT)) FROM s UNION ALL SELECT 12, 0, printf('  in medium regions, flagged: %d', CAST(medium AS BIGINT)) FROM s
  UNION ALL SELECT 13, 0, printf('  in large regions, reported: %d', CAST(large AS BIGINT)) FROM s UNION ALL SELECT 14, 0, printf('LARGE REGIONS: %d', larges) FROM s WHERE larges > 0
  UNION ALL SELECT 15, region_id, printf('  region %d: %d cells, rows %d to %d, columns %d to %d', region_id, size_cells, row_min, row_max, col_min, col_max) FROM region WHERE void_class = 3
- UNION ALL SELECT 17, 0, printf('  flagged: %d (%.4f %% of all cells), rate: %s', flagged, round_even(100.0::DOUBLE * flagged / cells, 4),
+ UNION ALL SELECT 17, 0, printf('  flagged: %d (%.4f %% of all cells), rate: %s', flagged, round_even(flagged / cells * 100, 4),
   CASE WHEN flagged = 0 THEN 'none' WHEN 100.0 * flagged / cells < 0.1 THEN 'very_low' WHEN 100.0 * flagged / cells < 1 THEN 'low' WHEN 100.0 * flagged / cells < 5 THEN 'moderate' ELSE 'high' END) FROM s)
- SELECT row_number() OVER (ORDER BY at, k) AS nth, line FROM line"""
+ SELECT row_number() OVER (ORDER BY part, k) AS nth, line FROM line"""
 
 
 @_query("screening_report", "WITH RECURSIVE {grid}, ".format(grid=_G1) + (_REGIONS + ", " + _GATHER).format(g="g1", width=64, h=1) + _SCREENING_LINES)
 def screening_report(spark, d):
     """The lines of the report that hold numbers."""
-    lines = _screened(spark, d)["report"].where(r"line rlike '^(  (void cells|in (small|medium|large) regions|region \\d+|flagged):?)|^LARGE'").where("line not like '  in the%'")
+    lines = _screened(spark, d)["report"].where(r"line rlike '^(  (void cells|in (small|medium|large) regions|region \\d+|flagged):?)|^LARGE'")
     return lines.select(F.row_number().over(Window.orderBy("line_no")).cast("long").alias("nth"), "line")
 
 
