@@ -1,8 +1,8 @@
 """Void cells: connected regions, their classes, and the filling of small ones.
 
 Grids are cells (r, c, z and perhaps grid_id). Regions are joined along rows and columns (four neighbours). Void cells of
-a row that touch are first taken together as runs. The grid is cut into bands of rows of bounded size; each band joins its
-own runs in one task. What is left is a small graph: an edge where runs overlap at the border of two bands; its components
+a row that touch are taken together as runs. The grid is cut into tiles of bounded size; each tile joins its own runs in
+one task. What is left is a small graph: an edge where runs touch at the border of two tiles; its components
 are found by repeated grouped minima.
 """
 
@@ -31,10 +31,8 @@ def void_runs(cells: DataFrame, nodata: float | None) -> DataFrame:
     ).drop("run")
 
 
-#: Cells of a band.
-BAND_CELLS = 1 << 20
-#: Columns of a stretch in which the runs of two bands meet.
-STRETCH = 256
+#: Rows and columns of a tile.
+TILE = 512
 
 
 def _joined(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
@@ -58,7 +56,7 @@ def _joined(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
     return label
 
 
-def _band_runs(key, table):
+def _tile_runs(key, table):
     r, c = table.column("r").to_numpy(), table.column("c").to_numpy()
     by = np.lexsort((c, r))
     r, c = r[by], c[by]
@@ -66,32 +64,32 @@ def _band_runs(key, table):
     first = np.flatnonzero(new)
     r, c0, c1 = r[first], c[first], c[np.append(first[1:], len(c)) - 1]
     label = _joined(r, c0, c1)
-    n = len(first)
-    return pa.table(
-        {"grid_id": pa.array([key[0].as_py()] * n, pa.string()), "band": pa.array([key[1].as_py()] * n, pa.int64()), "r": r, "c0": c0, "c1": c1, "lr": r[label], "lc": c0[label]}
-    )
+    of = [pa.array([k.as_py()] * len(first), k.type) for k in key]
+    return pa.table({"grid_id": of[0], "tc": of[2], "r": r, "c0": c0, "c1": c1, "lr": r[label], "lc": c0[label]})
 
 
-def void_regions(cells: DataFrame, nodata: float | None, width: int, band_cells: int = BAND_CELLS) -> DataFrame:
-    """The run table with each run's region: grid_id, r, c0, c1, root. ``width``: columns of the widest grid.
+def void_regions(cells: DataFrame, nodata: float | None, width: int, tile: int = TILE) -> DataFrame:
+    """Runs, cut at the borders of tiles, with the region of each: grid_id, r, c0, c1, root. ``width``: columns of the widest grid.
 
-    ``root`` is the least run of the region, as r * width + c0, so regions are in the order of their first cells.
+    ``root`` is the first cell of the region, as r * width + c, so regions are in the order of their first cells.
     """
-    rows = max(1, band_cells // max(1, width))
-    voids = _grid(cells).where(is_void(F.col("z"), nodata)).select(F.col("grid_id").cast("string").alias("grid_id"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"))
-    banded = voids.groupBy("grid_id", F.floor(F.col("r") / rows).alias("band")).applyInArrow(
-        _band_runs, "grid_id string, band long, r long, c0 long, c1 long, lr long, lc long"
+    long = lambda c: F.col(c).cast("long").alias(c)
+    voids = _grid(cells).where(is_void(F.col("z"), nodata)).select(F.col("grid_id").cast("string").alias("grid_id"), long("r"), long("c"))
+    tiled = voids.groupBy("grid_id", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc")).applyInArrow(
+        _tile_runs, "grid_id string, tc long, r long, c0 long, c1 long, lr long, lc long"
     )
-    runs = cut(banded.select("grid_id", "band", "r", "c0", "c1", (F.col("lr") * width + F.col("lc")).alias("node")))
-    # meeting by stretches of columns too, so that a wide row is not compared with all of the next
-    met = runs.withColumn("at", F.explode(F.sequence(F.floor(F.col("c0") / STRETCH), F.floor(F.col("c1") / STRETCH))))
-    last, first = met.where(F.col("r") % rows == rows - 1).alias("a"), met.where(F.col("r") % rows == 0).alias("b")
-    edges = last.join(
-        first,
-        (F.col("a.grid_id") == F.col("b.grid_id")) & (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.at") == F.col("b.at"))
+    runs = cut(tiled.select("grid_id", "tc", "r", "c0", "c1", (F.col("lr") * width + F.col("lc")).alias("node")))
+    # below: overlapping runs of the next tile's first row; beside: the run that goes on in the next tile
+    above, under = runs.where(F.col("r") % tile == tile - 1).alias("a"), runs.where(F.col("r") % tile == 0).alias("b")
+    below = above.join(
+        under,
+        (F.col("a.grid_id") == F.col("b.grid_id")) & (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.tc") == F.col("b.tc"))
         & (F.col("a.c0") <= F.col("b.c1")) & (F.col("b.c0") <= F.col("a.c1")),
-    ).select(F.col("a.grid_id").alias("grid_id"), F.col("b.node").alias("a"), F.col("a.node").alias("b"))
-    roots = connected_components(edges)
+    )
+    left, right = runs.where(F.col("c1") % tile == tile - 1).alias("a"), runs.where(F.col("c0") % tile == 0).alias("b")
+    beside = left.join(right, (F.col("a.grid_id") == F.col("b.grid_id")) & (F.col("a.r") == F.col("b.r")) & (F.col("a.c1") + 1 == F.col("b.c0")))
+    edge = [F.col("a.grid_id").alias("grid_id"), F.col("b.node").alias("a"), F.col("a.node").alias("b")]
+    roots = connected_components(below.select(*edge).union(beside.select(*edge)))
     return runs.join(roots, ["grid_id", "node"], "left").select("grid_id", "r", "c0", "c1", F.coalesce("root", "node").alias("root"))
 
 
