@@ -329,7 +329,7 @@ def pairs_across(texts: DataFrame, roots: DataFrame, shingle: int, least: float)
 
 
 def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Edges (a, b) between alike texts; with their components, no alike pair is missed.
+    """Edges (a, b) whose components are those of all alike pairs.
 
     ``classes``: node, h, fp, size, sent, spare, tokens, once for each text. ``texts``: doc_id, h, text.
 
@@ -353,8 +353,10 @@ def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float
     found = _compared(pairs, texts, shingle, least)
     if not dense.count():
         return found
-    across = pairs_across(texts.join(dense.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), connected_components(found), shingle, least)
-    return found.union(_compared(across, texts, shingle, least))
+    roots = connected_components(found)
+    across = pairs_across(texts.join(dense.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), roots, shingle, least)
+    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stars.union(_compared(across, texts, shingle, least))
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -488,3 +488,46 @@ def test_fingerprints_in_stretches():
         assert (audio_media.fingerprints(payload) == whole).all() and len(whole)
     finally:
         audio_media.STRETCH = old
+
+
+def _peak_pairs(payload):
+    """Fingerprints by definition, frame by frame."""
+    import numpy as np
+
+    samples, frame, hop = np.frombuffer(payload, np.uint8), audio_media.FRAME, audio_media.HOP
+    peaks = []
+    for at in range(0, len(samples) - frame + 1, hop):
+        power = np.abs(np.fft.rfft((samples[at : at + frame].astype(np.float32) - 128) * np.hanning(frame).astype(np.float32))).round(3)
+        power[:2] = 0
+        tops = [k for k in range(1, len(power) - 1) if power[k] > 0 and power[k - 1] <= power[k] > power[k + 1]]
+        peaks.append(sorted(tops, key=lambda k: (-power[k], k))[: audio_media.PEAKS])
+    out = []
+    for t, anchors in enumerate(peaks):
+        for d in range(1, audio_media.AHEAD + 1):
+            for a in anchors:
+                out += [(t << 32) | (a << 20) | (b << 8) | d for b in (peaks[t + d] if t + d < len(peaks) else [])]
+    return out
+
+
+def test_peak_pairs_by_definition(small_rows):
+    for _, text in small_rows[:60]:
+        payload = audio_media.payload_of((text or "").encode())
+        assert list(audio_media.fingerprints(payload)) == _peak_pairs(payload)
+
+
+def test_columns_of_the_queries(spark, small_rows):
+    """What the thin queries make of the operators' results: hex, digests, checksums, sums."""
+    fps = [simhash.fingerprint((t or "").encode()) for _, t in small_rows]
+    want = sorted((d, f"{fp:016x}", least) for d, fp, least in _groups(small_rows, fps))
+    assert sorted(map(tuple, simhash.op2_simhash_near_dedup(spark, DATA).collect())) == want
+    assert sorted(map(tuple, suffix_dedup.op7_suffix_dedup(spark, DATA).collect())) == sorted(suffix_dedup.brute_force(small_rows))
+    got = audio_media.op9_media_columns(spark, DATA).collect()
+    assert sorted(tuple(r)[:-1] for r in got) == sorted(audio_media.brute_force(small_rows))
+    found = {r.doc_id: r.feature for r in got}
+    rows = [(d, [int(x) for x in _peak_pairs(audio_media.payload_of((t or "").encode()))]) for d, t in small_rows[:60]]
+    hashed = spark.createDataFrame(rows, "doc_id long, codes array<long>").selectExpr("doc_id", "size(codes) as n", "lower(hex(xxhash64(codes))) as h").collect()
+    assert all(found[r.doc_id].split(":")[:2] == [str(r.n), r.h] for r in hashed)
+    from terrane.llm import mixing
+
+    mixed = mixing.op4_source_mixing(spark, DATA).collect()
+    assert {(r.doc_id, r.size) for r in mixed} == {(d, len((t or "").split())) for d, t in small_rows}
