@@ -146,6 +146,19 @@ def test_geometry(spark):
     assert abs(there.x - 18.5) < 1e-9 and abs(there.y + 33.5) < 1e-9
 
 
+def test_rings(spark):
+    rings = {
+        "square": ([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], True), "concave": ([(0, 0), (4, 0), (4, 4), (2, 1), (0, 4), (0, 0)], True),
+        "twice the same point": ([(0, 0), (1, 0), (1, 0), (1, 1), (0, 0)], True), "corner on a straight side": ([(0, 0), (1, 0), (2, 0), (2, 2), (0, 0)], True),
+        "bow tie": ([(0, 0), (2, 2), (2, 0), (0, 3), (0, 0)], False), "spike": ([(0, 0), (2, 0), (2, 2), (2, 5), (2, 2), (0, 2), (0, 0)], False),
+        "touches itself": ([(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 0)], False), "open": ([(0, 0), (1, 0), (1, 1), (0, 1)], False),
+        "no area": ([(0, 0), (1, 1), (2, 2), (0, 0)], False), "short": ([(0, 0), (1, 1), (0, 0)], False), "null": (None, False),
+    }
+    rows = [(name, points and [(float(x), float(y)) for x, y in points]) for name, (points, _) in rings.items()]
+    df = spark.createDataFrame(rows, "name string, ring array<struct<x:double,y:double>>")
+    assert {r.name: r.ok for r in df.select("name", geometry.is_valid_ring(F.col("ring")).alias("ok")).collect()} == {k: v for k, (_, v) in rings.items()}
+
+
 @pytest.mark.parametrize("compression", [geotiff.NONE, geotiff.LZW, geotiff.DEFLATE])
 @pytest.mark.parametrize("dtype", ["float32", "float64", "int16", "uint8"])
 def test_geotiff_round_trip(dtype, compression):
