@@ -64,5 +64,23 @@ def chat_sql() -> str:
  CAST(formatted AS BIGINT) AS formatted_chars FROM whole"""
 
 
+def repeats_sql(width: int = 100) -> str:
+    """All strings of ``width`` bytes, by their MD5, in order of document and start; each byte as two hexadecimal digits."""
+    return f"""WITH doc AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ sized AS (SELECT doc_id, h, length(h) // 2 AS n FROM doc),
+ part AS (SELECT doc_id, base, substr(h, 2 * base + 1, {2 * (200 + width - 1)}) AS h FROM (SELECT doc_id, h, unnest(range(0, n, 200)) AS base FROM sized)),
+ start AS (SELECT doc_id, h, base, unnest(range(0, least(200, length(h) // 2 - {width - 1}))) AS i FROM part WHERE length(h) >= {2 * width}),
+ string AS (SELECT doc_id, base + i AS p, md5(substr(h, 2 * i + 1, {2 * width})) AS k FROM start),
+ later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS i FROM string) WHERE i > 1),
+ opened AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {width} THEN 0 ELSE 1 END AS new FROM later),
+ numbered AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM opened),
+ span AS (SELECT doc_id, min(p) AS a, max(p) + {width} AS b FROM numbered GROUP BY doc_id, run),
+ per AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id),
+ gap AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM span UNION ALL SELECT doc_id, max(b), NULL FROM span GROUP BY doc_id),
+ kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, n) - a)), '' ORDER BY a) AS kept FROM gap JOIN sized USING (doc_id) GROUP BY doc_id)
+ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM sized LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_sql(), "op3_decontaminate": decontamination_sql(), "op5_chat_prefix_tree": chat_sql()}
+    return {"op7_suffix_dedup": repeats_sql(), "op1_license_scan": license_sql(), "op3_decontaminate": decontamination_sql(), "op5_chat_prefix_tree": chat_sql()}
