@@ -57,10 +57,10 @@ def from_wav(media: bytes) -> bytes:
 def _peaks(samples: np.ndarray, frame: int, hop: int, peaks: int) -> np.ndarray:
     """Frequencies (bins) of the strongest local maxima of each frame, strongest first."""
     frames = np.lib.stride_tricks.sliding_window_view(samples, frame)[::hop]
-    window = np.hanning(frame).astype(np.float32)
+    window = np.hanning(frame)
     out = np.empty((len(frames), peaks), np.int64)
     for c in range(0, len(frames), 512):
-        part = (frames[c : c + 512].astype(np.float32) - 128) * window
+        part = (frames[c : c + 512].astype(np.float64) - 128) * window
         power = np.abs(np.fft.rfft(part, axis=1)).round(3)  # rounded: the same on any machine
         power[:, :2] = 0
         local = np.zeros_like(power)
@@ -139,8 +139,8 @@ def op9_media_columns(spark, sf_dir: str) -> DataFrame:
     n = F.octet_length("payload").cast("long")
     codes = F.transform("fingerprints", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)))
     feature = F.concat_ws(
-        ":", F.size("fingerprints").cast("string"),
-        F.lower(F.hex(F.xxhash64("fingerprints"))), F.lower(F.hex(F.coalesce(F.get(codes, F.lit(0)), F.lit(0)))),
+        ":", F.size("fingerprints").cast("string"), F.md5(F.array_join(F.col("fingerprints").cast("array<string>"), ",")),
+        F.lower(F.hex(F.coalesce(F.get(codes, F.lit(0)), F.lit(0)))),
     )
     return read.select(
         "doc_id", "n_bytes", n.alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrane.llm import chat_tree, license_scan
+from terrane.llm import audio_media, chat_tree, license_scan
 from terrane.llm.decontaminate import WINDOW
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,5 +82,31 @@ def repeats_sql(width: int = 100) -> str:
  sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM sized LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+def media_sql() -> str:
+    """Payload, file and checksum as hexadecimal digits; spectra as products with rows of cosines and sines."""
+    frame, hop, ahead, peaks = audio_media.FRAME, audio_media.HOP, audio_media.AHEAD, audio_media.PEAKS
+    size = lambda v: "printf('%02x%02x%02x%02x', " + ", ".join(f"({v} >> {b}) & 255" for b in (0, 8, 16, 24)) + ")"
+    head = f"'52494646' || {size('(m + 36)')} || '57415645666d74201000000001000100401f0000401f00000100080064617461' || {size('m')}"
+    wave = lambda f: f"list_transform(range(0, {frame}), lambda k: {f}(2 * pi() * j * k / {frame}))"
+    return f"""WITH doc AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+ sized AS (SELECT doc_id, h, length(h) // 2 AS n, greatest(1, (length(h) // 2 + 191) // 192) * 192 AS m FROM doc),
+ stored AS (SELECT doc_id, n, m, h || repeat('20', m - n) AS p FROM sized),
+ tail AS (SELECT doc_id, list_reduce(list_prepend(4294967295, list_transform(range(0, 16), lambda i: CAST('0x' || substr(p, 2 * m - 31 + 2 * i, 2) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS c FROM stored),
+ frame AS (SELECT doc_id, t, substr(p, {2 * hop} * t + 1, {2 * frame}) AS x FROM (SELECT doc_id, p, unnest(range(0, (m - {frame}) // {hop} + 1)) AS t FROM stored)),
+ sample AS (SELECT doc_id, t, list_transform(range(0, {frame}), lambda k: (CAST('0x' || substr(x, 2 * k + 1, 2) AS INTEGER) - 128) * (0.5::DOUBLE - 0.5::DOUBLE * cos(2 * pi() * k / {frame - 1}))) AS v FROM frame),
+ bin AS (SELECT j, {wave('cos')} AS c, {wave('sin')} AS s FROM (SELECT unnest(range(2, {frame // 2 + 1})) AS j)),
+ power AS (SELECT doc_id, t, j, round(sqrt(pow(list_inner_product(v, c), 2) + pow(list_inner_product(v, s), 2)), 3) AS p FROM sample, bin),
+ near AS (SELECT *, coalesce(lag(p) OVER spectrum, 0) AS low, lead(p) OVER spectrum AS high FROM power WINDOW spectrum AS (PARTITION BY doc_id, t ORDER BY j)),
+ top AS (SELECT doc_id, t, j, row_number() OVER (PARTITION BY doc_id, t ORDER BY p DESC, j) AS k FROM near WHERE p > 0 AND p >= low AND p > high),
+ pair AS (SELECT a.doc_id, (a.t << 32) | (a.j << 20) | (b.j << 8) | (b.t - a.t) AS code, row_number() OVER (PARTITION BY a.doc_id ORDER BY a.t, b.t, a.k, b.k) AS i
+  FROM top a JOIN top b ON a.doc_id = b.doc_id AND b.t BETWEEN a.t + 1 AND a.t + {ahead} WHERE a.k <= {peaks} AND b.k <= {peaks}),
+ told AS (SELECT doc_id, count(*) AS pairs, md5(string_agg(CAST(code AS VARCHAR), ',' ORDER BY i)) AS all_codes, min(code) FILTER (i = 1) & 4294967295 AS one FROM pair GROUP BY doc_id)
+ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(m AS BIGINT) AS payload_bytes, sha256(unhex(p)) AS payload_sha256, CAST(xor(c, 4294967295) AS BIGINT) AS tail_crc32,
+ CAST(m + 44 AS BIGINT) AS media_bytes, sha256(unhex({head} || p)) AS media_sha256,
+ CAST(coalesce(pairs, 0) AS VARCHAR) || ':' || coalesce(all_codes, md5('')) || ':' || printf('%x', coalesce(one, 0)) AS feature
+ FROM stored JOIN tail USING (doc_id) LEFT JOIN told USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_dedup": repeats_sql(), "op1_license_scan": license_sql(), "op3_decontaminate": decontamination_sql(), "op5_chat_prefix_tree": chat_sql()}
+    return {"op7_suffix_dedup": repeats_sql(), "op9_media_columns": media_sql(), "op1_license_scan": license_sql(), "op3_decontaminate": decontamination_sql(), "op5_chat_prefix_tree": chat_sql()}
