@@ -66,6 +66,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS) -> Data
     return per.select("source", "nth", "source_size", F.least("cap", F.col("common") * F.col("weight")).alias("target"), F.floor("cap").cast("long").alias("most"))
 
 
+def _hash(*parts) -> Column:
+    """60 bits of the MD5 of the parts, comma-joined: a hash that any SQL engine has."""
+    return F.conv(F.substring(F.md5(F.concat_ws(",", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
 def _walk(x: Column, n: Column, *key: Column) -> Column:
     """A pseudorandom permutation of 0 .. n - 1, applied to x."""
     side = F.floor(F.sqrt(n.cast("double"))) + 1
@@ -74,7 +79,7 @@ def _walk(x: Column, n: Column, *key: Column) -> Column:
         left, right = F.floor(v / side), v % side
         left = left.cast("long")
         for k in range(4):
-            left, right = right, (left + F.pmod(F.xxhash64(right, F.lit(k), *key), side)) % side
+            left, right = right, (left + _hash(right, F.lit(k), *key) % side) % side
         return left * side + right
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(x), lambda v, _: F.when(v >= n, once(v)).otherwise(v))
@@ -93,7 +98,7 @@ def goals(per_source: DataFrame, block: int, seed: int) -> DataFrame:
     )
     s = s.select("*", F.floor(goal / size).cast("long").alias("passes"), (goal % size).alias("rest"))
     # where in the last pass the short block at the end of the source has its turn
-    turn = F.when(F.col("tail") > 0, F.pmod(F.xxhash64("nth", "passes", F.lit(seed), F.lit("tail")), n)).otherwise(n)
+    turn = F.when(F.col("tail") > 0, _hash(F.col("nth"), F.col("passes"), F.lit(seed), F.lit("tail")) % n).otherwise(n)
     s = s.select("*", turn.alias("turn"))
     reach, rest, tail = F.col("turn") * block, F.col("rest"), F.col("tail")
     part = (
@@ -161,7 +166,7 @@ def packed(sizes: DataFrame, per_source: DataFrame, seed: int = 0, bucket_rows:
     rows = sizes.count()
     buckets = max(1, -(-rows // max(bucket_rows, math.isqrt(rows))))
     dealt = sizes.join(per_source.select(F.col("source").alias("of"), "nth", "source_size", "target"), F.col("source").eqNullSafe(F.col("of")))
-    dealt = dealt.drop("of").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.lit(buckets)))
+    dealt = dealt.drop("of").withColumn("bucket", _hash(F.col("doc_id"), F.col("size"), F.lit(seed)) % F.lit(buckets))
     inner = Window.partitionBy("nth", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.withColumn("inside", F.sum("size").over(inner) - F.col("size"))
     sums = dealt.groupBy("nth", "bucket").agg(F.sum("size").alias("words"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrane.llm import audio_media, chat_tree, license_scan
+from terrane.llm import audio_media, chat_tree, license_scan, mixing
 from terrane.llm.decontaminate import WINDOW
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,5 +108,57 @@ def media_sql() -> str:
  FROM stored JOIN tail USING (doc_id) LEFT JOIN told USING (doc_id)"""
 
 
+def mixing_sql() -> str:
+    """The rule of the targets, the draw of the shards, the permutations and the packing, step by step."""
+    block, shard_slots, bucket_rows, most = mixing.BLOCK_WORDS, mixing.SHARD_SLOTS, mixing.BUCKET_ROWS, mixing.MOST_REPEATS
+    hashed = lambda *parts: f"CAST('0x' || substr(md5(concat_ws(',', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+    def walk(name: str, source: str, ids: str, x: str, n: str, *key: str) -> str:
+        """Permutes x below n; rows of ``source`` that are out of range go round again."""
+        def once(v: str, rows: str, where: str) -> str:
+            rounds = ", ".join(f"(l{k} + {hashed(f'l{k + 1}', str(k), *key)} % side) % side AS l{k + 2}" for k in range(4))
+            return f"""SELECT {ids}, n, l4 * side + l5 AS v FROM (SELECT *, CAST(floor(sqrt(CAST(n AS DOUBLE))) AS BIGINT) + 1 AS side, {v} // side AS l0, {v} % side AS l1, {rounds} FROM {rows} {where})"""
+
+        return f"""{name} AS ({once('x', f'(SELECT *, CAST({x} AS BIGINT) AS x, CAST({n} AS BIGINT) AS n FROM {source})', '')} UNION ALL {once('v', name, 'WHERE v >= n')})"""
+
+    goal = f"""weighed AS (SELECT *, CAST([5, 2, 1][nth % 3 + 1] AS DOUBLE) AS weight, source_size * {most}.0::DOUBLE AS cap FROM
+  (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM sized GROUP BY source)),
+ levelled AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+ per AS (SELECT source, nth, source_size, least(cap, weight * coalesce((SELECT level FROM levelled WHERE level * weight <= cap ORDER BY cap / weight, nth LIMIT 1), 0)) AS target FROM levelled),
+ full_passes AS (SELECT *, CAST(ceil(source_size / {block}) AS BIGINT) AS blocks, source_size % {block} AS tail, least(CAST(round(target) AS BIGINT), source_size * {most}) AS goal,
+  goal // source_size AS passes, goal % source_size AS rest FROM per WHERE source_size > 0),
+ turned AS (SELECT *, CASE WHEN tail > 0 THEN {hashed('nth', 'passes', '0', "'tail'")} % blocks ELSE blocks END AS turn FROM full_passes),
+ slotted AS (SELECT *, passes * blocks + CAST(CASE WHEN rest <= turn * {block} THEN ceil(rest / {block}) WHEN rest <= turn * {block} + tail THEN turn + 1
+  ELSE turn + 1 + ceil((rest - turn * {block} - tail) / {block}) END AS BIGINT) AS slots FROM turned),
+ goal AS (SELECT *, sum(slots) OVER (ORDER BY nth) - slots AS base, sum(slots) OVER () AS all_slots FROM slotted WHERE slots > 0)"""
+    return f"""WITH RECURSIVE sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS BIGINT) AS size FROM documents),
+ {goal},
+ slot AS (SELECT nth, base, all_slots, unnest(range(0, CAST(slots AS BIGINT))) AS i FROM goal),
+ {walk('drawn_place', 'slot', 'nth', 'base + i', 'all_slots', '0', "'slots'")},
+ counted AS (SELECT v // {shard_slots} AS shard, nth, count(*) AS count FROM drawn_place WHERE v < n GROUP BY ALL),
+ dealt AS (SELECT shard, nth, CAST(sum(count) OVER (PARTITION BY nth ORDER BY shard) - count AS BIGINT) AS before, count FROM counted),
+ each_slot AS (SELECT shard, nth, before + unnest(range(0, count)) AS i FROM dealt),
+ timed AS (SELECT e.*, blocks, tail, passes, rest, i // blocks AS pass, i % blocks AS at_block, CASE WHEN i // blocks < passes THEN CASE WHEN tail > 0 THEN blocks - 1 ELSE blocks END ELSE turn END AS turned
+  FROM each_slot e JOIN goal USING (nth)),
+ {walk('placed_block', '(SELECT * FROM timed WHERE at_block <> turned)', 'nth, pass, i', 'at_block - CASE WHEN at_block > turned THEN 1 ELSE 0 END', 'greatest(blocks - CASE WHEN tail > 0 THEN 1 ELSE 0 END, 1)', 'nth', 'pass', '0')},
+ taking AS (SELECT shard, nth, CASE WHEN at_block = turned THEN blocks - 1 ELSE v END AS index, CASE WHEN at_block = turned THEN tail ELSE {block} END AS length,
+  CASE WHEN pass < passes THEN CASE WHEN at_block = turned THEN tail ELSE {block} END ELSE least(CASE WHEN at_block = turned THEN tail ELSE {block} END,
+   rest - (at_block * {block} - CASE WHEN at_block > turned THEN {block} - tail ELSE 0 END)) END AS words
+  FROM timed LEFT JOIN (SELECT nth, pass, i, v FROM placed_block WHERE v < n) USING (nth, pass, i)),
+ drawn AS (SELECT nth, index, count(*) FILTER (words = length) AS times, min(shard) FILTER (words = length) AS shard, coalesce(max(words) FILTER (words < length), 0) AS part,
+  min(shard) FILTER (words < length) AS part_shard FROM taking GROUP BY ALL),
+ bucketed AS (SELECT doc_id, size, nth, source_size, target, {hashed('doc_id', 'size', '0')} % (SELECT greatest(1, CAST(ceil(count(*) / greatest({bucket_rows}, floor(sqrt(count(*))))) AS BIGINT)) FROM sized) AS bucket
+  FROM sized JOIN per ON per.source IS NOT DISTINCT FROM sized.source),
+ packed AS (SELECT *, CAST(sum(size) OVER (PARTITION BY nth ORDER BY bucket, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS first FROM bucketed),
+ piece AS (SELECT nth, first, doc_id, size, source_size, target, unnest(range(first // {block}, greatest(first, first + size - 1) // {block} + 1)) AS index FROM packed),
+ cut AS (SELECT *, greatest(first - index * {block}, 0) AS a, least(first + size - index * {block}, {block}) AS b FROM piece),
+ joined AS (SELECT c.*, times, part, shard, part_shard, greatest(least(b, part) - a, 0) AS partly FROM cut c LEFT JOIN drawn d ON d.nth = c.nth AND d.index = c.index)
+ SELECT doc_id, size, source_size, target, CAST(CASE WHEN size > 0 THEN sum(coalesce(times * (b - a) + partly, 0)) ELSE 0 END AS BIGINT) AS taken,
+ CAST(CASE WHEN size > 0 THEN sum(coalesce(times + CASE WHEN partly > 0 THEN 1 ELSE 0 END, 0)) ELSE 0 END AS BIGINT) AS slots,
+ CASE WHEN size > 0 THEN min(least(shard, CASE WHEN partly > 0 THEN part_shard END)) END AS first_shard
+ FROM joined GROUP BY nth, first, doc_id, size, source_size, target"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_dedup": repeats_sql(), "op9_media_columns": media_sql(), "op1_license_scan": license_sql(), "op3_decontaminate": decontamination_sql(), "op5_chat_prefix_tree": chat_sql()}
+    return {"op7_suffix_dedup": repeats_sql(), "op9_media_columns": media_sql(), "op4_source_mixing": mixing_sql(), "op1_license_scan": license_sql(), "op3_decontaminate": decontamination_sql(), "op5_chat_prefix_tree": chat_sql()}
