@@ -160,5 +160,61 @@ def mixing_sql() -> str:
  FROM joined GROUP BY nth, first, doc_id, size, source_size, target"""
 
 
+#: The five primes of XXH64, and two to the power of 64.
+_P1, _P2, _P3, _P4, _P5, _WHOLE = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261, 2**64
+
+
+def xxh64_sql(table: str, x: str = "x", seed: int = 42) -> str:
+    """SQL of CTEs that end in ``xx_hashed`` (x, h): the XXH64 of each distinct string of ``table``, as UHUGEINT below 2**64.
+
+    Numbers of 128 bits hold a product of two of 64; what is above 64 bits is taken off with the remainder.
+    """
+    whole = f"{_WHOLE}::UHUGEINT"
+    times = lambda a, b: f"(({a}) * {b}::UHUGEINT % {whole})"
+    let = lambda value, name, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    turn = lambda v, n: f"({v} * {2**n}::UHUGEINT % {whole} + {v} // {2 ** (64 - n)}::UHUGEINT)"
+    stir = lambda acc, lane: let(f"({acc} + {times(lane, _P2)}) % {whole}", "y", times(turn("y", 31), _P1))
+    number = lambda at, n: "CAST('0x' || " + " || ".join(f"substr(hex_x, 2 * ({at}) + {2 * k + 1}, 2)" for k in reversed(range(n))) + " AS UBIGINT)::UHUGEINT"
+    lanes = lambda j: f"list_transform(range(0, bytes // 32), lambda i: {number(f'32 * i + {8 * j}', 8)})"
+    starts = [(seed + _P1 + _P2) % _WHOLE, (seed + _P2) % _WHOLE, seed, (seed - _P1) % _WHOLE]
+    accs = ", ".join(f"list_reduce(list_prepend({v}::UHUGEINT, {lanes(j)}), lambda acc, lane: {stir('acc', 'lane')}) AS a{j}" for j, v in enumerate(starts))
+    merged = f"({' + '.join(turn(f'a{j}', n) for j, n in enumerate((1, 7, 12, 18)))}) % {whole}"
+    mixed = f"list_reduce([{merged}, a0, a1, a2, a3], lambda h, lane: ({times('xor(h, ' + stir('0::UHUGEINT', 'lane') + ')', _P1)} + {_P4}) % {whole})"
+    done = "(bytes // 32 * 32)"
+    eights = f"list_transform(range(0, bytes % 32 // 8), lambda i: {number(f'{done} + 8 * i', 8)})"
+    by_eights = f"list_reduce(list_prepend(h, {eights}), lambda h, lane: ({times(let('xor(h, ' + stir('0::UHUGEINT', 'lane') + ')', 'z', turn('z', 27)), _P1)} + {_P4}) % {whole})"
+    four = let(f"xor(h, {times(number('bytes // 8 * 8', 4), _P1)})", "z", f"({times(turn('z', 23), _P2)} + {_P3}) % {whole}")
+    ones = f"list_transform(range(bytes // 4 * 4, bytes), lambda i: {number('i', 1)})"
+    by_ones = f"list_reduce(list_prepend(h, {ones}), lambda h, lane: {times(let('xor(h, ' + times('lane', _P5) + ')', 'z', turn('z', 11)), _P1)})"
+    last = lambda v, n: f"xor({v}, {v} // {2**n}::UHUGEINT)"
+    return f"""xx_text AS (SELECT DISTINCT {x} AS x, hex(encode({x})) AS hex_x, CAST(strlen({x}) AS BIGINT) AS bytes FROM {table}),
+ xx_stripes AS (SELECT x, hex_x, bytes, {accs} FROM xx_text WHERE bytes >= 32),
+ xx_begun AS (SELECT x, hex_x, bytes, ({mixed} + bytes::UHUGEINT) % {whole} AS h FROM xx_stripes UNION ALL SELECT x, hex_x, bytes, {(seed + _P5) % _WHOLE}::UHUGEINT + bytes::UHUGEINT FROM xx_text WHERE bytes < 32),
+ xx_eights AS (SELECT x, hex_x, bytes, {by_eights} AS h FROM xx_begun),
+ xx_fours AS (SELECT x, hex_x, bytes, CASE WHEN bytes % 8 >= 4 THEN {four} ELSE h END AS h FROM xx_eights),
+ xx_ones AS (SELECT x, {by_ones} AS h FROM xx_fours),
+ xx_once AS (SELECT x, {times(last('h', 33), _P2)} AS h FROM xx_ones), xx_twice AS (SELECT x, {times(last('h', 29), _P3)} AS h FROM xx_once),
+ xx_hashed AS (SELECT x, {last('h', 32)} AS h FROM xx_twice)"""
+
+
+def simhash_sql(shingle: int = 3, most: int = 2) -> str:
+    """Fingerprints bit by bit, all pairs of distinct ones, and what each can reach."""
+    spaced = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+')"
+    bits = " + ".join(f"CASE WHEN 2 * sum(CAST(h // {2**b}::UHUGEINT % 2 AS BIGINT)) > count(*) THEN {2**b}::UHUGEINT ELSE 0::UHUGEINT END" for b in range(64))
+    return f"""WITH RECURSIVE word AS (SELECT row_number() OVER () AS nth, doc_id, {spaced} AS w FROM documents),
+ shingled AS (SELECT nth, array_to_string(w[i : i + {shingle - 1}], ' ') AS x FROM (SELECT nth, w, unnest(range(1, greatest(len(w) - {shingle - 1}, 1) + 1)) AS i FROM word WHERE len(w) > 0)),
+ {xxh64_sql('shingled')},
+ marked AS (SELECT nth, CAST({bits} AS UBIGINT) AS fp FROM shingled JOIN xx_hashed USING (x) GROUP BY nth),
+ all_marked AS (SELECT doc_id, coalesce(fp, 0::UBIGINT) AS fp FROM word LEFT JOIN marked USING (nth)),
+ node AS (SELECT fp, min(doc_id) AS least FROM all_marked GROUP BY fp),
+ edge AS (SELECT a.least AS a, b.least AS b FROM node a JOIN node b ON a.fp <> b.fp AND bit_count(CAST(xor(a.fp, b.fp) AS HUGEINT)) <= {most}),
+ reach AS (SELECT least AS root, least AS id FROM node UNION SELECT reach.root, edge.b FROM reach JOIN edge ON edge.a = reach.id WHERE reach.root < edge.b),
+ member AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id)
+ SELECT doc_id, printf('%016x', fp) AS fingerprint, component_id FROM all_marked JOIN node USING (fp) JOIN member ON member.id = node.least"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffix_dedup": repeats_sql(), "op9_media_columns": media_sql(), "op4_source_mixing": mixing_sql(), "op1_license_scan": license_sql(), "op3_decontaminate": decontamination_sql(), "op5_chat_prefix_tree": chat_sql()}
+    return {
+        "op1_license_scan": license_sql(), "op2_simhash_near_dedup": simhash_sql(), "op3_decontaminate": decontamination_sql(), "op4_source_mixing": mixing_sql(),
+        "op5_chat_prefix_tree": chat_sql(), "op7_suffix_dedup": repeats_sql(), "op9_media_columns": media_sql(),
+    }
