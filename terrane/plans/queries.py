@@ -440,14 +440,14 @@ def sink_smoothing_mask(spark, d):
     return outputs.recoded(_smoothed(spark, d), "mask", "smoothing")
 
 
-@_query("void_split", f"""WITH {_G1} SELECT side, count(*) AS cells, round(sum(c), 6) AS columns FROM (SELECT c, CASE WHEN z = -9999.0 THEN 'void' ELSE 'data' END AS side FROM g1)
+@_query("void_split", f"""WITH {_G1} SELECT side, count(*) AS cells, CAST(sum(c) AS BIGINT) AS columns FROM (SELECT c, CASE WHEN z = -9999.0 THEN 'void' ELSE 'data' END AS side FROM g1)
  GROUP BY side""")
 def void_split(spark, d):
     """Cells that lie in a run of voids and those that do not, by a semi and an anti join."""
     cells = embedding_grid(spark, d)
     inside = voids.void_runs(cells, NODATA).select("r", F.explode(F.sequence("c0", "c1")).alias("c"))
     parts = [cells.join(inside, ["r", "c"], how).withColumn("side", F.lit(side)) for how, side in (("left_semi", "void"), ("left_anti", "data"))]
-    return parts[0].union(parts[1]).groupBy("side").agg(F.count("*").alias("cells"), F.sum("c").cast("double").alias("columns"))
+    return parts[0].union(parts[1]).groupBy("side").agg(F.count("*").alias("cells"), F.sum("c").alias("columns"))
 
 
 # --- whole tools
