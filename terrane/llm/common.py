@@ -53,6 +53,7 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``most`` bytes of text, or a single longer row."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()  # what earlier batches took
         col = batch.column(batch.schema.get_field_index(column))
         if not len(col):
             continue

@@ -540,10 +540,11 @@ def _remove(width: int, gram: int, buckets: int, whole: bool):
         order = np.lexsort((at, digests["b"], digests["a"]))
         late = at[order[np.flatnonzero(digests[order][1:] == digests[order][:-1]) + 1]]
         remove(late, late)
-        removed = np.cumsum(edge[:-1]) > 0
-        if whole:  # no character stays in part
-            character = np.cumsum(b.data & 0xC0 != 0x80)
-            removed = (np.bincount(character, removed) > 0)[character]
+        np.cumsum(edge, out=edge)
+        removed = edge[:-1] > 0
+        del edge
+        if whole:
+            _to_whole_characters(b.data, removed)
         kept, starts, ends = [], [], []
         for lo, hi in zip(b.offsets[:-1], b.offsets[1:], strict=True):
             cut = removed[lo:hi]
@@ -569,6 +570,18 @@ def _remove(width: int, gram: int, buckets: int, whole: bool):
     return of
 
 
+def _to_whole_characters(data: np.ndarray, removed: np.ndarray) -> None:
+    """Widen the removed runs so that no character stays in part: back to its first byte, on to its last."""
+    turn = np.diff(removed.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    for _ in range(3):  # a character has three bytes at most besides the first
+        starts = starts[data[starts] & 0xC0 == 0x80] - 1
+        ends = ends[ends < len(data)]
+        ends = ends[data[ends] & 0xC0 == 0x80]
+        removed[starts] = removed[ends] = True
+        ends = ends + 1
+
+
 def _removed(docs: DataFrame, width: int, block_bytes: int, gram: int, hot: int, schema) -> DataFrame:
     """``docs``: doc_id, text, and rest (a struct) if whole rows are to come back."""
     if not 8 <= gram <= width or width - gram > 255 or 2 * width - gram > len(_POW1):
