@@ -31,7 +31,7 @@ def void_runs(cells: DataFrame, nodata: float | None) -> DataFrame:
     ).drop("run")
 
 
-#: Rows and columns of a tile.
+#: Columns of a tile, and its rows on grids that are wider.
 TILE = 512
 
 
@@ -73,14 +73,15 @@ def void_regions(cells: DataFrame, nodata: float | None, width: int, tile: int =
 
     ``root`` is the first cell of the region, as r * width + c, so regions are in the order of their first cells.
     """
+    high = max(tile, tile * tile // max(1, width))  # tiles of narrow grids are taller, of as many cells
     long = lambda c: F.col(c).cast("long").alias(c)
     voids = _grid(cells).where(is_void(F.col("z"), nodata)).select(F.col("grid_id").cast("string").alias("grid_id"), long("r"), long("c"))
-    tiled = voids.groupBy("grid_id", F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc")).applyInArrow(
+    tiled = voids.groupBy("grid_id", F.floor(F.col("r") / high).alias("tr"), F.floor(F.col("c") / tile).alias("tc")).applyInArrow(
         _tile_runs, "grid_id string, tc long, r long, c0 long, c1 long, lr long, lc long"
     )
     runs = cut(tiled.select("grid_id", "tc", "r", "c0", "c1", (F.col("lr") * width + F.col("lc")).alias("node")))
     # below: overlapping runs of the next tile's first row; beside: the run that goes on in the next tile
-    above, under = runs.where(F.col("r") % tile == tile - 1).alias("a"), runs.where(F.col("r") % tile == 0).alias("b")
+    above, under = runs.where(F.col("r") % high == high - 1).alias("a"), runs.where(F.col("r") % high == 0).alias("b")
     below = above.join(
         under,
         (F.col("a.grid_id") == F.col("b.grid_id")) & (F.col("a.r") + 1 == F.col("b.r")) & (F.col("a.tc") == F.col("b.tc"))
