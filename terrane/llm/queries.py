@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import audio_media, chat_tree, decontaminate, language_id, license_scan, mixing, oracle, quality, simhash, suffix_dedup, toxicity
+from terrane.llm import audio_media, bpe_table, chat_tree, decontaminate, language_id, license_scan, mixing, oracle, quality, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.op8_language_id,
         "op9_media_columns": audio_media.op9_media_columns,
         "op10_quality_classifier": quality.op10_quality_classifier,
+        "op11_bpe_table": bpe_table.op11_bpe_table,
     }
 
 
