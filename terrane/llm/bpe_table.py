@@ -1,13 +1,14 @@
 """Encoding and decoding with a BPE tokenizer through a table of distinct words.
 
 Texts are split at ASCII white space. That is safe for a tokenizer whose words never hold white space (checked on the
-file: see :func:`checked`): a text's ids are then those of its words, one after the other. Each distinct word of the corpus is
-encoded once, its ids are joined with the vocabulary for their pieces, and both go back to the texts: by an equality
-on the word (or, for a long one, its digest) to each block of texts that holds it, then by the word's number in that block's dictionary to its places.
-
-Only a block's distinct words are shuffled, not the places of words. A word that every text holds is one row a block. Blocks
-come from the same scan twice (words, places); a digest of the words on both sides stops the job if the scan has not given
-the same rows, as may be with an input that is neither a file nor cut.
+file: see :func:`checked`): a text's ids are then those of its words, one after the other.
+
+A task gives the distinct words of each block of its texts, dealt to buckets by their hash. In a bucket all blocks' words
+meet; each distinct one is encoded once, and its ids go back to every block that has it. There the ids are joined
+with the vocabulary for their pieces, and both go to the words' places in the texts. So only the distinct words of blocks
+are shuffled, packed, not the places of words; a word that every text holds is one entry a block. Blocks come from the
+same scan twice (words, places); a digest of the words on both sides stops the job if the scan has not given the same
+rows, as may be with an input that is neither a file nor cut.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.llm.common import documents, id_and_text
-from terrane.llm.word_blocks import BLOCK_BYTES, blocks, packed, spans, unpacked, with_task
+from terrane.llm.word_blocks import BLOCK_BYTES, BUCKET_BYTES, blocks, bucket_count, by_bucket, hashes, packed, rows_of, spans, string_buffers, unpacked, with_task
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -83,117 +84,156 @@ def decode(rows: DataFrame, pieces: DataFrame, keys: list[str], ids: str = "ids"
     return whole.select(*keys, F.array_join(F.col("found.piece"), " ").alias("text"))
 
 
-_PLACES = {"doc_ids": "array<long>", "counts": "array<long>", "refs": "binary", "digest": "long"}
-
-
 def _split(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts, and how many each text has. White space at an end gives an empty word, which has no ids."""
     lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.large_string()), ""))
     return lists.flatten(), pc.list_value_length(lists).to_numpy()
 
 
-def _blocks(places: bool, most: int):
-    """The texts' words as numbers (``places``), or the words of each block; the digest of a block's words comes with both."""
+_WORDS = "bucket long, block long, digest long, numbers binary, n long, letters binary"
+_KNOWN = "block long, digest long, kind int, numbers binary, n long, ids binary, doc_ids array<long>"
+
+
+def _blocks(buckets: int, most: int):
+    """The words of each block by bucket (0 buckets: the texts' words as numbers). A block's digest tells its words apart from others."""
 
     def of(batches):
-        for number, parts in blocks(batches, most):
+        for block, parts in blocks(batches, most):
             split = [(part.column(0), *_split(part.column(1))) for part in parts]
             coded = pa.chunked_array([words for _, words, _ in split]).dictionary_encode()
-            words = coded.chunk(0).dictionary.cast(pa.string())
-            digest = xxhash.xxh3_64(words.buffers()[2] or b"")
-            digest.update(np.asarray(pc.binary_length(words)).tobytes())
-            told = digest.intdigest() >> 1
-            if places:
+            words = coded.chunk(0).dictionary
+            data, offsets = string_buffers(words)
+            sizes = np.diff(offsets)
+            digest = xxhash.xxh3_64(sizes.tobytes())
+            digest.update(data)
+            digest = digest.intdigest() >> 1
+            if not buckets:
                 for (doc_ids, _, counts), chunk in zip(split, coded.chunks, strict=True):
-                    yield _row(number, doc_ids, counts, packed(chunk.indices.to_numpy()), told)
-            else:
-                at = pa.array(np.append(np.arange(len(words)), -1 - told))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number)), at, pa.concat_arrays([words, pa.array([""])])], names=["block", "at", "word"])
+                    numbers = np.append(counts, chunk.indices.to_numpy())
+                    yield rows_of(_KNOWN, dict(block=block, digest=digest, kind=1, numbers=packed(numbers), n=len(numbers), ids=None, doc_ids=doc_ids.to_pylist()))
+                continue
+            order, found = by_bucket(hashes(words), buckets)
+            dealt = words.take(pa.array(order))
+            data, offsets = string_buffers(dealt)
+            for bucket, first, last in found:
+                letters = pa.compress(data[offsets[first] : offsets[last]].tobytes(), "zstd", asbytes=True)
+                numbers = packed(np.append(order[first:last], sizes[order[first:last]]))
+                yield rows_of(_WORDS, dict(bucket=bucket, block=block, digest=digest, numbers=numbers, n=last - first, letters=letters))
 
     return of
 
 
-def _row(number: int, doc_ids: pa.Array, counts: np.ndarray, refs: bytes, digest: int) -> pa.RecordBatch:
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int64()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number]), one(doc_ids), one(counts), pa.array([refs], pa.binary()), pa.array([digest], pa.int64())],
-        names=["block", "doc_ids", "counts", "refs", "digest"],
-    )
-
-
-#: Words of more bytes stand in keys as a blank (which no word holds) and their SHA-256, so that rows made of a word's ids stay small.
-LONG_WORD = 64
-
-
-def keyed(words: DataFrame) -> DataFrame:
-    """block, at, key (the word, or what stands for a long one), long (a long word, else null)."""
-    is_long = F.octet_length("word") > LONG_WORD
-    key = F.when(is_long, F.concat(F.lit(" "), F.sha2("word", 256))).otherwise(F.col("word"))
-    return words.select("block", "at", key.alias("key"), F.when(is_long, F.col("word")).alias("long"))
+def word_table(words: pa.Array, path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """For each word its number among the distinct ones; the number of ids of each distinct word, and all their ids."""
+    coded = words.dictionary_encode()
+    distinct, counts, ids = coded.dictionary, [], []
+    for first in range(0, len(distinct), 10_000):
+        for found in tokenizer(path).encode_batch(distinct.slice(first, 10_000).to_pylist(), add_special_tokens=False):
+            got = found.ids
+            counts.append(len(got))
+            ids += got
+    return coded.indices, np.array(counts, np.int64), np.array(ids, np.int64)
+
+
+def _encode(path: str):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct words of a bucket are encoded, and their ids go back to each block that has them."""
+        rows, places, sizes, letters = [], [], [], []
+        for batch in batches:
+            for row in batch.select(["block", "digest", "numbers", "n", "letters"]).to_pylist():
+                at, size = np.split(unpacked(row["numbers"], 2 * row["n"]), 2)
+                rows.append((row["block"], row["digest"], row["n"]))
+                places.append(at)
+                sizes.append(size)
+                letters.append(pa.decompress(row["letters"], int(size.sum()), "zstd", asbytes=True) if size.sum() else b"")
+        offsets = np.append(0, np.cumsum(np.concatenate(sizes)))
+        words = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(b"".join(letters)))
+        of_word, counts, ids = word_table(words, path)
+        of_word, starts, first = of_word.to_numpy(), np.cumsum(counts) - counts, 0
+        for (block, digest, n), at in zip(rows, places, strict=True):
+            mine = of_word[first : first + n]
+            first += n
+            found = ids[spans(starts[mine], counts[mine])]
+            numbers = packed(np.concatenate([at, counts[mine], found]))
+            yield rows_of(_KNOWN, dict(block=block, digest=digest, kind=0, numbers=numbers, n=n, ids=len(found).to_bytes(8, "little"), doc_ids=[]))
 
+    return of
 
-def word_table(words: DataFrame, pieces: DataFrame, path: str) -> DataFrame:
-    """key, ids, decoded of each distinct word of ``words`` (key, long), encoded once; ``decoded``: a blank and a piece for each id."""
 
-    @F.arrow_udf("array<int>")
-    def encoded(column: pa.Array) -> pa.Array:
-        found = tokenizer(path).encode_batch(column.to_pylist(), add_special_tokens=False)
-        ids = [x.ids for x in found]
-        offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter((i for x in ids for i in x), np.int32, offsets[-1])))
+#: Words whose ids are joined with the vocabulary at once.
+WORDS_AT_ONCE = 1 << 15
 
-    rows = words.select("key", "long").distinct().select("key", encoded(F.coalesce("long", "key")).alias("ids"))
-    found = rows.select("key", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(pieces), "id", "left")
-    whole = found.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece")))).alias("found"))
-    decoded = F.array_join(F.transform("found", lambda x: F.concat(F.lit(" "), x["piece"])), "")
-    return whole.select("key", F.col("found.id").alias("ids"), decoded.alias("decoded"))
 
+def with_pieces(counts: np.ndarray, ids: np.ndarray, path: str) -> list[str]:
+    """For each word, given the number of its ids and all ids, a blank and a piece for each id: the ids' table is joined with the vocabulary's."""
+    out, first = [], 0
+    for at in range(0, len(counts), WORDS_AT_ONCE):
+        count = counts[at : at + WORDS_AT_ONCE]
+        mine = ids[first : first + int(count.sum())]
+        first += len(mine)
+        table = pa.table({"word": np.repeat(np.arange(len(count)), count), "at": np.arange(len(mine)), "id": mine.astype(np.int32)})
+        joined = table.join(_pieces(path), "id", join_type="inner", use_threads=False).sort_by("at")
+        ends = np.cumsum(np.bincount(joined["word"].to_numpy(), minlength=len(count)))
+        pieces = joined["piece"].to_pylist()
+        out += ["".join(pieces[e - c : e]) for e, c in zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)]
+    return out
 
-def _put_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of one block: ids and decoded texts, from those of its words by their numbers."""
-    known, parts = [], []
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        is_word = pc.is_valid(rows["at"])
-        known.append(rows.filter(is_word).select(["at", "ids", "decoded"]))
-        parts += rows.filter(pc.invert(is_word)).select(["doc_ids", "counts", "refs", "digest"]).to_pylist()
-    words = pa.concat_tables(known).sort_by("at")
-    if not words.num_rows or {-1 - words["at"][0].as_py()} != {part["digest"] for part in parts}:
-        raise RuntimeError("the texts were not the same when they were read again: cut the input first")
-    words = words.slice(1).combine_chunks()
-    ids, decoded = _one(words["ids"]), words["decoded"].to_pylist()
-    flat, offsets = ids.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy())).astype(np.int64)
-    for part in parts:
-        counts = np.array(part["counts"], np.int64)
-        numbers, ends = unpacked(part["refs"], int(counts.sum())), np.cumsum(counts)
-        sizes = offsets[numbers + 1] - offsets[numbers]
-        tokens = np.append(0, np.cumsum(sizes))[np.append(0, ends)]
-        texts = ["".join(map(decoded.__getitem__, numbers[e - c : e].tolist()))[1:] for e, c in zip(ends.tolist(), part["counts"], strict=True)]
-        lists = pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(flat[spans(offsets[numbers], sizes)], pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array(part["doc_ids"], pa.int64()), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
+@functools.cache
+def _pieces(path: str) -> pa.Table:
+    vocabulary = tokenizer(path).get_vocab(with_added_tokens=True)
+    return pa.table({"id": pa.array(list(vocabulary.values()), pa.int32()), "piece": [f" {piece}" for piece in vocabulary]})
+
+
+def _put_back(path: str):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of one block: ids and decoded texts, from those of its words by their numbers."""
+        known, parts, digests = [], [], set()
+        for batch in batches:
+            for row in batch.to_pylist():
+                digests.add(row["digest"])
+                (parts if row["kind"] else known).append(row)
+        if len(digests) != 1 or not known:
+            raise RuntimeError("the texts were not the same when they were read again: cut the input first")
+        at, counts, ids = [], [], []
+        for row in known:
+            n = row["n"]
+            numbers = unpacked(row["numbers"], 2 * n + int.from_bytes(row["ids"], "little"))
+            for to, x in zip((at, counts, ids), np.split(numbers, (n, 2 * n)), strict=True):
+                to.append(x)
+        at, counts, ids = map(np.concatenate, (at, counts, ids))
+        order = np.argsort(at)
+        ids = ids[spans((np.cumsum(counts) - counts)[order], counts[order])].astype(np.int32)
+        counts = counts[order]
+        del known, at
+        decoded, starts = with_pieces(counts, ids, path), np.cumsum(counts) - counts
+        for part in parts:
+            words, numbers = np.split(unpacked(part["numbers"], part["n"]), [len(part["doc_ids"])])
+            ends, size = np.cumsum(words), counts[numbers]
+            tokens = np.append(0, np.cumsum(size))[np.append(0, ends)]
+            texts = ["".join(map(decoded.__getitem__, numbers[e - c : e].tolist()))[1:] for e, c in zip(ends.tolist(), words.tolist(), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(tokens.astype(np.int32)), pa.array(ids[spans(starts[numbers], size)], pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(part["doc_ids"], pa.int64()), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+            del lists, texts
+        pa.default_memory_pool().release_unused()
 
-def _one(column: pa.ChunkedArray) -> pa.Array:
-    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return of
 
 
-def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def tokenized(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES
+) -> DataFrame:
     """doc_id, ids (array<int>), decoded (the text of these ids) for every row of ``docs``.
 
     Equal to the tokenizer's ``encode(text, add_special_tokens=False).ids`` and ``decode(ids, skip_special_tokens=False)``. Null
     texts are empty: no ids, an empty text. Repeated rows and rows without an id come back as they are; columns of any other
-    names may stand beside. An empty table gives an empty one. A word without white space is one row, however long.
+    names may stand beside. An empty table gives an empty one. A word without white space is one word, however long.
     """
     path, texts = checked(path), with_task(id_and_text(docs, id_col, text_col))
-    words = keyed(texts.mapInArrow(_blocks(False, block_bytes), "block long, at long, word string"))
-    places = texts.mapInArrow(_blocks(True, block_bytes), "block long, " + ", ".join(f"{name} {kind}" for name, kind in _PLACES.items()))
-    table = word_table(words, id_to_piece(docs.sparkSession, path), path)
-    known = words.join(table.hint("merge"), "key").select("block", "at", "ids", "decoded")
-    # empty arrays, not null ones: Arrow's writer is slow on many nulls of them
-    nothing = lambda kind: F.array().cast(kind) if kind.startswith("array") else F.lit(None).cast(kind)
-    whole = known.select("*", *[nothing(kind).alias(name) for name, kind in _PLACES.items()])
-    whole = whole.union(places.select("block", nothing("long"), nothing("array<int>"), nothing("string"), *_PLACES))
-    return whole.groupBy("block").applyInArrow(_put_back, "doc_id long, ids array<int>, decoded string")
+    words = texts.mapInArrow(_blocks(bucket_count(texts, bucket_bytes), block_bytes), _WORDS)
+    known = words.groupBy("bucket").applyInArrow(_encode(path), _KNOWN)
+    places = texts.mapInArrow(_blocks(0, block_bytes), _KNOWN)
+    return known.union(places).groupBy("block").applyInArrow(_put_back(path), "doc_id long, ids array<int>, decoded string")
 
 
 def op11_bpe_table(spark, sf_dir: str) -> DataFrame:

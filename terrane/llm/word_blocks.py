@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import slices
+from terrane.llm.common import slices, text_volume, word_codes
 
 #: Bytes of text after which a block is full. A longer text is a block of its own.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -34,6 +34,16 @@ def unpacked(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+
+
+def rows_of(schema: str, values: dict) -> pa.RecordBatch:
+    """One row of a schema whose columns are whole numbers, binaries, texts, or arrays of them."""
+    fields = [part.split() for part in schema.split(", ")]
+    kind = lambda name: pa.list_(_KINDS[name[6:-1]]) if name.startswith("array<") else _KINDS[name]
+    return pa.RecordBatch.from_arrays([pa.array([values[name]], kind(k)) for name, k in fields], names=[name for name, _ in fields])
+
+
 def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """All places of the ranges that begin at ``starts`` and are ``counts`` long, one range after the other."""
     before = np.cumsum(counts) - counts
@@ -65,3 +75,40 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
     while ahead is not None:
         yield ahead.column(2)[0].as_py() + number, block()
         number += 1
+
+
+#: Bytes of text for each bucket of words. A block gives a row for each bucket that it has words of.
+BUCKET_BYTES = 1 << 20
+_SAME = bytes(range(256))
+
+
+def bucket_count(texts: DataFrame, each: int = BUCKET_BYTES) -> int:
+    """Buckets in proportion to all text, so that the words of one bucket fit a task at every size."""
+    return max(1, text_volume(texts) // each)
+
+
+def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all strings of an array without nulls, and n + 1 offsets into them."""
+    column = column.cast(pa.large_string())
+    buffers, n = column.buffers(), len(column)
+    offsets = np.frombuffer(buffers[1], np.int64)[column.offset : column.offset + n + 1]
+    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word; words hold no blank."""
+    data, offsets = string_buffers(words)
+    codes, owner = word_codes(data, offsets, _SAME)
+    out = np.zeros(len(words), np.uint64)
+    out[owner[codes != 0]] = codes[codes != 0]
+    return out
+
+
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the keys by their bucket, and (bucket, first, last) of each bucket in that order."""
+    bucket = (keys.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    of = bucket[order]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    return order, list(zip(of[first].tolist(), first.tolist(), np.append(first[1:], len(of)).tolist(), strict=True))
