@@ -292,39 +292,58 @@ def head_pairs(state: DataFrame, least: float) -> DataFrame:
     return best.select(F.col("node").alias("a"), F.col("h.head").alias("b"))
 
 
-def _distinct_shingles(shingle: int):
+#: Least hashes of a band, and the chance that a pair as alike as ``least`` shares no band at all.
+BAND_ROWS, MISS = 12, 1e-9
+_HASHES_AT_ONCE = 1 << 20
+
+
+def band_count(least: float, rows: int = BAND_ROWS, miss: float = MISS) -> int:
+    """Bands so that two sets of likeness ``least`` share none with a chance of ``miss`` at most."""
+    return int(np.ceil(np.log(miss) / np.log1p(-(least**rows)))) if least < 1 else 1
+
+
+def band_keys(tokens: np.ndarray, bands: int, rows: int = BAND_ROWS) -> np.ndarray:
+    """A key for each band of a set of hashes: its ``rows`` least hashes by as many functions of the band's own, put together."""
+    seeds = mix64(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64)).reshape(2, -1)
+    add, times = seeds[0], seeds[1] | np.uint64(1)
+    least = np.full(bands * rows, ~np.uint64(0))
+    step = max(1, _HASHES_AT_ONCE // len(least))
+    for at in range(0, len(tokens), step):
+        np.minimum(least, ((tokens[at : at + step, None] ^ add) * times).min(axis=0), out=least)
+    keys = np.arange(bands, dtype=np.uint64)
+    for row in least.reshape(rows, bands):
+        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + row)
+    return keys
+
+
+def _banded(shingle: int, least: float):
     def of(batches):
-        for batch in slices(batches, "text", 1 << 20):
-            hashes, begin = shingle_hashes(*flat_text(batch.column(1)), shingle)
-            sets = [np.unique(x) for x in np.split(hashes, begin[1:])]
-            offsets = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets), pa.int64()), tokens], names=["node", "size", "tokens"])
+        bands = band_count(least)
+        for batch in batches:
+            for part in slices(iter([batch]), "text", 1 << 20):
+                hashes, begin = shingle_hashes(*flat_text(part.column(1)), shingle)
+                sets = [np.unique(x) for x in np.split(hashes, begin[1:])]
+                keys = np.concatenate([band_keys(x, bands) for x in sets]).view(np.int64)
+                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys))], names=["node", "size", "keys"])
 
     return of
 
 
-def pairs_across(texts: DataFrame, roots: DataFrame, shingle: int, least: float) -> DataFrame:
-    """All pairs (a, b) of ``texts`` (doc_id, text) that can be alike and that ``roots`` (node, root) does not connect yet.
+def band_pairs(texts: DataFrame, roots: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (doc_id, text) that share a band and that ``roots`` (node, root) does not connect yet.
 
-    Prefix and position bounds, neither of which loses a pair: with each set's shingles put from the rarest to the
-    commonest, two alike sets share one among the first ``size - least * size + 1`` of each, and what follows the first
-    that they share must suffice for the likeness. A shingle that one text alone has counts as a place and is not joined.
+    A band is a key of twelve least hashes. Texts of one pool of sentences, which share each of their shingles with most others, share
+    hardly any band (at a likeness of 0.4, one pair in 200 does), so what is compared does not grow with the square of
+    a crowd. A pair of likeness ``least`` shares no band with a chance of :data:`MISS`, one that is more alike with a lesser one.
     """
-    sets = cut(texts.mapInArrow(_distinct_shingles(shingle), "node long, size long, tokens array<long>"))
-    tokens = sets.select("node", "size", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    order = Window.partitionBy("node").orderBy("n", "token")
-    placed = tokens.join(shared, "token").withColumn("place", F.col("size") - F.count("*").over(Window.partitionBy("node")) + F.row_number().over(order) - 1)
-    prefix = placed.where(F.col("place") <= F.col("size") - least * F.col("size") + 1e-6).select("token", "node", "size", "place")
-    prefix = cut(prefix.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    # the members of a token's commonest component are met by the others only, not by each other
-    per = prefix.groupBy("token", "root").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    mixed = prefix.join(per.where("roots > 1"), "token")
+    marked = cut(texts.mapInArrow(_banded(shingle, least), "node long, size long, keys array<long>").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    banded = marked.select("node", "size", "root", F.explode("keys").alias("key"))
+    # the members of a key's commonest component are met by the others only, not by each other
+    per = banded.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    mixed = cut(banded.join(per.where("roots > 1").select("key", "main"), "key"))
     x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
-    rest = 1 + F.least(F.expr("x.size - x.place - 1"), F.expr("y.size - y.place - 1"))
-    enough = rest >= least / (1 + least) * F.expr("x.size + y.size") - 1e-6
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & F.expr("x.root <> y.root") & _sizes_allow(F.col("x.size"), F.col("y.size"), least) & enough)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.root <> y.root") & _sizes_allow(F.col("x.size"), F.col("y.size"), least))
     return met.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
 
@@ -336,7 +355,7 @@ def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float
     1. Fingerprints within two bits, by their deletion variants.
     2. Pairs that share a cold token among those sent. A text all but a few of whose sent tokens are cold has its pairs here.
     3. For the others, which have a hot token in common: each is compared with one head, which connects most of a large
-       group of copies at a comparison each; what is not connected is joined by :func:`pairs_across`.
+       group of copies at a comparison each; what is not connected is joined by :func:`band_pairs`.
     """
     sent = classes.select("node", F.explode("tokens").alias("token"))
     shared = sent.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
@@ -354,7 +373,7 @@ def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float
     if not dense.count():
         return found
     roots = connected_components(found)
-    across = pairs_across(texts.join(dense.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), roots, shingle, least)
+    across = band_pairs(texts.join(dense.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), roots, shingle, least)
     stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return stars.union(_compared(across, texts, shingle, least))
 
@@ -365,7 +384,8 @@ def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, i
     Groups are connected by likeness of ``least`` or more (Jaccard of word shingles, checked on the whole texts); texts of
     the same words are copies at once. First candidates are those whose SimHashes (of distinct shingles) are within two
     bits, by deletion variants. Most texts that are 0.8 alike are further apart, and SimHashes rule none out, so an exact
-    join on the least hashed shingles of each text gives the rest; no pair is left to chance and none is dropped.
+    join on the least hashed shingles of each text gives the rest, but for pairs that share nothing but what
+    crowds of texts share too: those meet by bands of least hashes, which miss a pair with a chance of :data:`MISS`.
 
     Rows that share an id are one document and stay or go together; of several texts, the one with the least
     ``xxhash64`` is its text. Rows without an id stay and take no part. Null texts are empty and copies of each other.

@@ -266,6 +266,43 @@ def test_near_copies_in_crowds(spark):
     assert {r.doc_id for r in simhash.without_near_copies(documents(spark, rows)).select("doc_id").collect()} == want
 
 
+def test_near_copies_from_one_pool(spark, monkeypatch):
+    """Texts that share all their sentences with most others: what is compared grows with the texts, not with their square."""
+    compared = []
+
+    def counting(pairs, texts, shingle, least, real=simhash._compared):
+        compared.append(pairs.count())
+        return real(pairs, texts, shingle, least)
+
+    monkeypatch.setattr(simhash, "_compared", counting)
+    rng = random.Random(11)
+    pool = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(6, 14))) for _ in range(120)]
+    rows = [(i, " ".join(s for s in pool if rng.random() < 0.7)) for i in range(800)]
+    n = {}
+    for size in (200, 400, 800):
+        compared.clear()
+        kept = {r.doc_id for r in simhash.without_near_copies(documents(spark, rows[:size])).select("doc_id").collect()}
+        assert kept == set(range(size))
+        n[size] = sum(compared)
+    assert n[800] < 3 * n[400] < 9 * n[200] and n[800] < 800 * 799 / 2 / 20, n
+
+
+def test_bands_miss_no_pair():
+    """Bands that two sets share: as many as the chances say, in pairs as alike as the bound, and hardly any in unlike ones."""
+    import numpy as np
+
+    rng, bands = np.random.default_rng(4), simhash.band_count(0.8)
+    assert (1 - 0.8**simhash.BAND_ROWS) ** bands <= simhash.MISS
+    for likeness, low, high in ((0.8, 8, 60), (0.4, 0, 2)):
+        shared = []
+        for _ in range(40):
+            both, size = round(500 * likeness), 500 - round(500 * likeness)
+            tokens = rng.integers(0, 2**63, 500, dtype=np.uint64)
+            one, other = tokens[: both + size // 2], np.append(tokens[:both], tokens[both + size // 2 :])
+            shared.append(int((simhash.band_keys(one, bands) == simhash.band_keys(other, bands)).sum()))
+        assert low <= min(shared) and np.mean(shared) <= high, (likeness, shared)
+
+
 def test_decontamination(spark, small_rows, odd_rows):
     items = [tuple(r.values()) for r in pq.read_table(f"{DATA}/benchmark.parquet", columns=["item_id", "text"]).to_pylist()]
     items += [(900, "one two"), (901, None), (902, "..."), (903, "One TWO"), (None, "a b c d e f g h i j"), (904, "word " * 30), (9, "a b c d e f g h i j k")]
