@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import audio_media, bpe_table, chat_tree, decontaminate, language_id, license_scan, merkle, mixing, oracle, quality, simhash, suffix_dedup, toxicity
+from terrane.llm import alignment, audio_media, bpe_table, chat_tree, decontaminate, language_id, license_scan, merkle, mixing, oracle, quality, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_classifier": quality.op10_quality_classifier,
         "op11_bpe_table": bpe_table.op11_bpe_table,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_token_alignment": alignment.op13_token_alignment,
     }
 
 
