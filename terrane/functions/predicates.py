@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,18 @@ def is_valid(z: Column, nodata: float | None) -> Column:
     return finite if nodata is None or math.isnan(nodata) else finite & (z != F.lit(float(nodata)))
 
 
+def void_array(z: np.ndarray, nodata: float | None) -> np.ndarray:
+    """:func:`is_void` in kernels."""
+    if nodata is None:
+        return ~np.isfinite(z)
+    return np.zeros(z.shape, bool) if math.isnan(nodata) else z == nodata
+
+
+def valid_array(z: np.ndarray, nodata: float | None) -> np.ndarray:
+    """:func:`is_valid` in kernels."""
+    return np.isfinite(z) & ~void_array(z, nodata)
+
+
 def void_class(size: Column, small: int = 10, large: int = 100) -> Column:
     return F.when(size <= small, SMALL).when(size <= large, MEDIUM).otherwise(LARGE)
 

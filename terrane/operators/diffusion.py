@@ -11,19 +11,20 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions.predicates import is_valid
-from terrane.operators.tiles import TILE, halo_map
-from terrane.session import cut
+from terrane.functions.predicates import is_valid, valid_array
+from terrane.operators.tile_table import TILE, from_tiles, laid_out, map_cells, map_tiles, to_tiles
+from terrane.operators.tiles import halo_map
 
 #: Steps that one shuffle serves: the halo is as wide as there are steps.
 STEPS_AT_ONCE = 16
 
 
-def _steps(n: int, strength: float, k: float):
+def _steps(n: int, strength: float, k: float, nodata: float | None, begun: bool = False):
+    """``begun``: values are of an earlier round, in which cells that are not worked on became NaN."""
     k = max(k, 1e-12)
 
-    def kernel(values: np.ndarray, flags: np.ndarray, halo: int) -> np.ndarray:
-        x = np.where(flags == 2, values, np.nan)
+    def kernel(values: np.ndarray, there: np.ndarray, halo: int) -> list[np.ndarray]:
+        x = values if begun else np.where(valid_array(values, nodata), values, np.nan)
         padded = np.pad(x, 1, constant_values=np.nan)
         core = padded[1:-1, 1:-1]
         sides = padded[:-2, 1:-1], padded[2:, 1:-1], padded[1:-1, :-2], padded[1:-1, 2:]
@@ -36,22 +37,39 @@ def _steps(n: int, strength: float, k: float):
                     flow[np.isnan(flow)] = 0.0
                     total = flow if total is None else total + flow
                 core[...] = core + strength * total
-        return core[halo : core.shape[0] - halo, halo : core.shape[1] - halo]
+        inner = slice(halo, core.shape[0] - halo), slice(halo, core.shape[1] - halo)
+        return [core[inner], values[inner]]
 
     return kernel
 
 
+def _smoothed(out: DataFrame, keys: list[str]) -> DataFrame:
+    return out.select(*keys, "z", F.coalesce(F.nanvl("x", F.lit(None)), "z").alias("smoothed"))
+
+
 def diffuse(cells: DataFrame, nodata: float | None, steps: int = 5, strength: float = 0.2, k: float = 1.0, tile: int = TILE) -> DataFrame:
     """Every cell with its value z and its value after ``steps`` steps, smoothed (z where there is no valid value)."""
     keys = [c for c in ("grid_id", "r", "c") if c in cells.columns]
-    now, left = cells.select(*keys, "z", F.col("z").alias("z0"), is_valid(F.col("z"), nodata).alias("__ok")), steps
+    if steps <= min(STEPS_AT_ONCE, tile):
+        return _smoothed(map_cells(cells, _steps(steps, strength, k, nodata), steps, {"x": "double", "z": "double"}, tile), keys)
+    return _smoothed(from_tiles(diffuse_tiles(to_tiles(cells, tile), nodata, steps, strength, k, tile), {"z": "data", "x": "x"}), keys)
+
+
+def diffuse_tiles(tiles: DataFrame, nodata: float | None, steps: int = 5, strength: float = 0.2, k: float = 1.0, tile: int = TILE) -> DataFrame:
+    """The same over a table of tiles: the tiles with a column x, the value after the steps, NaN where there is no valid value.
+
+    A round of :data:`STEPS_AT_ONCE` steps exchanges strips only; between rounds the tiles are laid out anew.
+    """
+    now, left, begun = tiles, steps, False
     while left:
-        n = min(left, STEPS_AT_ONCE)
-        out = halo_map(now, _steps(n, strength, k), n, tile, "if(__ok, 2, 1)", "smoothed", ("z0",))
+        n = min(left, STEPS_AT_ONCE, tile)
         left -= n
+        out = map_tiles(now, _steps(n, strength, k, nodata, begun), n, {"x": "double", "z": "double"}, tile, ("first",) if begun else ())
+        kept = [c for c in out.columns if c not in ("data", "x", "z", "first")]
+        first = F.col("first" if begun else "data")
         if left:
-            now = cut(out.select(*keys, F.col("smoothed").alias("z"), "z0", (~F.isnan("smoothed")).alias("__ok")))
-    return out.select(*keys, F.col("z0").alias("z"), F.coalesce(F.nanvl("smoothed", F.lit(None)), "z0").alias("smoothed"))
+            now, begun = laid_out(out.select(*kept, F.col("x").alias("data"), first.alias("first"))), True
+    return out.select(*kept, first.alias("data"), "x")
 
 
 def _sides(values: np.ndarray, flags: np.ndarray, halo: int) -> list[np.ndarray]:

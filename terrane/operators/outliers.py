@@ -11,8 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.predicates import is_void
-from terrane.operators.tiles import TILE, halo_map
+from terrane.functions.predicates import is_void, void_array
+from terrane.operators.tile_table import TILE, map_cells, map_tiles
+from terrane.operators.tiles import halo_map
 
 LEAST_MAD = 1e-10
 LEAST_CELLS = 3
@@ -44,14 +45,14 @@ def _windows(values: np.ndarray, flags: np.ndarray, window: int):
             yield at, part[:, :, half, half], n, median, mad
 
 
-def _flags(window: int, threshold: float):
-    def kernel(values: np.ndarray, flags: np.ndarray, halo: int) -> np.ndarray:
-        out = np.zeros((values.shape[0] - 2 * halo, values.shape[1] - 2 * halo))
-        for at, centre, n, median, mad in _windows(values, flags, window):
+def _flags(nodata: float | None, window: int, threshold: float):
+    def kernel(values: np.ndarray, there: np.ndarray, halo: int) -> list[np.ndarray]:
+        out = np.zeros((values.shape[0] - 2 * halo, values.shape[1] - 2 * halo), np.int16)
+        for at, centre, n, median, mad in _windows(values, np.where(there & ~void_array(values, nodata), 2, 1), window):
             with np.errstate(invalid="ignore", divide="ignore"):
                 score = np.abs(centre - median) / mad
                 out[at : at + len(n)] = (n >= LEAST_CELLS) & (mad >= LEAST_MAD) & (score > threshold)
-        return out
+        return [out]
 
     return kernel
 
@@ -68,11 +69,13 @@ def _statistics(window: int):
 
 
 def flag_outliers(cells: DataFrame, nodata: float | None, window: int = 3, threshold: float = 3.0, tile: int = TILE) -> DataFrame:
-    """Every cell with artifact = 1 if it is flagged, else 0. ``window`` is odd."""
-    void = is_void(F.col("z"), nodata)
-    marked = cells.withColumn("__flag", F.when(void, 1).otherwise(2))
-    out = halo_map(marked, _flags(window, threshold), window // 2, tile, "__flag", "artifact")
-    return out.withColumn("artifact", F.col("artifact").cast("short"))
+    """The keys of every cell with artifact = 1 if it is flagged, else 0. ``window`` is odd. One shuffle of packed cells."""
+    return map_cells(cells, _flags(nodata, window, threshold), window // 2, {"artifact": "short"}, tile)
+
+
+def flag_tiles(tiles: DataFrame, nodata: float | None, window: int = 3, threshold: float = 3.0, tile: int = TILE) -> DataFrame:
+    """The same over a table of tiles: the tiles with a column artifact (16-bit integers)."""
+    return map_tiles(tiles, _flags(nodata, window, threshold), window // 2, {"artifact": "short"}, tile)
 
 
 def window_values(cells: DataFrame, nodata: float | None, window: int = 3) -> DataFrame:
