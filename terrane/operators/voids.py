@@ -56,8 +56,10 @@ def _joined(r: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> np.ndarray:
     return label
 
 
-def _tile_runs(key, table):
+def _tile_runs(key, table, width):
     r, c = table.column("r").to_numpy(), table.column("c").to_numpy()
+    if c.max() >= width or c.min() < 0:
+        raise ValueError(f"a grid of {width} columns has no cell in column {c.max() if c.max() >= width else c.min()}")
     by = np.lexsort((c, r))
     r, c = r[by], c[by]
     new = np.append(True, (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1))
@@ -71,13 +73,14 @@ def _tile_runs(key, table):
 def void_regions(cells: DataFrame, nodata: float | None, width: int, tile: int = TILE) -> DataFrame:
     """Runs, cut at the borders of tiles, with the region of each: grid_id, r, c0, c1, root. ``width``: columns of the widest grid.
 
-    ``root`` is the first cell of the region, as r * width + c, so regions are in the order of their first cells.
+    ``root`` is the first cell of the region, as r * width + c, so regions are in the order of their first cells. A cell beyond
+    the width stops the job: its number would be that of another cell.
     """
     high = max(tile, tile * tile // max(1, width))  # tiles of narrow grids are taller, of as many cells
     long = lambda c: F.col(c).cast("long").alias(c)
     voids = _grid(cells).where(is_void(F.col("z"), nodata)).select(F.col("grid_id").cast("string").alias("grid_id"), long("r"), long("c"))
     tiled = voids.groupBy("grid_id", F.floor(F.col("r") / high).alias("tr"), F.floor(F.col("c") / tile).alias("tc")).applyInArrow(
-        _tile_runs, "grid_id string, tc long, r long, c0 long, c1 long, lr long, lc long"
+        lambda key, table: _tile_runs(key, table, width), "grid_id string, tc long, r long, c0 long, c1 long, lr long, lc long"
     )
     runs = cut(tiled.select("grid_id", "tc", "r", "c0", "c1", (F.col("lr") * width + F.col("lc")).alias("node")))
     # below: overlapping runs of the next tile's first row; beside: the run that goes on in the next tile

@@ -55,11 +55,6 @@ def elevation_statistics(cells: DataFrame, nodata: float | None) -> DataFrame:
     return out.select(*keys, "valid_cells", "mean_elevation", ((F.col("m0") + F.col("m1")) / 2).alias("median_elevation"))
 
 
-def scale_factor(res_x: float, res_y: float) -> float:
-    mean = (res_x + res_y) / 2
-    return 1.0 if mean <= 0 else min(1.0, max(0.1, 1 / mean))
-
-
 def smooth(cells: DataFrame, p: Parameters, nodata: float | None, res_x: float, res_y: float, name: str = "", crs: str | None = None) -> dict[str, DataFrame]:
     """All results by name: smoothed (z, smoothed, diff, changed for each cell), difference, mask, statistics,
     provenance (one JSON text a grid), report (lines)."""
@@ -67,7 +62,9 @@ def smooth(cells: DataFrame, p: Parameters, nodata: float | None, res_x: float,
     cells = cells if "grid_id" in cells.columns else cells.withColumn("grid_id", F.lit(name))
     if cells.where(P.is_valid(F.col("z"), nodata)).isEmpty():
         raise ValueError("the grid has no valid cell")
-    factor = scale_factor(res_x, res_y) if p.resolution_scale else 1.0
+    factor = 1.0
+    if p.resolution_scale:
+        factor = cells.sparkSession.range(1).select(P.resolution_factor(F.lit(float(res_x)), F.lit(float(res_y)))).first()[0]
     out = diffusion.diffuse(cells, nodata, p.iterations, p.strength * factor, p.edge_threshold)
     changes = cut(diffusion.difference(out, nodata, P.change_tolerance(p.edge_threshold)))
     stats = cut(diffusion.change_statistics(changes).join(elevation_statistics(cells, nodata).drop("valid_cells"), "grid_id"))

@@ -9,15 +9,30 @@ tiles, uncompressed, LZW or deflate.
 
 from __future__ import annotations
 
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    DataSourceWriter,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    WriterCommitMessage,
+)
 
 from terrane.operators.tiles import TILE
 
@@ -29,8 +44,52 @@ MODEL_TYPE, GEOGRAPHIC_CRS, PROJECTED_CRS = 1024, 2048, 3072
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 #: Files of more bytes are read by several tasks.
 SPLIT_BYTES = 64 << 20
-NONE, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
-KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
+NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+#: Samples by (format, bits); 64-bit integers above 2^53 lose their last digits in float64, as all samples become that.
+KINDS = {
+    (1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (1, 64): "u8", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (2, 64): "i8",
+    (3, 16): "f2", (3, 32): "f4", (3, 64): "f8",
+}
+#: How samples are stored: as they are, as differences along a row, or as differences of the bytes of floating-point numbers.
+PLAIN, DIFFERENCES, BYTE_DIFFERENCES = 1, 2, 3
+
+
+def unpack_bits(data: bytes) -> bytes:
+    """Runs of bytes: a count of literal bytes less one, or of repeats of the next byte as 257 less that count."""
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out.append(data[at + 1 : at + 2 + n])
+            at += 2 + n
+        else:
+            out.append(data[at + 1 : at + 2] * (257 - n) if n > 128 else b"")
+            at += 2 if n > 128 else 1
+    return b"".join(out)
+
+
+def samples_of(raw: bytes, dtype: np.dtype, predictor: int, rows: int, wide: int, many: int) -> np.ndarray:
+    """The samples of a block, by row, column and band."""
+    if predictor == BYTE_DIFFERENCES:
+        size, n = dtype.itemsize, wide * many
+        planes = np.frombuffer(raw, np.uint8, rows * n * size).reshape(rows, size * wide, many)
+        planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, size, n)  # the highest bytes of a row come first
+        return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(rows, wide, many)
+    block = np.frombuffer(raw, dtype, rows * wide * many).reshape(rows, wide, many)
+    return np.cumsum(block, axis=1, dtype=dtype.newbyteorder("=")) if predictor == DIFFERENCES else block
+
+
+_FAR = 1 << 62
+
+
+@dataclass(frozen=True)
+class Window:
+    """Cells of the rows r0 to r1 and the columns c0 to c1, both included."""
+
+    r0: int = 0
+    r1: int = _FAR
+    c0: int = 0
+    c1: int = _FAR
 
 
 def lzw_decode(data: bytes) -> bytes:
@@ -116,7 +175,8 @@ class Tiff:
         self.width, self.height = one(WIDTH, 0), one(HEIGHT, 0)
         self.samples, self.compression, self.predictor = one(SAMPLES, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
         kind = KINDS.get((one(SAMPLE_FORMAT, 1), one(BITS, 1)))
-        if self.samples < 1 or kind is None or self.predictor not in (1, 2):
+        floating = kind is not None and kind[0] == "f"
+        if self.samples < 1 or kind is None or self.predictor not in ((PLAIN, BYTE_DIFFERENCES) if floating else (PLAIN, DIFFERENCES)):
             raise ValueError("no band, or a kind of samples that is not supported")
         self.dtype = np.dtype(self.order + kind)
         text = self.tags.get(NODATA_TEXT)
@@ -172,27 +232,43 @@ class Tiff:
             wide, high = self.width, min(self.tags.get(ROWS_PER_STRIP, (self.height,))[0], self.height)
         return wide, high, -(-self.width // wide) * -(-self.height // high)
 
-    def blocks(self, first: int = 0, last: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
-        """First row, first column and values (float64) of each block, or of those from first to before last."""
+    def places(self, window: "Window", first: int = 0, last: int | None = None) -> list[int]:
+        """Numbers of the blocks, from first to before last, that hold cells of the window."""
+        wide, high, n = self._layout()
+        across = -(-self.width // wide)
+        k = np.arange(first, n if last is None else min(last, n))
+        r, c = k // across * high, k % across * wide
+        rows, columns = np.minimum(r + high, self.height), np.minimum(c + wide, self.width)
+        return k[(r <= window.r1) & (rows > window.r0) & (c <= window.c1) & (columns > window.c0)].tolist()
+
+    def blocks(self, first: int = 0, last: int | None = None, window: "Window | None" = None) -> Iterator[tuple[int, int, np.ndarray]]:
+        """First row, first column and values (float64) of each block, or of those from first to before last.
+
+        With a window only the blocks that it touches are read, and cut to it.
+        """
         apart, tiled = self.tags.get(PLANAR, (1,))[0] == 2, TILE_OFFSETS in self.tags
         wide, high, n = self._layout()
         places, counts = (self.tags[TILE_OFFSETS], self.tags[TILE_COUNTS]) if tiled else (self.tags[STRIP_OFFSETS], self.tags[STRIP_COUNTS])
         across = -(-self.width // wide)
         many = 1 if apart else self.samples
-        for k in range(first, n if last is None else min(last, n)):
+        for k in self.places(window or Window(), first, last):
             r, c = k // across * high, k % across * wide
             raw = self._bytes(places[k], counts[k])
             if self.compression == LZW:
                 raw = lzw_decode(raw)
             elif self.compression in (DEFLATE, OLD_DEFLATE):
                 raw = zlib.decompress(raw)
+            elif self.compression == PACKBITS:
+                raw = unpack_bits(raw)
             elif self.compression != NONE:
                 raise ValueError(f"compression {self.compression} is not supported")
             rows = high if tiled else min(high, self.height - r)
-            block = np.frombuffer(raw, self.dtype, rows * wide * many).reshape(rows, wide, many)
-            if self.predictor == 2:
-                block = np.cumsum(block, axis=1, dtype=self.dtype.newbyteorder("="))
-            yield r, c, block[: self.height - r, : self.width - c, 0].astype(np.float64)
+            block = samples_of(raw, self.dtype, self.predictor, rows, wide, many)[: self.height - r, : self.width - c, 0]
+            if window:
+                top, left = max(0, window.r0 - r), max(0, window.c0 - c)
+                block = block[top : max(top, min(block.shape[0], window.r1 + 1 - r)), left : max(left, min(block.shape[1], window.c1 + 1 - c))]
+                r, c = r + top, c + left
+            yield r, c, block.astype(np.float64)
 
 
 def encode(
@@ -246,22 +322,29 @@ _HEADER = (
 )
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tif*").load(path).select("path", "content")
+def _files(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """The files below ``path``; their contents are read only if asked for."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tif*").load(path).select("path", *columns)
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each file."""
+def read_headers(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """A row for each file, of whose bytes only the head is read (with ``whole_files``, for stores that only Spark's readers open, all)."""
 
     def of(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield pa.RecordBatch.from_pylist([{"path": name, **Tiff(data.as_py()).header()}], schema)
+            for i, name in enumerate(batch.column(0).to_pylist()):
+                if whole_files:
+                    head = Tiff(batch.column(1)[i].as_py()).header()
+                else:
+                    store, place = _store(name)
+                    with store.open_input_file(place) as file:
+                        head = Tiff(file).header()
+                yield pa.RecordBatch.from_pylist([{"path": name, **head}], schema)
 
     names = [part.split() for part in _HEADER.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "boolean": pa.bool_()}
     schema = pa.schema([(n, kinds[k]) for n, k in names])
-    return _files(spark, path).mapInArrow(of, _HEADER)
+    return _files(spark, path, *(["content"] if whole_files else [])).mapInArrow(of, _HEADER)
 
 
 _CELLS = "grid_id string, r long, c long, z double"
@@ -269,19 +352,17 @@ _CELLS = "grid_id string, r long, c long, z double"
 
 def _cells_of(name: str, blocks) -> Iterator[pa.RecordBatch]:
     for r, c, block in blocks:
-        rows, columns = np.indices(block.shape)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([name] * block.size, pa.string()), pa.array(rows.ravel() + r, pa.int64()),
-                pa.array(columns.ravel() + c, pa.int64()), pa.array(block.ravel()),
-            ],
-            names=["grid_id", "r", "c", "z"],
-        )
+        high, wide = block.shape
+        rows, columns = np.repeat(np.arange(r, r + high), wide), np.tile(np.arange(c, c + wide), high)
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(name), block.size), pa.array(rows), pa.array(columns), pa.array(block.ravel())], names=["grid_id", "r", "c", "z"])
 
 
 def _store(path: str):
+    """The file system of a path, and the path there."""
     from pyarrow import fs
 
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
@@ -305,8 +386,36 @@ class _Blocks(InputPartition):
 
 
 class _GridReader(DataSourceReader):
+    """Reads the blocks that filters on rows, columns and grid_id leave, of the files that they leave."""
+
     def __init__(self, path: str, split_bytes: int):
         self.path, self.split_bytes = path, split_bytes
+        self.window, self.names = Window(), None
+
+    def pushFilters(self, filters):
+        """Takes bounds on r and c, and names of grids. All filters go back to Spark, which applies them to the cells."""
+        for f in filters:
+            name = ".".join(f.attribute) if hasattr(f, "attribute") else None
+            if name == "grid_id" and isinstance(f, (EqualTo, In)):
+                names = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.names = names if self.names is None else self.names & names
+            elif name in ("r", "c"):
+                self._bound(name, f)
+            yield f
+
+    def _bound(self, name: str, f) -> None:
+        if isinstance(f, In):
+            low, high = (min(f.value), max(f.value)) if f.value else (_FAR, -1)
+        elif isinstance(f, EqualTo):
+            low = high = f.value
+        elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+            low, high = f.value + isinstance(f, GreaterThan), _FAR
+        elif isinstance(f, (LessThan, LessThanOrEqual)):
+            low, high = 0, f.value - isinstance(f, LessThan)
+        else:
+            return
+        lowest, highest = f"{name}0", f"{name}1"
+        self.window = replace(self.window, **{lowest: max(getattr(self.window, lowest), low), highest: min(getattr(self.window, highest), high)})
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
@@ -316,23 +425,33 @@ class _GridReader(DataSourceReader):
         found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
         out = []
         for f in sorted((x for x in found if x.is_file and x.extension.lower() in ("tif", "tiff")), key=lambda x: x.path):
-            step = None
-            if f.size > self.split_bytes:  # only such files are opened here, and only their heads are read
-                with store.open_input_file(f.path) as file:
-                    n = Tiff(file)._layout()[2]
-                step = max(1, n * self.split_bytes // f.size)
-            out += [_Blocks(f.path, at, at + step) for at in range(0, n, step)] if step else [_Blocks(f.path, 0, None)]
+            if self.names is not None and f.path not in self.names:
+                continue
+            if f.size <= self.split_bytes:
+                out.append(_Blocks(f.path, 0, None))
+                continue
+            with store.open_input_file(f.path) as file:  # only such files are opened here, and only their heads are read
+                head = Tiff(file)
+            n = head._layout()[2]
+            step = max(1, n * self.split_bytes // f.size)
+            wanted = {k // step for k in head.places(self.window)}
+            out += [_Blocks(f.path, k * step, (k + 1) * step) for k in sorted(wanted)]
         return out or [_Blocks("", 0, 0)]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         if partition.path:
             with _store(self.path)[0].open_input_file(partition.path) as file:
-                yield from _cells_of(partition.path, Tiff(file).blocks(partition.first, partition.last))
+                yield from _cells_of(partition.path, Tiff(file).blocks(partition.first, partition.last, self.window))
 
 
 def read_cells(spark: SparkSession, path: str, whole_files: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Cells of all files: grid_id (the path), r, c, z."""
+    """Cells of all files: grid_id (the path), r, c, z.
+
+    Filters on r, c and grid_id reach the files: other files are not opened, other blocks not read. That switches the session's
+    ``spark.sql.python.filterPushdown.enabled`` on. ``whole_files``: for stores that only Spark's readers open.
+    """
     if not whole_files:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
         spark.dataSource.register(GridFiles)
         return spark.read.format("grid_files").option("split_bytes", split_bytes).load(path)
 
@@ -341,32 +460,68 @@ def read_cells(spark: SparkSession, path: str, whole_files: bool = False, split_
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield from _cells_of(name, Tiff(data.as_py()).blocks())
 
-    return _files(spark, path).mapInArrow(of, _CELLS)
+    return _files(spark, path, "content").mapInArrow(of, _CELLS)
 
 
 class TileFiles(DataSource):
-    """Sink of (name, content) rows as files of a folder. A name is written anew if its task is run again."""
+    """Sink of (name, content) rows as files of a folder.
+
+    Tasks write to hidden folders of their own; when all have ended the files of the attempts that count get their names, and
+    with mode ``overwrite`` earlier files of the same ``stem`` that are not among them go. A job that fails leaves nothing.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "tile_files"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _TileFiles(self.options["path"])
+        return _TileFiles(self.options["path"], self.options.get("stem", ""), overwrite)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str
+    names: list[str]
 
 
 class _TileFiles(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, stem: str, overwrite: bool):
+        self.path, self.stem, self.overwrite, self.run = path, stem, overwrite, f".{uuid.uuid4().hex}"
 
     def write(self, rows) -> WriterCommitMessage:
         store, root = _store(self.path)
-        store.create_dir(root, recursive=True)
+        folder, names = f"{root}/{self.run}/{uuid.uuid4().hex}", []
         for row in rows:
-            with store.open_output_stream(f"{root}/.{row.name}.part") as out:
+            if not names:
+                store.create_dir(folder, recursive=True)
+            with store.open_output_stream(f"{folder}/{row.name}") as out:
                 out.write(row.content)
-            store.move(f"{root}/.{row.name}.part", f"{root}/{row.name}")
-        return WriterCommitMessage()
+            names.append(row.name)
+        return _Written(folder, names)
+
+    def commit(self, messages) -> None:
+        from pyarrow import fs
+
+        store, root = _store(self.path)
+        store.create_dir(root, recursive=True)
+        written = [m for m in messages if m is not None]
+        if self.overwrite:
+            new = {name for m in written for name in m.names}
+            for f in store.get_file_info(fs.FileSelector(root)):
+                if f.is_file and f.base_name not in new and re.fullmatch(re.escape(self.stem) + r"_\d+_\d+\.tif", f.base_name):
+                    store.delete_file(f.path)
+        for m in written:
+            for name in m.names:
+                store.move(f"{m.folder}/{name}", f"{root}/{name}")
+        self._clear()
+
+    def abort(self, messages) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        store, root = _store(self.path)
+        if store.get_file_info(f"{root}/{self.run}").type.name == "Directory":
+            store.delete_dir(f"{root}/{self.run}")
 
 
 def write_tiles(
@@ -376,7 +531,7 @@ def write_tiles(
 ) -> None:
     """Write ``column`` of one grid's cells as files ``<stem>_<tile row>_<tile column>.tif`` in the shared folder ``path``.
 
-    Cells without a value get nodata.
+    Cells without a value get nodata. Earlier files of this stem are replaced, those of tiles that are no more go.
     """
 
     def of(key, table):
@@ -394,4 +549,4 @@ def write_tiles(
     spark.dataSource.register(TileFiles)
     placed = cells.select("r", "c", F.col(column).alias("v"), F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
     files = placed.groupBy("tr", "tc").applyInArrow(of, "name string, content binary")
-    files.write.format("tile_files").mode("append").option("path", path).save()
+    files.write.format("tile_files").mode("overwrite").option("path", path).option("stem", stem).save()
