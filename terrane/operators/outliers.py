@@ -45,7 +45,9 @@ def _windows(values: np.ndarray, flags: np.ndarray, window: int):
             yield at, part[:, :, half, half], n, median, mad
 
 
-def _flags(nodata: float | None, window: int, threshold: float):
+def outlier_flags(nodata: float | None, window: int, threshold: float):
+    """A kernel that flags the outliers of a tile."""
+
     def kernel(values: np.ndarray, there: np.ndarray, halo: int) -> list[np.ndarray]:
         out = np.zeros((values.shape[0] - 2 * halo, values.shape[1] - 2 * halo), np.int16)
         for at, centre, n, median, mad in _windows(values, np.where(there & ~void_array(values, nodata), 2, 1), window):
@@ -70,12 +72,12 @@ def _statistics(window: int):
 
 def flag_outliers(cells: DataFrame, nodata: float | None, window: int = 3, threshold: float = 3.0, tile: int = TILE) -> DataFrame:
     """The keys of every cell with artifact = 1 if it is flagged, else 0. ``window`` is odd. One shuffle of packed cells."""
-    return map_cells(cells, _flags(nodata, window, threshold), window // 2, {"artifact": "short"}, tile)
+    return map_cells(cells, outlier_flags(nodata, window, threshold), window // 2, {"artifact": "short"}, tile)
 
 
 def flag_tiles(tiles: DataFrame, nodata: float | None, window: int = 3, threshold: float = 3.0, tile: int = TILE) -> DataFrame:
     """The same over a table of tiles: the tiles with a column artifact (16-bit integers)."""
-    return map_tiles(tiles, _flags(nodata, window, threshold), window // 2, {"artifact": "short"}, tile)
+    return map_tiles(tiles, outlier_flags(nodata, window, threshold), window // 2, {"artifact": "short"}, tile)
 
 
 def window_values(cells: DataFrame, nodata: float | None, window: int = 3) -> DataFrame:

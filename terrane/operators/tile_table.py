@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -293,3 +294,37 @@ def map_tiles(tiles: DataFrame, kernel: Kernel, halo: int, names: dict[str, str]
     joined = tiles.select(*kept)
     joined = joined.join(strips(tiles, halo, size).hint("merge"), "tile", "left") if halo else joined.withColumn("strips", F.array())
     return joined.mapInArrow(of, SCHEMA + "".join(f", {n} binary" for n in (*carry, *names)))
+
+
+def marked_tiles(cells: DataFrame, marks: DataFrame, mark: str, kernel, halo: int, names: dict[str, str], size: int = TILE) -> DataFrame:
+    """Run ``kernel`` over a table of cells, of which some are marked: tiles with data and a binary column for each of ``names``.
+
+    ``marks``: grid_id, tr, tc, starts, counts (runs of places in the tile, row by row) and the whole number ``mark``. The kernel gets
+    (starts, counts, mark) of its tile besides, and returns new values and an array for each name. One shuffle of packed cells.
+    """
+    _in_halo(size, halo)
+
+    def of(key, table):
+        table = table.sort_by("mark")
+        given = table.filter(pc.is_null(table["data"]))
+        table = table.filter(pc.is_valid(table["data"]))
+        if not table.num_rows:
+            return pa.schema(kinds).empty_table()
+        values, there = _assembled(table, size, halo)
+        inner = there[halo : max(halo, there.shape[0] - halo), halo : max(halo, there.shape[1] - halo)]
+        if not inner.any():
+            return pa.schema(kinds).empty_table()
+        found = [(*(np.frombuffer(x, "<i4").astype(np.int64) for x in (m["starts"], m["counts"])), m["mark"]) for m in given.to_pylist()]
+        out = kernel(values, there, halo, found)
+        row = _tile_row(table["grid_id"][0].as_py(), table["tr"][0].as_py(), table["tc"][0].as_py(), size, out[0], inner)
+        for (name, kind), x in zip(names.items(), out[1:], strict=True):
+            row = row.append_column(name, pa.array([np.ascontiguousarray(x, _TYPES[kind]).tobytes()], pa.binary()))
+        return row
+
+    schema = SCHEMA + "".join(f", {n} binary" for n in names)
+    arrow = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = [(name, arrow[kind]) for name, kind in (part.split() for part in schema.split(", "))]
+    packed = _grid_cells(cells).mapInArrow(_chunks(size, halo), _CHUNK).withColumn("mark", F.lit(None).cast("int"))
+    key = F.concat_ws("/", F.col("tr").cast("string"), F.col("tc").cast("string"), F.col("grid_id"))
+    told = marks.select(key.alias("tile"), "grid_id", "tr", "tc", "starts", "counts", F.lit(None).cast("binary").alias("data"), F.col(mark).cast("int").alias("mark"))
+    return packed.unionByName(told).groupBy("tile").applyInArrow(of, schema)

@@ -118,13 +118,12 @@ _FILLS = """,
 
 
 def _regions(g, spark, d):
-    regions = voids.void_regions(GRIDS[g](spark, d), NODATA, WIDTH[g])
-    return regions, voids.region_table(regions)
+    return voids.numbered_regions(voids.region_sizes(voids.region_parts(GRIDS[g](spark, d), NODATA, WIDTH[g])))
 
 
 @_each(GRIDS, "WITH RECURSIVE {grid}, " + _REGIONS + " SELECT region_id, size_cells, row_min, row_max, col_min, col_max, CAST(void_class AS INTEGER) AS void_class FROM region")
 def void_components_GRID(g, spark, d):
-    return _regions(g, spark, d)[1].select("region_id", "size_cells", "row_min", "row_max", "col_min", "col_max", "void_class")
+    return _regions(g, spark, d).select("region_id", "size_cells", "row_min", "row_max", "col_min", "col_max", "void_class")
 
 
 @_each(GRIDS, "WITH RECURSIVE {grid}, " + _REGIONS + _FILLS + " SELECT r, c, void_class FROM screened")
@@ -147,7 +146,7 @@ def void_summary_GRID(g, spark, d):
 
 @_query("large_void_regions", f"WITH RECURSIVE {_G1}, {_REGIONS.format(g='g1', width=64)} SELECT region_id, size_cells, row_min, row_max, col_min, col_max FROM region WHERE void_class = 3 ORDER BY region_id")
 def large_void_regions(spark, d):
-    return _regions("g1", spark, d)[1].where("void_class = 3").orderBy("region_id").select(
+    return _regions("g1", spark, d).where("void_class = 3").orderBy("region_id").select(
         "region_id", "size_cells", "row_min", "row_max", "col_min", "col_max"
     )
 

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import predicates as P
-from terrane.operators import outliers, voids
+from terrane.operators import voids
+from terrane.operators.tile_table import from_tiles
 from terrane.plans.text import formatted, joined, wrapped
 from terrane.session import cut
 from terrane.sources.files import SCREENING_OUTPUTS, output_names
@@ -57,12 +58,13 @@ class Stage0:
     regions: DataFrame
 
 
-def stage0(cells: DataFrame, nodata: float | None, width: int, small: int = 10, large: int = 100) -> Stage0:
-    runs = voids.void_regions(cells, nodata, width)
-    table = voids.region_table(runs, small, large)
-    inside = voids.region_cells(runs, table)
-    fills = voids.fill_small(cells, inside, nodata)
-    return Stage0(voids.screened(cells, inside, fills), voids.void_summary(cells, table, nodata), table)
+def stage0(cells: DataFrame, nodata: float | None, width: int, small: int = 10, large: int = 100, window: int | None = None, threshold: float = 3.0) -> Stage0:
+    """Voids found, classed and filled. With a ``window`` the screened cells have their flag (artifact) too, of the same exchange."""
+    parts = voids.region_parts(cells, nodata, width)
+    table = voids.numbered_regions(voids.region_sizes(parts), small, large)
+    tiles = voids.screened_tiles(cells, parts, nodata, small, large, window, threshold)
+    names = {"z": "data", "void_class": "void_class:short"} | ({"artifact": "artifact:short"} if window else {})
+    return Stage0(from_tiles(cut(tiles) if window else tiles, names), voids.void_summary(cells, table, nodata), table)
 
 
 def artifact_rate(artifacts: DataFrame) -> DataFrame:
@@ -79,8 +81,8 @@ def screen(cells: DataFrame, header: Header, p: Parameters) -> dict[str, DataFra
     window = P.check_screening(p.small_void, p.large_void, p.mad_window, p.mad_threshold)
     spark = cells.sparkSession
     cells = cells if "grid_id" in cells.columns else cells.withColumn("grid_id", F.lit(header.name))
-    found = stage0(cells, header.nodata, header.width, p.small_void, p.large_void)
-    artifacts = outliers.flag_outliers(cells, header.nodata, window, p.mad_threshold)
+    found = stage0(cells, header.nodata, header.width, p.small_void, p.large_void, window, p.mad_threshold)
+    artifacts = found.screened.select("grid_id", "r", "c", "artifact")
     rmse = P.with_rmse(spark.createDataFrame([(p.source_type, float(p.user_rmse))], "code int, user_rmse double"), P.source_types(spark)).drop("code")
     regions = cut(found.regions)
     nth = F.row_number().over(Window.partitionBy("grid_id").orderBy("region_id"))
@@ -97,7 +99,7 @@ def screen(cells: DataFrame, header: Header, p: Parameters) -> dict[str, DataFra
     )
     stats = cut(stats)
     return {
-        "screened": found.screened, "artifacts": artifacts, "regions": regions, "summary": stats,
+        "screened": found.screened.drop("artifact"), "artifacts": artifacts, "regions": regions, "summary": stats,
         "provenance": stats.select("grid_id", _provenance(header, dataclasses.replace(p, mad_window=window)).alias("provenance")),
         "report": report(stats, header, p),
     }

@@ -26,33 +26,54 @@ class Parameters:
     resolution_scale: bool = True
 
 
-#: Up to so many values, the median is looked for among all of them.
-FEW_VALUES = 10_000
+#: Parts into which a round cuts what is left of the interval that holds a grid's middle values.
+PARTS = 4096
+#: Grids of so many are known in a round at most, so that they can be broadcast (some 60 bytes each).
+MOST_GRIDS = 200_000
 
 
 def elevation_statistics(cells: DataFrame, nodata: float | None) -> DataFrame:
     """Valid cells, their mean and exact median, a row for each grid.
 
-    The median by ranks: two approximate percentiles, a thousandth of all ranks to each side of the middle with an error
-    of a tenth of that at most, enclose the middle ranks. Values below are counted; those between are counted value by
-    value and put in order. So no task holds the values of a grid, only every 500th or so.
+    The median by selection, for all grids at once: a round counts the values of the interval that holds a grid's two middle
+    ranks in :data:`PARTS` equal parts, and goes on within the part where the ranks are, from its least to its greatest value.
+    If they are in two parts, they are the greatest value of one and the least of the next; if a part holds one
+    value, they are that. So a task holds counts, never a grid's values, and two or three scans do for most grids.
     """
     keys = [c for c in ("grid_id",) if c in cells.columns]
-    one = [] if keys else [F.lit(0).alias("grid_id")]
-    valid = cells.where(P.is_valid(F.col("z"), nodata)).select(*keys, *one, "z")
-    around = F.percentile_approx("z", [0.499, 0.501], 10_000)
-    per = valid.groupBy("grid_id").agg(F.count("*").alias("valid_cells"), F.avg("z").alias("mean_elevation"), F.min("z").alias("least"), F.max("z").alias("most"), around.alias("around"))
-    few = F.col("valid_cells") <= FEW_VALUES
-    per = cut(per.select("grid_id", "valid_cells", "mean_elevation", F.when(few, F.col("least")).otherwise(F.col("around")[0]).alias("low"), F.when(few, F.col("most")).otherwise(F.col("around")[1]).alias("high")))
-    near = valid.join(per.select("grid_id", "low", "high"), "grid_id").where("z <= high")
-    # all values below count as one that is less than low
-    counted = near.groupBy("grid_id", F.when(F.col("z") >= F.col("low"), F.col("z")).alias("value")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("grid_id").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("last", F.sum("n").over(order)).join(per.drop("low", "high"), "grid_id")
-    holds = lambda k: (F.col("last") >= k) & (F.col("last") - F.col("n") < k)
-    middle = [F.floor((F.col("valid_cells") + 1) / 2), F.floor(F.col("valid_cells") / 2) + 1]
-    out = ranked.groupBy("grid_id", "valid_cells", "mean_elevation").agg(*[F.max(F.when(holds(k), F.col("value"))).alias(f"m{i}") for i, k in enumerate(middle)])
-    return out.select(*keys, "valid_cells", "mean_elevation", ((F.col("m0") + F.col("m1")) / 2).alias("median_elevation"))
+    grid = F.col("grid_id") if keys else F.lit(0)
+    valid = cells.where(P.is_valid(F.col("z"), nodata)).select(grid.alias("grid_id"), "z")
+    per = valid.groupBy("grid_id").agg(F.count("*").alias("valid_cells"), F.avg("z").alias("mean_elevation"), F.min("z").alias("low"), F.max("z").alias("high"))
+    # one, two: the middle ranks among the values of the interval from low to high
+    per = cut(per.withColumn("one", F.floor((F.col("valid_cells") + 1) / 2)).withColumn("two", F.floor(F.col("valid_cells") / 2) + 1))
+    found, left = per.where("low = high").select("grid_id", F.col("low").alias("m1"), F.col("low").alias("m2")), per.where("low < high")
+    while grids := left.count():
+        found, left = _narrowed(found, valid, left, grids)
+    out = per.join(found, "grid_id").select("grid_id", "valid_cells", "mean_elevation", ((F.col("m1") + F.col("m2")) / 2).alias("median_elevation"))
+    return out.select(*keys, "valid_cells", "mean_elevation", "median_elevation")
+
+
+def _narrowed(found: DataFrame, valid: DataFrame, left: DataFrame, grids: int) -> tuple[DataFrame, DataFrame]:
+    """One round: the grids whose middle values are found now, too, and the narrower intervals of the others."""
+    bounds = left.select("grid_id", "low", "high")
+    near = valid.join(F.broadcast(bounds) if grids <= MOST_GRIDS else bounds, "grid_id").where("z between low and high")
+    # halves, as the whole width of an interval may be more than a number holds
+    share = (F.col("z") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+    part = F.least(F.floor(share * PARTS), F.lit(PARTS - 1))
+    counted = near.groupBy("grid_id", part.alias("part")).agg(F.count("*").alias("n"), F.min("z").alias("least"), F.max("z").alias("most"))
+    so_far = Window.partitionBy("grid_id").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("last", F.sum("n").over(so_far)).withColumn("before", F.col("last") - F.col("n")).join(left.select("grid_id", "one", "two"), "grid_id")
+    holds = lambda rank: (F.col("before") < F.col(rank)) & (F.col(rank) <= F.col("last"))
+    at = placed.groupBy("grid_id").agg(
+        *[F.max(F.when(holds(rank), F.struct("part", "before", "least", "most"))).alias(f"in_{rank}") for rank in ("one", "two")], F.first("one").alias("one"), F.first("two").alias("two")
+    )
+    apart = F.col("in_one.part") < F.col("in_two.part")
+    done = cut(at.withColumn("done", apart | (F.col("in_one.least") == F.col("in_one.most"))))
+    now = done.where("done").select("grid_id", F.col("in_one.most").alias("m1"), F.when(apart, F.col("in_two.least")).otherwise(F.col("in_one.most")).alias("m2"))
+    rest = done.where("not done").select(
+        "grid_id", F.col("in_one.least").alias("low"), F.col("in_one.most").alias("high"), (F.col("one") - F.col("in_one.before")).alias("one"), (F.col("two") - F.col("in_one.before")).alias("two")
+    )
+    return found.union(now), rest
 
 
 def smooth(cells: DataFrame, p: Parameters, nodata: float | None, res_x: float, res_y: float, name: str = "", crs: str | None = None) -> dict[str, DataFrame]:

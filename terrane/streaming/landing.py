@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from terrane.operators import outliers
 from terrane.plans import screening
 
 CELLS = "grid_id string, r long, c long, z double"
@@ -22,10 +21,8 @@ def screen_landing(spark: SparkSession, folder: str, out: str, width: int, nodat
         if batch.isEmpty():
             return
         batch = batch.persist()
-        found = screening.stage0(batch, nodata, width)
-        flags = outliers.flag_outliers(batch, nodata, window)
-        cells = found.screened.join(flags, ["grid_id", "r", "c"])
-        cells.write.mode("overwrite").parquet(f"{out}/cells/batch={number}")
+        found = screening.stage0(batch, nodata, width, window=window)
+        found.screened.write.mode("overwrite").parquet(f"{out}/cells/batch={number}")
         found.summary.write.mode("overwrite").parquet(f"{out}/summary/batch={number}")
         batch.unpersist()
 

@@ -299,17 +299,22 @@ def test_tile_kernels_are_the_windows(spark):
     assert sorted(map(str, diffusion.neighbours(x, tile=8).collect())) == sorted(map(str, diffusion.neighbours_by_windows(x).collect()))
 
 
-@pytest.mark.parametrize("few", [0, 10_000])
-def test_median_by_ranks(spark, few):
+@pytest.mark.parametrize("parts", [2, 7, 4096])
+def test_median_by_narrowing(spark, monkeypatch, parts):
+    """Ties, two values, one value, numbers of all sizes, infinite and missing ones; an even and an odd number of cells."""
     rng = np.random.RandomState(1)
-    parts = {"a": rng.normal(0, 1, 3001), "b": np.repeat(7.0, 500), "c": np.append(np.zeros(900), rng.rand(300)), "d": np.array([1.0, 4.0])}
-    rows = [(g, i, 0, float(v)) for g, part in parts.items() for i, v in enumerate(part)]
-    old, smoothing.FEW_VALUES = smoothing.FEW_VALUES, few
-    try:
-        got = smoothing.elevation_statistics(spark.createDataFrame(rows, "grid_id string, r long, c long, z double"), NODATA).collect()
-    finally:
-        smoothing.FEW_VALUES = old
-    assert {r.grid_id: (r.valid_cells, r.median_elevation) for r in got} == {g: (len(v), float(np.median(v))) for g, v in parts.items()}
+    grids = {
+        "a": rng.normal(0, 1, 3001), "b": np.repeat(7.0, 500), "c": np.append(np.zeros(900), rng.rand(300)), "d": np.array([1.0, 4.0]), "e": np.array([5.0]),
+        "f": np.append(np.repeat(1.0, 50), np.repeat(2.0, 50)), "g": np.array([-1.7e308, -1.0, 5e-324, 1e-300, 1.0, 1.7e308]), "h": np.append(rng.normal(0, 1, 99), 1e12),
+    }
+    rows = [(g, i, 0, float(v)) for g, values in grids.items() for i, v in enumerate(values)] + [("a", -1, 0, NODATA), ("a", -2, 0, float("inf")), ("none", 0, 0, float("nan"))]
+    monkeypatch.setattr(smoothing, "PARTS", parts)
+    cells = spark.createDataFrame(rows, "grid_id string, r long, c long, z double")
+    got = smoothing.elevation_statistics(cells, NODATA)
+    assert {r.grid_id: (r.valid_cells, r.median_elevation) for r in got.collect()} == {g: (len(v), float(np.median(v))) for g, v in grids.items()}
+    alone = smoothing.elevation_statistics(cells.where("grid_id = 'a'").drop("grid_id"), NODATA).first()
+    assert (alone.valid_cells, alone.median_elevation) == (3001, float(np.median(grids["a"])))
+    assert smoothing.elevation_statistics(cells.limit(0), NODATA).count() == 0
 
 
 def test_outputs_of_both_tools(spark, tmp_path):
