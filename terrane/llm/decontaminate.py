@@ -6,7 +6,8 @@ the words that follow (the first ``width`` words at least; by prefix doubling, p
 then looked up at once by binary search, which gives every place where a window of ``width`` words of an item (the
 whole item, if shorter) stands verbatim. Windows that follow each other on one diagonal make the longest match.
 
-The test side is read in blocks of bounded size (``block_bytes``), each broadcast to the tasks for one pass
+The test side is read in blocks of bounded size (``block_bytes``; in memory some five times that, as windows are places and not
+words), each broadcast to the tasks for one pass
 over the training text. Between two passes what was found so far is written to the checkpoint folder, so there is one
 block in memory at a time. No training text is shuffled, and every training word is looked up.
 
@@ -35,15 +36,34 @@ SHARD_BYTES = 4 << 20
 U = np.uint64
 
 
+#: Windows that are looked up at once.
+AT_ONCE = 1 << 16
+
+
 @dataclass
 class TestSuffixes:
-    """The windows of a block of test items, each distinct one once, and where they stand in the items."""
+    """The windows of a block of test items, each distinct one once, and where they stand in the items.
+
+    A window is the place of its first word, so the block takes some 20 bytes a word, whatever the width.
+    """
 
-    windows: np.ndarray  # width columns, 0 after the end of a short one
-    lengths: np.ndarray
-    items: list[list[str]]  # of each window
-    spots: np.ndarray  # places among the words of all items, by window
+    codes: np.ndarray  # of all words, 0 after each item
+    width: int
+    lengths: np.ndarray  # words of each window
+    spots: np.ndarray  # places among the codes, by window
     cuts: np.ndarray  # where each window's spots begin, and the end
+    owner: np.ndarray  # the item of each spot
+    ids: pa.Array  # of the items
+
+    def windows(self, first: int, last: int) -> np.ndarray:
+        """The words of the windows from first to before last: ``width`` columns, 0 after the end of a short one."""
+        return np.stack(_columns(self.codes, self.spots[self.cuts[first:last]].astype(np.int64), self.width), axis=1)
+
+    def items(self, windows: np.ndarray) -> set[str]:
+        """Ids of the items that hold any of these windows."""
+        count = np.diff(self.cuts)[windows]
+        spots = np.repeat(self.cuts[windows] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return set(self.ids.take(pa.array(np.unique(self.owner[spots]))).to_pylist())
 
 
 def test_suffixes(ids: list[str], texts: pa.Array, width: int) -> TestSuffixes:
@@ -52,13 +72,21 @@ def test_suffixes(ids: list[str], texts: pa.Array, width: int) -> TestSuffixes:
     firsts = np.cumsum(n + 1) - n - 1
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     spots = np.repeat(firsts - np.cumsum(count) + count, count) + np.arange(count.sum())
-    rows = np.stack(_columns(codes, spots, width), axis=1)
-    windows, which = np.unique(rows, axis=0, return_inverse=True) if len(rows) else (rows, spots)
-    by = np.argsort(which.ravel(), kind="stable")
-    cuts = np.append(0, np.cumsum(np.bincount(which.ravel(), minlength=len(windows))))
-    of = owner[spots[by]]
-    items = [sorted({ids[i] for i in of[a:b]}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return TestSuffixes(windows, (windows != 0).sum(axis=1), items, spots[by], cuts)
+    # the suffixes that are windows, in order; those alike in all their words are one window
+    begins = np.zeros(len(codes), bool)
+    begins[spots] = True
+    order = suffix_array(codes, width)
+    order = order[begins[order]]
+    new, alive = np.zeros(len(order), bool), np.ones(len(order), bool)
+    for i in range(width):
+        word = np.where(alive, codes[np.minimum(order + i, len(codes) - 1)], U(0)) if len(order) else codes[:0]
+        alive &= word != 0
+        new[1:] |= word[1:] != word[:-1]
+    new[:1] = True
+    first = np.flatnonzero(new)
+    items = owner[order]
+    lengths = np.minimum(n[items[first]], width).astype(np.int32)
+    return TestSuffixes(codes, width, lengths, order.astype(np.int32), np.append(first, len(order)).astype(np.int32), items.astype(np.int32), pa.array(ids, pa.string()))
 
 
 def suffix_array(codes: np.ndarray, width: int) -> np.ndarray:
@@ -120,13 +148,16 @@ def _bound(codes: np.ndarray, order: np.ndarray, queries: np.ndarray, lengths: n
 
 def hits(test: TestSuffixes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in the shard, in order, and the windows that stand there. ``codes`` ends each text with 0."""
-    if not len(test.windows) or not len(codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = suffix_array(codes, test.windows.shape[1])
-    lo = _bound(codes, order, test.windows, test.lengths, False)
-    count = _bound(codes, order, test.windows, test.lengths, True) - lo
-    which = np.repeat(np.arange(len(count)), count)
-    places = order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    places, which = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    order = suffix_array(codes, test.width) if len(test.lengths) and len(codes) else codes[:0]
+    for first in range(0, len(test.lengths) if len(order) else 0, AT_ONCE):
+        lengths = test.lengths[first : first + AT_ONCE]
+        windows = test.windows(first, first + len(lengths))
+        lo = _bound(codes, order, windows, lengths, False)
+        count = _bound(codes, order, windows, lengths, True) - lo
+        which.append(first + np.repeat(np.arange(len(count)), count))
+        places.append(order[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())])
+    places, which = np.concatenate(places), np.concatenate(which)
     by = np.argsort(places, kind="stable")
     return places[by], which[by]
 
@@ -134,7 +165,7 @@ def hits(test: TestSuffixes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def longest_match(test: TestSuffixes, places: np.ndarray, which: np.ndarray) -> int:
     """Words of the longest verbatim match with any item among these hits."""
     count = np.diff(test.cuts)[which]
-    spots = test.spots[np.repeat(test.cuts[which] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+    spots = test.spots[np.repeat(test.cuts[which] - np.cumsum(count) + count, count) + np.arange(count.sum())].astype(np.int64)
     at = np.repeat(places, count)
     size = np.repeat(test.lengths[which], count)
     by = np.lexsort((at, at - spots))
@@ -167,7 +198,7 @@ def _pass(shared, carried: bool):
                 lo, hi = cuts[d], cuts[d + 1]
                 found, best, marks, spans = set(), 0, None, (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 if lo < hi:
-                    found = {x for w in np.unique(which[lo:hi]) for x in test.items[w]}
+                    found = test.items(np.unique(which[lo:hi]))
                     marks = hit[first[d] : first[d] + n[d]]
                     best = longest_match(test, places[lo:hi], which[lo:hi])
                 if old:

@@ -6,8 +6,8 @@ values with them, whitened by the inverse root of the kernel among the landmarks
 regression of one class against the rest gives a score for each language; the largest decides. Whole batches are
 scored by products of matrices: presence (sparse) by landmarks, then by classes.
 
-Learned from a bounded sample: ``per_language`` texts of each language, every value of the language column being one. A
-sample is gathered as its sets of n-grams, 64 kB a text at most. There are ``landmarks`` landmarks, or one for each
+Learned from a bounded sample: ``per_language`` texts of each language, every value of the language column being one, and
+``sample_bytes`` of text in all. A sample is gathered as its sets of n-grams, 64 kB a text at most. There are ``landmarks`` landmarks, or one for each
 language if that is more. A-Z is lower-cased; digits and ASCII
 punctuation are blanks. Null texts and texts without a letter are ``und`` with score 0. Rows without an id are scored
 like any other, are no examples and are not held out.
@@ -24,10 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from terrane.llm.common import crc_mod, documents, flat_text, id_and_text, in_fold, slices
+from terrane.llm.common import crc_mod, cut, documents, flat_text, id_and_text, in_fold, slices
 
 FOLDS = 3
 PER_LANGUAGE = 300
+#: Bytes of text in the sample of all languages together, at most; one text of each language is still taken.
+SAMPLE_BYTES = 32 << 20
+#: So many examples (some 50 bytes each) are broadcast to find their texts; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 LANDMARKS = 192
 BITS = 14
 RIDGE = 1e-3
@@ -92,21 +96,27 @@ def _presence(bits: int):
     return of
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, text, lang: of each language, the rows with the least hashes of id and text, repeated rows once.
 
+    Every language has ``per_language`` rows at most, and as many as fit its equal share of ``sample_bytes``, one at least.
+
     Rows whose language or id is null are no examples. An id that stands for several texts or languages gives an example
     for each of these rows.
     """
     rows = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    ids = rows.groupBy("doc_id", "lang", "h").count().drop("count")
+    ids = rows.groupBy("doc_id", "lang", "h").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
     counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
     # thin by the hash before ranking, so that no window holds a whole language
     share = F.col("h").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
     thin = ids.join(counts, "lang").where(share * F.col("n") <= F.lit(4.0 * per_language + 40))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = thin.withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang", "h")
-    return rows.join(F.broadcast(chosen), ["doc_id", "lang", "h"]).groupBy("doc_id", "lang", "h").agg(F.first("text").alias("text")).select("doc_id", "text", "lang")
+    thin = thin.withColumn("rank", rank).where(F.col("rank") <= per_language)
+    size = F.sum("size").over(Window.partitionBy("lang").orderBy("rank"))  # per_language rows at most
+    thin = cut(thin.select("doc_id", "lang", "h", "rank", size.alias("bytes")))
+    known = thin.agg(F.count_distinct("lang").alias("languages"), F.count("*").alias("rows")).first()
+    chosen = thin.where((F.col("rank") == 1) | (F.col("bytes") <= sample_bytes // max(1, known.languages))).select("doc_id", "lang", "h")
+    return rows.join(F.broadcast(chosen) if known.rows <= MOST_BROADCAST else chosen, ["doc_id", "lang", "h"]).groupBy("doc_id", "lang", "h").agg(F.first("text").alias("text")).select("doc_id", "text", "lang")
 
 
 def fit(rows: DataFrame, landmarks: int = LANDMARKS, bits: int = BITS, ridge: float = RIDGE) -> LanguageModel:

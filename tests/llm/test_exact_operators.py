@@ -326,6 +326,19 @@ def test_decontamination(spark, small_rows, odd_rows):
     assert decontaminate.find_matches(documents(spark, rows).limit(0), bench).count() == 0
 
 
+def test_memory_of_a_test_block():
+    """What is broadcast is a few times the block's text, also where items are many, short, or alike."""
+    import pickle
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    prose = [" ".join(rng.choice(["the", "of", "window", "decontamination"]) + str(rng.randrange(10**4)) for _ in range(300)) for _ in range(400)]
+    for texts in (prose, prose[:1] * 400, [t[:60] for t in prose * 5]):
+        block = decontaminate.test_suffixes([f"item-{i}" for i in range(len(texts))], pa.array(texts), 10)
+        assert len(pickle.dumps(block)) <= 5 * sum(map(len, texts)) + 64 * len(texts)
+
+
 def test_longest_match(spark):
     """Also where windows of several items overlap, and the longer match does not begin the run."""
     item = " ".join(f"w{i}" for i in range(40))

@@ -178,6 +178,15 @@ def test_every_language_is_learned(spark):
     assert len(language_id.fit(sample).names) == 250
 
 
+def test_bytes_of_a_language_sample(spark):
+    """Languages share the bytes; one text of each is taken, however long."""
+    rows = [(i, "ab " * 100, f"l{i % 4}") for i in range(400)] + [(1000, "x" * 50_000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.lang: r["count"] for r in language_id.sample(docs, 50, 5 * 3_000).groupBy("lang").count().collect()}
+    assert got == {"l0": 10, "l1": 10, "l2": 10, "l3": 10, "long": 1}
+    assert language_id.sample(docs, 50).count() == 201
+
+
 def test_samples_of_repeated_ids(spark):
     """An id is one example, with the label that is its own, however many rows and texts it has."""
     docs = spark.createDataFrame([(1, "a")] * 1000 + [(1, "b"), (2, "c"), (3, None), (None, "d")], "doc_id long, text string")
