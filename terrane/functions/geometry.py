@@ -27,31 +27,31 @@ def length(line: Column) -> Column:
     )
 
 
-def _turn(o: Column, a: Column, b: Column) -> Column:
+def turn(o: Column, a: Column, b: Column) -> Column:
     """Above 0 if o, a, b turn to the left, 0 if they lie on a line."""
     return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
 
 
-def _within(side: Column, p: Column) -> Column:
+def within(side: Column, p: Column) -> Column:
     """Whether a point of the side's line lies on the side."""
     return p["x"].between(F.least(side["a"]["x"], side["b"]["x"]), F.greatest(side["a"]["x"], side["b"]["x"])) & p["y"].between(
         F.least(side["a"]["y"], side["b"]["y"]), F.greatest(side["a"]["y"], side["b"]["y"])
     )
 
 
-def _meet(s: Column, t: Column) -> Column:
+def meet(s: Column, t: Column) -> Column:
     """Whether two sides cross or touch."""
-    turns = [_turn(s["a"], s["b"], t["a"]), _turn(s["a"], s["b"], t["b"]), _turn(t["a"], t["b"], s["a"]), _turn(t["a"], t["b"], s["b"])]
+    turns = [turn(s["a"], s["b"], t["a"]), turn(s["a"], s["b"], t["b"]), turn(t["a"], t["b"], s["a"]), turn(t["a"], t["b"], s["b"])]
     crossed = (F.signum(turns[0]) * F.signum(turns[1]) < 0) & (F.signum(turns[2]) * F.signum(turns[3]) < 0)
     ends = [(s, t["a"]), (s, t["b"]), (t, s["a"]), (t, s["b"])]
-    touched = [(turn == 0) & _within(side, p) for turn, (side, p) in zip(turns, ends, strict=True)]
+    touched = [(turn == 0) & within(side, p) for turn, (side, p) in zip(turns, ends, strict=True)]
     return crossed | touched[0] | touched[1] | touched[2] | touched[3]
 
 
-def _doubles_back(s: Column, t: Column) -> Column:
+def doubles_back(s: Column, t: Column) -> Column:
     """Whether a side runs back over the side before it."""
     back = (s["b"]["x"] - s["a"]["x"]) * (t["b"]["x"] - t["a"]["x"]) + (s["b"]["y"] - s["a"]["y"]) * (t["b"]["y"] - t["a"]["y"]) < 0
-    return (_turn(s["a"], s["b"], t["b"]) == 0) & back
+    return (turn(s["a"], s["b"], t["b"]) == 0) & back
 
 
 def crosses_itself(ring: Column) -> Column:
@@ -67,7 +67,7 @@ def crosses_itself(ring: Column) -> Column:
         def bad(q: Column) -> Column:
             joined = (q["i"] == p["i"] + 1) | ((p["i"] == last) & (q["i"] == 0))
             apart = (q["i"] > p["i"] + 1) & ~((p["i"] == 0) & (q["i"] == last))
-            return (joined & _doubles_back(p["s"], q["s"])) | (apart & _meet(p["s"], q["s"]))
+            return (joined & doubles_back(p["s"], q["s"])) | (apart & meet(p["s"], q["s"]))
 
         return F.exists(sides, bad)
 

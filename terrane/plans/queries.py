@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terrane.functions import layers
+from terrane.functions import layers, wkb
 from terrane.functions import predicates as P
-from terrane.operators import diffusion, outliers, voids
+from terrane.operators import diffusion, outliers, shapes, voids
 from terrane.plans import outputs, screening, smoothing
+from terrane.session import ensure_checkpoint_dir
+from terrane.sources import geotiff
 from terrane.sources.grids import NODATA, embedding_grid, event_grid, order_grid
 
 GRIDS = {"g1": embedding_grid, "g2": event_grid, "g3": order_grid}
@@ -292,81 +295,83 @@ for _g in GRIDS:
 
 # --- rules
 
-_RES = [(0.5, 0.5), (1.0, 1.0), (2.0, 3.0), (30.0, 30.0), (0.0, 0.0), (-1.0, 1.0), (5.0, 15.0)]
+def _table(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _values(rows):
-    def text(v):
-        return "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-
-    return ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
-
-
-@_query("resolution_scale", f"""SELECT CAST(x AS DOUBLE) AS res_x, CAST(y AS DOUBLE) AS res_y, round(CASE WHEN (x + y) / 2 <= 0 THEN 1.0::DOUBLE
- ELSE greatest(0.1::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE / nullif((x + y) / 2, 0))) END, 6) AS factor FROM (VALUES {_values(_RES)}) AS t(x, y)""")
+@_query("resolution_scale", """SELECT p_partkey, CAST(x AS DOUBLE) AS res_x, CAST(y AS DOUBLE) AS res_y, round(CASE WHEN (x + y) / 2 <= 0 THEN 1.0::DOUBLE
+ ELSE greatest(0.1::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE / nullif((x + y) / 2, 0))) END, 6) AS factor
+ FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) / 8 - 1 AS x, p_retailprice / 500 - 2 AS y FROM part)""")
 def resolution_scale(spark, d):
-    rows = spark.createDataFrame(_RES, "res_x double, res_y double")
-    return rows.select("res_x", "res_y", F.round(P.resolution_factor(F.col("res_x"), F.col("res_y")), 6).alias("factor"))
+    """Cells of many sizes, none and negative ones among them, made of the parts' sizes and prices."""
+    rows = _table(spark, d, "part").select("p_partkey", (F.col("p_size") / 8.0 - 1).alias("res_x"), (F.col("p_retailprice") / 500 - 2).alias("res_y"))
+    return rows.select("p_partkey", "res_x", "res_y", F.round(P.resolution_factor(F.col("res_x"), F.col("res_y")), 6).alias("factor"))
 
 
 #: The kinds of sources once more, for the SQL.
 _SOURCES = """(0, 'Auto-detect', NULL), (1, 'LiDAR bare-earth (DTM)', 0.15), (2, 'LiDAR surface model (DSM, uncorrected)', 0.4), (3, 'SRTM (30m / 90m)', 4.0),
  (4, 'Copernicus GLO-30', 4.0), (5, 'FABDEM / FathomDEM / GEDTM30', 1.5), (6, 'Aerial photogrammetry', 0.75), (7, 'Unknown / Other', 5.0)"""
-_ASKS = [(code, user) for code in range(9) for user in (-1.0, 0.0, 2.5)]
 
 
-@_query("source_rmse", f"""SELECT q.code, CAST(q.user_rmse AS DOUBLE) AS user_rmse,
- CAST(coalesce(CASE WHEN q.user_rmse > 0 THEN q.user_rmse END, t.rmse, 5.0) AS DOUBLE) AS rmse,
+@_query("source_rmse", f"""SELECT q.code, q.user_rmse, CAST(coalesce(CASE WHEN q.user_rmse > 0 THEN q.user_rmse END, t.rmse, 5.0) AS DOUBLE) AS rmse,
  CASE WHEN q.user_rmse > 0 THEN 'user' WHEN q.code = 0 THEN 'auto_default' ELSE 'source_type' END AS rmse_source
- FROM (VALUES {_values(_ASKS)}) AS q(code, user_rmse) LEFT JOIN (VALUES {_SOURCES}) AS t(code, label, rmse) ON t.code = q.code""")
+ FROM (SELECT CAST(c_custkey % 9 AS INTEGER) AS code, CASE WHEN c_nationkey % 3 = 0 THEN c_acctbal ELSE c_nationkey % 3 - 2 END AS user_rmse FROM customer) q
+ LEFT JOIN (VALUES {_SOURCES}) AS t(code, label, rmse) ON t.code = q.code""")
 def source_rmse(spark, d):
-    return P.with_rmse(spark.createDataFrame(_ASKS, "code int, user_rmse double"), P.source_types(spark))
+    """A request of each customer: a code by the key, one that is none among them; the balance, 0 or -1 as the user's figure."""
+    third = F.col("c_nationkey") % 3
+    asked = F.when(third == 0, F.col("c_acctbal")).otherwise((third - 2).cast("double"))
+    asks = _table(spark, d, "customer").select((F.col("c_custkey") % 9).cast("int").alias("code"), asked.alias("user_rmse"))
+    return P.with_rmse(asks, P.source_types(spark))
 
 
-@_query("source_notes", f"""SELECT code, label, CASE WHEN code IN (1, 5) THEN 'bias_correction' WHEN code = 2 THEN 'lidar_ground_filter' ELSE 'none' END AS note
- FROM (VALUES {_SOURCES}) AS t(code, label, rmse)""")
+@_query("source_notes", f"""SELECT c_custkey, label, CASE WHEN code IN (1, 5) THEN 'bias_correction' WHEN code = 2 THEN 'lidar_ground_filter' ELSE 'none' END AS note
+ FROM customer JOIN (VALUES {_SOURCES}) AS t(code, label, rmse) ON code = c_custkey % 9""")
 def source_notes(spark, d):
-    return P.source_types(spark).select("code", "label", P.source_notes(F.col("code")).alias("note"))
+    rows = _table(spark, d, "customer").withColumn("code", (F.col("c_custkey") % 9).cast("int"))
+    return rows.join(F.broadcast(P.source_types(spark)), "code").select("c_custkey", "label", P.source_notes(F.col("code")).alias("note"))
 
 
-_SITUATIONS = [(large, geo, pct) for large in (0, 2) for geo in (True, False) for pct in (0.0, 0.05, 0.5, 1.0, 3.0, 5.0, 7.5)]
-
-
-@_query("next_steps", f"""SELECT large, geo, CAST(pct AS DOUBLE) AS pct, concat_ws(',', CASE WHEN large > 0 THEN 'treat_large_voids' END, CASE WHEN geo THEN 'reproject' END,
+@_query("next_steps", """SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN large > 0 THEN 'treat_large_voids' END, CASE WHEN geo THEN 'reproject' END,
  CASE WHEN pct > 1 THEN 'review_artifacts' END, CASE WHEN large <= 0 AND pct <= 1 THEN 'passed' END) AS steps,
  CASE WHEN pct = 0 THEN 'none' WHEN pct < 0.1 THEN 'very_low' WHEN pct < 1 THEN 'low' WHEN pct < 5 THEN 'moderate' ELSE 'high' END AS band
- FROM (VALUES {_values(_SITUATIONS)}) AS t(large, geo, pct)""")
+ FROM (SELECT l_orderkey, l_linenumber, l_linenumber - 2 AS large, l_discount > 0.05 AS geo, l_tax * l_quantity * 2 AS pct FROM lineitem)""")
 def next_steps(spark, d):
-    rows = spark.createDataFrame(_SITUATIONS, "large int, geo boolean, pct double")
-    return rows.select(
-        "large", "geo", "pct", F.array_join(P.next_steps(F.col("large"), F.col("geo"), F.col("pct")), ",").alias("steps"), P.artifact_band(F.col("pct")).alias("band")
-    )
+    """Each line of an order as the outcome of a screening: large voids by its number, the rate of flags by tax and quantity."""
+    large, geo, pct = F.col("l_linenumber") - 2, F.col("l_discount") > 0.05, F.col("l_tax") * F.col("l_quantity") * 2
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(P.next_steps(large, geo, pct), ",").alias("steps"), P.artifact_band(pct).alias("band"))
 
 
-_TRIALS = ["hello", "", "   ", None, "5", "3.14", "0", "-1", "abc", "10", "11", "4326", "22229", "1023", "32768", "nan", " 7 ", "1e3"]
+_TEXTS_AS_NUMBERS = """SELECT CASE o_orderkey % 7 WHEN 0 THEN o_orderpriority WHEN 1 THEN ' ' || o_custkey || ' ' WHEN 2 THEN CAST(o_orderkey - 9 AS VARCHAR) WHEN 3 THEN repeat(' ', CAST(o_custkey % 4 AS INTEGER))
+ WHEN 4 THEN NULL WHEN 5 THEN CAST(o_custkey * 37 AS VARCHAR) ELSE o_orderkey || '.' || o_custkey % 10 END AS v FROM orders"""
 
 
 @_query("validation_truth_table", f"""SELECT v, v IS NOT NULL AS not_none, coalesce(regexp_matches(v, '\\S'), false) AS not_empty,
  coalesce(x > 0 AND NOT isnan(x), false) AS positive, coalesce(x BETWEEN 0 AND 10 AND NOT isnan(x), false) AS in_range,
  coalesce(TRY_CAST(CASE WHEN regexp_full_match(trim(v), '[+-]?[0-9]+') THEN trim(v) END AS BIGINT) BETWEEN 1024 AND 32767, false) AS epsg
- FROM (SELECT v, TRY_CAST(trim(v) AS DOUBLE) AS x FROM (VALUES {_values([(t,) for t in _TRIALS])}) AS t(v))""")
+ FROM (SELECT v, TRY_CAST(trim(v) AS DOUBLE) AS x FROM ({_TEXTS_AS_NUMBERS}))""")
 def validation_truth_table(spark, d):
+    """Words, blanks, nothing, whole and broken numbers as texts, one of each order."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda x: x.cast("string")
+    kinds = [
+        F.col("o_orderpriority"), F.concat(F.lit(" "), text(customer), F.lit(" ")), text(key - 9), F.repeat(F.lit(" "), (customer % 4).cast("int")), F.lit(None).cast("string"),
+        text(customer * 37), F.concat(text(key), F.lit("."), text(customer % 10)),
+    ]
     v = F.col("v")
-    return spark.createDataFrame([(t,) for t in _TRIALS], "v string").select(
+    return _table(spark, d, "orders").select(F.get(F.array(*kinds), (key % 7).cast("int")).alias("v")).select(
         "v", P.is_not_none(v).alias("not_none"), P.is_not_empty_string(v).alias("not_empty"), P.is_positive_number(v).alias("positive"),
         P.is_in_range(v, F.lit(0), F.lit(10)).alias("in_range"), P.is_valid_epsg(v).alias("epsg"),
     )
 
 
-_NUMBERS = [4326.0, 4326.9, 1023.9, 1024.0, 32767.5, 32768.0, -4326.0, 0.0, 5.5, 10.0, 10.5]
-
-
-@_query("validation_of_numbers", f"""SELECT CAST(v AS DOUBLE) AS v, v > 0 AS positive, v BETWEEN 0 AND 10 AS in_range, trunc(v) BETWEEN 1024 AND 32767 AS epsg
- FROM (VALUES {_values([(x,) for x in _NUMBERS])}) AS t(v)""")
+@_query("validation_of_numbers", """SELECT event_id, v > 0 AS positive, v BETWEEN 0 AND 10 AS in_range, trunc(v) BETWEEN 1024 AND 32767 AS epsg
+ FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN value WHEN 1 THEN value * 60 ELSE value / 10 - 5 END AS v FROM events)""")
 def validation_of_numbers(spark, d):
-    v = F.col("v")
-    return spark.createDataFrame([(x,) for x in _NUMBERS], "v double").select(
-        "v", P.is_positive_number(v).alias("positive"), P.is_in_range(v, F.lit(0), F.lit(10)).alias("in_range"), P.is_valid_epsg(v).alias("epsg")
+    third = F.col("event_id") % 3
+    v = F.when(third == 0, F.col("value")).when(third == 1, F.col("value") * 60).otherwise(F.col("value") / 10 - 5)
+    return _table(spark, d, "events").select(
+        "event_id", P.is_positive_number(v).alias("positive"), P.is_in_range(v, F.lit(0), F.lit(10)).alias("in_range"), P.is_valid_epsg(v).alias("epsg")
     )
 
 
@@ -380,16 +385,56 @@ def field_names(spark, d):
     return spark.createDataFrame(rows, "table_name string, column_name string, wanted boolean")
 
 
-#: Well-known binary of points, lines and polygons, of either byte order, with and without Z, and what is none.
-_SHAPES = ["0101000000", "0000000002", "0103000000", "01E9030000", "00000003EB", "0104000000", "0105000000", "0106000000", "0101000080", "0107000000", "01", ""]
-
-
-@_query("shape_kinds", f"""SELECT h, k IN (1, 4) AS point, k IN (2, 5) AS line, k IN (3, 6) AS polygon FROM (SELECT h, coalesce(CASE
- WHEN length(h) < 10 THEN 0 WHEN h[1:2] = '01' THEN (CAST('0x' || h[9:10] || h[7:8] || h[5:6] || h[3:4] AS BIGINT) & 268435455) % 1000
- ELSE (CAST('0x' || h[3:10] AS BIGINT) & 268435455) % 1000 END, 0) AS k FROM (VALUES {_values([(x,) for x in _SHAPES])}) AS t(h))""")
+@_query("shape_kinds", """SELECT s_suppkey, k IN (1, 4) AS point, k IN (2, 5) AS line, k IN (3, 6) AS polygon FROM (SELECT s_suppkey, s_suppkey % 8 AS k FROM supplier)""")
 def shape_kinds(spark, d):
-    wkb = F.unhex("h")
-    return spark.createDataFrame([(x,) for x in _SHAPES], "h string").select("h", layers.is_point(wkb).alias("point"), layers.is_line(wkb).alias("line"), layers.is_polygon(wkb).alias("polygon"))
+    """The head of well-known binary for each supplier, of all kinds, either byte order, with Z and M and without."""
+    key = F.col("s_suppkey")
+    kind = F.format_string("%08X", key % 8 + (key / 8).cast("long") % 4 * 1000)
+    turned = F.concat(*[F.substring(kind, i, 2) for i in (7, 5, 3, 1)])
+    head = F.unhex(F.when(key % 3 == 0, F.concat(F.lit("00"), kind)).otherwise(F.concat(F.lit("01"), turned)))
+    return _table(spark, d, "supplier").select("s_suppkey", layers.is_point(head).alias("point"), layers.is_line(head).alias("line"), layers.is_polygon(head).alias("polygon"))
+
+
+def _box(x, y, side):
+    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"), F.lit(None).cast("double").alias("z"), F.lit(None).cast("double").alias("m"))
+    zero = F.lit(0.0)
+    return F.array(corner(zero, zero), corner(side, zero), corner(side, side), corner(zero, side), corner(zero, zero))
+
+
+def _parcels(spark, d):
+    """For each supplier two squares by its key, the first with a hole, at a place by its nation; stored as well-known binary."""
+    key = F.col("s_suppkey").cast("double")
+    x, y, side, hole = F.col("s_nationkey") * 100.0, key * 3, key % 7 + 5, key % 3 + 1
+    parts = F.array(F.array(_box(x, y, side), _box(x + 1, y + 1, hole)), F.array(_box(x + key % 5 * 5, y + key % 2, key % 4 + 1)))
+    shape = F.struct(F.lit(wkb.MULTI_POLYGON).alias("kind"), F.lit(False).alias("z"), F.lit(False).alias("m"), parts.alias("parts"), F.array().cast("array<binary>").alias("members"))
+    return _table(spark, d, "supplier").select("s_suppkey", wkb.encode(shape).alias("geometry"))
+
+
+@_query("shape_areas", """SELECT s_suppkey, round(a * a - b * b + c * c, 6) AS area, round(4 * (a + b + c), 6) AS length, 15 AS points
+ FROM (SELECT s_suppkey, CAST(s_suppkey % 7 + 5 AS DOUBLE) AS a, CAST(s_suppkey % 3 + 1 AS DOUBLE) AS b, CAST(s_suppkey % 4 + 1 AS DOUBLE) AS c FROM supplier)""")
+def shape_areas(spark, d):
+    shape = F.col("shape")
+    found = _parcels(spark, d).select("s_suppkey", wkb.decode(F.col("geometry")).alias("shape"))
+    return found.select("s_suppkey", F.round(wkb.area(shape), 6).alias("area"), F.round(wkb.length(shape), 6).alias("length"), wkb.n_points(shape).alias("points"))
+
+
+@_query("shape_validity", """SELECT s_suppkey, g > a AS valid, CASE WHEN g <= a THEN CASE WHEN o = 1 AND g > 0 AND g + c < a AND 1 + c < a THEN 'parts overlap' ELSE 'rings cross' END END AS reason
+ FROM (SELECT s_suppkey, s_suppkey % 5 * 5 AS g, s_suppkey % 7 + 5 AS a, s_suppkey % 4 + 1 AS c, s_suppkey % 2 AS o FROM supplier)""")
+def shape_validity(spark, d):
+    """The second square lies beside the first, along or across its sides, or within."""
+    return shapes.validity(_parcels(spark, d).select("s_suppkey", wkb.decode(F.col("geometry")).alias("shape")), "s_suppkey", "shape")
+
+
+@_query("grid_file_window", f"WITH {_G2} SELECT r, c, round(z, 6) AS z FROM g2 WHERE r BETWEEN 5 AND 300 AND c >= 3 AND c < 9")
+def grid_file_window(spark, d):
+    """The grid as a mosaic of files in the shared folder, of which a window is read back: filters reach files and blocks."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/grid-{uuid.uuid4()}"
+    folder = folder.removeprefix("file:")
+    geotiff.write_tiles(event_grid(spark, d), folder, "g2", nodata=NODATA, tile=64)
+    tile = F.regexp_extract("grid_id", r"_(\d+)_(\d+)\.tif$", 1).cast("long"), F.regexp_extract("grid_id", r"_(\d+)_(\d+)\.tif$", 2).cast("long")
+    cells = geotiff.read_cells(spark, folder).where("c < 9").select((tile[0] * 64 + F.col("r")).alias("r"), (tile[1] * 64 + F.col("c")).alias("c"), F.round("z", 6).alias("z"))
+    return cells.where("r between 5 and 300 and c >= 3 and c < 9")
 
 
 # --- outputs as they are stored
