@@ -19,8 +19,8 @@ from terrane.operators.tiles import halo_map
 STEPS_AT_ONCE = 16
 
 
-def _steps(n: int, strength: float, k: float, nodata: float | None, begun: bool = False):
-    """``begun``: values are of an earlier round, in which cells that are not worked on became NaN."""
+def diffusion_steps(n: int, strength: float, k: float, nodata: float | None, begun: bool = False):
+    """A kernel of ``n`` steps. ``begun``: values are of an earlier round, in which cells that are not worked on became NaN."""
     k = max(k, 1e-12)
 
     def kernel(values: np.ndarray, there: np.ndarray, halo: int) -> list[np.ndarray]:
@@ -51,7 +51,7 @@ def diffuse(cells: DataFrame, nodata: float | None, steps: int = 5, strength: fl
     """Every cell with its value z and its value after ``steps`` steps, smoothed (z where there is no valid value)."""
     keys = [c for c in ("grid_id", "r", "c") if c in cells.columns]
     if steps <= min(STEPS_AT_ONCE, tile):
-        return _smoothed(map_cells(cells, _steps(steps, strength, k, nodata), steps, {"x": "double", "z": "double"}, tile), keys)
+        return _smoothed(map_cells(cells, diffusion_steps(steps, strength, k, nodata), steps, {"x": "double", "z": "double"}, tile), keys)
     return _smoothed(from_tiles(diffuse_tiles(to_tiles(cells, tile), nodata, steps, strength, k, tile), {"z": "data", "x": "x"}), keys)
 
 
@@ -64,7 +64,7 @@ def diffuse_tiles(tiles: DataFrame, nodata: float | None, steps: int = 5, streng
     while left:
         n = min(left, STEPS_AT_ONCE, tile)
         left -= n
-        out = map_tiles(now, _steps(n, strength, k, nodata, begun), n, {"x": "double", "z": "double"}, tile, ("first",) if begun else ())
+        out = map_tiles(now, diffusion_steps(n, strength, k, nodata, begun), n, {"x": "double", "z": "double"}, tile, ("first",) if begun else ())
         kept = [c for c in out.columns if c not in ("data", "x", "z", "first")]
         first = F.col("first" if begun else "data")
         if left:

@@ -22,7 +22,8 @@ TILE = 256
 Kernel = Callable[[np.ndarray, np.ndarray, int], np.ndarray | list[np.ndarray]]
 
 
-def _spread(place: Column, halo: int, tile: int) -> Column:
+def spread(place: Column, halo: int, tile: int) -> Column:
+    """Tiles along an axis whose part, widened by the halo, holds a place."""
     first = F.greatest(place - halo, F.lit(0)).cast("long")
     return F.sequence(F.floor(first / tile), F.floor((place + halo) / tile))
 
@@ -37,8 +38,8 @@ def halo_map(
     """
     keys, names = [c for c in ("grid_id",) if c in cells.columns], [name] if isinstance(name, str) else name
     sent = cells.select(*keys, "r", "c", "z", F.expr(flag).cast("byte").alias("flag"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    sent = sent.withColumn("tr", F.explode(_spread(F.col("r"), halo, tile)))
-    sent = sent.withColumn("tc", F.explode(_spread(F.col("c"), halo, tile)))
+    sent = sent.withColumn("tr", F.explode(spread(F.col("r"), halo, tile)))
+    sent = sent.withColumn("tc", F.explode(spread(F.col("c"), halo, tile)))
 
     def run(key, table):
         tr, tc = key[-2].as_py(), key[-1].as_py()
