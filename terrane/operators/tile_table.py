@@ -96,7 +96,7 @@ def _chunks(size: int, halo: int):
                 starts, counts = place[run[i:j]].astype("<i4"), lengths[i:j].astype("<i4")
                 for to, value in zip(rows.values(), (key_of(name, y, x), name, y, x, starts.tobytes(), counts.tobytes(), values[a:b].tobytes()), strict=True):
                     to.append(value)
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([(n, {"tr": pa.int64(), "tc": pa.int64()}.get(n, pa.string() if n in ("tile", "grid_id") else pa.binary())) for n in rows]))
+            yield pa.RecordBatch.from_pydict(rows, _chunk_schema())
 
     return of
 
@@ -141,6 +141,41 @@ def to_tiles(cells: DataFrame, size: int = TILE) -> DataFrame:
     return _grid_cells(cells).mapInArrow(_chunks(size, 0), _CHUNK).groupBy("tile").applyInArrow(of, SCHEMA)
 
 
+BLOCKS = "grid_id string, r0 long, c0 long, h int, w int, data binary"
+
+
+def blocks_to_tiles(blocks: DataFrame, size: int = TILE) -> DataFrame:
+    """Tiles of blocks of any place and size (grid_id, r0, c0, h, w and data, as tiles have it), which are cut at the tiles' borders.
+
+    One shuffle of the blocks' bytes; no cell becomes a row.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            for b in batch.to_pylist():
+                values = np.frombuffer(b["data"], "<f8").reshape(b["h"], b["w"])
+                for tr in range(b["r0"] // size, (b["r0"] + b["h"] - 1) // size + 1):
+                    for tc in range(b["c0"] // size, (b["c0"] + b["w"] - 1) // size + 1):
+                        top, left = max(b["r0"], tr * size), max(b["c0"], tc * size)
+                        part = values[top - b["r0"] : (tr + 1) * size - b["r0"], left - b["c0"] : (tc + 1) * size - b["c0"]]
+                        starts = (np.arange(part.shape[0]) + top - tr * size) * size + left - tc * size
+                        row = {"tile": key_of(b["grid_id"], tr, tc), "grid_id": b["grid_id"], "tr": tr, "tc": tc, "starts": starts.astype("<i4").tobytes()}
+                        row |= {"counts": np.full(len(starts), part.shape[1], "<i4").tobytes(), "data": np.ascontiguousarray(part).tobytes()}
+                        yield pa.RecordBatch.from_pylist([row], _chunk_schema())
+
+    def of(key, table):
+        values, there = _assembled(table, size, 0)
+        return _tile_row(table["grid_id"][0].as_py(), table["tr"][0].as_py(), table["tc"][0].as_py(), size, values, there)
+
+    read = blocks.where("h > 0 and w > 0").select(*[part.split()[0] for part in BLOCKS.split(", ")])
+    return read.mapInArrow(cut, _CHUNK).groupBy("tile").applyInArrow(of, SCHEMA)
+
+
+def _chunk_schema() -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (part.split() for part in _CHUNK.split(", "))])
+
+
 def _tile_row(grid_id: str, tr: int, tc: int, size: int, values: np.ndarray, there: np.ndarray | None) -> pa.Table:
     high, wide = values.shape
     whole = there is None or bool(there.all())

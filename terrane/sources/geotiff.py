@@ -34,7 +34,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from terrane.operators.tiles import TILE
+from terrane.operators.tile_table import BLOCKS, TILE, blocks_to_tiles
 
 #: Fixed values of the format: tag numbers, and the sizes and codes of its field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -463,6 +463,37 @@ def read_cells(spark: SparkSession, path: str, whole_files: bool = False, split_
     return _files(spark, path, "content").mapInArrow(of, _CELLS)
 
 
+class GridBlocks(GridFiles):
+    """The same files block by block, whose cells stay packed."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "grid_blocks"
+
+    def schema(self) -> str:
+        return BLOCKS
+
+    def reader(self, schema) -> DataSourceReader:
+        return _BlockReader(self.options["path"], int(self.options.get("split_bytes", SPLIT_BYTES)))
+
+
+class _BlockReader(_GridReader):
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        if partition.path:
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            with _store(self.path)[0].open_input_file(partition.path) as file:
+                for r, c, block in Tiff(file).blocks(partition.first, partition.last):
+                    row = (partition.path, r, c, *block.shape, np.ascontiguousarray(block, "<f8").tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[part.split()[0] for part in BLOCKS.split(", ")])
+
+
+def read_tiles(spark: SparkSession, path: str, size: int = TILE, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Tiles of all files (see :mod:`terrane.operators.tile_table`), grid_id being the path. Filters on grid_id reach the files."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(GridBlocks)
+    return blocks_to_tiles(spark.read.format("grid_blocks").option("split_bytes", split_bytes).load(path), size)
+
+
 class TileFiles(DataSource):
     """Sink of (name, content) rows as files of a folder.
 
@@ -545,8 +576,34 @@ def write_tiles(
         data = encode(block, nodata, res, corner, epsg, geographic, compression)
         return pa.table({"name": [f"{stem}_{tr}_{tc}.tif"], "content": pa.array([data], pa.binary())})
 
-    spark = cells.sparkSession
-    spark.dataSource.register(TileFiles)
+    cells.sparkSession.dataSource.register(TileFiles)
     placed = cells.select("r", "c", F.col(column).alias("v"), F.floor(F.col("r") / tile).alias("tr"), F.floor(F.col("c") / tile).alias("tc"))
     files = placed.groupBy("tr", "tc").applyInArrow(of, "name string, content binary")
     files.write.format("tile_files").mode("overwrite").option("path", path).option("stem", stem).save()
+
+
+def write_tile_table(
+    tiles: DataFrame, path: str, stem: str, column: str = "data", kind: str = "double", dtype: str = "float64", nodata: float | None = None, size: int = TILE,
+    res: tuple[float, float] = (1.0, 1.0), origin: tuple[float, float] = (0.0, 0.0), epsg: int | None = None, geographic: bool = True, compression: int = LZW,
+) -> None:
+    """Write a binary column (of ``kind`` double or short) of one grid's tiles as files like those of :func:`write_tiles`. No shuffle.
+
+    Cells that are not there, and NaN, get nodata (0 without it, and NaN stays in floating-point files then).
+    """
+
+    def of(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                shape = row["h"], row["w"]
+                values = np.frombuffer(row["v"], {"double": "<f8", "short": "<i2"}[kind]).reshape(shape).astype(np.float64)
+                gone = np.zeros(shape, bool) if row["present"] is None else ~np.unpackbits(np.frombuffer(row["present"], np.uint8), count=values.size).astype(bool).reshape(shape)
+                if nodata is not None or np.dtype(dtype).kind != "f":
+                    gone |= np.isnan(values)
+                block = np.where(gone, 0 if nodata is None else nodata, values).astype(dtype)
+                corner = origin[0] + row["tc"] * size * res[0], origin[1] - row["tr"] * size * res[1]
+                data = encode(block, nodata, res, corner, epsg, geographic, compression)
+                yield pa.RecordBatch.from_pydict({"name": [f"{stem}_{row['tr']}_{row['tc']}.tif"], "content": pa.array([data], pa.binary())})
+
+    tiles.sparkSession.dataSource.register(TileFiles)
+    files = tiles.select("tr", "tc", "h", "w", "present", F.col(column).alias("v")).mapInArrow(of, "name string, content binary")
+    files.write.format("tile_files").mode("overwrite").option("path", path).option("stem", stem).save()

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.operators import voids
+from terrane.operators import diffusion, voids
+from terrane.operators import tile_table as T
 from terrane.plans import smoothing
 from terrane.sources import geotiff
 
@@ -158,3 +159,30 @@ def test_big_tiff_head():
     data = struct.pack("<2sHHHQQ", b"II", 43, 8, 0, 16, len(tags)) + b"".join(struct.pack("<HHQQ", *t) for t in tags) + struct.pack("<Q", 0) + z.tobytes()
     ((r, c, block),) = geotiff.Tiff(data).blocks(window=geotiff.Window(1, 1, 0, 1))
     assert (r, c, block.tolist()) == (1, 0, [[3.0, 4.0]])
+
+
+@pytest.mark.parametrize("split", [1 << 30, 1000])
+def test_files_to_tiles_and_back(spark, tmp_path, split):
+    """A mosaic is read as tiles, worked on and written without a cell as a row; the cells are those of the way by cells."""
+    rng = np.random.RandomState(2)
+    z = rng.normal(0, 5, (300, 530)).round(2)
+    z[rng.rand(*z.shape) < 0.05] = NODATA
+    _write(tmp_path / "dem.tif", z)
+    tiles = geotiff.read_tiles(spark, str(tmp_path / "dem.tif"), 100, split)
+    assert tiles.agg(F.sum(F.col("h") * F.col("w")), F.count("*")).first() == (z.size, 18)
+    out = diffusion.diffuse_tiles(tiles, NODATA, 2, 0.2, 4.0, 100)
+    assert not any(x in out._jdf.queryExecution().executedPlan().toString() for x in ("Generate", "explode"))
+    geotiff.write_tile_table(out, str(tmp_path / "out"), "smooth", "x", nodata=NODATA, size=100)
+    cells = geotiff.read_cells(spark, str(tmp_path / "dem.tif"))
+    geotiff.write_tiles(diffusion.diffuse(cells, NODATA, 2, 0.2, 4.0), str(tmp_path / "cells"), "smooth", "smoothed", nodata=NODATA, tile=100)
+    names = sorted(os.listdir(tmp_path / "out"))
+    assert names == sorted(os.listdir(tmp_path / "cells")) and len(names) == 18
+    assert all((tmp_path / "out" / n).read_bytes() == (tmp_path / "cells" / n).read_bytes() for n in names)
+
+
+def test_blocks_with_holes(spark):
+    """Blocks of odd places and sizes, some of which are missing."""
+    rows = [("g", r, c, h, w, np.arange(h * w, dtype="<f8").tobytes()) for r, c, h, w in ((0, 0, 5, 3), (0, 3, 5, 9), (7, 2, 4, 4), (3, 20, 0, 5))]
+    got = T.from_tiles(T.blocks_to_tiles(spark.createDataFrame(rows, T.BLOCKS), 4))
+    want = {(r + i, c + j): float(i * w + j) for _, r, c, h, w, _ in rows for i in range(h) for j in range(w)}
+    assert {(x.r, x.c): x.z for x in got.collect()} == want
