@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import SPACED_BYTES, cut, documents, flat_text, id_and_text, in_few, mix64, slices, text_bytes, word_codes
@@ -316,6 +316,16 @@ def band_keys(tokens: np.ndarray, bands: int, rows: int = BAND_ROWS) -> np.ndarr
     return keys
 
 
+#: 64-bit words of a set's parities.
+PARITY_LONGS = 8
+
+
+def parity_bits(tokens: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of hashes whether the set has an odd number of them. Two sets differ in as many tokens as bits at least."""
+    odd = np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=64 * PARITY_LONGS) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _banded(shingle: int, least: float):
     def of(batches):
         bands = band_count(least)
@@ -324,8 +334,21 @@ def _banded(shingle: int, least: float):
                 hashes, begin = shingle_hashes(*flat_text(part.column(1)), shingle)
                 sets = [np.unique(x) for x in np.split(hashes, begin[1:])]
                 keys = np.concatenate([band_keys(x, bands) for x in sets]).view(np.int64)
-                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys))], names=["node", "size", "keys"])
+                lists = lambda values, n: pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n), pa.array(values))
+                bits = np.concatenate([parity_bits(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), lists(keys, bands), lists(bits, PARITY_LONGS)], names=["node", "size", "keys", "bits"])
+
+    return of
+
+
+def _distinct_shingles(shingle: int):
+    def of(batches):
+        for batch in batches:
+            for part in slices(iter([batch]), "text", 1 << 20):
+                hashes, begin = shingle_hashes(*flat_text(part.column(1)), shingle)
+                sets = [np.unique(x) for x in np.split(hashes, begin[1:])]
+                nodes = np.repeat(part.column(0).to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "token"])
 
     return of
 
@@ -335,16 +358,30 @@ def band_pairs(texts: DataFrame, roots: DataFrame, shingle: int, least: float) -
 
     A band is a key of twelve least hashes. Texts of one pool of sentences, which share each of their shingles with most others, share
     hardly any band (at a likeness of 0.4, one pair in 200 does), so what is compared does not grow with the square of
-    a crowd. A pair of likeness ``least`` shares no band with a chance of :data:`MISS`, one that is more alike with a lesser one.
+    a crowd. Copies of one text that are all somewhat less alike than ``least`` share bands, but each has shingles of its own: what
+    a text shares with another is at most what it shares with any, and sets differ in as many tokens at least as parities of theirs
+    do; both rule such pairs out before they are made, and no others. A pair of likeness ``least`` shares no band with a chance of :data:`MISS`, one that is more alike with a lesser one.
     """
-    marked = cut(texts.mapInArrow(_banded(shingle, least), "node long, size long, keys array<long>").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    marked = cut(texts.mapInArrow(_banded(shingle, least), "node long, size long, keys array<long>, bits array<long>").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     banded = marked.select("node", "size", "root", F.explode("keys").alias("key"))
     # the members of a key's commonest component are met by the others only, not by each other
     per = banded.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
     mixed = cut(banded.join(per.where("roots > 1").select("key", "main"), "key"))
-    x, y = mixed.where("root <> main").alias("x"), mixed.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.root <> y.root") & _sizes_allow(F.col("x.size"), F.col("y.size"), least))
-    return met.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
+    # what a text has in common with any other of these: its shingles that one of them has, too
+    some = _checked(mixed.select(F.col("node").alias("doc_id")).distinct())
+    tokens = texts.join(some, "doc_id", "left_semi").mapInArrow(_distinct_shingles(shingle), "node long, token long")
+    met_again = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    common = tokens.join(met_again, "token").groupBy("node").agg(F.count("*").alias("common"))
+    about = cut(common.join(marked.select("node", "size", "bits"), "node").where(F.col("common") >= least * F.col("size") - 1e-6).select("node", "common", "bits"))
+    able = mixed.join(F.broadcast(about) if about.count() <= MOST_BROADCAST // 10 else about, "node")
+    x, y = able.where("root <> main").alias("x"), able.alias("y")
+    shared = F.least(F.col("x.common"), F.col("y.common"))
+    enough = shared >= least / (1 + least) * F.expr("x.size + y.size") - 1e-6
+    differ = sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(PARITY_LONGS)), F.lit(0))
+    near = differ <= (1 - least) / (1 + least) * F.expr("x.size + y.size") + 1e-6
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & F.expr("x.root <> y.root") & _sizes_allow(F.col("x.size"), F.col("y.size"), least) & enough & near)
+    pairs = met.select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("bands"))
 
 
 def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -355,7 +392,7 @@ def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float
     1. Fingerprints within two bits, by their deletion variants.
     2. Pairs that share a cold token among those sent. A text all but a few of whose sent tokens are cold has its pairs here.
     3. For the others, which have a hot token in common: each is compared with one head, which connects most of a large
-       group of copies at a comparison each; what is not connected is joined by :func:`band_pairs`.
+       group of copies at a comparison each; what is not connected meets by :func:`band_pairs`, each text with its nearest first.
     """
     sent = classes.select("node", F.explode("tokens").alias("token"))
     shared = sent.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
@@ -373,9 +410,19 @@ def alike_links(classes: DataFrame, texts: DataFrame, shingle: int, least: float
     if not dense.count():
         return found
     roots = connected_components(found)
-    across = band_pairs(texts.join(dense.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), roots, shingle, least)
-    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return stars.union(_compared(across, texts, shingle, least))
+    stars = cut(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    dense_texts = texts.join(dense.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    across = cut(band_pairs(dense_texts, roots, shingle, least))
+    # each text with the one that it shares most bands with first: what that connects need not be compared pair by pair
+    both = across.union(across.select("b", "a", "bands"))
+    nearest = both.groupBy("a").agg(F.max_by("b", F.struct("bands", "b")).alias("b"))
+    first = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = cut(stars.union(_compared(first, texts, shingle, least)))
+    roots = connected_components(stars)
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    apart = across.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = apart.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).join(first, ["a", "b"], "left_anti")
+    return stars.union(_compared(apart.select("a", "b"), texts, shingle, least))
 
 
 def without_near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

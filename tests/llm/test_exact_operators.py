@@ -303,6 +303,18 @@ def test_bands_miss_no_pair():
         assert low <= min(shared) and np.mean(shared) <= high, (likeness, shared)
 
 
+def test_parities_rule_out_no_alike_sets():
+    """Sets differ in as many tokens as bits of their parities, or more."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        tokens = np.unique(rng.integers(0, 2**64, rng.integers(1, 3000), dtype=np.uint64))
+        one, other = (tokens[rng.random(len(tokens)) < 0.9] for _ in range(2))
+        bits = np.bitwise_xor(simhash.parity_bits(one), simhash.parity_bits(other))
+        assert sum(int(b).bit_count() if b >= 0 else (int(b) + 2**64).bit_count() for b in bits) <= len(np.setxor1d(one, other))
+
+
 def test_decontamination(spark, small_rows, odd_rows):
     items = [tuple(r.values()) for r in pq.read_table(f"{DATA}/benchmark.parquet", columns=["item_id", "text"]).to_pylist()]
     items += [(900, "one two"), (901, None), (902, "..."), (903, "One TWO"), (None, "a b c d e f g h i j"), (904, "word " * 30), (9, "a b c d e f g h i j k")]
