@@ -17,12 +17,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +81,39 @@ def side_a(path: str) -> Side:
     tokens = [b""] * (max(reader.get_vocab(with_added_tokens=True).values()) + 1)
     for token, i in reader.get_vocab(with_added_tokens=False).items():
         tokens[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
-    return _side(lambda texts: [x.ids for x in reader.encode_batch([" " + t for t in texts], add_special_tokens=False)], tokens)
+    quick = _by_ranks(path, letters)
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        out = [quick(" " + t) if quick and max(t, default="") < _FIRST_RARE else None for t in texts]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, reader.encode_batch([" " + texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = x.ids
+        return out
+
+    return _side(encode, tokens)
+
+
+#: Latin letters, digits and marks below this are of the same classes in every edition of Unicode that libraries may follow.
+_FIRST_RARE = "\u0250"
+
+
+def _by_ranks(path: str, letters: dict[str, int]):
+    """A quicker encoder of the same vocabulary, if its ids are the order of its merges and its splitting pattern is the usual one."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    usual = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and spec["normalizer"] is None
+    usual &= not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not usual or any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)) or any(vocabulary.get(c, 256) > 255 for c in letters):
+        return None
+    ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if i < 256 + len(merges)}
+    return tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 @functools.cache
@@ -108,6 +142,18 @@ def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.diff(border, prepend=-1), np.diff(last[border], prepend=-1)
 
 
+def _joined(values: pa.Array, counts: np.ndarray, between: str) -> pa.Array:
+    """Texts of as many values each, one after the other."""
+    offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(offsets, values), between)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted values without repeats; whole numbers sort faster than they hash."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 @dataclass
 class Aligned:
     """Segments one after the other: ids of both sides, the tokens of each segment, and A and B tokens of the groups of all."""
@@ -128,13 +174,8 @@ class Aligned:
 
     def written(self) -> list[str]:
         """``a1,a2|b1;a3|b2,b3`` of each segment."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        each, i, j = [], 0, 0
-        for m, n in zip(self.a_size.tolist(), self.b_size.tolist(), strict=True):
-            each.append(",".join(a[i : i + m]) + "|" + ",".join(b[j : j + n]))
-            i, j = i + m, j + n
-        ends = np.cumsum(self.n_groups).tolist()
-        return [";".join(each[e - n : e]) for e, n in zip(ends, self.n_groups.tolist(), strict=True)]
+        sides = [_joined(pa.array(ids).cast(pa.string()), sizes, ",") for ids, sizes in ((self.a, self.a_size), (self.b, self.b_size))]
+        return _joined(pc.binary_join_element_wise(*sides, "|"), self.n_groups, ";").to_pylist()
 
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Pairs of ids (a * 2^32 + b), how many links of a segment's group they are, and the segment; a few million at a time."""
@@ -159,11 +200,14 @@ class Aligned:
                 yield (x << 32) | b, times * b_times, np.full(len(b), segment[g])
 
 
+def _flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+
+
 def aligned(one: Side, other: Side, texts: list[str]) -> tuple[Aligned, np.ndarray]:
     """Tokens of the texts' segments, or of whole texts, and which of these do not give back their bytes on both sides (they have none)."""
     a, b = one.encode(texts), other.encode(texts)
-    flat = lambda lists: np.fromiter((i for x in lists for i in x), np.int64, sum(map(len, lists)))
-    out = Aligned(flat(a), flat(b), np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64))
+    out = Aligned(_flat(a), _flat(b), np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64))
     data = [b" " + t.encode() for t in texts]
     bad, sizes = np.zeros(len(texts), bool), np.array([len(x) for x in data], np.int64)
     want = np.frombuffer(b"".join(data), np.uint8)
@@ -200,8 +244,9 @@ class _Block:
             n_links += np.bincount(segment, times, len(texts)).astype(np.int64)
             codes.append(pair)
             owners.append(segment)
-        pairs, at = np.unique(np.concatenate(codes), return_inverse=True)
-        once = np.unique(np.concatenate(owners) * max(1, len(pairs)) + at)  # each pair of a segment
+        codes = np.concatenate(codes)
+        pairs = distinct(codes)
+        once = distinct(np.concatenate(owners) * max(1, len(pairs)) + np.searchsorted(pairs, codes))  # each pair of a segment
         number = np.fromiter((self.number.setdefault(p, len(self.number)) for p in pairs.tolist()), np.int64, len(pairs))
         counts = np.bincount(once // max(1, len(pairs)), minlength=len(texts))
         self.held_starts = np.append(self.held_starts, len(self.held) + np.cumsum(counts) - counts)
@@ -232,13 +277,13 @@ class _Block:
     def _count(self, refs: list[list[int]]) -> None:
         """Count each pair once for each text that holds it."""
         size = [len(x) for x in refs]
-        flat, owner = np.fromiter((i for x in refs for i in x), np.int64, sum(size)), np.repeat(np.arange(len(refs)), size)
+        flat, owner = _flat(refs), np.repeat(np.arange(len(refs)), size)
         if not len(flat):
             return
-        once = np.unique(owner * len(self.place) + flat)
+        once = distinct(owner * len(self.place) + flat)
         flat, owner = once % len(self.place), once // len(self.place)
         held, count = self.held[spans(self.held_starts[flat], self.held_counts[flat])], self.held_counts[flat]
-        once = np.unique(np.repeat(owner, count) * len(self.n_docs) + held)
+        once = distinct(np.repeat(owner, count) * len(self.n_docs) + held)
         self.n_docs += np.bincount(once % max(1, len(self.n_docs)), minlength=len(self.n_docs))
 
 
@@ -256,7 +301,7 @@ def _read(a_path: str, b_path: str, buckets: int, most: int, digest: bool):
             for part in parts:
                 refs = state.texts(part.column(1).to_pylist())
                 size = np.array([len(x) for x in refs], np.int64)
-                flat, owner = np.fromiter((i for x in refs for i in x), np.int64, size.sum()), np.repeat(np.arange(len(refs)), size)
+                flat, owner = _flat(refs), np.repeat(np.arange(len(refs)), size)
                 stats = np.array([np.bincount(owner, s[flat], len(refs)) for s in state.stats]).astype(np.int64)
                 written = [";".join([state.written[i] for i in x]) for x in refs]
                 if digest:
