@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from terrane.session import ensure_checkpoint_dir
 
 TILE = 256
-#: Cells that a task packs at once.
-CELLS_AT_ONCE = 1 << 20
+#: Cells that a task packs at once: some 50 MB with all that is made of them, however large the grid is.
+CELLS_AT_ONCE = 1 << 16
 KEYS = "tile string, grid_id string, tr long, tc long, r0 long, c0 long, h int, w int"
 SCHEMA = f"{KEYS}, data binary, present binary"
 _KEY_NAMES = [part.split()[0] for part in KEYS.split(", ")]
@@ -123,6 +123,13 @@ def _grid_cells(cells: DataFrame) -> DataFrame:
     return cells.select(F.coalesce(grid, F.lit("")).alias("grid_id"), F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("z").cast("double").alias("z"))
 
 
+def _packed(cells: DataFrame, size: int, halo: int) -> DataFrame:
+    """Cells packed by tile. Spark sorts each task's cells by tile first, and spills what it must: so a tile's cells are in one
+    piece or two a task, though only :data:`CELLS_AT_ONCE` of them are in Python at a time."""
+    by_tile = F.shiftleft(F.floor(F.col("r") / size), 24).bitwiseXOR(F.floor(F.col("c") / size))
+    return _grid_cells(cells).sortWithinPartitions(by_tile).mapInArrow(_chunks(size, halo), _CHUNK)
+
+
 def _in_halo(size: int, halo: int) -> None:
     if not 0 <= halo <= size:
         raise ValueError("a halo is no wider than a tile")
@@ -138,7 +145,7 @@ def to_tiles(cells: DataFrame, size: int = TILE) -> DataFrame:
         values, there = _assembled(table, size, 0)
         return _tile_row(table["grid_id"][0].as_py(), table["tr"][0].as_py(), table["tc"][0].as_py(), size, values, there)
 
-    return _grid_cells(cells).mapInArrow(_chunks(size, 0), _CHUNK).groupBy("tile").applyInArrow(of, SCHEMA)
+    return _packed(cells, size, 0).groupBy("tile").applyInArrow(of, SCHEMA)
 
 
 BLOCKS = "grid_id string, r0 long, c0 long, h int, w int, data binary"
@@ -190,6 +197,12 @@ def _present(bits: bytes | None, high: int, wide: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=high * wide).astype(bool).reshape(high, wide)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch of tiles, of which one at a time becomes Python objects."""
+    for i in range(batch.num_rows):
+        yield from batch.slice(i, 1).to_pylist()
+
+
 def _block(row: dict) -> tuple[np.ndarray, np.ndarray]:
     shape = row["h"], row["w"]
     return np.frombuffer(row["data"], "<f8").reshape(shape), _present(row["present"], *shape)
@@ -205,7 +218,7 @@ def from_tiles(tiles: DataFrame, names: dict[str, str] | None = None) -> DataFra
 
     def of(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 there = _present(row["present"], row["h"], row["w"])
                 r, c = np.nonzero(there)
                 columns = [pa.repeat(pa.scalar(row["grid_id"], pa.string()), len(r)), pa.array(r + row["r0"]), pa.array(c + row["c0"])]
@@ -241,7 +254,7 @@ def map_cells(cells: DataFrame, kernel: Kernel, halo: int, names: dict[str, str]
         return pa.table(columns)
 
     schema = "grid_id string, r long, c long" + "".join(f", {n} {k}" for n, k in names.items())
-    out = _grid_cells(cells).mapInArrow(_chunks(size, halo), _CHUNK).groupBy("tile").applyInArrow(of, schema)
+    out = _packed(cells, size, halo).groupBy("tile").applyInArrow(of, schema)
     return out.select(*[F.col(k).cast(kind).alias(k) for k in keys], "r", "c", *names)
 
 
@@ -269,7 +282,7 @@ def _strips(size: int, halo: int):
     def of(batches):
         for batch in batches:
             rows = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 values, there = _block(row)
                 cut = {n: {-1: slice(0, min(halo, n)), 0: slice(0, n), 1: slice(size - halo, max(size - halo, n))} for n in values.shape}
                 for i, j in _SIDES:
@@ -320,7 +333,7 @@ def map_tiles(tiles: DataFrame, kernel: Kernel, halo: int, names: dict[str, str]
 
     def of(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 out = [x[: row["h"], : row["w"]] for x in kernel(*with_strips(row, halo), halo)]
                 more = [np.ascontiguousarray(x, _TYPES[kind]).tobytes() for x, kind in zip(out, names.values(), strict=True)]
                 columns = [pa.array([row[n]], batch.schema.field(n).type) for n in kept]
@@ -331,13 +344,11 @@ def map_tiles(tiles: DataFrame, kernel: Kernel, halo: int, names: dict[str, str]
     return joined.mapInArrow(of, SCHEMA + "".join(f", {n} binary" for n in (*carry, *names)))
 
 
-def marked_tiles(cells: DataFrame, marks: DataFrame, mark: str, kernel, halo: int, names: dict[str, str], size: int = TILE) -> DataFrame:
-    """Run ``kernel`` over a table of cells, of which some are marked: tiles with data and a binary column for each of ``names``.
-
-    ``marks``: grid_id, tr, tc, starts, counts (runs of places in the tile, row by row) and the whole number ``mark``. The kernel gets
-    (starts, counts, mark) of its tile besides, and returns new values and an array for each name. One shuffle of packed cells.
-    """
+def _marked(cells: DataFrame, marks: DataFrame, mark: str, kernel, halo: int, size: int, result, schema: str) -> DataFrame:
+    """What ``result`` makes of each tile's key row, the kernel's arrays and presence, with ``schema``; see :func:`marked_tiles`."""
     _in_halo(size, halo)
+    arrow = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "short": pa.int16()}
+    kinds = [(name, arrow[kind]) for name, kind in (part.split() for part in schema.split(", "))]
 
     def of(key, table):
         table = table.sort_by("mark")
@@ -351,15 +362,39 @@ def marked_tiles(cells: DataFrame, marks: DataFrame, mark: str, kernel, halo: in
             return pa.schema(kinds).empty_table()
         found = [(*(np.frombuffer(x, "<i4").astype(np.int64) for x in (m["starts"], m["counts"])), m["mark"]) for m in given.to_pylist()]
         out = kernel(values, there, halo, found)
-        row = _tile_row(table["grid_id"][0].as_py(), table["tr"][0].as_py(), table["tc"][0].as_py(), size, out[0], inner)
-        for (name, kind), x in zip(names.items(), out[1:], strict=True):
-            row = row.append_column(name, pa.array([np.ascontiguousarray(x, _TYPES[kind]).tobytes()], pa.binary()))
-        return row
+        return result(table["grid_id"][0].as_py(), table["tr"][0].as_py(), table["tc"][0].as_py(), out, inner)
 
-    schema = SCHEMA + "".join(f", {n} binary" for n in names)
-    arrow = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    kinds = [(name, arrow[kind]) for name, kind in (part.split() for part in schema.split(", "))]
-    packed = _grid_cells(cells).mapInArrow(_chunks(size, halo), _CHUNK).withColumn("mark", F.lit(None).cast("int"))
+    packed = _packed(cells, size, halo).withColumn("mark", F.lit(None).cast("int"))
     key = F.concat_ws("/", F.col("tr").cast("string"), F.col("tc").cast("string"), F.col("grid_id"))
     told = marks.select(key.alias("tile"), "grid_id", "tr", "tc", "starts", "counts", F.lit(None).cast("binary").alias("data"), F.col(mark).cast("int").alias("mark"))
     return packed.unionByName(told).groupBy("tile").applyInArrow(of, schema)
+
+
+def marked_tiles(cells: DataFrame, marks: DataFrame, mark: str, kernel, halo: int, names: dict[str, str], size: int = TILE) -> DataFrame:
+    """Run ``kernel`` over a table of cells, of which some are marked: tiles with data and a binary column for each of ``names``.
+
+    ``marks``: grid_id, tr, tc, starts, counts (runs of places in the tile, row by row) and the whole number ``mark``. The kernel gets
+    (starts, counts, mark) of its tile besides, and returns new values and an array for each name. One shuffle of packed cells.
+    """
+
+    def result(grid_id, tr, tc, out, inner):
+        row = _tile_row(grid_id, tr, tc, size, out[0], inner)
+        for (name, kind), x in zip(names.items(), out[1:], strict=True):
+            row = row.append_column(name, pa.array([np.ascontiguousarray(x, _TYPES[kind]).tobytes()], pa.binary()))
+        return row
+
+    return _marked(cells, marks, mark, kernel, halo, size, result, SCHEMA + "".join(f", {n} binary" for n in names))
+
+
+def marked_cells(cells: DataFrame, marks: DataFrame, mark: str, kernel, halo: int, names: dict[str, str], size: int = TILE) -> DataFrame:
+    """The cells of :func:`marked_tiles`, from the same task: grid_id, r, c, z and each of ``names``. Tiles that are asked for once
+    need no second Python worker that takes them apart."""
+
+    def result(grid_id, tr, tc, out, inner):
+        r, c = np.nonzero(inner)
+        columns = {"grid_id": pa.repeat(pa.scalar(grid_id, pa.string()), len(r)), "r": r + tr * size, "c": c + tc * size}
+        for (name, kind), x in zip({"z": "double", **names}.items(), out, strict=True):
+            columns[name] = pa.array(x[r, c].astype(_TYPES[kind]), from_pandas=False)
+        return pa.table(columns)
+
+    return _marked(cells, marks, mark, kernel, halo, size, result, "grid_id string, r long, c long, z double" + "".join(f", {n} {k}" for n, k in names.items()))

@@ -25,20 +25,30 @@ def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.col("user_id").alias("r"), F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("c"), "value"
     )
-    found = events.groupBy("r", "c").agg(F.max("value").alias("z"))
-    return _dense(events.select("r").distinct(), DAYS_G2, found)
+    return _dense(events.select("r", "c", F.col("value").alias("z"), F.lit(True).alias("row")), DAYS_G2)
 
 
 def order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by line numbers: the largest price of a line."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        F.col("l_orderkey").alias("r"), (F.col("l_linenumber") - 1).cast("long").alias("c"), F.col("l_extendedprice").alias("z")
+        F.col("l_orderkey").alias("r"), (F.col("l_linenumber") - 1).cast("long").alias("c"), F.col("l_extendedprice").alias("z"), F.lit(False).alias("row")
     )
-    rows = spark.range(spark.read.parquet(f"{sf_dir}/orders.parquet").count()).select(F.col("id").alias("r"))
-    return _dense(rows, LINES_G3, lines.groupBy("r", "c").agg(F.max("z").alias("z")))
+    rows = spark.range(spark.read.parquet(f"{sf_dir}/orders.parquet").count())
+    rows = rows.select(F.col("id").alias("r"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("z"), F.lit(True).alias("row"))
+    return _dense(lines.unionByName(rows), LINES_G3)
 
 
-def _dense(rows: DataFrame, width: int, found: DataFrame) -> DataFrame:
-    """All cells of ``rows`` and ``width`` columns; nodata where nothing was found."""
-    every = rows.select("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("c"))
-    return every.join(found, ["r", "c"], "left").select("r", "c", F.coalesce("z", F.lit(NODATA)).alias("z"))
+#: Rows of a grid that are dealt together, as high as a tile.
+BAND = 256
+
+
+def _dense(found: DataFrame, width: int) -> DataFrame:
+    """All cells of the rows that ``row`` tells to be of the grid, with ``width`` columns: the largest z found there, else nodata.
+
+    Rows are dealt by the band of a tile's height that they lie in, so that a tile's cells are made in one task and packed in one piece.
+    """
+    at = lambda i: F.max(F.when((F.col("c") == i) & F.col("r").isNotNull(), F.col("z"))).alias(f"z{i}")
+    dealt = found.withColumn("band", F.floor(F.col("r") / BAND)).repartition("band")
+    rows = dealt.groupBy("band", "r").agg(F.max("row").alias("row"), *[at(i) for i in range(width)]).where("row")
+    cells = rows.select("r", F.posexplode(F.array(*[F.coalesce(f"z{i}", F.lit(NODATA)) for i in range(width)])).alias("c", "z"))
+    return cells.select("r", F.col("c").cast("long").alias("c"), "z")
