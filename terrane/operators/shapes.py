@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions import geometry, wkb
-
+from terrane.session import cut
 
 
 #: What may be wrong, the first of which is told.
@@ -61,7 +61,7 @@ def _side(prefix: str) -> Column:
 def meetings(found: DataFrame, key: str) -> DataFrame:
     """Pairs of sides of a shape that have a point in common which is not a common corner of neighbours: key, both sides' rings, and
     the point if they only touch there (null if they cross or lie on each other)."""
-    placed = _in_squares(sides(found, key), key)
+    placed = cut(_in_squares(sides(found, key), key))
     x, y = placed.alias("x"), placed.alias("y")
     order = lambda p: F.struct(F.col(f"{p}.part"), F.col(f"{p}.ring"), F.col(f"{p}.i"))
     met = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.u") == F.col("y.u")) & (F.col("x.v") == F.col("y.v")) & (order("x") < order("y")))
@@ -100,12 +100,16 @@ def validity(shapes: DataFrame, key: str, shape: str) -> DataFrame:
     Polygons: see above. Lines are valid with two unlike points, points and collections if they are not empty. A null shape is not
     valid. Rings of a polygon may touch each other in one point; chains of more than two rings that close around a piece of
     the inside are not looked for.
+
+    What several tests ask for (decoded shapes, rings, sides in squares, meetings, rings that hold others) is written to the checkpoint
+    folder once; else each test would begin with the binary shapes again.
     """
-    found = rings(shapes, key, shape)
+    shapes = cut(shapes.select(key, shape))
+    found = cut(rings(shapes, key, shape))
     closed = (F.size("points") >= 4) & (F.get("points", F.lit(0)) == F.get("points", F.size("points") - 1))
     faults = found.where(~closed | (geometry.area(F.col("points")) == 0)).select(key, F.lit("ring").alias("reason"))
-    good = found.join(faults.select(key).distinct(), key, "left_anti")
-    met = meetings(good, key)
+    good = cut(found.join(faults.select(key).distinct(), key, "left_anti"))
+    met = cut(meetings(good, key))
     own = (F.col("part_1") == F.col("part_2")) & (F.col("ring_1") == F.col("ring_2"))
     faults = faults.union(met.where(own).select(key, F.lit("self").alias("reason")))
     faults = faults.union(met.where(~own & F.col("point").isNull()).select(key, F.lit("rings cross").alias("reason")))
@@ -118,7 +122,7 @@ def validity(shapes: DataFrame, key: str, shape: str) -> DataFrame:
     held = inside(marked, good, key).where((F.col("tag.part") != F.col("part")) | (F.col("tag.ring") != F.col("ring")))
     held = held.groupBy(key, F.col("tag.part").alias("p"), F.col("tag.ring").alias("r"), "part", "ring").agg(F.count("*").alias("n"))
     total = marked.groupBy(key, F.col("tag.part").alias("p"), F.col("tag.ring").alias("r")).agg(F.count("*").alias("of"))
-    mostly = held.join(total, [key, "p", "r"]).where(F.col("n") * 2 > F.col("of"))
+    mostly = cut(held.join(total, [key, "p", "r"]).where(F.col("n") * 2 > F.col("of")))
     holes = good.where("ring > 0").select(key, F.col("part").alias("p"), F.col("ring").alias("r"))
     shell = mostly.where("p = part and ring = 0").select(key, "p", "r")
     faults = faults.union(holes.join(shell, [key, "p", "r"], "left_anti").select(key, F.lit("hole outside").alias("reason")))

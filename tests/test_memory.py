@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from terrane.functions import wkb
+from terrane.operators import shapes
 from terrane.operators import tile_table as T
 
 
@@ -33,3 +35,17 @@ def test_few_pieces_a_tile(spark):
     tiles = (1 << 18) / (64 * 7)
     got = packed.agg(F.count("*"), F.sum("bytes") / 8).first()
     assert got[0] < 2 * tiles * 3.2 and got[1] >= 1 << 18  # own cells and those of the rows above and below
+
+
+def test_shapes_are_read_once(spark):
+    """However many tests of validity there are, the shapes behind them are made once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(i):
+        made.add(1)
+        return i
+
+    square = "array(array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 2D, 'y', 0D), named_struct('x', 2D, 'y', 2D), named_struct('x', 0D, 'y', 0D))))"
+    rows = spark.range(5).select(counted("id").alias("key"), F.expr(f"named_struct('kind', {wkb.POLYGON}, 'parts', {square}, 'members', array())").alias("shape"))
+    assert shapes.validity(rows, "key", "shape").where("valid").count() == 5 and made.value == 5
