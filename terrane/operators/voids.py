@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from terrane.functions.predicates import LARGE, MEDIUM, SMALL, is_void, void_array, void_class
 from terrane.operators.graph import connected_components
 from terrane.operators.outliers import outlier_flags
-from terrane.operators.tile_table import TILE, marked_tiles, ranges
+from terrane.operators.tile_table import TILE, marked_cells, marked_tiles, ranges
 from terrane.session import cut
 
 
@@ -190,6 +190,17 @@ def screened_tiles(
     keep their value and have the medium class. Flags are of the input, too. One exchange of the grid, packed, serves all;
     of the regions only their parts' cells, packed, come along.
     """
+    return _screening(marked_tiles, cells, parts, nodata, small, large, window, threshold, tile)
+
+
+def screened_cells(
+    cells: DataFrame, parts: DataFrame, nodata: float | None, small: int = 10, large: int = 100, window: int | None = None, threshold: float = 3.0, tile: int = TILE
+) -> DataFrame:
+    """The cells of :func:`screened_tiles`, without a table of tiles between: grid_id, r, c, z, void_class and perhaps artifact."""
+    return _screening(marked_cells, cells, parts, nodata, small, large, window, threshold, tile)
+
+
+def _screening(how, cells: DataFrame, parts: DataFrame, nodata: float | None, small: int, large: int, window: int | None, threshold: float, tile: int) -> DataFrame:
     names = {"void_class": "short"} | ({"artifact": "short"} if window else {})
     kernel = _screened(nodata, window, threshold)
     classed = classed_parts(parts, small, large).select("grid_id", "tr", "tc", "starts", "counts", "void_class")
@@ -201,7 +212,7 @@ def screened_tiles(
             classes[at // tile, at % tile] = kind
         return kernel(values, there, halo, classes)
 
-    return marked_tiles(cells, classed, "void_class", run, max(1, (window or 1) // 2), names, tile)
+    return how(cells, classed, "void_class", run, max(1, (window or 1) // 2), names, tile)
 
 
 def region_table(regions: DataFrame, small: int = 10, large: int = 100) -> DataFrame:

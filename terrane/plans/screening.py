@@ -62,9 +62,12 @@ def stage0(cells: DataFrame, nodata: float | None, width: int, small: int = 10,
     """Voids found, classed and filled. With a ``window`` the screened cells have their flag (artifact) too, of the same exchange."""
     parts = voids.region_parts(cells, nodata, width)
     table = voids.numbered_regions(voids.region_sizes(parts), small, large)
-    tiles = voids.screened_tiles(cells, parts, nodata, small, large, window, threshold)
-    names = {"z": "data", "void_class": "void_class:short"} | ({"artifact": "artifact:short"} if window else {})
-    return Stage0(from_tiles(cut(tiles) if window else tiles, names), voids.void_summary(cells, table, nodata), table)
+    if window:
+        tiles = cut(voids.screened_tiles(cells, parts, nodata, small, large, window, threshold))
+        screened = from_tiles(tiles, {"z": "data", "void_class": "void_class:short", "artifact": "artifact:short"})
+    else:
+        screened = voids.screened_cells(cells, parts, nodata, small, large)
+    return Stage0(screened, voids.void_summary(cells, table, nodata), table)
 
 
 def artifact_rate(artifacts: DataFrame) -> DataFrame:

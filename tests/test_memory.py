@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from terrane.functions import wkb
-from terrane.operators import shapes
+from terrane.operators import shapes, voids
 from terrane.operators import tile_table as T
+from terrane.plans import screening
 
 
 def _batches(cells: int, wide: int):
@@ -49,3 +50,17 @@ def test_shapes_are_read_once(spark):
     square = "array(array(array(named_struct('x', 0D, 'y', 0D), named_struct('x', 2D, 'y', 0D), named_struct('x', 2D, 'y', 2D), named_struct('x', 0D, 'y', 0D))))"
     rows = spark.range(5).select(counted("id").alias("key"), F.expr(f"named_struct('kind', {wkb.POLYGON}, 'parts', {square}, 'members', array())").alias("shape"))
     assert shapes.validity(rows, "key", "shape").where("valid").count() == 5 and made.value == 5
+
+
+def test_screened_cells_come_of_one_worker(spark):
+    """Tiles that are asked for once are not sent to a second Python worker in the same task; cells are those of the tiles."""
+    rng = np.random.RandomState(6)
+    z = rng.rand(40, 30)
+    z[rng.rand(40, 30) < 0.4] = -9999.0
+    cells = spark.createDataFrame([(r, c, float(z[r, c])) for r in range(40) for c in range(30)], "r long, c long, z double").cache()
+    screened = screening.stage0(cells, -9999.0, 30, 3, 9).screened
+    plan = screened._jdf.queryExecution().optimizedPlan().toString()
+    after = plan[: plan.index("FlatMapGroupsInArrow")]
+    tiles = voids.screened_tiles(cells, voids.region_parts(cells, -9999.0, 30, 8), -9999.0, 3, 9, tile=8)
+    again = T.from_tiles(tiles, {"z": "data", "void_class": "void_class:short"})
+    assert "MapInArrow" not in after and sorted(map(str, screened.collect())) == sorted(map(str, again.collect()))
