@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from terrane.functions import wkb
@@ -18,11 +19,12 @@ def _batches(cells: int, wide: int):
         yield pa.RecordBatch.from_pydict({"grid_id": [""] * len(i), "r": i // wide, "c": i % wide, "z": i / 7})
 
 
-def test_packing_holds_few_cells():
-    """Half a million cells of a narrow grid, most of which are in halos."""
+@pytest.mark.parametrize(("wide", "halo"), [(7, 5)])
+def test_packing_holds_few_cells(wide, halo):
+    """Half a million cells of a narrow grid, of which many are in halos."""
     tracemalloc.start()
     try:
-        packed = sum(len(x) // 8 for batch in T._chunks(256, 5)(_batches(1 << 19, 7)) for x in batch.column("data").to_pylist())
+        packed = sum(len(x) // 8 for batch in T._chunks(256, halo)(_batches(1 << 19, wide)) for x in batch.column("data").to_pylist())
         peak = tracemalloc.get_traced_memory()[1]
     finally:
         tracemalloc.stop()
