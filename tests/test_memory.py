@@ -19,7 +19,7 @@ def _batches(cells: int, wide: int):
         yield pa.RecordBatch.from_pydict({"grid_id": [""] * len(i), "r": i // wide, "c": i % wide, "z": i / 7})
 
 
-@pytest.mark.parametrize(("wide", "halo"), [(7, 5), (7, 1), (64, 5), (64, 1), (7, 2)])
+@pytest.mark.parametrize(("wide", "halo"), [(7, 5), (30, 1), (7, 1), (64, 5), (64, 1), (7, 2)])
 def test_packing_holds_few_cells(wide, halo):
     """Half a million cells of a narrow grid, of which many are in halos."""
     tracemalloc.start()
