@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrane.functions import wkb
 from terrane.operators import shapes, voids
 from terrane.operators import tile_table as T
-from terrane.plans import screening
+from terrane.plans import queries, screening
 
 
 def _batches(cells: int, wide: int):
@@ -66,3 +66,12 @@ def test_screened_cells_come_of_one_worker(spark):
     tiles = voids.screened_tiles(cells, voids.region_parts(cells, -9999.0, 30, 8), -9999.0, 3, 9, tile=8)
     again = T.from_tiles(tiles, {"z": "data", "void_class": "void_class:short"})
     assert "MapInArrow" not in after and sorted(map(str, screened.collect())) == sorted(map(str, again.collect()))
+
+
+def test_class_cells_of_the_query_come_of_one_worker(spark):
+    """void_class_cells_g3 takes its cells from the kernel's worker, and its grid comes in tiles' bands, all of it."""
+    got = queries.queries()["void_class_cells_g3"](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("FlatMapGroupsInArrow")
+    assert below and "MapInArrow" not in above and "RepartitionByExpression [band" in below
+    assert got.agg(F.count("*"), F.count_if(F.col("void_class") < 0)).first() == (1500 * 7, 0)
